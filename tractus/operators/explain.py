@@ -7,8 +7,8 @@ the earlier variable in the list (W5), and write
 ``Ranks highly in: A: 98%, B: 94%, C: 92%`` (P7, T2, A5, T3).
 
 Plan shape: one grouped aggregate (partial + final), one unpivot, one
-percent rank partitioned by variable (distributed by default: the peer
-set is every key of the level), one ``row_number() <= k`` per key
+percent rank partitioned by variable (size-checked: distributed when
+the peer set, every key of the level, outgrows one task), one ``row_number() <= k`` per key
 (``WindowGroupLimit``), one ordered collect per key whose input is
 bounded by k.  No driver round trip, no Python worker.
 
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tractus.functions.columns import list_text, percent_label
-from tractus.operators.percentile import percent_rank_distributed, percent_rank_window
+from tractus.operators.percentile import percent_rank_by_method
 
 VARIABLE, VALUE, POS, RN = "variable", "value", "pos", "rn"
 DESCRIPTION_PREFIX = "Ranks highly in: "
@@ -43,16 +43,10 @@ def unpivot_metrics(sums: DataFrame, key: str, metrics: list[str]) -> DataFrame:
     return long.withColumn(POS, pos[F.col(VARIABLE)])
 
 
-def peer_percentiles(long: DataFrame, distributed: bool = True,
-                     num_buckets: int | None = None) -> DataFrame:
+def peer_percentiles(long: DataFrame, method: str = "auto") -> DataFrame:
     """Ascending percent rank of ``value`` within each ``variable``."""
     raw = long.withColumnRenamed(VALUE, "_raw")
-    if distributed:
-        out = percent_rank_distributed(raw, "_raw", VALUE, True, [VARIABLE],
-                                       num_buckets=num_buckets)
-    else:
-        out = percent_rank_window(raw, "_raw", VALUE, True, [VARIABLE])
-    return out.drop("_raw")
+    return percent_rank_by_method(raw, "_raw", VALUE, True, [VARIABLE], method).drop("_raw")
 
 
 def top_metrics(pct: DataFrame, key: str, k: int = 3) -> DataFrame:
@@ -75,8 +69,8 @@ def describe(top: DataFrame, key: str, prefix: str = DESCRIPTION_PREFIX,
 
 
 def explain_level(df: DataFrame, key: str, metrics: list[str], k: int = 3,
-                  distributed: bool = True, num_buckets: int | None = None) -> DataFrame:
+                  method: str = "auto") -> DataFrame:
     """C4: (key, description) for every non-NULL key of the level."""
     sums = metric_sums(df, key, metrics)
-    pct = peer_percentiles(unpivot_metrics(sums, key, metrics), distributed, num_buckets)
+    pct = peer_percentiles(unpivot_metrics(sums, key, metrics), method)
     return describe(top_metrics(pct, key, k), key)

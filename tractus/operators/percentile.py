@@ -43,6 +43,8 @@ _CNT, _BUCKET, _BC, _OFF, _BEFORE, _NN, _NC, _N, _GROUP = (
 
 MAX_BUCKETS = 1024
 MAX_BOUND_GROUPS = 10_000
+# Largest peer set sorted by one task in ``percent_rank``'s window path.
+MAX_ROWS_PER_TASK = 2_000_000
 
 
 def _order(c: Column, ascending: bool) -> Column:
@@ -78,11 +80,64 @@ def _clean_bounds(raw) -> list[float]:
     return vals
 
 
+def _prepare(df: DataFrame, by: list[str] | None):
+    dummy = not by
+    if dummy:
+        return df.withColumn(_GROUP, F.lit(0)), [_GROUP], True
+    return df, list(by), False
+
+
+def _sketch(vc: DataFrame, value: str, by: list[str], num_buckets: int,
+            relative_error: float) -> list:
+    """One action: per group, total rows (NULLs included) and the range
+    bounds of the distinct non-NULL, non-NaN values.  Result size is
+    bounded by MAX_BOUND_GROUPS x num_buckets."""
+    v = F.col(value)
+    vnum = v.cast("double")
+    probs = [i / num_buckets for i in range(1, num_buckets)]
+    acc = max(1, int(round(1 / relative_error)))
+    valid = v.isNotNull() & ~F.isnan(vnum)
+    q = (F.percentile_approx(F.when(valid, vnum), probs, acc) if probs
+         else F.lit(None).cast("array<double>"))
+    rows = (vc.groupBy(*by).agg(F.sum(_CNT).alias("_n"), q.alias("_q"))
+            .limit(MAX_BOUND_GROUPS + 1).collect())
+    if len(rows) > MAX_BOUND_GROUPS:
+        raise ValueError(f"percent rank: more than {MAX_BOUND_GROUPS} partition groups in {by}")
+    return rows
+
+
+def _num_buckets(df: DataFrame, num_buckets: int | None) -> int:
+    if num_buckets is None:
+        num_buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return max(1, min(MAX_BUCKETS, num_buckets))
+
+
+def percent_rank(df: DataFrame, value: str, out: str, ascending: bool = True,
+                 by: list[str] | None = None, max_rows_per_task: int = MAX_ROWS_PER_TASK,
+                 num_buckets: int | None = None, relative_error: float = 1e-3) -> DataFrame:
+    """Percent rank with a size check.
+
+    One sketch action returns every group's row count and range bounds.
+    If no group exceeds ``max_rows_per_task`` the built-in window is
+    used (one task per group sorts at most that many rows); otherwise
+    the distributed plan runs with the bounds already computed.
+    """
+    nb = _num_buckets(df, num_buckets)
+    d, keys, dummy = _prepare(df, by)
+    vc = d.groupBy(*keys, value).agg(F.count(F.lit(1)).alias(_CNT))
+    rows = _sketch(vc, value, keys, nb, relative_error)
+    if all((r["_n"] or 0) <= max_rows_per_task for r in rows):
+        return percent_rank_window(df, value, out, ascending, by)
+    return percent_rank_distributed(df, value, out, ascending, by, nb, relative_error,
+                                    sketch=rows)
+
+
 def percent_rank_distributed(df: DataFrame, value: str, out: str,
                              ascending: bool = True,
                              by: list[str] | None = None,
                              num_buckets: int | None = None,
-                             relative_error: float = 1e-3) -> DataFrame:
+                             relative_error: float = 1e-3,
+                             sketch: list | None = None) -> DataFrame:
     """Exact percent rank without a single-partition exchange.
 
     ``by`` are partition columns of low, bounded cardinality (e.g. the
@@ -90,36 +145,20 @@ def percent_rank_distributed(df: DataFrame, value: str, out: str,
     (at most ``MAX_BOUND_GROUPS`` groups).  Without ``by`` a constant
     internal group key is used, so every join below is an equi-join.
     """
-    spark = df.sparkSession
-    if num_buckets is None:
-        num_buckets = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    num_buckets = max(1, min(MAX_BUCKETS, num_buckets))
-    dummy = not by
-    if dummy:
-        by = [_GROUP]
-        df = df.withColumn(_GROUP, F.lit(0))
-    by = list(by)
+    num_buckets = _num_buckets(df, num_buckets)
+    df, by, dummy = _prepare(df, by)
     v = F.col(value)
     vnum = v.cast("double")
 
     vc = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias(_CNT))
     nonnull = vc.filter(v.isNotNull())
-    sketch_src = nonnull.filter(~F.isnan(vnum))
 
     # 2. bucket bounds (one action, bounded result)
-    probs = [i / num_buckets for i in range(1, num_buckets)]
+    rows = sketch if sketch is not None else _sketch(vc, value, by, num_buckets, relative_error)
     bucket = F.lit(0)
-    if probs and dummy:
-        bounds = _clean_bounds(sketch_src.approxQuantile(value, probs, relative_error))
-        bucket = _bucket_expr(vnum, bounds, ascending)
-    elif probs:
-        acc = max(1, int(round(1 / relative_error)))
-        rows = (sketch_src.groupBy(*by)
-                .agg(F.percentile_approx(vnum, probs, acc).alias("_q"))
-                .limit(MAX_BOUND_GROUPS + 1).collect())
-        if len(rows) > MAX_BOUND_GROUPS:
-            raise ValueError(f"percent_rank_distributed: more than "
-                             f"{MAX_BOUND_GROUPS} partition groups in {by}")
+    if dummy and rows:
+        bucket = _bucket_expr(vnum, _clean_bounds(rows[0]["_q"]), ascending)
+    elif rows:
         cond = None
         for r in rows:
             match = None
@@ -128,8 +167,7 @@ def percent_rank_distributed(df: DataFrame, value: str, out: str,
                 match = t if match is None else (match & t)
             expr = _bucket_expr(vnum, _clean_bounds(r["_q"]), ascending)
             cond = F.when(match, expr) if cond is None else cond.when(match, expr)
-        if cond is not None:
-            bucket = cond.otherwise(F.lit(0))
+        bucket = cond.otherwise(F.lit(0))
     nb = nonnull.withColumn(_BUCKET, bucket)
 
     # 3. bucket totals and running offsets (bounded: groups x buckets rows)
@@ -175,3 +213,15 @@ def percent_rank_distributed(df: DataFrame, value: str, out: str,
         cond = cond & F.col(c).eqNullSafe(F.col(k))
     res = df.join(table, cond, "inner").drop("_pr_v", *keys)
     return res.drop(_GROUP) if dummy else res
+
+
+def percent_rank_by_method(df: DataFrame, value: str, out: str, ascending: bool = True,
+                           by: list[str] | None = None, method: str = "auto") -> DataFrame:
+    """Dispatch: ``auto`` (size-checked), ``window`` or ``distributed``."""
+    if method == "auto":
+        return percent_rank(df, value, out, ascending, by)
+    if method == "window":
+        return percent_rank_window(df, value, out, ascending, by)
+    if method == "distributed":
+        return percent_rank_distributed(df, value, out, ascending, by)
+    raise ValueError(f"unknown percent rank method {method!r}")

@@ -2,8 +2,8 @@
 density percentile (P6 + W2).
 
 The density percentile is descending (densest unit -> 0, NULL density
--> highest), computed by the distributed percent rank by default so the
-unit table never goes through one task.
+-> highest).  By default (``method='auto'``) a unit table larger than
+one task's sort budget is ranked by the distributed percent rank.
 
 ``exact=True`` casts every term to DECIMAL(30,12) before adding: the
 score is summed again per region and compared for ties, and floating
@@ -16,25 +16,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from tractus.functions.columns import strict_sum
-from tractus.operators.percentile import percent_rank_distributed, percent_rank_window
+from tractus.operators.percentile import percent_rank_by_method
 
 SCORE_TYPE = "decimal(30,12)"
 
 
 def density_percentile(df: DataFrame, density: str, out: str,
-                       ascending: bool = False, distributed: bool = True,
-                       num_buckets: int | None = None) -> DataFrame:
-    """Global percent rank of the unit density."""
-    if distributed:
-        return percent_rank_distributed(df, density, out, ascending, num_buckets=num_buckets)
-    return percent_rank_window(df, density, out, ascending)
+                       ascending: bool = False, method: str = "auto") -> DataFrame:
+    """Global percent rank of the unit density (``method``: auto,
+    window or distributed, see ``tractus.operators.percentile``)."""
+    return percent_rank_by_method(df, density, out, ascending, None, method)
 
 
 def composite_score(df: DataFrame, indicators: list[str], density: str,
                     out: str = "score", density_out: str = "density_percentile",
                     ascending: bool = False, exact: bool = True,
-                    distributed: bool = True, num_buckets: int | None = None) -> DataFrame:
+                    method: str = "auto") -> DataFrame:
     """``score`` = indicators + density percentile; NULL if any term is NULL."""
-    df = density_percentile(df, density, density_out, ascending, distributed, num_buckets)
+    df = density_percentile(df, density, density_out, ascending, method)
     return df.withColumn(out, strict_sum([*indicators, density_out],
                                          SCORE_TYPE if exact else None))

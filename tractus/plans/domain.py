@@ -20,6 +20,7 @@ from tractus.operators.explain import explain_level
 from tractus.operators.places import attach_principal_place, principal_places
 from tractus.operators.rank import rank_level
 from tractus.operators.score import composite_score
+from tractus.session import materialize
 from tractus.sources import bindings as B
 
 # Fixed values of the chain (shared with the oracle SQL).
@@ -33,20 +34,31 @@ DENSITY_LEVELS = [
 PLACE_KEEP = {"city": "city", "lat": "city_lat", "lng": "city_lon", "id": "city_id"}
 
 
-def enriched_units(spark: SparkSession, src: str, ties: str = "one") -> DataFrame:
-    """Units with principal city and four densities."""
+def enriched_units(spark: SparkSession, src: str, ties: str = "one",
+                   checkpoint: bool = False) -> DataFrame:
+    """Units with principal city and four densities.
+
+    ``checkpoint=True`` writes the table to the shared checkpoint folder
+    and cuts its lineage (orders x lineitem, places, three aggregates):
+    the percentile reads it twice and every level reads the result.
+    """
     u = B.units(spark, src)
     p = B.places(spark, src)
     u = attach_principal_place(u, p, "county_name", "county_name",
                                prefix=B.NATION_PREFIX, ties=ties, keep=PLACE_KEEP)
-    return density_enrichment(u, "population", "geo_area", "unit_density", DENSITY_LEVELS)
+    out = density_enrichment(u, "population", "geo_area", "unit_density", DENSITY_LEVELS)
+    return materialize(out) if checkpoint else out
+
 
+def scored_units(spark: SparkSession, src: str, method: str = "auto",
+                 exact: bool = True, checkpoint: bool = True) -> DataFrame:
+    """C3 on the enriched units: ``density_percentile`` and ``score``.
 
-def scored_units(spark: SparkSession, src: str, distributed: bool = True,
-                 exact: bool = True) -> DataFrame:
-    """C3 on the enriched units: ``density_percentile`` and ``score``."""
-    return composite_score(enriched_units(spark, src), B.INDICATORS, "unit_density",
-                           exact=exact, distributed=distributed)
+    Unless the plain window is asked for, the enriched table is
+    checkpointed first: the percentile's sketch reads it, then the plan."""
+    enriched = enriched_units(spark, src, checkpoint=checkpoint and method != "window")
+    return composite_score(enriched, B.INDICATORS, "unit_density",
+                           exact=exact, method=method)
 
 
 def city_centres(spark: SparkSession, src: str) -> DataFrame:
@@ -76,17 +88,17 @@ LEVELS = {
 }
 
 
-def explain(scored: DataFrame, level: str, distributed: bool = True) -> DataFrame:
+def explain(scored: DataFrame, level: str, method: str = "auto") -> DataFrame:
     lv = LEVELS[level]
-    return explain_level(scored, lv.describe_by, B.INDICATORS, EXPLAIN_TOP, distributed)
+    return explain_level(scored, lv.describe_by, B.INDICATORS, EXPLAIN_TOP, method)
 
 
 def ranked(spark: SparkSession, src: str, level: str, scored: DataFrame | None = None,
-           n: int = RANK_LIMIT, distributed: bool = True) -> DataFrame:
+           n: int = RANK_LIMIT, method: str = "auto") -> DataFrame:
     """C5 for one level of the bound data."""
     lv = LEVELS[level]
-    scored = scored if scored is not None else scored_units(spark, src, distributed)
-    desc = explain(scored, level, distributed) if lv.describe_by else None
+    scored = scored if scored is not None else scored_units(spark, src, method)
+    desc = explain(scored, level, method) if lv.describe_by else None
     centres = lv.centres(spark, src) if lv.centres else None
     return rank_level(scored, lv.key, "score", n, centres, lv.centres_key,
                       desc, lv.describe_by, lv.name,

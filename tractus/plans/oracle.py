@@ -102,24 +102,33 @@ scored AS (
                  + CAST(density_percentile AS {SCORE_T}) AS {SCORE_T}) AS score
   FROM pctd)"""
 
-CTE_CENTRES = f"""
+CTE_COUNTY_CENTRES = f"""
 county_centres AS (
   SELECT n_name AS CF, r_name AS SF, CAST(25 + n_nationkey AS DOUBLE) AS lat,
          CAST(-120 + 2 * n_nationkey AS DOUBLE) AS lon
   FROM nation JOIN region ON n_regionkey = r_regionkey
-  WHERE n_nationkey NOT IN {B.COUNTY_CENTRES_MISSING}),
+  WHERE n_nationkey NOT IN {B.COUNTY_CENTRES_MISSING})"""
+
+CTE_STATE_CENTRES = f"""
 state_centres AS (
   SELECT r_name AS SF, CAST(30 + 2 * r_regionkey AS DOUBLE) AS lat,
          CAST(-100 - 5 * r_regionkey AS DOUBLE) AS lon
-  FROM region WHERE r_regionkey NOT IN ({B.STATE_CENTRES_MISSING[0]})),
+  FROM region WHERE r_regionkey NOT IN ({B.STATE_CENTRES_MISSING[0]}))"""
+
+CTE_TRACT_CENTRES = f"""
 tract_centres AS (
   SELECT c_custkey AS GEOID10,
          {_d(B.GRID_ORIGIN_Y)} + {_d(B.GRID_STEP)} * CAST(c_custkey // {B.GRID_COLUMNS} AS DOUBLE) + {_d(B.GRID_STEP / 2)} AS lat,
          {_d(B.GRID_ORIGIN_X)} + {_d(B.GRID_STEP)} * CAST(c_custkey % {B.GRID_COLUMNS} AS DOUBLE) + {_d(B.GRID_STEP / 2)} AS lon
-  FROM customer WHERE c_custkey % {B.TRACT_CENTRE_MODULUS} <> 0),
+  FROM customer WHERE c_custkey % {B.TRACT_CENTRE_MODULUS} <> 0)"""
+
+CTE_CITY_CENTRES = """
 city_centres AS (
   SELECT city_id, city, city_lat AS lat, city_lon AS lon FROM best)"""
 
+CTE_CENTRES = ",".join(c.strip("\n") for c in (CTE_COUNTY_CENTRES, CTE_STATE_CENTRES,
+                                                CTE_TRACT_CENTRES, CTE_CITY_CENTRES))
+
 
 def chain(*extra: str) -> str:
     """WITH clause of the full chain plus extra CTEs."""
@@ -192,3 +201,120 @@ ranked_{tag} AS (
          lat, lon{desc_sel}
   FROM j_{tag} {where})""")
     return ",".join(o.strip("\n") for o in out)
+
+
+def ctes(*parts: str) -> str:
+    return "WITH " + ",".join(p.strip("\n") for p in parts)
+
+
+# ------------------------------------------------------------ geometry
+def _grid(col: str, origin: float, offset: str) -> str:
+    return f"{_d(origin)} + {_d(B.GRID_STEP)} * CAST({col} + {offset} AS DOUBLE)"
+
+
+CTE_CORNERS = f"""
+corners AS (
+  SELECT c_custkey AS GEOID10,
+         'C' || CAST((c_custkey % {B.GRID_COLUMNS}) // {B.GRID_BLOCK} AS VARCHAR) || '_'
+             || CAST((c_custkey // {B.GRID_COLUMNS}) // {B.GRID_BLOCK} AS VARCHAR) AS CF,
+         'S' || CAST((c_custkey % {B.GRID_COLUMNS}) // {B.GRID_BLOCK} AS VARCHAR) AS SF,
+         v.idx,
+         {_grid(f'c_custkey % {B.GRID_COLUMNS}', B.GRID_ORIGIN_X, 'v.dx')} AS x,
+         {_grid(f'c_custkey // {B.GRID_COLUMNS}', B.GRID_ORIGIN_Y, 'v.dy')} AS y
+  FROM customer, (VALUES (0, 0, 0), (1, 1, 0), (2, 1, 1), (3, 0, 1), (4, 0, 0)) v(idx, dx, dy))"""
+
+
+def _qz(c: str) -> str:
+    return f"CAST(round({c} / {_d(1e-7)}) AS BIGINT)"
+
+
+CTE_CELL_EDGES = f"""
+cedges AS (
+  SELECT a.GEOID10, a.CF, a.SF, a.idx, a.x AS x0, a.y AS y0, b.x AS x1, b.y AS y1,
+         {_qz('a.x')} AS qx0, {_qz('a.y')} AS qy0, {_qz('b.x')} AS qx1, {_qz('b.y')} AS qy1
+  FROM corners a JOIN corners b ON a.GEOID10 = b.GEOID10 AND b.idx = a.idx + 1)"""
+
+
+def outline_ctes(key: str) -> str:
+    """``outline`` CTE: edges of the cells that do not cancel per key."""
+    lo = "(qx0 < qx1 OR (qx0 = qx1 AND qy0 < qy1))"
+    return f"""
+ukeys AS (
+  SELECT {key} AS k, x0, y0, x1, y1, qx0, qy0, qx1, qy1,
+         CASE WHEN {lo} THEN qx0 ELSE qx1 END AS lx, CASE WHEN {lo} THEN qy0 ELSE qy1 END AS ly,
+         CASE WHEN {lo} THEN qx1 ELSE qx0 END AS hx, CASE WHEN {lo} THEN qy1 ELSE qy0 END AS hy
+  FROM cedges),
+outline AS (
+  SELECT k, max(x0) AS x0, max(y0) AS y0, max(x1) AS x1, max(y1) AS y1,
+         max(qx0) AS qx0, max(qy0) AS qy0, max(qx1) AS qx1, max(qy1) AS qy1
+  FROM ukeys GROUP BY k, lx, ly, hx, hy HAVING count(*) = 1)"""
+
+
+def scanline_ctes(edges: str, k: str = "k") -> str:
+    """``ipoint`` CTE (k, x, y): scan-line interior point of edge set."""
+    return f"""
+env AS (SELECT {k} AS k, min(least(y0, y1)) AS miny, max(greatest(y0, y1)) AS maxy
+        FROM {edges} GROUP BY {k}),
+scan AS (
+  SELECT e.{k} AS k,
+         (greatest(coalesce(max(CASE WHEN y0 <= (miny + maxy) / {_d(2.0)} THEN y0 END), min(miny)), min(miny))
+          + least(coalesce(min(CASE WHEN y0 > (miny + maxy) / {_d(2.0)} THEN y0 END), max(maxy)), max(maxy)))
+         / {_d(2.0)} AS sy
+  FROM {edges} e JOIN env ON e.{k} = env.k GROUP BY e.{k}),
+cx AS (
+  SELECT e.{k} AS k, s.sy,
+         CASE WHEN x0 = x1 THEN x0 ELSE x0 + (s.sy - y0) / ((y1 - y0) / (x1 - x0)) END AS x
+  FROM {edges} e JOIN scan s ON e.{k} = s.k
+  WHERE NOT ((y0 > s.sy AND y1 > s.sy) OR (y0 < s.sy AND y1 < s.sy))
+    AND y0 <> y1 AND NOT (y0 = s.sy AND y1 < s.sy) AND NOT (y1 = s.sy AND y0 < s.sy)),
+pairs AS (
+  SELECT k, pair, min(x) AS xa, max(x) AS xb, any_value(sy) AS sy FROM (
+    SELECT k, sy, x, (row_number() OVER (PARTITION BY k ORDER BY x) - 1) // 2 AS pair FROM cx) t
+  GROUP BY k, pair),
+ipoint AS (
+  SELECT k, x, y FROM (
+    SELECT k, (xa + xb) / {_d(2.0)} AS x, sy AS y,
+           row_number() OVER (PARTITION BY k ORDER BY xb - xa DESC, pair ASC) AS rn
+    FROM pairs) t
+  WHERE rn = 1)"""
+
+
+def projection_sql(lon: str, lat: str, srid: int) -> tuple[str, str]:
+    """SQL twin of ``tractus.functions.projection`` (same operation order)."""
+    from tractus.functions.projection import CEA, DEG, LAEA, LAEA_EUROPE_FE, LAEA_EUROPE_FN
+
+    def q(s: str, e: float) -> str:
+        e2 = e * e
+        return (f"({_d(1 - e2)} * (({s} / ({_d(1.0)} - (({_d(e2)} * {s}) * {s}))) - "
+                f"({_d(1 / (2 * e))} * ln((({_d(1.0)} - ({_d(e)} * {s})) / ({_d(1.0)} + ({_d(e)} * {s})))))))")
+
+    rlon, rlat = f"({lon} * {_d(DEG)})", f"({lat} * {_d(DEG)})"
+    if srid == 6933:
+        return (f"({_d(CEA.a * CEA.k0)} * {rlon})",
+                f"({_d(CEA.a / (2 * CEA.k0))} * {q(f'sin({rlat})', CEA.e)})")
+    beta = f"asin(({q(f'sin({rlat})', LAEA.e)} / {_d(LAEA.qp)}))"
+    dlam = f"({rlon} - {_d(LAEA.lam0)})"
+    b = (f"({_d(LAEA.rq)} * sqrt(({_d(2.0)} / (({_d(1.0)} + ({_d(LAEA.sin_b1)} * sin({beta}))) + "
+         f"(({_d(LAEA.cos_b1)} * cos({beta})) * cos({dlam}))))))")
+    x = f"({_d(LAEA_EUROPE_FE)} + ((({b} * {_d(LAEA.d)}) * cos({beta})) * sin({dlam})))"
+    y = (f"({_d(LAEA_EUROPE_FN)} + (({b} / {_d(LAEA.d)}) * (({_d(LAEA.cos_b1)} * sin({beta})) - "
+         f"(({_d(LAEA.sin_b1)} * cos({beta})) * cos({dlam})))))")
+    return x, y
+
+
+def projected_corners_cte(srid: int, name: str = "pcorners") -> str:
+    x, y = projection_sql("x", "y", srid)
+    return f"""
+{name} AS (SELECT GEOID10, CF, SF, idx, {x} AS x, {y} AS y FROM corners)"""
+
+
+def unit_area_cte(src: str = "pcorners", name: str = "uarea") -> str:
+    """Shoelace of the closed 4-corner ring, relative to corner 0."""
+    def t(i: int) -> str:
+        return (f"((p{i}.x - p0.x) * (p{i+1}.y - p0.y) - (p{i+1}.x - p0.x) * (p{i}.y - p0.y))")
+    joins = " ".join(f"JOIN {src} p{i} ON p{i}.GEOID10 = p0.GEOID10 AND p{i}.idx = {i}"
+                     for i in (1, 2, 3))
+    return f"""
+{name} AS (
+  SELECT p0.GEOID10, p0.CF, p0.SF, abs(({t(1)} + {t(2)}) / {_d(2.0)}) AS area
+  FROM {src} p0 {joins} WHERE p0.idx = 0)"""

@@ -49,3 +49,306 @@ for _lv in ("state", "county", "city", "tract"):
     def _rank(spark, src, _lv=_lv):
         return D.ranked(spark, src, _lv)
     register(f"rank_{_lv}", O.chain(O.ranked_ctes(_lv)) + f"\nSELECT * FROM ranked_{_lv}")(_rank)
+
+
+# ============================================================ helpers
+def _r(c, digits: int):
+    return F.round(F.col(c) if isinstance(c, str) else c, digits)
+
+
+def _units_sql(*extra: str) -> str:
+    return O.ctes(O.CTE_UNITS, *extra)
+
+
+# ------------------------------------------------------- S1 P1 P2 P3 P9
+@register("scan_project_rename", """
+SELECT c_custkey AS unit_id, c_name AS name, c_nationkey AS nation_key, c_acctbal AS balance
+FROM customer""")
+def scan_project_rename(spark, src):
+    from tractus.operators.columns import drop, project, rename
+    from tractus.sources.tables import read_table
+    c = read_table(spark, src, "customer")
+    c = rename(c, {"c_custkey": "unit_id", "c_name": "name", "c_nationkey": "nation_key",
+                   "c_acctbal": "balance"})
+    return drop(project(c, "unit_id", "name", "nation_key", "balance", "c_mktsegment"),
+                "c_mktsegment")
+
+
+# --------------------------------------------------------------- P11
+@register("preview_units", _units_sql() + """
+SELECT unit_id, county_name, state, population FROM units ORDER BY unit_id LIMIT 5""")
+def preview_units(spark, src):
+    from tractus.operators.columns import preview
+    u = B.units(spark, src).select("unit_id", "county_name", "state", "population")
+    return preview(u, 5, ["unit_id"])
+
+
+# ---------------------------------------------------------- S2 S3 K1
+_CSV_SCHEMA = "CF string, SF string, lat double, lon double"
+
+
+@register("csv_null_scan", f"""
+SELECT n_name AS CF, r_name AS SF,
+       CASE WHEN n_nationkey NOT IN {B.COUNTY_CENTRES_MISSING} THEN CAST(25 + n_nationkey AS DOUBLE) END AS lat,
+       CASE WHEN n_nationkey NOT IN {B.COUNTY_CENTRES_MISSING} THEN CAST(-120 + 2 * n_nationkey AS DOUBLE) END AS lon
+FROM nation JOIN region ON n_regionkey = r_regionkey""")
+def csv_null_scan(spark, src):
+    from tractus.session import scratch_dir
+    from tractus.sinks.files import write_csv
+    from tractus.sources.files import read_csv
+    from tractus.sources.tables import read_table
+    n = read_table(spark, src, "nation", ["n_name", "n_regionkey"])
+    r = read_table(spark, src, "region", ["r_regionkey", "r_name"])
+    names = n.join(r, n.n_regionkey == r.r_regionkey).select(
+        F.col("n_name").alias("CF"), F.col("r_name").alias("SF"))
+    table = names.join(B.county_centres(spark, src).drop("SF"), "CF", "left")
+    path = write_csv(table, scratch_dir(spark, "csv"))
+    return read_csv(spark, path, _CSV_SCHEMA, null_value="null")
+
+
+# ----------------------------------------------------------------- K2
+@register("json_records_roundtrip", O.ctes(O.CTE_TRACT_CENTRES) + "\nSELECT * FROM tract_centres")
+def json_records_roundtrip(spark, src):
+    from tractus.session import scratch_dir
+    from tractus.sinks.files import write_json_records
+    from tractus.sources.files import read_json_records
+    path = write_json_records(B.tract_centres(spark, src), scratch_dir(spark, "json"))
+    return read_json_records(spark, path, "GEOID10 bigint, lat double, lon double")
+
+
+# ---------------------------------------------------------- P4 P5 P8
+@register("unit_density", _units_sql() + """
+SELECT lpad(CAST(unit_id AS VARCHAR), 11, '0') AS census_tract_id, population, geo_area,
+       CAST(population AS DOUBLE) / nullif(geo_area, 0) AS unit_density,
+       geo_area * CAST(1e-06 AS DOUBLE) AS geo_area_km2
+FROM units""")
+def unit_density(spark, src):
+    from tractus.operators.columns import pad_id, scale_columns
+    from tractus.operators.density import unit_density as ud
+    u = B.units(spark, src).select("unit_id", "population", "geo_area")
+    u = ud(u, "population", "geo_area", "unit_density")
+    u = scale_columns(u.withColumn("geo_area_km2", F.col("geo_area")), ["geo_area_km2"], 1e-6)
+    return pad_id(u, "unit_id").withColumnRenamed("unit_id", "census_tract_id")
+
+
+# ------------------------------------------------------ C1 T1 W1 F1 J1
+@register("principal_place", O.ctes(O.CTE_UNITS, O.CTE_PLACES) + f"""
+, best_all AS (
+  SELECT * FROM (
+    SELECT '{B.NATION_PREFIX}' || county_name AS region_key, city, lat AS city_lat,
+           lng AS city_lon, id AS city_id,
+           rank() OVER (PARTITION BY '{B.NATION_PREFIX}' || county_name
+                        ORDER BY population DESC NULLS LAST) AS r
+    FROM places) t WHERE r = 1)
+SELECT u.unit_id, u.county_name, b.city, b.city_id, b.city_lat, b.city_lon
+FROM units u LEFT JOIN best_all b ON u.county_name = b.region_key""")
+def principal_place(spark, src):
+    from tractus.operators.places import attach_principal_place
+    u = B.units(spark, src).select("unit_id", "county_name")
+    out = attach_principal_place(u, B.places(spark, src), prefix=B.NATION_PREFIX,
+                                 ties="all", keep=D.PLACE_KEEP)
+    return out.select("unit_id", "county_name", "city", "city_id", "city_lat", "city_lon")
+
+
+# ----------------------------------------------------------------- J5
+@register("inner_merge_area", _units_sql() + """
+, ca AS (SELECT county_name, SUM(geo_area) AS county_area FROM units GROUP BY county_name)
+SELECT u.unit_id, u.county_name, ca.county_area
+FROM units u JOIN ca ON u.county_name = ca.county_name""")
+def inner_merge_area(spark, src):
+    from tractus.operators.joins import join_using
+    u = B.units(spark, src)
+    ca = u.groupBy("county_name").agg(F.sum("geo_area").alias("county_area"))
+    return join_using(u.select("unit_id", "county_name"), ca, "county_name", "inner")
+
+
+# ----------------------------------------------------------------- J4
+@register("composite_key_left_join", _units_sql() + """
+SELECT l.unit_id, l.county_name, l.state, l.population, r.geo_area, r.cf_area, r.sf_area
+FROM units l LEFT JOIN (SELECT unit_id, county_name, state, geo_area, cf_area, sf_area
+                        FROM units WHERE geo_area > 0) r
+  ON l.unit_id = r.unit_id AND l.county_name = r.county_name AND l.state = r.state""")
+def composite_key_left_join(spark, src):
+    from tractus.operators.joins import join_using
+    u = B.units(spark, src)
+    left = u.select("unit_id", "county_name", "state", "population")
+    right = u.filter(F.col("geo_area") > 0).select("unit_id", "county_name", "state",
+                                                   "geo_area", "cf_area", "sf_area")
+    return join_using(left, right, ["unit_id", "county_name", "state"], "left")
+
+
+# -------------------------------------------------------------- A1 A2
+@register("group_density_replicated", _units_sql() + """
+SELECT county_name, CAST(SUM(population) AS DOUBLE) / nullif(MAX(cf_area), 0) AS county_density
+FROM units GROUP BY county_name""")
+def group_density_replicated(spark, src):
+    from tractus.operators.density import group_density
+    return group_density(B.units(spark, src), "county_name", "population", "cf_area",
+                         "county_density", replicated=True)
+
+
+@register("group_density_additive", _units_sql() + """
+SELECT state, CAST(SUM(population) AS DOUBLE) / nullif(SUM(geo_area), 0) AS state_density
+FROM units GROUP BY state""")
+def group_density_additive(spark, src):
+    from tractus.operators.density import group_density
+    return group_density(B.units(spark, src), "state", "population", "geo_area",
+                         "state_density", replicated=False)
+
+
+# ----------------------------------------------------------- C2 J2 J3
+@register("density_enrichment", O.chain() + """
+SELECT unit_id, city, unit_density, county_density, state_density, city_density FROM enriched""")
+def density_enrichment(spark, src):
+    return D.enriched_units(spark, src).select("unit_id", "city", "unit_density", "county_density",
+                                               "state_density", "city_density")
+
+
+# ----------------------------------------------------------------- W2
+_W2_SQL = O.chain() + """
+SELECT unit_id, unit_density, density_percentile FROM pctd"""
+
+
+@register("global_percentile_desc", _W2_SQL)
+def global_percentile_desc(spark, src):
+    from tractus.operators.score import density_percentile
+    e = D.enriched_units(spark, src).select("unit_id", "unit_density")
+    return density_percentile(e, "unit_density", "density_percentile", False, "window")
+
+
+@register("global_percentile_distributed", _W2_SQL)
+def global_percentile_distributed(spark, src):
+    from tractus.operators.score import density_percentile
+    e = D.enriched_units(spark, src, checkpoint=True).select("unit_id", "unit_density")
+    return density_percentile(e, "unit_density", "density_percentile", False, "distributed")
+
+
+# ---------------------------------------------------------- A3 R1 W3 W5
+def _sums_sql(key: str) -> str:
+    cols = ", ".join(f'CAST(SUM("{m}") AS DOUBLE) AS "{m}"' for m in O.IND)
+    return f"sums AS (SELECT {key}, {cols} FROM units GROUP BY {key})"
+
+
+def _long_sql(key: str) -> str:
+    unions = " UNION ALL ".join(
+        f"SELECT {key}, '{m}' AS variable, {i} AS pos, \"{m}\" AS value FROM sums"
+        for i, m in enumerate(O.IND))
+    return f"long AS ({unions})"
+
+
+@register("metric_sums", _units_sql(_sums_sql("state")) + "\nSELECT * FROM sums")
+def metric_sums(spark, src):
+    from tractus.operators.explain import metric_sums as ms
+    return ms(B.units(spark, src), "state", B.INDICATORS)
+
+
+@register("unpivot_metrics", _units_sql(_sums_sql("state"), _long_sql("state")) +
+          "\nSELECT * FROM long")
+def unpivot_metrics(spark, src):
+    from tractus.operators.explain import metric_sums as ms
+    from tractus.operators.explain import unpivot_metrics as um
+    return um(ms(B.units(spark, src), "state", B.INDICATORS), "state", B.INDICATORS)
+
+
+_W3_SQL = _units_sql(_sums_sql("county_name"), _long_sql("county_name"), """
+pct AS (SELECT county_name, variable, pos,
+               percent_rank() OVER (PARTITION BY variable ORDER BY value ASC NULLS FIRST) AS value
+        FROM long)""")
+
+
+def _peer(spark, src, method):
+    from tractus.operators.explain import metric_sums as ms
+    from tractus.operators.explain import peer_percentiles, unpivot_metrics as um
+    long = um(ms(B.units(spark, src), "county_name", B.INDICATORS), "county_name", B.INDICATORS)
+    return peer_percentiles(long, method)
+
+
+@register("peer_percentiles", _W3_SQL + "\nSELECT * FROM pct")
+def peer_percentiles_q(spark, src):
+    return _peer(spark, src, "auto")
+
+
+@register("peer_percentiles_distributed", _W3_SQL + "\nSELECT * FROM pct")
+def peer_percentiles_distributed(spark, src):
+    return _peer(spark, src, "distributed")
+
+
+@register("top3_metrics", _W3_SQL + """
+SELECT * FROM (
+  SELECT county_name, variable, pos, value,
+         CAST(row_number() OVER (PARTITION BY county_name ORDER BY value DESC NULLS LAST, pos ASC)
+              AS INTEGER) AS rn
+  FROM pct WHERE county_name IS NOT NULL) t
+WHERE rn <= 3""")
+def top3_metrics(spark, src):
+    from tractus.operators.explain import top_metrics
+    return top_metrics(_peer(spark, src, "auto"), "county_name", 3)
+
+
+# ---------------------------------------------------------------- C6
+def _served_sql(n: int = 20) -> str:
+    return f"""
+served AS (
+  SELECT *, county_name || ' <br> ' || description AS tooltip FROM (
+    SELECT * FROM ranked_county ORDER BY rank ASC NULLS LAST, county_name ASC NULLS FIRST
+    LIMIT {n}) t
+  WHERE county_name IS NOT NULL AND rank IS NOT NULL AND lat IS NOT NULL
+    AND lon IS NOT NULL AND description IS NOT NULL)"""
+
+
+def _served(spark, src, n: int = 20):
+    from tractus.operators.serve import serve_top_n
+    return serve_top_n(D.ranked(spark, src, "county"), "county_name", n)
+
+
+@register("serve_top_n", O.chain(O.ranked_ctes("county"), _served_sql()) + "\nSELECT * FROM served")
+def serve_top_n_q(spark, src):
+    return _served(spark, src)
+
+
+@register("serve_table_page", O.chain(O.ranked_ctes("county")) + """
+SELECT county_name AS County_Name, rank AS Rank FROM ranked_county
+WHERE rank <= 20
+ORDER BY lat DESC NULLS LAST, rank ASC NULLS FIRST, county_name ASC NULLS FIRST
+LIMIT 10 OFFSET 10""")
+def serve_table_page(spark, src):
+    from tractus.operators.serve import table_page
+    return table_page(D.ranked(spark, src, "county"), "county_name", "rank <= 20",
+                      [("lat", False), ("rank", True)], page=1)
+
+
+@register("serve_features", O.chain(O.ranked_ctes("county"), _served_sql()) + """
+SELECT county_name, CAST(json_object(
+    'type', 'Feature',
+    'geometry', json_object('type', 'Point', 'coordinates', json_array(lon, lat)),
+    'properties', json_object('county_name', county_name, 'rank', rank,
+                              'description', description, 'tooltip', tooltip)) AS VARCHAR) AS feature
+FROM served""")
+def serve_features(spark, src):
+    from tractus.operators.serve import features
+    return features(_served(spark, src), "county_name")
+
+
+@register("serve_domain_extent", O.chain(O.ranked_ctes("county"), _served_sql()) + """
+SELECT 0 AS vmin, max(rank) AS vmax, min(lat) AS south, max(lat) AS north,
+       min(lon) AS west, max(lon) AS east, count(*) AS n
+FROM served""")
+def serve_domain_extent(spark, src):
+    from tractus.operators.serve import domain_extent
+    return domain_extent(_served(spark, src))
+
+
+GRID_ZOOM = 9
+
+
+@register("grid_clusters", O.chain(O.ranked_ctes("tract")) + f"""
+SELECT CAST(floor(lon / {O._d(360.0 / 2 ** GRID_ZOOM)}) AS BIGINT) AS cell_x,
+       CAST(floor(lat / {O._d(360.0 / 2 ** GRID_ZOOM)}) AS BIGINT) AS cell_y,
+       count(*) AS point_count, avg(rank) AS mean_value,
+       round(avg(lat), 6) AS lat, round(avg(lon), 6) AS lon
+FROM ranked_tract WHERE lat IS NOT NULL AND lon IS NOT NULL
+GROUP BY 1, 2""")
+def grid_clusters(spark, src):
+    from tractus.operators.serve import grid_clusters as gc
+    out = gc(D.ranked(spark, src, "tract"), GRID_ZOOM)
+    return out.withColumn("lat", _r("lat", 6)).withColumn("lon", _r("lon", 6))

@@ -352,3 +352,162 @@ def grid_clusters(spark, src):
     from tractus.operators.serve import grid_clusters as gc
     out = gc(D.ranked(spark, src, "tract"), GRID_ZOOM)
     return out.withColumn("lat", _r("lat", 6)).withColumn("lon", _r("lon", 6))
+
+
+# ============================================================ geometry
+def _corners_xy(g):
+    """Ring-0 corners 0..3 of each cell as (GEOID10, idx, x, y)."""
+    return (g.select("GEOID10", F.posexplode(F.col("geometry")[0][0]).alias("idx", "p"))
+            .filter(F.col("idx") < 4)
+            .select("GEOID10", "idx", F.col("p.x").alias("x"), F.col("p.y").alias("y")))
+
+
+for _srid in (6933, 3035):
+    def _proj(spark, src, _srid=_srid):
+        from tractus.operators.geo import project
+        xy = _corners_xy(project(B.cells(spark, src), _srid))
+        return xy.select("GEOID10", "idx", _r("x", 2).alias("x"), _r("y", 2).alias("y"))
+    register(f"project_{_srid}", O.ctes(O.CTE_CORNERS, O.projected_corners_cte(_srid)) + """
+SELECT GEOID10, idx, round(x, 2) AS x, round(y, 2) AS y FROM pcorners WHERE idx < 4""")(_proj)
+
+
+def _unit_areas(spark, src):
+    from tractus.operators.geo import project, with_area
+    return with_area(project(B.cells(spark, src), 6933), "geo_area", scale=1e-6)
+
+
+_AREA_SQL = O.ctes(O.CTE_CORNERS, O.projected_corners_cte(6933), O.unit_area_cte())
+
+
+@register("unit_area", _AREA_SQL + """
+SELECT GEOID10, round(area * CAST(1e-06 AS DOUBLE), 6) AS geo_area FROM uarea""")
+def unit_area(spark, src):
+    return _unit_areas(spark, src).select("GEOID10", _r("geo_area", 6).alias("geo_area"))
+
+
+def _area_table(spark, src):
+    from tractus.operators.geo import areas_by_keys
+    a = _unit_areas(spark, src).select("GEOID10", "CF", "SF", "geo_area")
+    return areas_by_keys(a, "geo_area", {"cf_area": "CF", "sf_area": "SF"})
+
+
+_AREA_KEYS_SQL = """
+akeys AS (
+  SELECT GEOID10, CF, SF, area * CAST(1e-06 AS DOUBLE) AS geo_area,
+         SUM(area * CAST(1e-06 AS DOUBLE)) OVER (PARTITION BY CF) AS cf_area,
+         SUM(area * CAST(1e-06 AS DOUBLE)) OVER (PARTITION BY SF) AS sf_area
+  FROM uarea)"""
+
+
+@register("area_by_key", _AREA_SQL + "," + _AREA_KEYS_SQL.strip("\n") + """
+SELECT GEOID10, CF, SF, round(geo_area, 6) AS geo_area, round(cf_area, 6) AS cf_area,
+       round(sf_area, 6) AS sf_area
+FROM akeys""")
+def area_by_key(spark, src):
+    t = _area_table(spark, src)
+    return t.select("GEOID10", "CF", "SF", *[_r(c, 6).alias(c) for c in ("geo_area", "cf_area", "sf_area")])
+
+
+_OUTLINE_SQL = O.ctes(O.CTE_CORNERS, O.CTE_CELL_EDGES, O.outline_ctes("CF"))
+
+
+@register("dissolve_outline", _OUTLINE_SQL + """
+SELECT k AS CF, qx0, qy0, qx1, qy1 FROM outline""")
+def dissolve_outline(spark, src):
+    from tractus.operators.geo import dissolve
+    return dissolve(B.cells(spark, src), "CF").select("CF", "qx0", "qy0", "qx1", "qy1")
+
+
+@register("dissolve_attributes", O.ctes(O.CTE_CORNERS) + """
+SELECT CF, arg_min(SF, GEOID10) AS SF, min(GEOID10) AS first_unit
+FROM corners WHERE idx = 0 GROUP BY CF""")
+def dissolve_attributes(spark, src):
+    from tractus.operators.geo import dissolve_attributes as da
+    c = B.cells(spark, src)
+    return da(c, "CF", "GEOID10", ["SF"]).join(
+        c.groupBy("CF").agg(F.min("GEOID10").alias("first_unit")), "CF")
+
+
+@register("outline_area", O.ctes(O.CTE_CORNERS, O.CTE_CELL_EDGES, O.outline_ctes("SF")) + """
+SELECT k AS SF, CAST(SUM(CAST(qx0 AS HUGEINT) * qy1 - CAST(qx1 AS HUGEINT) * qy0) AS DOUBLE)
+       / CAST(2e14 AS DOUBLE) AS area
+FROM outline GROUP BY k""")
+def outline_area(spark, src):
+    from tractus.operators.geo import dissolve, outline_area as oa
+    return oa(dissolve(B.cells(spark, src), "SF"), "SF")
+
+
+_IPOINT_UNIT_SQL = """
+ip_unit AS (
+  SELECT a.GEOID10, (a.x + b.x) / CAST(2.0 AS DOUBLE) AS x, (a.y + c.y) / CAST(2.0 AS DOUBLE) AS y
+  FROM corners a JOIN corners b ON a.GEOID10 = b.GEOID10 AND b.idx = 1
+       JOIN corners c ON a.GEOID10 = c.GEOID10 AND c.idx = 2
+  WHERE a.idx = 0)"""
+
+
+def _unit_points(spark, src):
+    from tractus.operators.geo import edges, interior_point
+    return interior_point(edges(B.cells(spark, src), ["GEOID10"]), ["GEOID10"])
+
+
+@register("interior_point", O.ctes(O.CTE_CORNERS, _IPOINT_UNIT_SQL) + "\nSELECT * FROM ip_unit")
+def interior_point_q(spark, src):
+    return _unit_points(spark, src)
+
+
+@register("interior_point_outline", O.ctes(O.CTE_CORNERS, O.CTE_CELL_EDGES, O.outline_ctes("CF"),
+                                           O.scanline_ctes("outline")) + """
+SELECT k AS CF, x, y FROM ipoint""")
+def interior_point_outline(spark, src):
+    from tractus.operators.geo import dissolve, interior_point
+    return interior_point(dissolve(B.cells(spark, src), "CF"), ["CF"], None)
+
+
+@register("layer_geojson_roundtrip", O.ctes(O.CTE_CORNERS) + """
+SELECT GEOID10, CF, SF, CAST(count(*) AS INTEGER) AS n_points, min(x) AS min_x, max(x) AS max_x,
+       min(y) AS min_y, max(y) AS max_y
+FROM corners GROUP BY GEOID10, CF, SF""")
+def layer_geojson_roundtrip(spark, src):
+    from tractus.session import scratch_dir
+    from tractus.sinks.features import write_polygon_features
+    from tractus.sinks.files import write_parquet
+    from tractus.sources.geojson import read_features
+    pq = write_parquet(B.cells(spark, src), scratch_dir(spark, "layer"), ["SF"])
+    layer = spark.read.parquet(pq)
+    gj = write_polygon_features(layer, scratch_dir(spark, "geojson"))
+    back = read_features(spark, gj, "GEOID10 bigint, CF string, SF string, geo_size double")
+    ring = F.col("geometry")[0][0]
+    xs = F.transform(ring, lambda p: p["x"])
+    ys = F.transform(ring, lambda p: p["y"])
+    return back.select("GEOID10", "CF", "SF", F.size(ring).alias("n_points"),
+                       F.array_min(xs).alias("min_x"), F.array_max(xs).alias("max_x"),
+                       F.array_min(ys).alias("min_y"), F.array_max(ys).alias("max_y"))
+
+
+@register("point_layer_roundtrip", O.ctes(O.CTE_TRACT_CENTRES) + "\nSELECT * FROM tract_centres")
+def point_layer_roundtrip(spark, src):
+    from tractus.session import scratch_dir
+    from tractus.sinks.features import point_feature
+    from tractus.sources.geojson import read_features
+    t = B.tract_centres(spark, src)
+    path = scratch_dir(spark, "points")
+    t.select(point_feature(t, "lat", "lon").alias("value")).write.mode("overwrite").text(path)
+    back = read_features(spark, path, "GEOID10 bigint")
+    return back.select("GEOID10", F.col("point.y").alias("lat"), F.col("point.x").alias("lon"))
+
+
+# ----------------------------------------------------------------- C7
+@register("layer_prep", O.ctes(O.CTE_UNITS, O.CTE_CORNERS, O.projected_corners_cte(6933),
+                               O.unit_area_cte(), _AREA_KEYS_SQL, _IPOINT_UNIT_SQL) + """
+SELECT u.unit_id, u.county_name, u.state, round(a.geo_area, 6) AS geo_area,
+       round(a.cf_area, 6) AS cf_area, round(a.sf_area, 6) AS sf_area, p.y AS lat, p.x AS lon
+FROM units u LEFT JOIN akeys a ON u.unit_id = a.GEOID10
+     LEFT JOIN ip_unit p ON u.unit_id = p.GEOID10""")
+def layer_prep(spark, src):
+    from tractus.operators.joins import left_join_renamed
+    u = B.units(spark, src).select("unit_id", "county_name", "state")
+    areas = _area_table(spark, src).select("GEOID10", "geo_area", "cf_area", "sf_area")
+    pts = _unit_points(spark, src).select("GEOID10", F.col("y").alias("lat"), F.col("x").alias("lon"))
+    out = left_join_renamed(left_join_renamed(u, areas, "unit_id", "GEOID10"), pts, "unit_id", "GEOID10")
+    return out.select("unit_id", "county_name", "state",
+                      *[_r(c, 6).alias(c) for c in ("geo_area", "cf_area", "sf_area")], "lat", "lon")

@@ -42,11 +42,15 @@ def enriched_units(spark: SparkSession, src: str, ties: str = "one",
     and cuts its lineage (orders x lineitem, places, three aggregates):
     the percentile reads it twice and every level reads the result.
     """
-    u = B.units(spark, src)
+    # Place, densities and areas depend only on the unit keys, so they
+    # are derived from the cheap region table; the indicators (the
+    # orders x lineitem aggregate) are computed once and joined last.
+    r = B.unit_regions(spark, src)
     p = B.places(spark, src)
-    u = attach_principal_place(u, p, "county_name", "county_name",
+    r = attach_principal_place(r, p, "county_name", "county_name",
                                prefix=B.NATION_PREFIX, ties=ties, keep=PLACE_KEEP)
-    out = density_enrichment(u, "population", "geo_area", "unit_density", DENSITY_LEVELS)
+    r = density_enrichment(r, "population", "geo_area", "unit_density", DENSITY_LEVELS)
+    out = B.attach_indicators(r, spark, src).drop("nation_key")
     return materialize(out) if checkpoint else out
 
 

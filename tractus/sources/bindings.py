@@ -100,33 +100,48 @@ def region_units(spark: SparkSession, src: str) -> DataFrame:
             .join(r, n.n_regionkey == r.r_regionkey))
 
 
+def unit_regions(spark: SparkSession, src: str) -> DataFrame:
+    """Unit keys, population and areas (no indicators).
+
+    Columns: unit_id BIGINT, nation_key, county_name, state,
+    population BIGINT, geo_area, cf_area, sf_area DOUBLE.  Region areas
+    = sum of unit areas per key: aggregated once and joined back (the
+    aggregate has one row per county/state and is broadcast by AQE)
+    rather than a window partitioned by the key, which would put a hot
+    state's units into a single task.
+    """
+    base = region_units(spark, src)
+    u = base.select(F.col("c_custkey").alias("unit_id"),
+                    F.col("c_nationkey").alias("nation_key"),
+                    F.col("n_name").alias("county_name"),
+                    F.col("r_name").alias("state"),
+                    F.round(F.abs("c_acctbal")).cast("bigint").alias("population"),
+                    (F.col("c_custkey") % AREA_MODULUS).cast("double").alias("geo_area"))
+    cf = u.groupBy("county_name").agg(F.sum("geo_area").alias("cf_area"))
+    sf = u.groupBy("state").agg(F.sum("geo_area").alias("sf_area"))
+    return u.join(cf, "county_name", "left").join(sf, "state", "left")
+
+
+def attach_indicators(regions: DataFrame, spark: SparkSession, src: str) -> DataFrame:
+    """Left-join the per-unit indicators (computed once from orders x
+    lineitem) to a table carrying ``unit_id`` and ``nation_key``."""
+    ind = unit_indicators(spark, src).withColumnRenamed("o_custkey", "unit_id")
+    out = regions.join(ind, "unit_id", "left")
+    return out.withColumn("discount", F.when(~F.col("nation_key").isin(*NULL_DISCOUNT_NATIONS),
+                                             F.col("discount")))
+
+
+UNIT_COLUMNS = ["unit_id", "county_name", "state", "population", "geo_area", "cf_area",
+                "sf_area", *INDICATORS]
+
+
 def units(spark: SparkSession, src: str) -> DataFrame:
     """The unit (tract-grain) attribute table.
 
     Columns: unit_id BIGINT, county_name, state, population BIGINT,
     geo_area, cf_area, sf_area DOUBLE, and the INDICATORS.
     """
-    base = region_units(spark, src)
-    ind = unit_indicators(spark, src)
-    u = (base.join(ind, base.c_custkey == ind.o_custkey, "left")
-         .select(F.col("c_custkey").alias("unit_id"),
-                 F.col("n_name").alias("county_name"),
-                 F.col("r_name").alias("state"),
-                 F.round(F.abs("c_acctbal")).cast("bigint").alias("population"),
-                 (F.col("c_custkey") % AREA_MODULUS).cast("double").alias("geo_area"),
-                 "quantity", "revenue", "lines", "tax",
-                 F.when(~F.col("c_nationkey").isin(*NULL_DISCOUNT_NATIONS),
-                        F.col("discount")).alias("discount"),
-                 "returns", "max_quantity"))
-    # Region areas = sum of unit areas per key, re-attached.  Aggregate
-    # then join (the aggregate has one row per county/state and is
-    # broadcast by AQE), rather than a window partitioned by the key,
-    # which would put a hot state's units into a single task.
-    cf = u.groupBy("county_name").agg(F.sum("geo_area").alias("cf_area"))
-    sf = u.groupBy("state").agg(F.sum("geo_area").alias("sf_area"))
-    return (u.join(cf, "county_name", "left").join(sf, "state", "left")
-            .select("unit_id", "county_name", "state", "population", "geo_area",
-                    "cf_area", "sf_area", *INDICATORS))
+    return attach_indicators(unit_regions(spark, src), spark, src).select(*UNIT_COLUMNS)
 
 
 def places(spark: SparkSession, src: str) -> DataFrame:

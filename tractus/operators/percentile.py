@@ -60,6 +60,18 @@ def percent_rank_window(df: DataFrame, value: str, out: str,
     return df.withColumn(out, F.percent_rank().over(w))
 
 
+def _nsjoin(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys`` with NULL-safe equality (a NULL group is a group);
+    the right side's key columns are dropped."""
+    tmp = {k: f"_pr_r_{i}" for i, k in enumerate(keys)}
+    r = right.select(*[F.col(c).alias(tmp[c]) if c in tmp else F.col(c) for c in right.columns])
+    cond = None
+    for k in keys:
+        t = F.col(k).eqNullSafe(F.col(tmp[k]))
+        cond = t if cond is None else cond & t
+    return left.join(r, cond, how).drop(*tmp.values())
+
+
 def _bucket_tree(v: Column, bounds: list[float], lo: int, hi: int) -> Column:
     """Bucket = number of bounds <= v, as a balanced CASE tree."""
     if lo == hi:
@@ -185,8 +197,8 @@ def percent_rank_distributed(df: DataFrame, value: str, out: str,
     wb = (Window.partitionBy(*by, _BUCKET).orderBy(_order(v, ascending))
           .rowsBetween(Window.unboundedPreceding, 0))
     within = nb.withColumn(_BEFORE, F.sum(_CNT).over(wb) - F.col(_CNT))
-    per_value = (within.join(F.broadcast(offsets), [*by, _BUCKET])
-                 .join(F.broadcast(nulls), by, "left"))
+    per_value = _nsjoin(_nsjoin(within, F.broadcast(offsets), [*by, _BUCKET]),
+                        F.broadcast(nulls), by, "left")
     nc = F.coalesce(F.col(_NC), F.lit(0))
     before = F.col(_OFF) + F.col(_BEFORE) + (nc if ascending else F.lit(0))
     per_value = per_value.select(*by, value, before.alias(_BEFORE),
@@ -194,7 +206,7 @@ def percent_rank_distributed(df: DataFrame, value: str, out: str,
 
     # 5. the NULL row of each group
     nn = F.coalesce(F.col(_NN), F.lit(0))
-    null_rows = (nulls.join(F.broadcast(group_n), by, "left")
+    null_rows = (_nsjoin(nulls, F.broadcast(group_n), by, "left")
                  .select(*by, F.lit(None).cast(df.schema[value].dataType).alias(value),
                          (F.lit(0) if ascending else nn).cast("bigint").alias(_BEFORE),
                          (F.col(_NC) + nn).alias(_N)))

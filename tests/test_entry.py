@@ -12,7 +12,8 @@ def test_entry_smoke(spark):
     df = E.entry(spark)
     rows = df.collect()
     assert len(rows) > 0
-    assert df.columns == ["state", "rank", "lat", "lon", "description"]
+    assert df.columns == ["level", "name", "rank", "lat", "lon", "description"]
+    assert {r.level for r in rows} == {"state", "county", "city", "tract"}
 
 
 def test_every_query_has_an_oracle():

@@ -95,3 +95,24 @@ def test_grid_clusters(spark):
                                "rank int, lat double, lon double")
     out = sorted((r.point_count, r.mean_value) for r in grid_clusters(df, 3).collect())
     assert out == [(1, 5.0), (2, 2.0)]
+
+
+def test_records_bounded(spark):
+    import pytest
+    from tractus.sinks.features import records
+    df = spark.createDataFrame([(i, f"k{i}") for i in range(5)], "rank int, k string")
+    assert len(records(df, 5)) == 5 and records(df, 5)[0].keys() == {"rank", "k"}
+    with pytest.raises(ValueError):
+        records(df, 4)
+
+
+def test_level_table_partition_pruning(spark):
+    from tractus.session import scratch_dir
+    from tractus.sinks.files import write_parquet
+    from tractus.sources.files import read_level_table
+    df = spark.createDataFrame([("state", "a", 1), ("county", "b", 1)], "level string, name string, rank int")
+    path = write_parquet(df, scratch_dir(spark, "lv"), ["level"])
+    out = read_level_table(spark, path, "county", "name string, rank int, level string")
+    assert [r.name for r in out.collect()] == ["b"]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "county" in plan

@@ -44,7 +44,7 @@ _CNT, _BUCKET, _BC, _OFF, _BEFORE, _NN, _NC, _N, _GROUP = (
 MAX_BUCKETS = 1024
 MAX_BOUND_GROUPS = 10_000
 # Largest peer set sorted by one task in ``percent_rank``'s window path.
-MAX_ROWS_PER_TASK = 2_000_000
+MAX_ROWS_PER_TASK = 1_000_000
 
 
 def _order(c: Column, ascending: bool) -> Column:

@@ -511,3 +511,35 @@ def layer_prep(spark, src):
     out = left_join_renamed(left_join_renamed(u, areas, "unit_id", "GEOID10"), pts, "unit_id", "GEOID10")
     return out.select("unit_id", "county_name", "state",
                       *[_r(c, 6).alias(c) for c in ("geo_area", "cf_area", "sf_area")], "lat", "lon")
+
+
+
+# ------------------------------------------------ whole chain, S3, O1
+_LEVELS_SQL = O.chain(*[O.ranked_ctes(lv) for lv in D.LEVEL_ORDER]) + "\n" + "\nUNION ALL\n".join(
+    f"SELECT '{lv}' AS level, CAST({O.LEVEL_SQL[lv][4]} AS VARCHAR) AS name, rank, lat, lon, "
+    + ("description" if O.LEVEL_SQL[lv][1] else "CAST(NULL AS VARCHAR) AS description")
+    + f" FROM ranked_{lv}" for lv in D.LEVEL_ORDER)
+
+
+@register("ranked_levels", _LEVELS_SQL)
+def ranked_levels(spark, src):
+    return D.ranked_levels(spark, src)
+
+
+@register("level_table_scan", O.chain(O.ranked_ctes("county")) + """
+SELECT county_name AS name, rank, lat, lon, description FROM ranked_county""")
+def level_table_scan(spark, src):
+    from tractus.session import scratch_dir
+    from tractus.sinks.files import write_parquet
+    from tractus.sources.files import read_level_table
+    path = write_parquet(D.ranked_levels(spark, src), scratch_dir(spark, "levels"), ["level"])
+    schema = "name string, rank int, lat double, lon double, description string, level string"
+    return read_level_table(spark, path, "county", schema)
+
+
+@register("score_sorted", O.chain() + """
+SELECT unit_id, CAST(score AS DOUBLE) AS score FROM scored ORDER BY score DESC NULLS LAST""")
+def score_sorted(spark, src):
+    s = D.scored_units(spark, src)
+    return (s.select("unit_id", F.col("score").cast("double").alias("score"))
+            .orderBy(F.col("score").desc_nulls_last()))

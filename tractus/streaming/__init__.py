@@ -1,0 +1,8 @@
+"""Streaming.
+
+The reference has no stream, watermark, trigger or state: its Spark
+reads are batch catalog scans and its dashboard re-reads result files
+on every request.  Nothing is built here; the batch operators of
+``tractus.operators`` apply unchanged to a micro-batch DataFrame (for
+example inside ``foreachBatch``) if a caller needs it.
+"""

@@ -7,8 +7,12 @@ from __future__ import annotations
 import math
 import sys
 
+import os
+
 import duckdb
 
+EXACT = os.environ.get("COMPARE_EXACT") == "1"
+
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
 
@@ -24,9 +28,9 @@ def _norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return ("nan",)
-        return round(v, 9)
+        return v if EXACT else round(v, 9)
     if hasattr(v, "as_tuple"):  # Decimal
-        return round(float(v), 9)
+        return float(v) if EXACT else round(float(v), 9)
     if isinstance(v, (list, tuple)):
         return tuple(_norm(x) for x in v)
     return v
@@ -38,6 +42,29 @@ def canon(cols, rows):
     return sorted(out, key=lambda t: tuple((x is None, str(x)) for x in t))
 
 
+_TYPES = {"IntegerType": "INTEGER", "LongType": "BIGINT", "DoubleType": "DOUBLE",
+          "StringType": "VARCHAR", "BooleanType": "BOOLEAN", "FloatType": "FLOAT",
+          "ShortType": "SMALLINT", "ByteType": "TINYINT", "DateType": "DATE",
+          "TimestampType": "TIMESTAMP"}
+
+
+def spark_types(sdf) -> dict:
+    out = {}
+    for f in sdf.schema.fields:
+        t = type(f.dataType).__name__
+        if t == "DecimalType":
+            out[f.name] = f"DECIMAL({f.dataType.precision},{f.dataType.scale})"
+        else:
+            out[f.name] = _TYPES.get(t, t)
+    return out
+
+
+def type_mismatches(sdf, res) -> list:
+    st = spark_types(sdf)
+    dt = {d[0]: str(d[1]).upper() for d in res.description}
+    return [(c, st.get(c), dt.get(c)) for c in st if c in dt and st[c] != dt[c]]
+
+
 def compare(spark, name: str, fn, sql: str, sf_dir: str, con=None, verbose=True):
     con = con or duck(sf_dir)
     sdf = fn(spark, sf_dir)
@@ -45,6 +72,9 @@ def compare(spark, name: str, fn, sql: str, sf_dir: str, con=None, verbose=True)
     s_rows = [tuple(r) for r in sdf.collect()]
     res = con.execute(sql)
     d_cols = [d[0] for d in res.description]
+    bad_types = type_mismatches(sdf, res)
+    if verbose and bad_types:
+        print(f"[{name}] type differences (spark, duck): {bad_types}")
     d_rows = res.fetchall()
     ok_cols = sorted(s_cols) == sorted(d_cols)
     ok_n = len(s_rows) == len(d_rows)

@@ -84,12 +84,18 @@ def scratch_dir(spark: SparkSession, purpose: str = "scratch") -> str:
     return path
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the shared folder.
-
-    Used for tables that feed several downstream jobs (the scored unit
-    table): a lost executor then re-reads checkpoint files instead of
-    recomputing the whole enrichment.
+def materialize(df: DataFrame, purpose: str = "table") -> DataFrame:
+    """Cut lineage by writing the table as parquet into a new folder of
+    the shared checkpoint folder and reading it back.
+
+    Used for tables that feed several downstream jobs (the enriched unit
+    table): a lost executor then re-reads files instead of recomputing
+    the whole enrichment.  Unlike ``checkpoint()`` (which computes its
+    input twice unless cached and is read back as opaque rows) the
+    table is computed once, and later scans prune columns and push
+    filters into the parquet reader.
     """
-    checkpoint_base(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = scratch_dir(spark, purpose)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

@@ -18,6 +18,10 @@ def test_principal_place_ties(spark):
         "city string, county_name string, population double, lat double, lng double, id int")
     all_ = attach_principal_place(units, places, suffix=" County", ties="all")
     assert all_.filter("unit_id = 1").count() == 2
+    nulls = spark.createDataFrame([("p", "A", None, 1.0, 1.0, 7), ("q", "A", None, 1.0, 1.0, 8)],
+                                  places.schema)
+    assert attach_principal_place(units, nulls, suffix=" County", ties="all") \
+        .filter("unit_id = 1").count() == 2  # all-NULL populations tie at rank 1
     one = attach_principal_place(units, places, suffix=" County", ties="one").orderBy("unit_id").collect()
     assert [(r.unit_id, r.city) for r in one] == [(1, "y"), (2, "z"), (3, None)]
 

@@ -4,17 +4,19 @@ Places are matched to units by a region key after an affix repair
 (T1: the lookup spells a county ``X`` where the units spell it
 ``X County`` or ``NATION_X``).  W1 + F1: best place per region.
 
-``ties='all'`` keeps every place tied on the largest population
-(``rank() == 1``, planned as a partial + final ``WindowGroupLimit``).
-That can duplicate units downstream, so the default is ``ties='one'``:
-the smallest place id wins, computed by ``max_by`` inside a grouped
-aggregate that combines map-side (a region holding a third of all
-places is reduced before the shuffle).
+``ties='all'`` keeps every place tied on the largest population (the
+semantics of ``rank() == 1``): the maximum per region is a grouped
+aggregate combined map-side, joined back on (region, population), so a
+region holding a third of all places is never sorted by one task and
+its hot join partition can be split by AQE.  Ties can duplicate units
+downstream, so the default is ``ties='one'``: the smallest place id
+wins, computed by ``max_by`` inside a grouped aggregate that also
+combines map-side.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tractus.functions.columns import affix
@@ -39,9 +41,12 @@ def principal_places(places: DataFrame, region_key: str = "county_name",
                       *[F.col(src).alias(dst) for src, dst in keep.items()])
     outs = list(keep.values())
     if ties == "all":
-        w = Window.partitionBy(out_key).orderBy(F.col("_pop").desc())
-        return (p.withColumn("_r", F.rank().over(w)).filter(F.col("_r") == 1)
-                .select(out_key, *outs))
+        # NULL-safe: a region whose populations are all NULL keeps all
+        # its places, as rank() == 1 does
+        best_pop = (p.filter(F.col(out_key).isNotNull())
+                    .groupBy(F.col(out_key).alias("_k")).agg(F.max("_pop").alias("_max")))
+        cond = (F.col(out_key) == F.col("_k")) & F.col("_pop").eqNullSafe(F.col("_max"))
+        return p.join(best_pop, cond).select(out_key, *outs)
     if ties != "one":
         raise ValueError("ties must be 'one' or 'all'")
     order = F.struct(F.col("_pop"), -F.col("_pid"))

@@ -43,10 +43,13 @@ def unpivot_metrics(sums: DataFrame, key: str, metrics: list[str]) -> DataFrame:
     return long.withColumn(POS, pos[F.col(VARIABLE)])
 
 
-def peer_percentiles(long: DataFrame, method: str = "auto") -> DataFrame:
-    """Ascending percent rank of ``value`` within each ``variable``."""
+def peer_percentiles(long: DataFrame, method: str = "auto",
+                     row_bound: int | None = None) -> DataFrame:
+    """Ascending percent rank of ``value`` within each ``variable``.
+    ``row_bound`` bounds the keys per variable (e.g. the unit count)."""
     raw = long.withColumnRenamed(VALUE, "_raw")
-    return percent_rank_by_method(raw, "_raw", VALUE, True, [VARIABLE], method).drop("_raw")
+    return percent_rank_by_method(raw, "_raw", VALUE, True, [VARIABLE], method,
+                                  row_bound).drop("_raw")
 
 
 def top_metrics(pct: DataFrame, key: str, k: int = 3) -> DataFrame:
@@ -69,8 +72,9 @@ def describe(top: DataFrame, key: str, prefix: str = DESCRIPTION_PREFIX,
 
 
 def explain_level(df: DataFrame, key: str, metrics: list[str], k: int = 3,
-                  method: str = "auto") -> DataFrame:
-    """C4: (key, description) for every non-NULL key of the level."""
+                  method: str = "auto", row_bound: int | None = None) -> DataFrame:
+    """C4: (key, description) for every non-NULL key of the level.
+    ``row_bound``: a proven bound of the rows of ``df`` (keys <= rows)."""
     sums = metric_sums(df, key, metrics)
-    pct = peer_percentiles(unpivot_metrics(sums, key, metrics), method)
+    pct = peer_percentiles(unpivot_metrics(sums, key, metrics), method, row_bound)
     return describe(top_metrics(pct, key, k), key)

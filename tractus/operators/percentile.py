@@ -126,14 +126,21 @@ def _num_buckets(df: DataFrame, num_buckets: int | None) -> int:
 
 def percent_rank(df: DataFrame, value: str, out: str, ascending: bool = True,
                  by: list[str] | None = None, max_rows_per_task: int = MAX_ROWS_PER_TASK,
-                 num_buckets: int | None = None, relative_error: float = 1e-3) -> DataFrame:
+                 num_buckets: int | None = None, relative_error: float = 1e-3,
+                 row_bound: int | None = None) -> DataFrame:
     """Percent rank with a size check.
 
-    One sketch action returns every group's row count and range bounds.
-    If no group exceeds ``max_rows_per_task`` the built-in window is
-    used (one task per group sorts at most that many rows); otherwise
-    the distributed plan runs with the bounds already computed.
+    ``row_bound`` is a proven upper bound of the rows of ``df`` (e.g. the
+    observed size of the materialized table it derives from); within
+    ``max_rows_per_task`` it selects the built-in window without any
+    extra job.  Otherwise one sketch action returns every group's row
+    count and range bounds: if no group exceeds ``max_rows_per_task``
+    the built-in window is used (one task per group sorts at most that
+    many rows), else the distributed plan runs with the bounds already
+    computed.
     """
+    if row_bound is not None and row_bound <= max_rows_per_task:
+        return percent_rank_window(df, value, out, ascending, by)
     nb = _num_buckets(df, num_buckets)
     d, keys, dummy = _prepare(df, by)
     vc = d.groupBy(*keys, value).agg(F.count(F.lit(1)).alias(_CNT))
@@ -228,10 +235,11 @@ def percent_rank_distributed(df: DataFrame, value: str, out: str,
 
 
 def percent_rank_by_method(df: DataFrame, value: str, out: str, ascending: bool = True,
-                           by: list[str] | None = None, method: str = "auto") -> DataFrame:
+                           by: list[str] | None = None, method: str = "auto",
+                           row_bound: int | None = None) -> DataFrame:
     """Dispatch: ``auto`` (size-checked), ``window`` or ``distributed``."""
     if method == "auto":
-        return percent_rank(df, value, out, ascending, by)
+        return percent_rank(df, value, out, ascending, by, row_bound=row_bound)
     if method == "window":
         return percent_rank_window(df, value, out, ascending, by)
     if method == "distributed":

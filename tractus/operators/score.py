@@ -22,17 +22,18 @@ SCORE_TYPE = "decimal(30,12)"
 
 
 def density_percentile(df: DataFrame, density: str, out: str,
-                       ascending: bool = False, method: str = "auto") -> DataFrame:
+                       ascending: bool = False, method: str = "auto",
+                       row_bound: int | None = None) -> DataFrame:
     """Global percent rank of the unit density (``method``: auto,
     window or distributed, see ``tractus.operators.percentile``)."""
-    return percent_rank_by_method(df, density, out, ascending, None, method)
+    return percent_rank_by_method(df, density, out, ascending, None, method, row_bound)
 
 
 def composite_score(df: DataFrame, indicators: list[str], density: str,
                     out: str = "score", density_out: str = "density_percentile",
                     ascending: bool = False, exact: bool = True,
-                    method: str = "auto") -> DataFrame:
+                    method: str = "auto", row_bound: int | None = None) -> DataFrame:
     """``score`` = indicators + density percentile; NULL if any term is NULL."""
-    df = density_percentile(df, density, density_out, ascending, method)
+    df = density_percentile(df, density, density_out, ascending, method, row_bound)
     return df.withColumn(out, strict_sum([*indicators, density_out],
                                          SCORE_TYPE if exact else None))

@@ -20,7 +20,7 @@ from tractus.operators.explain import explain_level
 from tractus.operators.places import attach_principal_place, principal_places
 from tractus.operators.rank import rank_level
 from tractus.operators.score import composite_score
-from tractus.session import materialize
+from tractus.session import materialize, materialize_counted
 from tractus.sources import bindings as B
 
 # Fixed values of the chain (shared with the oracle SQL).
@@ -51,7 +51,20 @@ def enriched_units(spark: SparkSession, src: str, ties: str = "one",
                                prefix=B.NATION_PREFIX, ties=ties, keep=PLACE_KEEP)
     r = density_enrichment(r, "population", "geo_area", "unit_density", DENSITY_LEVELS)
     out = B.attach_indicators(r, spark, src).drop("nation_key")
-    return materialize(out) if checkpoint else out
+    return materialize(out, "enriched") if checkpoint else out
+
+
+def scored_units_counted(spark: SparkSession, src: str, method: str = "auto",
+                         exact: bool = True) -> tuple[DataFrame, int | None]:
+    """C3 with the enriched table materialized in the shared folder; also
+    returns its exact row count (observed during the write), a proven
+    bound for every peer set derived from it."""
+    if method == "window":
+        return scored_units(spark, src, method, exact, checkpoint=False), None
+    u = enriched_units(spark, src, checkpoint=False)
+    enriched, n = materialize_counted(u, "enriched")
+    return composite_score(enriched, B.INDICATORS, "unit_density", exact=exact,
+                           method=method, row_bound=n), n
 
 
 def scored_units(spark: SparkSession, src: str, method: str = "auto",
@@ -60,8 +73,9 @@ def scored_units(spark: SparkSession, src: str, method: str = "auto",
 
     Unless the plain window is asked for, the enriched table is
     checkpointed first: the percentile's sketch reads it, then the plan."""
-    enriched = enriched_units(spark, src, checkpoint=checkpoint and method != "window")
-    return composite_score(enriched, B.INDICATORS, "unit_density",
+    if checkpoint and method != "window":
+        return scored_units_counted(spark, src, method, exact)[0]
+    return composite_score(enriched_units(spark, src), B.INDICATORS, "unit_density",
                            exact=exact, method=method)
 
 
@@ -92,17 +106,20 @@ LEVELS = {
 }
 
 
-def explain(scored: DataFrame, level: str, method: str = "auto") -> DataFrame:
+def explain(scored: DataFrame, level: str, method: str = "auto",
+            row_bound: int | None = None) -> DataFrame:
     lv = LEVELS[level]
-    return explain_level(scored, lv.describe_by, B.INDICATORS, EXPLAIN_TOP, method)
+    return explain_level(scored, lv.describe_by, B.INDICATORS, EXPLAIN_TOP, method, row_bound)
 
 
 def ranked(spark: SparkSession, src: str, level: str, scored: DataFrame | None = None,
-           n: int = RANK_LIMIT, method: str = "auto") -> DataFrame:
+           n: int = RANK_LIMIT, method: str = "auto",
+           row_bound: int | None = None) -> DataFrame:
     """C5 for one level of the bound data."""
     lv = LEVELS[level]
-    scored = scored if scored is not None else scored_units(spark, src, method)
-    desc = explain(scored, level, method) if lv.describe_by else None
+    if scored is None:
+        scored, row_bound = scored_units_counted(spark, src, method)
+    desc = explain(scored, level, method, row_bound) if lv.describe_by else None
     centres = lv.centres(spark, src) if lv.centres else None
     return rank_level(scored, lv.key, "score", n, centres, lv.centres_key,
                       desc, lv.describe_by, lv.name,
@@ -121,10 +138,11 @@ def ranked_levels(spark: SparkSession, src: str, n: int = RANK_LIMIT,
     by the three explanations and four rankings (the reference re-ran
     the whole enrichment for each of its nine actions).
     """
-    scored = materialize(scored_units(spark, src, method))
+    scored, rows = scored_units_counted(spark, src, method)
+    scored = materialize(scored, "scored")
     parts = []
     for level in LEVEL_ORDER:
-        r = ranked(spark, src, level, scored, n, method)
+        r = ranked(spark, src, level, scored, n, method, rows)
         name = LEVELS[level].name
         desc = F.col("description") if "description" in r.columns else F.lit(None).cast("string")
         parts.append(r.select(F.lit(level).alias("level"), F.col(name).cast("string").alias("name"),

@@ -39,7 +39,8 @@ def composite_score(spark, src):
 # ---------------------------------------------------------------- C4
 for _lv, _key in (("state", "state"), ("county", "county_name"), ("city", "city")):
     def _explain(spark, src, _lv=_lv):
-        return D.explain(D.scored_units(spark, src), _lv)
+        scored, rows = D.scored_units_counted(spark, src)
+        return D.explain(scored, _lv, row_bound=rows)
     register(f"explain_{_lv}", O.chain(O.explain_ctes(_key, _lv)) +
              f"\nSELECT k AS {_key}, description FROM desc_{_lv}")(_explain)
 

@@ -95,7 +95,16 @@ def materialize(df: DataFrame, purpose: str = "table") -> DataFrame:
     table is computed once, and later scans prune columns and push
     filters into the parquet reader.
     """
+    return materialize_counted(df, purpose)[0]
+
+
+def materialize_counted(df: DataFrame, purpose: str = "table") -> tuple[DataFrame, int]:
+    """``materialize`` plus the exact row count, observed during the write
+    (no extra job)."""
+    from pyspark.sql import Observation
+    from pyspark.sql import functions as F
     spark = df.sparkSession
     path = scratch_dir(spark, purpose)
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    obs = Observation(f"rows_{purpose}")
+    df.observe(obs, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path), int(obs.get["n"])

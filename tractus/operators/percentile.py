@@ -19,11 +19,11 @@ DataFrame steps whose parallelism grows with the data:
    literals in a binary CASE tree: deterministic on task retry and
    inside whole-stage codegen.  NaN sorts above every number and lands
    in the last bucket.
+   NULLs get their own bucket, first (ascending) or last (descending).
 3. Bucket totals (at most groups x buckets rows) -> running offsets by
    a tiny window -> broadcast (size bounded by the bucket count).
 4. Inside each bucket a running ``sum(count)`` ordered by value.
-5. NULLs are one row per group; they shift offsets per direction.
-6. The per-value result is joined back on (by, value) with a null-safe
+5. The per-value result is joined back on (by, value) with a null-safe
    key.  A hot value is one row on the small side; AQE's skew-join
    splits the hot partition of the big side.
 
@@ -37,9 +37,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_CNT, _BUCKET, _BC, _OFF, _BEFORE, _NN, _NC, _N, _GROUP = (
-    "_pr_cnt", "_pr_bucket", "_pr_bcount", "_pr_offset", "_pr_before",
-    "_pr_nonnull", "_pr_nulls", "_pr_n", "_pr_group")
+_CNT, _BUCKET, _BC, _OFF, _BEFORE, _N, _GROUP = (
+    "_pr_cnt", "_pr_bucket", "_pr_bcount", "_pr_offset", "_pr_before", "_pr_n", "_pr_group")
 
 MAX_BUCKETS = 1024
 MAX_BOUND_GROUPS = 10_000
@@ -170,7 +169,6 @@ def percent_rank_distributed(df: DataFrame, value: str, out: str,
     vnum = v.cast("double")
 
     vc = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias(_CNT))
-    nonnull = vc.filter(v.isNotNull())
 
     # 2. bucket bounds (one action, bounded result)
     rows = sketch if sketch is not None else _sketch(vc, value, by, num_buckets, relative_error)
@@ -187,46 +185,36 @@ def percent_rank_distributed(df: DataFrame, value: str, out: str,
             expr = _bucket_expr(vnum, _clean_bounds(r["_q"]), ascending)
             cond = F.when(match, expr) if cond is None else cond.when(match, expr)
         bucket = cond.otherwise(F.lit(0))
-    nb = nonnull.withColumn(_BUCKET, bucket)
-
-    # 3. bucket totals and running offsets (bounded: groups x buckets rows)
+    # NULLs form their own bucket, before every value when ascending and
+    # after every value when descending, so running bucket totals
+    # include them and every join below is an equi-join.
+    null_bucket = F.lit(-1 if ascending else MAX_BUCKETS + 1)
+    nb = vc.withColumn(_BUCKET, F.when(v.isNull(), null_bucket).otherwise(bucket))
+
+    # 3. bucket totals -> running offsets and group sizes (bounded:
+    #    groups x buckets rows)
     totals = nb.groupBy(*by, _BUCKET).agg(F.sum(_CNT).alias(_BC))
     wt = (Window.partitionBy(*by).orderBy(_BUCKET)
           .rowsBetween(Window.unboundedPreceding, 0))
     offsets = (totals
                .withColumn(_OFF, F.sum(_BC).over(wt) - F.col(_BC))
-               .withColumn(_NN, F.sum(_BC).over(Window.partitionBy(*by)))
+               .withColumn(_N, F.sum(_BC).over(Window.partitionBy(*by)))
                .drop(_BC))
-    group_n = offsets.select(*by, _NN).dropDuplicates(by)
-    nulls = vc.filter(v.isNull()).select(*by, F.col(_CNT).alias(_NC))
 
-    # 4. running count inside each bucket
+    # 4. running count inside each bucket (the NULL bucket is one row)
     wb = (Window.partitionBy(*by, _BUCKET).orderBy(_order(v, ascending))
           .rowsBetween(Window.unboundedPreceding, 0))
     within = nb.withColumn(_BEFORE, F.sum(_CNT).over(wb) - F.col(_CNT))
-    per_value = _nsjoin(_nsjoin(within, F.broadcast(offsets), [*by, _BUCKET]),
-                        F.broadcast(nulls), by, "left")
-    nc = F.coalesce(F.col(_NC), F.lit(0))
-    before = F.col(_OFF) + F.col(_BEFORE) + (nc if ascending else F.lit(0))
-    per_value = per_value.select(*by, value, before.alias(_BEFORE),
-                                 (F.col(_NN) + nc).alias(_N))
-
-    # 5. the NULL row of each group
-    nn = F.coalesce(F.col(_NN), F.lit(0))
-    null_rows = (_nsjoin(nulls, F.broadcast(group_n), by, "left")
-                 .select(*by, F.lit(None).cast(df.schema[value].dataType).alias(value),
-                         (F.lit(0) if ascending else nn).cast("bigint").alias(_BEFORE),
-                         (F.col(_NC) + nn).alias(_N)))
+    per_value = _nsjoin(within, F.broadcast(offsets), [*by, _BUCKET])
 
     pr = F.when(F.col(_N) > 1,
-                F.col(_BEFORE).cast("double") / (F.col(_N) - 1).cast("double")
+                (F.col(_OFF) + F.col(_BEFORE)).cast("double") / (F.col(_N) - 1).cast("double")
                 ).otherwise(F.lit(0.0))
     keys = [f"_pr_k{i}" for i in range(len(by))]
-    table = (per_value.unionByName(null_rows)
-             .select(*[F.col(c).alias(k) for c, k in zip(by, keys)],
-                     F.col(value).alias("_pr_v"), pr.alias(out)))
+    table = per_value.select(*[F.col(c).alias(k) for c, k in zip(by, keys)],
+                             F.col(value).alias("_pr_v"), pr.alias(out))
 
-    # 6. join back (null-safe on the value and the group keys)
+    # 5. join back (null-safe on the value and the group keys)
     cond = F.col(value).eqNullSafe(F.col("_pr_v"))
     for c, k in zip(by, keys):
         cond = cond & F.col(c).eqNullSafe(F.col(k))

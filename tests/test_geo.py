@@ -68,3 +68,16 @@ def test_geojson_roundtrip(spark):
     back = read_features(spark, path, "id bigint, name string").first()
     assert back.id == 1 and back.name == "n"
     assert [(p.x, p.y) for p in back.geometry[0][0]] == [(0, 0), (1, 0), (1, 1), (0, 0)]
+
+
+def test_row_local_interior_point_equals_edge_version(spark):
+    shapes = [poly([(0, 0), (9, 0), (9, 9), (6, 9), (6, 2), (2, 2), (2, 9), (0, 9), (0, 0)]),
+              poly([(0, 0), (4, 0), (4, 4), (0, 4), (0, 0)], [(1, 1), (1, 2), (2, 2), (2, 1), (1, 1)]),
+              poly([(0, 0), (1, 0), (1, 1), (0, 1), (0, 0)]) + poly([(5, 0), (8, 0), (8, 1), (5, 1), (5, 0)]),
+              poly([(0, 0), (3, 1), (1, 4), (0, 0)]),
+              poly([(0, 0), (2, 0), (2, 1), (3, 1), (3, 3), (0, 3), (0, 0)])]
+    df = spark.createDataFrame(list(enumerate(shapes)), f"id int, geometry {GEOM}")
+    a = sorted(tuple(r) for r in G.interior_point_rows(df, ["id"]).collect())
+    b = sorted(tuple(r) for r in G.interior_point(G.edges(df, ["id"]), ["id"]).collect())
+    assert a == b
+    assert a[2][1:] == (6.5, 0.5)   # the wider of two parts wins

@@ -12,7 +12,10 @@
   cancels.  The grouping key includes the edge, so a state with a third
   of all units is spread over many tasks.  Valid for a noded coverage
   (shared vertices bit-equal after quantisation); overlaps over-count.
-* ``interior_point``: scan-line point guaranteed inside the area (G6),
+* ``interior_point`` / ``interior_point_rows``: scan-line point
+  guaranteed inside the area (G6); the rows variant evaluates a whole
+  geometry held in one row with higher-order functions (no shuffle),
+  the edge variant works on edge tables (merged outlines).  Rule:
   the representative-point rule of the common geometry engines: scan at
   the middle between the vertex heights closest to the envelope centre,
   pair sorted edge crossings, take the middle of the widest interior
@@ -28,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tractus.functions.geometry import geometry_area, ring_signed_area
+from tractus.functions.geometry import geometry_area, interior_point_expr, ring_signed_area
 from tractus.functions.projection import project_geometry
 
 DEGREE_QUANTUM = 1e-7
@@ -161,3 +164,10 @@ def interior_point(e: DataFrame, keys: list[str], part: str | None = "part") ->
             .agg(F.max_by(F.struct(_avg(F.col("_x1"), F.col("_x2")).alias("x"),
                                    F.col("_y").alias("y")), best).alias("_p"))
             .select(*keys, "_p.x", "_p.y"))
+
+
+def interior_point_rows(df: DataFrame, keys: list[str], geometry: str = "geometry") -> DataFrame:
+    """G6 for whole geometries held in one row (units): the same rule as
+    ``interior_point`` evaluated inside each row - no explode, no shuffle."""
+    p = interior_point_expr(F.col(geometry))
+    return df.select(*keys, p["x"].alias("x"), p["y"].alias("y"))

@@ -447,8 +447,8 @@ ip_unit AS (
 
 
 def _unit_points(spark, src):
-    from tractus.operators.geo import edges, interior_point
-    return interior_point(edges(B.cells(spark, src), ["GEOID10"]), ["GEOID10"])
+    from tractus.operators.geo import interior_point_rows
+    return interior_point_rows(B.cells(spark, src), ["GEOID10"])
 
 
 @register("interior_point", O.ctes(O.CTE_CORNERS, _IPOINT_UNIT_SQL) + "\nSELECT * FROM ip_unit")

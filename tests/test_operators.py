@@ -120,3 +120,18 @@ def test_level_table_partition_pruning(spark):
     assert [r.name for r in out.collect()] == ["b"]
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters" in plan and "county" in plan
+
+
+def test_composite_county_key_keeps_same_names_apart(spark):
+    # two states each have a county called "Kent": by name only they merge
+    df = spark.createDataFrame([("A", "Kent", 1.0, 5.0), ("B", "Kent", 2.0, 1.0),
+                                ("A", "Ada", 3.0, 2.0)], "state string, county string, m double, score double")
+    by_name = rank_level(df, "county", "score").collect()
+    assert len(by_name) == 2
+    both = rank_level(df, ["state", "county"], "score",
+                      descriptions=explain_level(df, ["state", "county"], ["m"], 1, "window"),
+                      descriptions_key=["state", "county"]).orderBy("rank").collect()
+    assert [(r.state, r.county, r["rank"]) for r in both] == [("A", "Kent", 1), ("A", "Ada", 2), ("B", "Kent", 3)]
+    assert both[2].description == "Ranks highly in: m: 50%"
+    mx = rank_level(df, "state", "score", agg="max").orderBy("rank").collect()
+    assert [(r.state, r["rank"]) for r in mx] == [("A", 1), ("B", 2)]

@@ -19,6 +19,8 @@ exact (integer/decimal) sum.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,19 +28,28 @@ from tractus.functions.columns import list_text, percent_label
 from tractus.operators.percentile import percent_rank_by_method
 
 VARIABLE, VALUE, POS, RN = "variable", "value", "pos", "rn"
+Keys = str | list[str]
+
+
+def _keys(key: Keys) -> list[str]:
+    return [key] if isinstance(key, str) else list(key)
+
+
+def _not_null(keys: list[str]):
+    return reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
 DESCRIPTION_PREFIX = "Ranks highly in: "
 DESCRIPTION_SEP = ", "
 
 
-def metric_sums(df: DataFrame, key: str, metrics: list[str]) -> DataFrame:
+def metric_sums(df: DataFrame, key: Keys, metrics: list[str]) -> DataFrame:
     """A3: one row per key, each metric summed (NULLs skipped, all-NULL
-    -> NULL), as DOUBLE."""
-    return df.groupBy(key).agg(*[F.sum(m).cast("double").alias(m) for m in metrics])
+    -> NULL), as DOUBLE.  ``key`` may be a list (e.g. state, county)."""
+    return df.groupBy(*_keys(key)).agg(*[F.sum(m).cast("double").alias(m) for m in metrics])
 
 
-def unpivot_metrics(sums: DataFrame, key: str, metrics: list[str]) -> DataFrame:
+def unpivot_metrics(sums: DataFrame, key: Keys, metrics: list[str]) -> DataFrame:
     """Wide -> long, NULL values kept; ``pos`` = list position."""
-    long = sums.unpivot([key], metrics, VARIABLE, VALUE)
+    long = sums.unpivot(_keys(key), metrics, VARIABLE, VALUE)
     pos = F.create_map(*[x for i, m in enumerate(metrics) for x in (F.lit(m), F.lit(i))])
     return long.withColumn(POS, pos[F.col(VARIABLE)])
 
@@ -52,26 +63,28 @@ def peer_percentiles(long: DataFrame, method: str = "auto",
                                   row_bound).drop("_raw")
 
 
-def top_metrics(pct: DataFrame, key: str, k: int = 3) -> DataFrame:
+def top_metrics(pct: DataFrame, key: Keys, k: int = 3) -> DataFrame:
     """The k largest values per key; equal values keep list order.
-    NULL keys are dropped here (after the percentile)."""
-    w = Window.partitionBy(key).orderBy(F.col(VALUE).desc(), F.col(POS).asc())
-    return (pct.filter(F.col(key).isNotNull())
+    Keys with a NULL part are dropped here (after the percentile)."""
+    keys = _keys(key)
+    w = Window.partitionBy(*keys).orderBy(F.col(VALUE).desc(), F.col(POS).asc())
+    return (pct.filter(_not_null(keys))
             .withColumn(RN, F.row_number().over(w))
             .filter(F.col(RN) <= k))
 
 
-def describe(top: DataFrame, key: str, prefix: str = DESCRIPTION_PREFIX,
+def describe(top: DataFrame, key: Keys, prefix: str = DESCRIPTION_PREFIX,
              sep: str = DESCRIPTION_SEP) -> DataFrame:
     """Labels in rank order, joined into one text per key."""
-    labelled = top.select(key, RN, percent_label(VARIABLE, VALUE).alias("_label"))
+    keys = _keys(key)
+    labelled = top.select(*keys, RN, percent_label(VARIABLE, VALUE).alias("_label"))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct(RN, "_label"))),
                           lambda s: s["_label"])
-    return (labelled.groupBy(key)
+    return (labelled.groupBy(*keys)
             .agg(list_text(ordered, prefix, sep).alias("description")))
 
 
-def explain_level(df: DataFrame, key: str, metrics: list[str], k: int = 3,
+def explain_level(df: DataFrame, key: Keys, metrics: list[str], k: int = 3,
                   method: str = "auto", row_bound: int | None = None) -> DataFrame:
     """C4: (key, description) for every non-NULL key of the level.
     ``row_bound``: a proven bound of the rows of ``df`` (keys <= rows)."""

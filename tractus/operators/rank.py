@@ -19,38 +19,52 @@ from pyspark.sql import functions as F
 from tractus.operators.joins import left_join_renamed
 
 SCORE = "_level_score"
+AGGREGATES = {"sum": F.sum, "avg": F.avg, "max": F.max, "min": F.min}
+Keys = str | list[str]
 
 
-def level_scores(units: DataFrame, key: str, score: str = "score") -> DataFrame:
-    """A4: sum of scores per key; NULLs skipped, all-NULL -> NULL."""
-    return units.groupBy(key).agg(F.sum(score).alias(SCORE))
+def _keys(key: Keys) -> list[str]:
+    return [key] if isinstance(key, str) else list(key)
 
 
-def top_keys(scores: DataFrame, key: str, n: int) -> DataFrame:
-    """O2: n best keys, NULL scores last, key as tie-break."""
-    return scores.orderBy(F.col(SCORE).desc_nulls_last(), F.col(key).asc_nulls_first()).limit(n)
+def level_scores(units: DataFrame, key: Keys, score: str = "score", agg: str = "sum") -> DataFrame:
+    """A4: aggregate of scores per key (``sum`` as in the reference; NULLs
+    skipped, all-NULL -> NULL).  ``key`` may be a list, e.g. (state,
+    county) so that same-named counties of different states stay apart."""
+    return units.groupBy(*_keys(key)).agg(AGGREGATES[agg](score).alias(SCORE))
 
 
-def rank_level(units: DataFrame, key: str, score: str = "score", n: int = 501,
+def top_keys(scores: DataFrame, key: Keys, n: int) -> DataFrame:
+    """O2: n best keys, NULL scores last, key columns as tie-break."""
+    return scores.orderBy(F.col(SCORE).desc_nulls_last(),
+                          *[F.col(k).asc_nulls_first() for k in _keys(key)]).limit(n)
+
+
+def rank_level(units: DataFrame, key: Keys, score: str = "score", n: int = 501,
                centres: DataFrame | None = None, centres_key: str | None = None,
                descriptions: DataFrame | None = None,
-               descriptions_key: str | None = None, name: str | None = None,
+               descriptions_key: Keys | None = None, name: Keys | None = None,
                lat: str = "lat", lon: str = "lon",
-               drop_incomplete_before_rank: bool = False) -> DataFrame:
-    """(name, rank, lat, lon[, description]) for the n best keys.
+               drop_incomplete_before_rank: bool = False, agg: str = "sum") -> DataFrame:
+    """(name..., rank, lat, lon[, description]) for the n best keys.
 
     ``centres`` has ``centres_key`` plus ``lat``/``lon`` (and may carry
     the display ``name`` column, e.g. the city name for a city id key).
-    ``descriptions`` has ``descriptions_key`` and ``description``.
+    ``descriptions`` has ``descriptions_key`` and ``description``.  With
+    a list key, centres and descriptions join on the same column names.
     """
-    top = top_keys(level_scores(units, key, score), key, n)
+    keys = _keys(key)
+    top = top_keys(level_scores(units, keys, score, agg), keys, n)
     if centres is not None:
-        top = left_join_renamed(top, centres, key, centres_key or key, "left")
+        if len(keys) == 1:
+            top = left_join_renamed(top, centres, keys[0], centres_key or keys[0], "left")
+        else:
+            top = top.join(centres, keys, "left")
     if descriptions is not None:
-        dkey = descriptions_key or key
-        top = top.join(descriptions.select(dkey, "description"), dkey, "left")
-    name = name or key
-    cols = [F.col(name), F.col(SCORE),
+        dkeys = _keys(descriptions_key or key)
+        top = top.join(descriptions.select(*dkeys, "description"), dkeys, "left")
+    names = _keys(name or key)
+    cols = [*[F.col(c) for c in names], F.col(SCORE),
             (F.col(lat) if centres is not None else F.lit(None).cast("double")).alias("lat"),
             (F.col(lon) if centres is not None else F.lit(None).cast("double")).alias("lon")]
     if descriptions is not None:
@@ -60,5 +74,5 @@ def rank_level(units: DataFrame, key: str, score: str = "score", n: int = 501,
         out = out.na.drop("any")
     w = Window.partitionBy().orderBy(F.col(SCORE).desc_nulls_last())
     out = out.withColumn("rank", F.rank().over(w))
-    keep = [name, "rank", "lat", "lon"] + (["description"] if descriptions is not None else [])
+    keep = [*names, "rank", "lat", "lon"] + (["description"] if descriptions is not None else [])
     return out.select(*keep)

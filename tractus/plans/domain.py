@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from tractus.operators.density import DensityLevel, density_enrichment
 from tractus.operators.explain import explain_level
+from tractus.operators.levels import LevelSpec, rank_levels, rank_one_level
 from tractus.operators.places import attach_principal_place, principal_places
-from tractus.operators.rank import rank_level
 from tractus.operators.score import composite_score
 from tractus.session import materialize, materialize_counted
 from tractus.sources import bindings as B
@@ -106,6 +106,12 @@ LEVELS = {
 }
 
 
+def level_spec(spark: SparkSession, src: str, level: str) -> LevelSpec:
+    lv = LEVELS[level]
+    return LevelSpec(lv.key, lv.describe_by, lv.centres(spark, src) if lv.centres else None,
+                     lv.centres_key, lv.name, lv.drop_incomplete_before_rank)
+
+
 def explain(scored: DataFrame, level: str, method: str = "auto",
             row_bound: int | None = None) -> DataFrame:
     lv = LEVELS[level]
@@ -116,14 +122,10 @@ def ranked(spark: SparkSession, src: str, level: str, scored: DataFrame | None =
            n: int = RANK_LIMIT, method: str = "auto",
            row_bound: int | None = None) -> DataFrame:
     """C5 for one level of the bound data."""
-    lv = LEVELS[level]
     if scored is None:
         scored, row_bound = scored_units_counted(spark, src, method)
-    desc = explain(scored, level, method, row_bound) if lv.describe_by else None
-    centres = lv.centres(spark, src) if lv.centres else None
-    return rank_level(scored, lv.key, "score", n, centres, lv.centres_key,
-                      desc, lv.describe_by, lv.name,
-                      drop_incomplete_before_rank=lv.drop_incomplete_before_rank)
+    return rank_one_level(scored, level_spec(spark, src, level), B.INDICATORS, "score", n,
+                          EXPLAIN_TOP, method, row_bound)
 
 
 LEVEL_ORDER = ("state", "county", "city", "tract")
@@ -134,20 +136,11 @@ def ranked_levels(spark: SparkSession, src: str, n: int = RANK_LIMIT,
     """All four ranked tables from ONE scored unit table, as one serving
     table (level, name, rank, lat, lon, description).
 
-    The scored table is checkpointed once to the shared folder and read
+    The scored table is materialized once in the shared folder and read
     by the three explanations and four rankings (the reference re-ran
     the whole enrichment for each of its nine actions).
     """
     scored, rows = scored_units_counted(spark, src, method)
     scored = materialize(scored, "scored")
-    parts = []
-    for level in LEVEL_ORDER:
-        r = ranked(spark, src, level, scored, n, method, rows)
-        name = LEVELS[level].name
-        desc = F.col("description") if "description" in r.columns else F.lit(None).cast("string")
-        parts.append(r.select(F.lit(level).alias("level"), F.col(name).cast("string").alias("name"),
-                              "rank", "lat", "lon", desc.alias("description")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    specs = {lv: level_spec(spark, src, lv) for lv in LEVEL_ORDER}
+    return rank_levels(scored, specs, B.INDICATORS, "score", n, EXPLAIN_TOP, method, rows)

@@ -81,3 +81,18 @@ def test_row_local_interior_point_equals_edge_version(spark):
     b = sorted(tuple(r) for r in G.interior_point(G.edges(df, ["id"]), ["id"]).collect())
     assert a == b
     assert a[2][1:] == (6.5, 0.5)   # the wider of two parts wins
+
+
+def test_multi_part_region_scans_each_part(spark):
+    tall = poly([(0, 0), (1, 0), (1, 10), (0, 10), (0, 0)])
+    wide_a = poly([(5, 0), (10, 0), (10, 1), (5, 1), (5, 0)])
+    wide_b = poly([(10, 0), (15, 0), (15, 1), (10, 1), (10, 0)])
+    df = spark.createDataFrame([(1, "k", tall), (2, "k", wide_a), (3, "k", wide_b)],
+                               f"id int, key string, geometry {GEOM}")
+    parts = {r.id: r.part for r in G.connected_parts(df, "key", "id").collect()}
+    assert parts == {1: 1, 2: 2, 3: 2}
+    # one scan line over both parts would only meet the tall part (0.5, 5.5);
+    # per part, the wide part's chord (width 10) wins
+    assert G.interior_point_parts(df, "key", "id").first().asDict() == {"key": "k", "x": 10.0, "y": 0.5}
+    assert G.interior_point(G.dissolve(df, "key"), ["key"], None).first().asDict() == \
+        {"key": "k", "x": 0.5, "y": 5.5}

@@ -171,3 +171,81 @@ def interior_point_rows(df: DataFrame, keys: list[str], geometry: str = "geometr
     ``interior_point`` evaluated inside each row - no explode, no shuffle."""
     p = interior_point_expr(F.col(geometry))
     return df.select(*keys, p["x"].alias("x"), p["y"].alias("y"))
+
+
+MAX_LABEL_ROUNDS = 64
+
+
+def unit_adjacency(df: DataFrame, key: str, unit: str, geometry: str = "geometry",
+                   quantum: float = DEGREE_QUANTUM) -> DataFrame:
+    """Pairs (a, b) of units of the same key that share an edge - one pair
+    per shared edge, never all pairs of a group."""
+    e = edges(df.filter(F.col(key).isNotNull()), [key, unit], geometry, quantum)
+    a = F.struct(F.col("qx0").alias("x"), F.col("qy0").alias("y"))
+    b = F.struct(F.col("qx1").alias("x"), F.col("qy1").alias("y"))
+    shared = (e.groupBy(key, F.least(a, b).alias("_lo"), F.greatest(a, b).alias("_hi"))
+              .agg(F.min(unit).alias("a"), F.max(unit).alias("b"), F.count(F.lit(1)).alias("_n"))
+              .filter((F.col("_n") == 2) & (F.col("a") != F.col("b"))))
+    return shared.select("a", "b").distinct()
+
+
+def connected_parts(df: DataFrame, key: str, unit: str, geometry: str = "geometry",
+                    quantum: float = DEGREE_QUANTUM,
+                    max_rounds: int = MAX_LABEL_ROUNDS) -> DataFrame:
+    """(unit, key, part): part = smallest unit id of the connected block of
+    same-key units (units touching along an edge).
+
+    Min-label propagation with pointer jumping: each round every unit
+    takes the smallest label among itself and its neighbours, then the
+    label of that label.  Labels only decrease and stay inside the
+    component, so the fixed point is the component minimum; jumping
+    makes the number of rounds far smaller than the diameter.  Each
+    round is written to the shared checkpoint folder (lineage cut) and
+    the number of changed labels is observed during that write.
+    """
+    from pyspark.sql import Observation
+
+    from tractus.session import scratch_dir
+    spark = df.sparkSession
+    adj = unit_adjacency(df, key, unit, geometry, quantum)
+    nbr = adj.unionByName(adj.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    path = scratch_dir(spark, "parts-adjacency")
+    nbr.write.mode("overwrite").parquet(path)
+    nbr = spark.read.parquet(path)
+    labels = df.filter(F.col(key).isNotNull()).select(F.col(unit).alias("u"),
+                                                      F.col(unit).alias("label"))
+    for _ in range(max_rounds):
+        through = (nbr.join(labels.withColumnRenamed("u", "b"), "b")
+                   .groupBy(F.col("a").alias("u")).agg(F.min("label").alias("_m")))
+        prop = (labels.join(through, "u", "left")
+                .select("u", F.least("label", F.coalesce("_m", "label")).alias("p")))
+        jump = (prop.join(prop.select(F.col("u").alias("p"), F.col("p").alias("pp")), "p", "left")
+                .select("u", F.coalesce("pp", "p").alias("label_new")))
+        step = jump.join(labels, "u").select(
+            "u", F.col("label_new").alias("label"),
+            (F.col("label_new") != F.col("label")).cast("int").alias("_changed"))
+        obs = Observation("changed")
+        path = scratch_dir(spark, "parts-labels")
+        (step.observe(obs, F.sum("_changed").alias("n")).drop("_changed")
+         .write.mode("overwrite").parquet(path))
+        labels = spark.read.parquet(path)
+        if not (obs.get["n"] or 0):
+            break
+    else:
+        raise RuntimeError(f"connected_parts: no fixed point after {max_rounds} rounds")
+    return (df.filter(F.col(key).isNotNull()).select(unit, key)
+            .join(labels.select(F.col("u").alias(unit), F.col("label").alias("part")), unit))
+
+
+def interior_point_parts(df: DataFrame, key: str, unit: str, geometry: str = "geometry",
+                         quantum: float = DEGREE_QUANTUM) -> DataFrame:
+    """G6 for merged regions made of several separate parts: one scan
+    line per part (its own outline, holes included), widest chord over
+    the parts wins - the per-polygon rule of the geometry engines."""
+    parts = connected_parts(df, key, unit, geometry, quantum)
+    tagged = df.join(parts.select(unit, "part"), unit)
+    tagged = tagged.withColumn("_kp", F.struct(F.col(key).alias("k"), F.col("part").alias("p")))
+    outline = dissolve(tagged, "_kp", geometry, quantum)
+    outline = outline.select(F.col("_kp.k").alias(key), F.col("_kp.p").alias("part"),
+                             "x0", "y0", "x1", "y1")
+    return interior_point(outline, [key], "part")

@@ -464,6 +464,17 @@ def interior_point_outline(spark, src):
     return interior_point(dissolve(B.cells(spark, src), "CF"), ["CF"], None)
 
 
+# Every county of the cell layer is one connected block, so the per-part
+# result equals the one-scan-line SQL above; multi-part regions are
+# covered by tests/test_geo.py against hand-computed points.
+@register("interior_point_parts", O.ctes(O.CTE_CORNERS, O.CTE_CELL_EDGES, O.outline_ctes("CF"),
+                                         O.scanline_ctes("outline")) + """
+SELECT k AS CF, x, y FROM ipoint""")
+def interior_point_parts(spark, src):
+    from tractus.operators.geo import interior_point_parts as ipp
+    return ipp(B.cells(spark, src), "CF", "GEOID10")
+
+
 @register("layer_geojson_roundtrip", O.ctes(O.CTE_CORNERS) + """
 SELECT GEOID10, CF, SF, CAST(count(*) AS INTEGER) AS n_points, min(x) AS min_x, max(x) AS max_x,
        min(y) AS min_y, max(y) AS max_y

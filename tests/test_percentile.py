@@ -74,3 +74,14 @@ def test_distributed_plan_has_no_single_partition(spark):
         assert "_pr_bucket" in lines[i + 1] and "sum(_pr_cnt" in lines[i + 1], lines[i + 1]
     builtin = percent_rank_window(df, "v", "p", True)
     assert "SinglePartition" in builtin._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("by", [None, ["g"]])
+def test_many_buckets_equal_builtin(spark, by):
+    # 1024 buckets: bucket lookup is a binary search, not a generated CASE tree
+    df = spark.range(20000).select(F.col("id").cast("int").alias("id"),
+                                   ((F.col("id") * 7919) % 5003).cast("double").alias("v"),
+                                   (F.col("id") % 3).cast("string").alias("g"))
+    a = percent_rank_window(df, "v", "p", False, by)
+    b = percent_rank_distributed(df, "v", "q", False, by, num_buckets=1024)
+    assert a.join(b.select("id", "q"), "id").filter(F.col("p") != F.col("q")).count() == 0

@@ -14,11 +14,12 @@ DataFrame steps whose parallelism grows with the data:
 
 1. ``groupBy(by, value).count()`` - heavy hitters collapse map-side,
    so a value carried by a third of the rows is one row afterwards.
-2. Range bucket per distinct value from approxQuantile bounds of the
-   DISTINCT values (balanced even when frequencies are skewed), used as
-   literals in a binary CASE tree: deterministic on task retry and
-   inside whole-stage codegen.  NaN sorts above every number and lands
-   in the last bucket.
+2. Range bucket per distinct value from quantile bounds of the
+   DISTINCT values (balanced even when frequencies are skewed), held as
+   a literal array and found by binary search (``aggregate`` over log2
+   steps): deterministic on task retry, constant expression size for
+   any bucket count.  NaN sorts above every number and lands in the
+   last bucket.
    NULLs get their own bucket, first (ascending) or last (descending).
 3. Bucket totals (at most groups x buckets rows) -> running offsets by
    a tiny window -> broadcast (size bounded by the bucket count).
@@ -71,19 +72,30 @@ def _nsjoin(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inne
     return left.join(r, cond, how).drop(*tmp.values())
 
 
-def _bucket_tree(v: Column, bounds: list[float], lo: int, hi: int) -> Column:
-    """Bucket = number of bounds <= v, as a balanced CASE tree."""
-    if lo == hi:
-        return F.lit(lo)
-    mid = (lo + hi + 1) // 2
-    return F.when(v < F.lit(bounds[mid - 1]), _bucket_tree(v, bounds, lo, mid - 1)) \
-        .otherwise(_bucket_tree(v, bounds, mid, hi))
+def _search(v: Column, bounds: Column, m: int) -> Column:
+    """Number of ``bounds`` (sorted, length ``m``) <= v: binary search as
+    a fixed number of ``aggregate`` steps - O(log m) per value, constant
+    expression size for any bucket count.  NaN compares above every
+    number, so it lands in the last bucket."""
+    if m == 0:
+        return F.lit(0)
+    steps = max(1, m.bit_length())
 
+    def step(st, _):
+        lo, hi = st["lo"], st["hi"]
+        mid = ((lo + hi + 1) / 2).cast("int")
+        go_left = v < bounds[mid - 1]
+        return F.when(lo >= hi, st).otherwise(F.struct(
+            F.when(go_left, lo).otherwise(mid).alias("lo"),
+            F.when(go_left, mid - 1).otherwise(hi).alias("hi")))
 
-def _bucket_expr(v: Column, bounds: list[float], ascending: bool) -> Column:
-    m = len(bounds)
-    b = _bucket_tree(v, bounds, 0, m)
-    return b if ascending else F.lit(m) - b
+    init = F.struct(F.lit(0).alias("lo"), F.size(bounds).alias("hi"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), init, step, lambda st: st["lo"])
+
+
+def _bucket_expr(v: Column, bounds: Column, m: int, ascending: bool) -> Column:
+    b = _search(v, bounds, m)
+    return b if ascending else F.size(bounds) - b
 
 
 def _clean_bounds(raw) -> list[float]:
@@ -170,21 +182,25 @@ def percent_rank_distributed(df: DataFrame, value: str, out: str,
 
     vc = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias(_CNT))
 
-    # 2. bucket bounds (one action, bounded result)
+    # 2. bucket bounds (one action, bounded result) as literals: one
+    #    array, or a map from the group key to its array
     rows = sketch if sketch is not None else _sketch(vc, value, by, num_buckets, relative_error)
     bucket = F.lit(0)
     if dummy and rows:
-        bucket = _bucket_expr(vnum, _clean_bounds(rows[0]["_q"]), ascending)
+        bounds = _clean_bounds(rows[0]["_q"])
+        arr = F.array(*[F.lit(b) for b in bounds]).cast("array<double>")
+        bucket = _bucket_expr(vnum, arr, len(bounds), ascending)
     elif rows:
-        cond = None
+        entries, m = [], 0
         for r in rows:
-            match = None
-            for c in by:
-                t = F.col(c).eqNullSafe(F.lit(r[c]))
-                match = t if match is None else (match & t)
-            expr = _bucket_expr(vnum, _clean_bounds(r["_q"]), ascending)
-            cond = F.when(match, expr) if cond is None else cond.when(match, expr)
-        bucket = cond.otherwise(F.lit(0))
+            bounds = _clean_bounds(r["_q"])
+            m = max(m, len(bounds))
+            entries += [F.struct(*[F.lit(r[c]).cast(df.schema[c].dataType).alias(c) for c in by]),
+                        F.array(*[F.lit(b) for b in bounds]).cast("array<double>")]
+        lookup = F.create_map(*entries)
+        arr = F.coalesce(lookup[F.struct(*[F.col(c) for c in by])],
+                         F.array().cast("array<double>"))
+        bucket = _bucket_expr(vnum, arr, m, ascending)
     # NULLs form their own bucket, before every value when ascending and
     # after every value when descending, so running bucket totals
     # include them and every join below is an equi-join.

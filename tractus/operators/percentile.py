@@ -12,21 +12,20 @@ thousand aggregated peers, wrong for a unit table of billions of rows.
 ``percent_rank_distributed`` computes the identical values with plain
 DataFrame steps whose parallelism grows with the data:
 
-1. ``groupBy(by, value).count()`` - heavy hitters collapse map-side,
-   so a value carried by a third of the rows is one row afterwards.
-2. Range bucket per distinct value from quantile bounds of the
-   DISTINCT values (balanced even when frequencies are skewed), held as
-   a literal array and found by binary search (``aggregate`` over log2
-   steps): deterministic on task retry, constant expression size for
-   any bucket count.  NaN sorts above every number and lands in the
-   last bucket.
-   NULLs get their own bucket, first (ascending) or last (descending).
-3. Bucket totals (at most groups x buckets rows) -> running offsets by
-   a tiny window -> broadcast (size bounded by the bucket count).
-4. Inside each bucket a running ``sum(count)`` ordered by value.
-5. The per-value result is joined back on (by, value) with a null-safe
-   key.  A hot value is one row on the small side; AQE's skew-join
-   splits the hot partition of the big side.
+1. One sketch action: row-weighted quantile bounds per group (partial
+   sketches merged; bounded result).  A value repeated across bounds is
+   heavy (at least ~rows / buckets rows).
+2. Every row gets an order key: its range bucket, found by binary search
+   over the literal bounds (constant expression size for any bucket
+   count, deterministic on retry), or a point bucket for a heavy value,
+   NaN (above every number) or NULL (first ascending, last descending).
+3. Bucket sizes (partial aggregate, groups x buckets rows) -> running
+   offsets by a tiny window -> broadcast (bounded by the bucket count).
+4. Rows of range buckets are ranked by a window partitioned by bucket
+   (about rows / buckets rows per partition); rows of point buckets all
+   tie and need no sort - a value carried by a third of all rows never
+   reaches one task.
+5. percent rank = (offset + rank in bucket) / (n - 1); no join back.
 
 The only action is the quantile sketch (bounded result: num_buckets
 doubles per group).  Callers should materialize an expensive input
@@ -38,8 +37,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_CNT, _BUCKET, _BC, _OFF, _BEFORE, _N, _GROUP = (
-    "_pr_cnt", "_pr_bucket", "_pr_bcount", "_pr_offset", "_pr_before", "_pr_n", "_pr_group")
+_BUCKET, _BC, _OFF, _BEFORE, _N, _GROUP = (
+    "_pr_bucket", "_pr_bcount", "_pr_offset", "_pr_before", "_pr_n", "_pr_group")
 
 MAX_BUCKETS = 1024
 MAX_BOUND_GROUPS = 10_000
@@ -72,7 +71,7 @@ def _nsjoin(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inne
     return left.join(r, cond, how).drop(*tmp.values())
 
 
-def _search(v: Column, bounds: Column, m: int) -> Column:
+def _search(v: Column, bounds: Column, m: int, bind: bool = False) -> Column:
     """Number of ``bounds`` (sorted, length ``m``) <= v: binary search as
     a fixed number of ``aggregate`` steps - O(log m) per value, constant
     expression size for any bucket count.  NaN compares above every
@@ -81,26 +80,22 @@ def _search(v: Column, bounds: Column, m: int) -> Column:
         return F.lit(0)
     steps = max(1, m.bit_length())
 
-    def step(st, _):
-        lo, hi = st["lo"], st["hi"]
-        mid = ((lo + hi + 1) / 2).cast("int")
-        go_left = v < bounds[mid - 1]
-        return F.when(lo >= hi, st).otherwise(F.struct(
-            F.when(go_left, lo).otherwise(mid).alias("lo"),
-            F.when(go_left, mid - 1).otherwise(hi).alias("hi")))
+    def search(bs):
+        def step(st, _):
+            lo, hi = st["lo"], st["hi"]
+            mid = ((lo + hi + 1) / 2).cast("int")
+            go_left = v < bs[mid - 1]
+            return F.when(lo >= hi, st).otherwise(F.struct(
+                F.when(go_left, lo).otherwise(mid).alias("lo"),
+                F.when(go_left, mid - 1).otherwise(hi).alias("hi")))
 
-    init = F.struct(F.lit(0).alias("lo"), F.size(bounds).alias("hi"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), init, step, lambda st: st["lo"])
+        init = F.struct(F.lit(0).alias("lo"), F.size(bs).alias("hi"))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), init, step, lambda st: st["lo"])
 
-
-def _bucket_expr(v: Column, bounds: Column, m: int, ascending: bool) -> Column:
-    b = _search(v, bounds, m)
-    return b if ascending else F.size(bounds) - b
-
-
-def _clean_bounds(raw) -> list[float]:
-    vals = sorted({float(x) for x in (raw or []) if x is not None and x == x})
-    return vals
+    if isinstance(bounds, Column) and bind:
+        # a looked-up array is evaluated once and bound as a lambda variable
+        return F.transform(F.array(bounds), search)[0]
+    return search(bounds)
 
 
 def _prepare(df: DataFrame, by: list[str] | None):
@@ -110,11 +105,15 @@ def _prepare(df: DataFrame, by: list[str] | None):
     return df, list(by), False
 
 
-def _sketch(vc: DataFrame, value: str, by: list[str], num_buckets: int,
+def _sketch(df: DataFrame, value: str, by: list[str], num_buckets: int,
             relative_error: float) -> list:
-    """One action: per group, total rows (NULLs included) and the range
-    bounds of the distinct non-NULL, non-NaN values.  Result size is
-    bounded by MAX_BOUND_GROUPS x num_buckets."""
+    """One action over the rows (partial sketches per task, merged; no
+    shuffle of rows): per group, the row count (NULLs included) and
+    row-weighted range bounds of the non-NULL, non-NaN values.  A bucket
+    then holds about rows / num_buckets rows and so at most that many
+    distinct values; a heavy value repeats as a bound and is
+    deduplicated.  Result size is bounded by MAX_BOUND_GROUPS x
+    num_buckets."""
     v = F.col(value)
     vnum = v.cast("double")
     probs = [i / num_buckets for i in range(1, num_buckets)]
@@ -122,7 +121,7 @@ def _sketch(vc: DataFrame, value: str, by: list[str], num_buckets: int,
     valid = v.isNotNull() & ~F.isnan(vnum)
     q = (F.percentile_approx(F.when(valid, vnum), probs, acc) if probs
          else F.lit(None).cast("array<double>"))
-    rows = (vc.groupBy(*by).agg(F.sum(_CNT).alias("_n"), q.alias("_q"))
+    rows = (df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), q.alias("_q"))
             .limit(MAX_BOUND_GROUPS + 1).collect())
     if len(rows) > MAX_BOUND_GROUPS:
         raise ValueError(f"percent rank: more than {MAX_BOUND_GROUPS} partition groups in {by}")
@@ -154,62 +153,85 @@ def percent_rank(df: DataFrame, value: str, out: str, ascending: bool = True,
         return percent_rank_window(df, value, out, ascending, by)
     nb = _num_buckets(df, num_buckets)
     d, keys, dummy = _prepare(df, by)
-    vc = d.groupBy(*keys, value).agg(F.count(F.lit(1)).alias(_CNT))
-    rows = _sketch(vc, value, keys, nb, relative_error)
+    rows = _sketch(d, value, keys, nb, relative_error)
     if all((r["_n"] or 0) <= max_rows_per_task for r in rows):
         return percent_rank_window(df, value, out, ascending, by)
     return percent_rank_distributed(df, value, out, ascending, by, nb, relative_error,
                                     sketch=rows)
 
 
+def _bounds(raw) -> tuple[list[float], list[float]]:
+    """Sorted distinct bounds and the heavy ones (repeated in the
+    row-weighted quantiles: each carries at least ~rows / buckets rows)."""
+    vals = [float(x) for x in (raw or []) if x is not None and x == x]
+    seen: dict[float, int] = {}
+    for x in vals:
+        seen[x] = seen.get(x, 0) + 1
+    return sorted(seen), sorted(x for x, c in seen.items() if c > 1)
+
+
+def _dlit(values: list[float]) -> Column:
+    return F.array(*[F.lit(x) for x in values]).cast("array<double>")
+
+
 def percent_rank_distributed(df: DataFrame, value: str, out: str,
                              ascending: bool = True,
                              by: list[str] | None = None,
                              num_buckets: int | None = None,
                              relative_error: float = 1e-3,
                              sketch: list | None = None) -> DataFrame:
-    """Exact percent rank without a single-partition exchange.
+    """Exact percent rank without a single-partition exchange over rows.
+
+    Every row gets an order key ``ok`` from literal quantile bounds:
+    range buckets (binary search), with point buckets for heavy values,
+    NaN and NULL, ordered exactly like the value order of the direction.
+    Rows in a point bucket all tie, so their rank inside the bucket is 0
+    without sorting; the other rows are ranked by a window partitioned by
+    (group, ok), whose partitions hold about rows / num_buckets rows.
+    Bucket sizes (a partial aggregate, groups x buckets rows) give the
+    running offsets by a tiny window; they are attached by a broadcast
+    equi-join whose size is bounded by groups x 3 x (buckets + 2).
 
     ``by`` are partition columns of low, bounded cardinality (e.g. the
-    metric name after an unpivot); their quantile bounds are collected
-    (at most ``MAX_BOUND_GROUPS`` groups).  Without ``by`` a constant
-    internal group key is used, so every join below is an equi-join.
+    metric name after an unpivot), at most ``MAX_BOUND_GROUPS`` groups.
     """
     num_buckets = _num_buckets(df, num_buckets)
     df, by, dummy = _prepare(df, by)
     v = F.col(value)
     vnum = v.cast("double")
 
-    vc = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias(_CNT))
-
-    # 2. bucket bounds (one action, bounded result) as literals: one
-    #    array, or a map from the group key to its array
-    rows = sketch if sketch is not None else _sketch(vc, value, by, num_buckets, relative_error)
-    bucket = F.lit(0)
-    if dummy and rows:
-        bounds = _clean_bounds(rows[0]["_q"])
-        arr = F.array(*[F.lit(b) for b in bounds]).cast("array<double>")
-        bucket = _bucket_expr(vnum, arr, len(bounds), ascending)
-    elif rows:
-        entries, m = [], 0
+    # 1. bounds (one action, bounded result) as literals: one array, or a
+    #    map from the group key to its arrays
+    rows = sketch if sketch is not None else _sketch(df, value, by, num_buckets, relative_error)
+    width = 3 * (num_buckets + 2)
+    if dummy:
+        bounds, heavy = _bounds(rows[0]["_q"]) if rows else ([], [])
+        arr, hv, m = _dlit(bounds), _dlit(heavy), len(bounds)
+    else:
+        entries, hentries, m = [], [], 0
         for r in rows:
-            bounds = _clean_bounds(r["_q"])
+            bounds, heavy = _bounds(r["_q"])
             m = max(m, len(bounds))
-            entries += [F.struct(*[F.lit(r[c]).cast(df.schema[c].dataType).alias(c) for c in by]),
-                        F.array(*[F.lit(b) for b in bounds]).cast("array<double>")]
-        lookup = F.create_map(*entries)
-        arr = F.coalesce(lookup[F.struct(*[F.col(c) for c in by])],
-                         F.array().cast("array<double>"))
-        bucket = _bucket_expr(vnum, arr, m, ascending)
-    # NULLs form their own bucket, before every value when ascending and
-    # after every value when descending, so running bucket totals
-    # include them and every join below is an equi-join.
-    null_bucket = F.lit(-1 if ascending else MAX_BUCKETS + 1)
-    nb = vc.withColumn(_BUCKET, F.when(v.isNull(), null_bucket).otherwise(bucket))
-
-    # 3. bucket totals -> running offsets and group sizes (bounded:
-    #    groups x buckets rows)
-    totals = nb.groupBy(*by, _BUCKET).agg(F.sum(_CNT).alias(_BC))
+            key = F.struct(*[F.lit(r[c]).cast(df.schema[c].dataType).alias(c) for c in by])
+            entries += [key, _dlit(bounds)]
+            hentries += [key, _dlit(heavy)]
+        gkey = F.struct(*[F.col(c) for c in by])
+        empty = F.array().cast("array<double>")
+        arr = F.coalesce(F.create_map(*entries)[gkey], empty) if entries else empty
+        hv = F.coalesce(F.create_map(*hentries)[gkey], empty) if hentries else empty
+
+    # 2. order key: 3 * bucket + sub (0 = heavy point, 1 = range, 2 = NaN)
+    b = _search(vnum, arr, m, bind=not dummy)
+    sub = (F.when(F.isnan(vnum), F.lit(2))
+           .when(F.array_contains(hv, vnum), F.lit(0)).otherwise(F.lit(1)))
+    ok_asc = F.lit(3) * b + sub
+    ok = F.when(v.isNull(), F.lit(-1 if ascending else width + 1)) \
+        .otherwise(ok_asc if ascending else F.lit(width) - ok_asc)
+    point = v.isNull() | (sub != 1)
+    keyed = df.withColumn(_BUCKET, ok).withColumn("_pr_point", point)
+
+    # 3. bucket sizes -> running offsets and group sizes (bounded)
+    totals = keyed.groupBy(*by, _BUCKET).agg(F.count(F.lit(1)).alias(_BC))
     wt = (Window.partitionBy(*by).orderBy(_BUCKET)
           .rowsBetween(Window.unboundedPreceding, 0))
     offsets = (totals
@@ -217,24 +239,19 @@ def percent_rank_distributed(df: DataFrame, value: str, out: str,
                .withColumn(_N, F.sum(_BC).over(Window.partitionBy(*by)))
                .drop(_BC))
 
-    # 4. running count inside each bucket (the NULL bucket is one row)
-    wb = (Window.partitionBy(*by, _BUCKET).orderBy(_order(v, ascending))
-          .rowsBetween(Window.unboundedPreceding, 0))
-    within = nb.withColumn(_BEFORE, F.sum(_CNT).over(wb) - F.col(_CNT))
-    per_value = _nsjoin(within, F.broadcast(offsets), [*by, _BUCKET])
+    # 4. rank inside range buckets; point buckets are all ties
+    wb = Window.partitionBy(*by, _BUCKET).orderBy(_order(v, ascending))
+    ranged = (keyed.filter(~F.col("_pr_point"))
+              .withColumn(_BEFORE, (F.rank().over(wb) - 1).cast("bigint")))
+    points = keyed.filter(F.col("_pr_point")).withColumn(_BEFORE, F.lit(0).cast("bigint"))
+    ranked_rows = ranged.unionByName(points)
 
+    # 5. offsets attached by a bounded broadcast equi-join
+    joined = _nsjoin(ranked_rows, F.broadcast(offsets), [*by, _BUCKET])
     pr = F.when(F.col(_N) > 1,
                 (F.col(_OFF) + F.col(_BEFORE)).cast("double") / (F.col(_N) - 1).cast("double")
                 ).otherwise(F.lit(0.0))
-    keys = [f"_pr_k{i}" for i in range(len(by))]
-    table = per_value.select(*[F.col(c).alias(k) for c, k in zip(by, keys)],
-                             F.col(value).alias("_pr_v"), pr.alias(out))
-
-    # 5. join back (null-safe on the value and the group keys)
-    cond = F.col(value).eqNullSafe(F.col("_pr_v"))
-    for c, k in zip(by, keys):
-        cond = cond & F.col(c).eqNullSafe(F.col(k))
-    res = df.join(table, cond, "inner").drop("_pr_v", *keys)
+    res = joined.withColumn(out, pr).drop(_BUCKET, "_pr_point", _BEFORE, _OFF, _N)
     return res.drop(_GROUP) if dummy else res
 
 

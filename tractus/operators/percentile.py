@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 _BUCKET, _BC, _OFF, _BEFORE, _N, _GROUP = (
     "_pr_bucket", "_pr_bcount", "_pr_offset", "_pr_before", "_pr_n", "_pr_group")
 
-MAX_BUCKETS = 1024
+MAX_BUCKETS = 4096
 MAX_BOUND_GROUPS = 10_000
 # Largest peer set sorted by one task in ``percent_rank``'s window path.
 MAX_ROWS_PER_TASK = 1_000_000
@@ -128,6 +128,14 @@ def _sketch(df: DataFrame, value: str, by: list[str], num_buckets: int,
     return rows
 
 
+def _rel_error(relative_error: float | None, num_buckets: int) -> float:
+    """Sketch rank error: a tenth of a bucket's width by default, so range
+    buckets stay close to rows / num_buckets rows."""
+    if relative_error is not None:
+        return relative_error
+    return min(1e-2, max(1e-5, 1.0 / (10 * num_buckets)))
+
+
 def _num_buckets(df: DataFrame, num_buckets: int | None) -> int:
     if num_buckets is None:
         num_buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
@@ -136,7 +144,7 @@ def _num_buckets(df: DataFrame, num_buckets: int | None) -> int:
 
 def percent_rank(df: DataFrame, value: str, out: str, ascending: bool = True,
                  by: list[str] | None = None, max_rows_per_task: int = MAX_ROWS_PER_TASK,
-                 num_buckets: int | None = None, relative_error: float = 1e-3,
+                 num_buckets: int | None = None, relative_error: float | None = None,
                  row_bound: int | None = None) -> DataFrame:
     """Percent rank with a size check.
 
@@ -153,7 +161,7 @@ def percent_rank(df: DataFrame, value: str, out: str, ascending: bool = True,
         return percent_rank_window(df, value, out, ascending, by)
     nb = _num_buckets(df, num_buckets)
     d, keys, dummy = _prepare(df, by)
-    rows = _sketch(d, value, keys, nb, relative_error)
+    rows = _sketch(d, value, keys, nb, _rel_error(relative_error, nb))
     if all((r["_n"] or 0) <= max_rows_per_task for r in rows):
         return percent_rank_window(df, value, out, ascending, by)
     return percent_rank_distributed(df, value, out, ascending, by, nb, relative_error,
@@ -178,7 +186,7 @@ def percent_rank_distributed(df: DataFrame, value: str, out: str,
                              ascending: bool = True,
                              by: list[str] | None = None,
                              num_buckets: int | None = None,
-                             relative_error: float = 1e-3,
+                             relative_error: float | None = None,
                              sketch: list | None = None) -> DataFrame:
     """Exact percent rank without a single-partition exchange over rows.
 
@@ -202,7 +210,8 @@ def percent_rank_distributed(df: DataFrame, value: str, out: str,
 
     # 1. bounds (one action, bounded result) as literals: one array, or a
     #    map from the group key to its arrays
-    rows = sketch if sketch is not None else _sketch(df, value, by, num_buckets, relative_error)
+    rows = sketch if sketch is not None else _sketch(df, value, by, num_buckets,
+                                                     _rel_error(relative_error, num_buckets))
     width = 3 * (num_buckets + 2)
     if dummy:
         bounds, heavy = _bounds(rows[0]["_q"]) if rows else ([], [])

@@ -42,6 +42,9 @@ _BUCKET, _BC, _OFF, _BEFORE, _N, _GROUP = (
 
 MAX_BUCKETS = 4096
 MAX_BOUND_GROUPS = 10_000
+# Bounds held as plan literals over all groups (8 bytes each); beyond it
+# bounds are thinned evenly - buckets get wider, ranks stay exact.
+MAX_TOTAL_BOUNDS = 200_000
 # Largest peer set sorted by one task in ``percent_rank``'s window path.
 MAX_ROWS_PER_TASK = 1_000_000
 
@@ -168,14 +171,20 @@ def percent_rank(df: DataFrame, value: str, out: str, ascending: bool = True,
                                     sketch=rows)
 
 
-def _bounds(raw) -> tuple[list[float], list[float]]:
+def _bounds(raw, keep: int | None = None) -> tuple[list[float], list[float]]:
     """Sorted distinct bounds and the heavy ones (repeated in the
-    row-weighted quantiles: each carries at least ~rows / buckets rows)."""
+    row-weighted quantiles: each carries at least ~rows / buckets rows).
+    ``keep`` thins the range bounds evenly (heavy values stay)."""
     vals = [float(x) for x in (raw or []) if x is not None and x == x]
     seen: dict[float, int] = {}
     for x in vals:
         seen[x] = seen.get(x, 0) + 1
-    return sorted(seen), sorted(x for x, c in seen.items() if c > 1)
+    bounds = sorted(seen)
+    heavy = sorted(x for x, c in seen.items() if c > 1)
+    if keep is not None and len(bounds) > keep:
+        stride = -(-len(bounds) // max(1, keep))
+        bounds = sorted(set(bounds[::stride]) | set(heavy))
+    return bounds, heavy
 
 
 def _dlit(values: list[float]) -> Column:
@@ -218,8 +227,9 @@ def percent_rank_distributed(df: DataFrame, value: str, out: str,
         arr, hv, m = _dlit(bounds), _dlit(heavy), len(bounds)
     else:
         entries, hentries, m = [], [], 0
+        keep = max(1, MAX_TOTAL_BOUNDS // max(1, len(rows)))
         for r in rows:
-            bounds, heavy = _bounds(r["_q"])
+            bounds, heavy = _bounds(r["_q"], keep)
             m = max(m, len(bounds))
             key = F.struct(*[F.lit(r[c]).cast(df.schema[c].dataType).alias(c) for c in by])
             entries += [key, _dlit(bounds)]

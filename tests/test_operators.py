@@ -1,6 +1,5 @@
 """Operators on hand-made frames (FIXTURES section 3) and golden facts."""
 
-from pyspark.sql import functions as F
 
 from tractus.operators.columns import pad_id, title_header
 from tractus.operators.density import DensityLevel, density_enrichment, group_density

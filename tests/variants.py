@@ -17,7 +17,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from pyspark.sql import Window  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
-from tractus.operators.density import DensityLevel, density_enrichment  # noqa: E402
+from tractus.operators.density import density_enrichment  # noqa: E402
 from tractus.operators.explain import explain_level  # noqa: E402
 from tractus.operators.percentile import percent_rank_distributed, percent_rank_window  # noqa: E402
 from tractus.plans import domain as D  # noqa: E402

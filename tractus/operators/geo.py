@@ -174,6 +174,7 @@ def interior_point_rows(df: DataFrame, keys: list[str], geometry: str = "geometr
 
 
 MAX_LABEL_ROUNDS = 64
+JUMPS_PER_ROUND = 2
 
 
 def unit_adjacency(df: DataFrame, key: str, unit: str, geometry: str = "geometry",
@@ -219,8 +220,11 @@ def connected_parts(df: DataFrame, key: str, unit: str, geometry: str = "geometr
                    .groupBy(F.col("a").alias("u")).agg(F.min("label").alias("_m")))
         prop = (labels.join(through, "u", "left")
                 .select("u", F.least("label", F.coalesce("_m", "label")).alias("p")))
-        jump = (prop.join(prop.select(F.col("u").alias("p"), F.col("p").alias("pp")), "p", "left")
-                .select("u", F.coalesce("pp", "p").alias("label_new")))
+        jump = prop
+        for _ in range(JUMPS_PER_ROUND):   # pointer jumping: p <- p(p)
+            jump = (jump.join(jump.select(F.col("u").alias("p"), F.col("p").alias("pp")), "p", "left")
+                    .select("u", F.coalesce("pp", "p").alias("p")))
+        jump = jump.withColumnRenamed("p", "label_new")
         step = jump.join(labels, "u").select(
             "u", F.col("label_new").alias("label"),
             (F.col("label_new") != F.col("label")).cast("int").alias("_changed"))

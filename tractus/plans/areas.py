@@ -2,12 +2,12 @@
 centre tables), in one call: C1 -> C2 -> C3 -> C4/C5 for the state,
 county, city and tract levels.
 
-    tracts = read_tracts(spark, "communities_inc_area.csv")
+    tracts = read_tracts(spark, "tracts.csv")
     cities = read_cities(spark, "cities.csv")
     table = rank_areas(tracts, cities,
-                       read_centres(spark, "state_centres.csv", ["SF"]),
-                       read_centres(spark, "county_centres.csv", ["CF"]),
-                       read_centres(spark, "census_tract_centres.csv", ["GEOID10"]))
+                       read_centres(spark, "state_points.csv", ["SF"]),
+                       read_centres(spark, "county_points.csv", ["CF"]),
+                       read_centres(spark, "tract_points.csv", ["GEOID10"]))
 """
 
 from __future__ import annotations

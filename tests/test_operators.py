@@ -134,3 +134,16 @@ def test_composite_county_key_keeps_same_names_apart(spark):
     assert both[2].description == "Ranks highly in: m: 50%"
     mx = rank_level(df, "state", "score", agg="max").orderBy("rank").collect()
     assert [(r.state, r["rank"]) for r in mx] == [("A", 1), ("B", 2)]
+
+
+def test_composite_score_strict_and_scaled(spark):
+    from tractus.operators.score import composite_score
+    df = spark.createDataFrame([(1, 10.0, 2.0, 5.0), (2, None, 1.0, 4.0), (3, 30.0, 3.0, None)],
+                               "id int, a double, b double, d double")
+    plain = {r.id: r.score for r in composite_score(df, ["a", "b"], "d", method="window").collect()}
+    assert plain[2] is None                       # strict: any NULL term -> NULL
+    assert float(plain[1]) == 12.0                # densest unit: percentile 0
+    assert float(plain[3]) == 34.0                # NULL density ranks last: percentile 1
+    scaled = {r.id: r.score for r in
+              composite_score(df, ["a", "b"], "d", method="window", scales={"a": 0.1}).collect()}
+    assert float(scaled[1]) == 3.0 and float(scaled[3]) == 7.0

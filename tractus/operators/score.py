@@ -14,6 +14,7 @@ decimals (percent ranks are k / (n - 1)).
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tractus.functions.columns import strict_sum
 from tractus.operators.percentile import percent_rank_by_method
@@ -32,8 +33,21 @@ def density_percentile(df: DataFrame, density: str, out: str,
 def composite_score(df: DataFrame, indicators: list[str], density: str,
                     out: str = "score", density_out: str = "density_percentile",
                     ascending: bool = False, exact: bool = True,
-                    method: str = "auto", row_bound: int | None = None) -> DataFrame:
-    """``score`` = indicators + density percentile; NULL if any term is NULL."""
+                    method: str = "auto", row_bound: int | None = None,
+                    scales: dict[str, float] | None = None) -> DataFrame:
+    """``score`` = indicators + density percentile; NULL if any term is NULL.
+
+    ``scales`` multiplies single indicators first (e.g. 0.01 for an
+    indicator given in 0-100 while the percentile is 0-1); default 1,
+    the plain sum."""
     df = density_percentile(df, density, density_out, ascending, method, row_bound)
-    return df.withColumn(out, strict_sum([*indicators, density_out],
-                                         SCORE_TYPE if exact else None))
+    terms = []
+    for c in [*indicators, density_out]:
+        factor = (scales or {}).get(c)
+        if factor is None:
+            terms.append(c)
+        elif exact:
+            terms.append(F.col(c).cast(SCORE_TYPE) * F.lit(factor).cast("decimal(20,10)"))
+        else:
+            terms.append(F.col(c) * F.lit(factor))
+    return df.withColumn(out, strict_sum(terms, SCORE_TYPE if exact else None))

@@ -27,6 +27,27 @@ DEFAULT_CONF = {
 }
 
 
+def recommended_conf(input_bytes: int, total_cores: int,
+                     partition_bytes: int = 128 << 20) -> dict[str, str]:
+    """Spill-aware sizing for a cluster run.
+
+    Shuffle partitions ~ input / 128 MB (at least 3 waves of tasks), file
+    splits of 128 MB, AQE coalescing toward 128 MB and skew splitting
+    for partitions 5x the median.  The largest operator state per task
+    is then one shuffle partition, a window over at most one percent-rank
+    bucket, or a broadcast bounded by its documented size.
+    """
+    shuffle = max(3 * total_cores, -(-input_bytes // partition_bytes))
+    return {
+        **DEFAULT_CONF,
+        "spark.sql.shuffle.partitions": str(shuffle),
+        "spark.sql.files.maxPartitionBytes": str(partition_bytes),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(2 * partition_bytes),
+    }
+
+
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
                 app_name: str = "tractus", extra: dict | None = None) -> SparkSession:
     """Build (or reuse) a session with the library's defaults."""

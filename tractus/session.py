@@ -27,6 +27,9 @@ DEFAULT_CONF = {
 }
 
 
+MAX_SHUFFLE_PARTITIONS = 64_000
+
+
 def recommended_conf(input_bytes: int, total_cores: int,
                      partition_bytes: int = 128 << 20) -> dict[str, str]:
     """Spill-aware sizing for a cluster run.
@@ -37,7 +40,11 @@ def recommended_conf(input_bytes: int, total_cores: int,
     is then one shuffle partition, a window over at most one percent-rank
     bucket, or a broadcast bounded by its documented size.
     """
-    shuffle = max(3 * total_cores, -(-input_bytes // partition_bytes))
+    # shuffles after projection/aggregation are far smaller than the
+    # input, and AQE coalesces small partitions: cap the count so the
+    # map-output bookkeeping stays small
+    shuffle = min(MAX_SHUFFLE_PARTITIONS,
+                  max(3 * total_cores, -(-input_bytes // partition_bytes)))
     return {
         **DEFAULT_CONF,
         "spark.sql.shuffle.partitions": str(shuffle),

@@ -212,7 +212,7 @@ def connected_parts(df: DataFrame, key: str, unit: str, geometry: str = "geometr
     nbr = adj.unionByName(adj.select(F.col("b").alias("a"), F.col("a").alias("b")))
     path = scratch_dir(spark, "parts-adjacency")
     nbr.write.mode("overwrite").parquet(path)
-    nbr = spark.read.parquet(path)
+    nbr = spark.read.schema(nbr.schema).parquet(path)
     labels = df.filter(F.col(key).isNotNull()).select(F.col(unit).alias("u"),
                                                       F.col(unit).alias("label"))
     for _ in range(max_rounds):
@@ -232,7 +232,9 @@ def connected_parts(df: DataFrame, key: str, unit: str, geometry: str = "geometr
         path = scratch_dir(spark, "parts-labels")
         (step.observe(obs, F.sum("_changed").alias("n")).drop("_changed")
          .write.mode("overwrite").parquet(path))
-        labels = spark.read.parquet(path)
+        labels = spark.read.schema("u " + labels.schema["u"].dataType.simpleString()
+                                   + ", label " + labels.schema["u"].dataType.simpleString()
+                                   ).parquet(path)
         if not (obs.get["n"] or 0):
             break
     else:

@@ -68,7 +68,8 @@ FROM customer""")
 def scan_project_rename(spark, src):
     from tractus.operators.columns import drop, project, rename
     from tractus.sources.tables import read_table
-    c = read_table(spark, src, "customer")
+    c = read_table(spark, src, "customer",
+                   ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"], B.TABLE_TYPES)
     c = rename(c, {"c_custkey": "unit_id", "c_name": "name", "c_nationkey": "nation_key",
                    "c_acctbal": "balance"})
     return drop(project(c, "unit_id", "name", "nation_key", "balance", "c_mktsegment"),
@@ -98,8 +99,8 @@ def csv_null_scan(spark, src):
     from tractus.sinks.files import write_csv
     from tractus.sources.files import read_csv
     from tractus.sources.tables import read_table
-    n = read_table(spark, src, "nation", ["n_name", "n_regionkey"])
-    r = read_table(spark, src, "region", ["r_regionkey", "r_name"])
+    n = read_table(spark, src, "nation", ["n_name", "n_regionkey"], B.TABLE_TYPES)
+    r = read_table(spark, src, "region", ["r_regionkey", "r_name"], B.TABLE_TYPES)
     names = n.join(r, n.n_regionkey == r.r_regionkey).select(
         F.col("n_name").alias("CF"), F.col("r_name").alias("SF"))
     table = names.join(B.county_centres(spark, src).drop("SF"), "CF", "left")

@@ -135,4 +135,5 @@ def materialize_counted(df: DataFrame, purpose: str = "table") -> tuple[DataFram
     path = scratch_dir(spark, purpose)
     obs = Observation(f"rows_{purpose}")
     df.observe(obs, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path), int(obs.get["n"])
+    # the schema is known: reading it back needs no inference job
+    return spark.read.schema(df.schema).parquet(path), int(obs.get["n"])

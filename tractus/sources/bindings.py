@@ -58,6 +58,23 @@ GRID_BLOCK = 10
 
 METRIC_DECIMAL = "decimal(18,2)"
 
+# Column types of the driver tables (parquet physical types); readers
+# pass them so that no schema-inference job runs per scan.
+TABLE_TYPES = {
+    "r_regionkey": "int", "r_name": "string",
+    "n_nationkey": "int", "n_name": "string", "n_regionkey": "int",
+    "c_custkey": "bigint", "c_name": "string", "c_nationkey": "int", "c_acctbal": "double",
+    "c_mktsegment": "string",
+    "s_suppkey": "bigint", "s_name": "string", "s_nationkey": "int", "s_acctbal": "double",
+    "o_orderkey": "bigint", "o_custkey": "bigint", "o_orderpriority": "string",
+    "l_orderkey": "bigint", "l_quantity": "double", "l_extendedprice": "double",
+    "l_tax": "double", "l_discount": "double", "l_returnflag": "string",
+}
+
+
+def _read(spark: SparkSession, src: str, name: str, columns: list[str]) -> DataFrame:
+    return read_table(spark, src, name, columns, TABLE_TYPES)
+
 # Indicator columns of the unit table, in their fixed list order (the
 # order decides ties in the explanation text).
 INDICATORS = ["quantity", "revenue", "lines", "tax", "discount", "returns",
@@ -69,10 +86,10 @@ def unit_indicators(spark: SparkSession, src: str) -> DataFrame:
     that has any).  Partial aggregation runs before the shuffle on
     o_custkey, so a customer with a third of all lines is combined
     map-side."""
-    orders = (read_table(spark, src, "orders",
+    orders = (_read(spark, src, "orders",
                          ["o_orderkey", "o_custkey", "o_orderpriority"])
               .filter(F.col("o_orderpriority") == URGENT_PRIORITY))
-    lines = read_table(spark, src, "lineitem",
+    lines = _read(spark, src, "lineitem",
                        ["l_orderkey", "l_quantity", "l_extendedprice",
                         "l_tax", "l_discount", "l_returnflag"])
     dec = METRIC_DECIMAL
@@ -93,9 +110,9 @@ def unit_indicators(spark: SparkSession, src: str) -> DataFrame:
 
 def region_units(spark: SparkSession, src: str) -> DataFrame:
     """customer x nation x region: unit key, county and state names."""
-    c = read_table(spark, src, "customer", ["c_custkey", "c_nationkey", "c_acctbal"])
-    n = read_table(spark, src, "nation", ["n_nationkey", "n_name", "n_regionkey"])
-    r = read_table(spark, src, "region", ["r_regionkey", "r_name"])
+    c = _read(spark, src, "customer", ["c_custkey", "c_nationkey", "c_acctbal"])
+    n = _read(spark, src, "nation", ["n_nationkey", "n_name", "n_regionkey"])
+    r = _read(spark, src, "region", ["r_regionkey", "r_name"])
     return (c.join(n, c.c_nationkey == n.n_nationkey)
             .join(r, n.n_regionkey == r.r_regionkey))
 
@@ -147,10 +164,10 @@ def units(spark: SparkSession, src: str) -> DataFrame:
 def places(spark: SparkSession, src: str) -> DataFrame:
     """Places lookup: city, county_name (without prefix), population,
     lat, lng, id."""
-    s = (read_table(spark, src, "supplier",
+    s = (_read(spark, src, "supplier",
                     ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"])
          .filter(F.col("s_nationkey") % PLACE_NATION_MODULUS != 0))
-    n = read_table(spark, src, "nation", ["n_nationkey", "n_name"])
+    n = _read(spark, src, "nation", ["n_nationkey", "n_name"])
     return (s.join(n, s.s_nationkey == n.n_nationkey)
             .select(F.col("s_name").alias("city"),
                     F.replace(F.col("n_name"), F.lit(NATION_PREFIX), F.lit(""))
@@ -163,8 +180,8 @@ def places(spark: SparkSession, src: str) -> DataFrame:
 
 def county_centres(spark: SparkSession, src: str) -> DataFrame:
     """County centre points keyed by CF (county name), with SF."""
-    n = read_table(spark, src, "nation", ["n_nationkey", "n_name", "n_regionkey"])
-    r = read_table(spark, src, "region", ["r_regionkey", "r_name"])
+    n = _read(spark, src, "nation", ["n_nationkey", "n_name", "n_regionkey"])
+    r = _read(spark, src, "region", ["r_regionkey", "r_name"])
     return (n.filter(~F.col("n_nationkey").isin(*COUNTY_CENTRES_MISSING))
             .join(r, n.n_regionkey == r.r_regionkey)
             .select(F.col("n_name").alias("CF"), F.col("r_name").alias("SF"),
@@ -174,7 +191,7 @@ def county_centres(spark: SparkSession, src: str) -> DataFrame:
 
 def state_centres(spark: SparkSession, src: str) -> DataFrame:
     """State centre points keyed by SF (state name)."""
-    r = read_table(spark, src, "region", ["r_regionkey", "r_name"])
+    r = _read(spark, src, "region", ["r_regionkey", "r_name"])
     return (r.filter(~F.col("r_regionkey").isin(*STATE_CENTRES_MISSING))
             .select(F.col("r_name").alias("SF"),
                     (F.lit(30) + 2 * F.col("r_regionkey")).cast("double").alias("lat"),
@@ -195,7 +212,7 @@ def _grid_y(iy: Column) -> Column:
 
 def tract_centres(spark: SparkSession, src: str) -> DataFrame:
     """Tract centre points keyed by GEOID10 (= unit_id)."""
-    c = read_table(spark, src, "customer", ["c_custkey"])
+    c = _read(spark, src, "customer", ["c_custkey"])
     ix, iy = _grid_index(F.col("c_custkey"))
     half = F.lit(GRID_STEP / 2)
     return (c.filter(F.col("c_custkey") % TRACT_CENTRE_MODULUS != 0)
@@ -212,7 +229,7 @@ def cells(spark: SparkSession, src: str) -> DataFrame:
     Corners come from integer grid indices, so shared edges are
     bit-equal.  Rings are closed and counter-clockwise.
     """
-    c = read_table(spark, src, "customer", ["c_custkey"])
+    c = _read(spark, src, "customer", ["c_custkey"])
     k = F.col("c_custkey")
     ix, iy = _grid_index(k)
     x0, x1 = _grid_x(ix), _grid_x(ix + 1)

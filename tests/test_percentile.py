@@ -89,3 +89,18 @@ def test_many_buckets_equal_builtin(spark, by):
     a = percent_rank_window(df, "v", "p", False, by)
     b = percent_rank_distributed(df, "v", "q", False, by, num_buckets=1024)
     assert a.join(b.select("id", "q"), "id").filter(F.col("p") != F.col("q")).count() == 0
+
+
+@pytest.mark.parametrize("asc", [True, False])
+def test_grouped_heavy_nan_null_equal_builtin(spark, asc):
+    rows = []
+    for i in range(6000):
+        g = ["a", "b", None][i % 3]
+        v = 7.0 if i % 4 == 0 else (float("nan") if i % 11 == 0 else (None if i % 13 == 0 else float(i % 97)))
+        rows.append((i, v, g))
+    df = spark.createDataFrame(rows, "id int, v double, g string")
+    a = percent_rank_window(df, "v", "p", asc, ["g"])
+    b = percent_rank_distributed(df, "v", "q", asc, ["g"], num_buckets=8)
+    j = a.join(b.select("id", "q"), "id")
+    assert j.count() == 6000
+    assert j.filter(~((F.col("p") == F.col("q")) | (F.isnan("p") & F.isnan("q")))).count() == 0

@@ -35,6 +35,11 @@ def score_tracts(tracts: DataFrame, cities: DataFrame, ties: str = "one",
                  ) -> tuple[DataFrame, int | None]:
     """Tracts with principal city, four densities, the descending density
     percentile and ``score``; materialized once (with its row count)."""
+    needed = ["state", "county_name", "census_tract_id", "total_population", "geo_area",
+              "cf_area", "sf_area", *INDICATORS]
+    missing = [c for c in needed if c not in tracts.columns]
+    if missing:
+        raise ValueError(f"tract table lacks columns {missing}")
     t = attach_principal_place(tracts, cities, "county_name", "county_name",
                                suffix=COUNTY_SUFFIX, ties=ties, keep=PLACE_KEEP)
     t = density_enrichment(t, "total_population", "geo_area", "census_population_density",

@@ -104,3 +104,12 @@ def test_grouped_heavy_nan_null_equal_builtin(spark, asc):
     j = a.join(b.select("id", "q"), "id")
     assert j.count() == 6000
     assert j.filter(~((F.col("p") == F.col("q")) | (F.isnan("p") & F.isnan("q")))).count() == 0
+
+
+def test_wide_integers_are_not_merged_by_double_cast(spark):
+    big = 2 ** 60
+    rows = [(i, big + (i % 3)) for i in range(300)]      # three values, one double
+    df = spark.createDataFrame(rows, "id int, v bigint")
+    a = percent_rank_window(df, "v", "p", True)
+    b = percent_rank_distributed(df, "v", "q", True, num_buckets=4)
+    assert a.join(b.select("id", "q"), "id").filter(F.col("p") != F.col("q")).count() == 0

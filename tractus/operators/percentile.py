@@ -45,6 +45,7 @@ MAX_BOUND_GROUPS = 10_000
 # Bounds held as plan literals over all groups (8 bytes each); beyond it
 # bounds are thinned evenly - buckets get wider, ranks stay exact.
 MAX_TOTAL_BOUNDS = 200_000
+_EXACT_DOUBLE = {"double", "float", "integer", "short", "byte"}
 # Largest peer set sorted by one task in ``percent_rank``'s window path.
 MAX_ROWS_PER_TASK = 1_000_000
 
@@ -216,6 +217,10 @@ def percent_rank_distributed(df: DataFrame, value: str, out: str,
     df, by, dummy = _prepare(df, by)
     v = F.col(value)
     vnum = v.cast("double")
+    # point buckets need an exact cast to double (distinct values stay
+    # distinct); wide integers and decimals keep heavy values in range
+    # buckets, which stay exact but may be larger
+    exact_double = df.schema[value].dataType.typeName() in _EXACT_DOUBLE
 
     # 1. bounds (one action, bounded result) as literals: one array, or a
     #    map from the group key to its arrays
@@ -241,8 +246,10 @@ def percent_rank_distributed(df: DataFrame, value: str, out: str,
 
     # 2. order key: 3 * bucket + sub (0 = heavy point, 1 = range, 2 = NaN)
     b = _search(vnum, arr, m, bind=not dummy)
-    sub = (F.when(F.isnan(vnum), F.lit(2))
-           .when(F.array_contains(hv, vnum), F.lit(0)).otherwise(F.lit(1)))
+    sub = F.when(F.isnan(vnum), F.lit(2))
+    if exact_double:
+        sub = sub.when(F.array_contains(hv, vnum), F.lit(0))
+    sub = sub.otherwise(F.lit(1))
     ok_asc = F.lit(3) * b + sub
     ok = F.when(v.isNull(), F.lit(-1 if ascending else width + 1)) \
         .otherwise(ok_asc if ascending else F.lit(width) - ok_asc)

@@ -1,7 +1,7 @@
 """Job/stage profile of one registered query from Spark's event log
 (written to a fresh scratch folder; no UI, no server).
 
-    python tests/profile.py rank_state /root/testdata/sf0.1
+    python tests/jobprofile.py rank_state /root/testdata/sf0.1
 """
 
 from __future__ import annotations

@@ -33,3 +33,18 @@ def test_materialized_scan_prunes_columns(spark):
     plan = _plan(E.queries()["rank_tract"](spark, SF))
     # the enriched table is read back from parquet, not as opaque rows
     assert "FileScan parquet" in plan or "Scan parquet" in plan
+
+
+def test_distributed_chain_has_no_single_partition_over_units(spark):
+    from tractus.plans import domain as D
+    df = D.ranked(spark, SF, "county", method="distributed")
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("== Initial Plan ==")[0].splitlines()
+    singles = [i for i, line in enumerate(final) if "Exchange SinglePartition" in line]
+    assert singles
+    for i in singles:
+        below = "\n".join(final[i + 1:i + 12])
+        # allowed: bucket sizes of the percent rank, or the <= n rows of the top-k
+        assert ("_pr_bucket" in final[i + 1] or "TakeOrderedAndProject" in below
+                or "ShuffleQueryStage" in final[i + 1] and "TakeOrderedAndProject" in below), below

@@ -55,14 +55,17 @@ def rank_level(units: DataFrame, key: Keys, score: str = "score", n: int = 501,
     """
     keys = _keys(key)
     top = top_keys(level_scores(units, keys, score, agg), keys, n)
+    # rows without a match would be dropped by the drop-any-null below, so
+    # inner joins give the same rows (Catalyst keeps a left join there)
+    how = "inner" if drop_incomplete_before_rank else "left"
     if centres is not None:
         if len(keys) == 1:
-            top = left_join_renamed(top, centres, keys[0], centres_key or keys[0], "left")
+            top = left_join_renamed(top, centres, keys[0], centres_key or keys[0], how)
         else:
-            top = top.join(centres, keys, "left")
+            top = top.join(centres, keys, how)
     if descriptions is not None:
         dkeys = _keys(descriptions_key or key)
-        top = top.join(descriptions.select(*dkeys, "description"), dkeys, "left")
+        top = top.join(descriptions.select(*dkeys, "description"), dkeys, how)
     names = _keys(name or key)
     cols = [*[F.col(c) for c in names], F.col(SCORE),
             (F.col(lat) if centres is not None else F.lit(None).cast("double")).alias("lat"),

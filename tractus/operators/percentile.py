@@ -27,9 +27,13 @@ DataFrame steps whose parallelism grows with the data:
    reaches one task.
 5. percent rank = (offset + rank in bucket) / (n - 1); no join back.
 
+Point buckets are used for value types whose cast to double is exact
+(double, float, int, short, byte); wider integers and decimals keep
+heavy values in range buckets (still exact, possibly larger buckets).
+
 The only action is the quantile sketch (bounded result: num_buckets
 doubles per group).  Callers should materialize an expensive input
-first, since it is read twice (sketch + plan).
+first: it is read by the sketch, the bucket sizes and the ranked rows.
 """
 
 from __future__ import annotations

@@ -219,15 +219,14 @@ def connected_parts(df: DataFrame, key: str, unit: str, geometry: str = "geometr
         through = (nbr.join(labels.withColumnRenamed("u", "b"), "b")
                    .groupBy(F.col("a").alias("u")).agg(F.min("label").alias("_m")))
         prop = (labels.join(through, "u", "left")
-                .select("u", F.least("label", F.coalesce("_m", "label")).alias("p")))
+                .select("u", F.col("label").alias("old"),
+                        F.least("label", F.coalesce("_m", "label")).alias("p")))
         jump = prop
         for _ in range(JUMPS_PER_ROUND):   # pointer jumping: p <- p(p)
             jump = (jump.join(jump.select(F.col("u").alias("p"), F.col("p").alias("pp")), "p", "left")
-                    .select("u", F.coalesce("pp", "p").alias("p")))
-        jump = jump.withColumnRenamed("p", "label_new")
-        step = jump.join(labels, "u").select(
-            "u", F.col("label_new").alias("label"),
-            (F.col("label_new") != F.col("label")).cast("int").alias("_changed"))
+                    .select("u", "old", F.coalesce("pp", "p").alias("p")))
+        step = jump.select("u", F.col("p").alias("label"),
+                           (F.col("p") != F.col("old")).cast("int").alias("_changed"))
         obs = Observation("changed")
         path = scratch_dir(spark, "parts-labels")
         (step.observe(obs, F.sum("_changed").alias("n")).drop("_changed")

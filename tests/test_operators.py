@@ -147,3 +147,14 @@ def test_composite_score_strict_and_scaled(spark):
     scaled = {r.id: r.score for r in
               composite_score(df, ["a", "b"], "d", method="window", scales={"a": 0.1}).collect()}
     assert float(scaled[1]) == 3.0 and float(scaled[3]) == 7.0
+
+
+def test_empty_inputs(spark):
+    from tractus.operators.percentile import percent_rank_distributed
+    from tractus.operators import geo as G
+    empty = spark.createDataFrame([], "id int, v double, k string, score double")
+    assert percent_rank_distributed(empty, "v", "p", True, num_buckets=4).count() == 0
+    assert percent_rank_distributed(empty, "v", "p", True, ["k"], num_buckets=4).count() == 0
+    assert rank_level(empty, "k", "score").count() == 0
+    g = spark.createDataFrame([(1, [])], "id int, geometry array<array<array<struct<x:double,y:double>>>>")
+    assert G.interior_point_rows(g, ["id"]).first().x is None

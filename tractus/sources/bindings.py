@@ -83,9 +83,14 @@ INDICATORS = ["quantity", "revenue", "lines", "tax", "discount", "returns",
 
 def unit_indicators(spark: SparkSession, src: str) -> DataFrame:
     """Per-customer indicators from urgent orders (one row per customer
-    that has any).  Partial aggregation runs before the shuffle on
-    o_custkey, so a customer with a third of all lines is combined
-    map-side."""
+    that has any).
+
+    The filter on o_orderpriority reaches the orders scan.  At scale the
+    urgent orders are too large to broadcast: the join is a sort-merge
+    join on the order key, and Spark's runtime bloom filter (on by
+    default) built from the filtered orders prunes lineitem before its
+    shuffle.  Partial aggregation runs before the shuffle on o_custkey,
+    so a customer with a third of all lines is combined map-side."""
     orders = (_read(spark, src, "orders",
                          ["o_orderkey", "o_custkey", "o_orderpriority"])
               .filter(F.col("o_orderpriority") == URGENT_PRIORITY))

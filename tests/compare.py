@@ -1,16 +1,17 @@
 """Local stand-in for the driver's correctness gate: run a registered
 query on Spark and its oracle SQL on DuckDB over the same parquet files,
-then compare row count, column names and order-insensitive values."""
+then compare row count, column names and types, and order-insensitive
+values."""
 
 from __future__ import annotations
 
 import math
-import sys
-
 import os
+import sys
 
 import duckdb
 
+# COMPARE_EXACT=1: floats must be bit-equal (default: rounded to 9 places)
 EXACT = os.environ.get("COMPARE_EXACT") == "1"
 
 TABLES = ("region nation customer supplier part orders lineitem events documents "

@@ -81,3 +81,21 @@ def grid_clusters(df: DataFrame, zoom: int, lat: str = "lat", lon: str = "lon",
             .agg(F.count(F.lit(1)).alias("point_count"),
                  F.avg(value).alias("mean_value"),
                  F.avg(lat).alias("lat"), F.avg(lon).alias("lon")))
+
+
+def grid_cluster_pyramid(df: DataFrame, zooms: list[int], lat: str = "lat", lon: str = "lon",
+                         value: str = "rank") -> DataFrame:
+    """A8 for every zoom level of a map at once (the client clusters at
+    each zoom): each point is repeated once per zoom (a narrow explode of
+    a literal array) and one grouped aggregate, combined map-side, builds
+    every level's clusters."""
+    cells = F.explode(F.array(*[F.struct(F.lit(z).alias("zoom"),
+                                         F.lit(360.0 / (2 ** z)).alias("cell")) for z in zooms]))
+    pts = (df.filter(F.col(lat).isNotNull() & F.col(lon).isNotNull())
+           .select(lat, lon, value, cells.alias("_z")))
+    return (pts.groupBy(F.col("_z.zoom").alias("zoom"),
+                        F.floor(F.col(lon) / F.col("_z.cell")).alias("cell_x"),
+                        F.floor(F.col(lat) / F.col("_z.cell")).alias("cell_y"))
+            .agg(F.count(F.lit(1)).alias("point_count"),
+                 F.avg(value).alias("mean_value"),
+                 F.avg(lat).alias("lat"), F.avg(lon).alias("lon")))

@@ -341,6 +341,7 @@ def serve_domain_extent(spark, src):
 
 
 GRID_ZOOM = 9
+PYRAMID_ZOOMS = list(range(3, 13))
 
 
 @register("grid_clusters", O.chain(O.ranked_ctes("tract")) + f"""
@@ -556,3 +557,19 @@ def score_sorted(spark, src):
     s = D.scored_units(spark, src)
     return (s.select("unit_id", F.col("score").cast("double").alias("score"))
             .orderBy(F.col("score").desc_nulls_last()))
+
+
+
+@register("grid_cluster_pyramid", O.chain(O.ranked_ctes("tract")) + f"""
+, zooms AS (SELECT unnest({PYRAMID_ZOOMS}) AS zoom)
+SELECT CAST(zoom AS INTEGER) AS zoom,
+       CAST(floor(lon / (CAST(360.0 AS DOUBLE) / CAST(pow(2, zoom) AS DOUBLE))) AS BIGINT) AS cell_x,
+       CAST(floor(lat / (CAST(360.0 AS DOUBLE) / CAST(pow(2, zoom) AS DOUBLE))) AS BIGINT) AS cell_y,
+       count(*) AS point_count, avg(rank) AS mean_value,
+       round(avg(lat), 6) AS lat, round(avg(lon), 6) AS lon
+FROM ranked_tract, zooms WHERE lat IS NOT NULL AND lon IS NOT NULL
+GROUP BY 1, 2, 3""")
+def grid_cluster_pyramid(spark, src):
+    from tractus.operators.serve import grid_cluster_pyramid as gcp
+    out = gcp(D.ranked(spark, src, "tract"), PYRAMID_ZOOMS)
+    return out.withColumn("lat", _r("lat", 6)).withColumn("lon", _r("lon", 6))

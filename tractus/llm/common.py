@@ -25,6 +25,26 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
+class Memory(dict):
+    """Values made on first use.  When ``limit`` new ones are held, the
+    older generation goes and they become the older one, so that values in use
+    stay and at most twice ``limit`` are held."""
+
+    def __init__(self, make: Callable, limit: int):
+        super().__init__()
+        self.make, self.limit, self.older = make, limit, {}
+
+    def __missing__(self, key):
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.limit:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 def crc_mod(col: Column | str, n: int) -> Column:
     """crc32(value as text) mod n; null for a null value."""
     c = F.col(col) if isinstance(col, str) else col

@@ -52,3 +52,9 @@ def op10_language_id(spark, sf_dir):
     model = langid.fit(docs, crc_mod("doc_id", 5) != 0)
     held = F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False))
     return langid.predict(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+@register
+def op9_best_fit_packing(spark, sf_dir):
+    from tractus.llm import packing
+    return packing.pack(documents(spark, sf_dir), packing.default_vocabulary())

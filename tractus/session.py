@@ -112,6 +112,15 @@ def scratch_dir(spark: SparkSession, purpose: str = "scratch") -> str:
     return path
 
 
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Remove a folder that ``scratch_dir`` made, through the file system that
+    its path names."""
+    if "/" not in path or not path.startswith(checkpoint_base(spark).rstrip("/") + "/"):
+        raise ValueError(f"not a scratch folder: {path}")
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def materialize(df: DataFrame, purpose: str = "table") -> DataFrame:
     """Cut lineage by writing the table as parquet into a new folder of
     the shared checkpoint folder and reading it back.

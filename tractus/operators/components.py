@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tractus.session import remove_path, scratch_dir
 
 
-def _star(pairs: DataFrame, keep: str) -> DataFrame:
+def _star(pairs: DataFrame, keep: str) -> tuple[DataFrame, DataFrame]:
     """Join each neighbour v of u with ``keep`` to the smallest of u and its neighbours there."""
     least = pairs.groupBy("u").agg(F.min("v").alias("_m")).withColumn("_m", F.least("u", "_m"))
     out = pairs.where(keep).join(least, "u").select(F.col("v").alias("a"), F.col("_m").alias("b"))

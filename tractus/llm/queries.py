@@ -58,3 +58,11 @@ def op10_language_id(spark, sf_dir):
 def op9_best_fit_packing(spark, sf_dir):
     from tractus.llm import packing
     return packing.pack(documents(spark, sf_dir), packing.default_vocabulary())
+
+
+@register
+def op8_simhash_near_dedup(spark, sf_dir):
+    from tractus.llm import simhash
+    found = simhash.near_duplicates(documents(spark, sf_dir))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id",
+                        (F.col("doc_id") == F.col("component_id")).alias("kept"))

@@ -66,3 +66,9 @@ def op8_simhash_near_dedup(spark, sf_dir):
     found = simhash.near_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id",
                         (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
+@register
+def op3_document_fingerprints(spark, sf_dir):
+    from tractus.llm import fingerprint
+    return fingerprint.compare_edits(documents(spark, sf_dir))

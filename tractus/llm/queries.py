@@ -72,3 +72,14 @@ def op8_simhash_near_dedup(spark, sf_dir):
 def op3_document_fingerprints(spark, sf_dir):
     from tractus.llm import fingerprint
     return fingerprint.compare_edits(documents(spark, sf_dir))
+
+
+@register
+def op7_lm_scoring(spark, sf_dir):
+    from tractus.llm import classlm
+    docs = documents(spark, sf_dir)
+    model, vocabulary = classlm.fit(docs, crc_mod("doc_id", 5) != 1)
+    held = F.coalesce(crc_mod("doc_id", 5) == 1, F.lit(False))
+    return classlm.score(docs, model, vocabulary).select(
+        "doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(model.train_tokens).cast("long").alias("train_tokens"),
+        "base_score", "score", classlm.perplexity(F.col("score"), F.col("n_tokens")).alias("perplexity"))

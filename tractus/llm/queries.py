@@ -83,3 +83,9 @@ def op7_lm_scoring(spark, sf_dir):
     return classlm.score(docs, model, vocabulary).select(
         "doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(model.train_tokens).cast("long").alias("train_tokens"),
         "base_score", "score", classlm.perplexity(F.col("score"), F.col("n_tokens")).alias("perplexity"))
+
+
+@register
+def op5_embedding_near_dedup(spark, sf_dir):
+    from tractus.llm import vectorjoin
+    return vectorjoin.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))

@@ -89,3 +89,9 @@ def op7_lm_scoring(spark, sf_dir):
 def op5_embedding_near_dedup(spark, sf_dir):
     from tractus.llm import vectorjoin
     return vectorjoin.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+@register
+def op6_substring_dedup(spark, sf_dir):
+    from tractus.llm import substring
+    return substring.near_duplicate_spans(documents(spark, sf_dir))

@@ -21,10 +21,11 @@ from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tractus.llm.common import id_text, map_slices, materialize
+from tractus.llm.common import SLICE_ROWS, id_text, map_slices, materialize
 
 FEATURES = ("log_words", "word_length", "word_length_spread", "repeat_share", "top_word_share",
             "adjacent_repeat", "repeat_line_share", "symbol_share", "upper_share", "digit_share",
@@ -144,7 +145,6 @@ def _moments(labelled: DataFrame, centre: np.ndarray | None, scale: np.ndarray |
     """Per class: rows, sums, sums of products - partial in each task, then
     one aggregate over (class, position): 2 * (1 + D + D*D) rows."""
     def partials(batches):
-        import pyarrow as pa
         acc = {}
         for b in batches:
             y, x = np.array(b.column(0).to_pylist(), dtype=np.int64), _matrix(b, 1)
@@ -196,7 +196,6 @@ def _calibrate(rows: DataFrame, model: QualityModel) -> tuple[float, float]:
     """Logistic calibration of the density difference on a histogram (2 x
     CALIBRATION_BINS sums over all labelled rows)."""
     def partials(batches):
-        import pyarrow as pa
         h = np.zeros((2, CALIBRATION_BINS), dtype=np.int64)
         for b in batches:
             y, d = np.array(b.column(0).to_pylist(), dtype=np.int64), model.difference(_matrix(b, 1))
@@ -230,3 +229,19 @@ def score(feats: DataFrame, model: QualityModel) -> DataFrame:
     def run(b):
         return {"doc_id": b.column(0), "score": model.score(_matrix(b, 1))}
     return map_slices(feats.select("doc_id", "x"), run, "doc_id long, score double", rows=4096)
+
+
+def accepted(docs: DataFrame, model: QualityModel, threshold: float) -> DataFrame:
+    """The rows, with all columns, whose text scores ``threshold`` or more.
+    Rows are judged where they are read: no join, so repeated and null ids
+    need no care."""
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for whole in batches:
+            for start in range(0, whole.num_rows, SLICE_ROWS):
+                b = whole.slice(start, SLICE_ROWS)
+                x = np.array([statistics(t.as_py() or "") for t in b.column(at)], dtype=np.float64).reshape(-1, D)
+                yield b.filter(pa.array(model.score(x) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -193,7 +193,7 @@ def grouped(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 _STAGE = "a long, b long, key long, block long, fps binary, reps binary, mask long, value long"
 
 
-def _join_groups(max_bits: int):
+def _join_groups(max_bits: int, rows: int = BLOCK):
     """Over rows sorted by (key, rank): links inside the groups that lie
     within the task, and the blocks of those that may not."""
     schema = pa.schema([(n, pa.int64()) for n in ("a", "b", "key", "block")]
@@ -227,16 +227,17 @@ def _join_groups(max_bits: int):
             if last:
                 yield k[:last], f[:last], r[:last]
             k, f, r = k[last:], f[last:], r[last:]
-            while len(k) >= 2 * BLOCK:
-                yield k[:BLOCK], f[:BLOCK], r[:BLOCK]
-                k, f, r = k[BLOCK:], f[BLOCK:], r[BLOCK:]
+            while len(k) >= 2 * rows:
+                yield k[:rows], f[:rows], r[:rows]
+                k, f, r = k[rows:], f[rows:], r[rows:]
             hold = (k, f, r)
         if hold is not None and len(hold[0]):
             yield hold
 
     def run(batches):
         from pyspark import TaskContext
-        number = TaskContext.get().partitionId() << 32
+        task = TaskContext.get()
+        number = (task.partitionId() if task else 0) << 32
         first, open_key = True, None
         pending = None
         # a group at either end of the task, or one cut by size, goes out as blocks
@@ -245,7 +246,7 @@ def _join_groups(max_bits: int):
             start = np.concatenate([[0], np.flatnonzero(k[1:] != k[:-1]) + 1])
             size = np.diff(np.append(start, len(k)))
             out = np.zeros(len(start), bool)
-            out |= size > BLOCK
+            out |= size > rows
             if edge_first:
                 out[0] = True
             if edge_last:
@@ -255,8 +256,8 @@ def _join_groups(max_bits: int):
             blocked = np.repeat(out, size)
             for s in np.flatnonzero(out):
                 open_key = int(k[start[s]])
-                for at in range(start[s], start[s] + size[s], BLOCK):
-                    stop = min(at + BLOCK, start[s] + size[s])
+                for at in range(start[s], start[s] + size[s], rows):
+                    stop = min(at + rows, start[s] + size[s])
                     i, j = near_pairs(f[at:stop], None, max_bits)
                     yield links(f, r, i + at, j + at)
                     number += 1
@@ -293,14 +294,14 @@ def _join_groups(max_bits: int):
     return run
 
 
-def near_links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+def near_links(fps: DataFrame, max_bits: int = MAX_BITS, rows: int = BLOCK) -> DataFrame:
     """Links (a, b) between representatives that connect all fingerprints
     (fp, rep) within ``max_bits``.  ``fps`` is a materialized table of distinct
     fingerprints."""
     spark = fps.sparkSession
     laid = (grouped(fps, max_bits).repartitionByRange(shuffle_width(spark), "key", "rank")
             .sortWithinPartitions("key", "rank").select("key", "fp", "rep"))
-    stage = materialize(laid.mapInArrow(_join_groups(max_bits), _STAGE), "simhash-groups")
+    stage = materialize(laid.mapInArrow(_join_groups(max_bits, rows), _STAGE), "simhash-groups")
     inside = stage.where("key is null").select("a", "b")
     blocks = stage.where("key is not null").select("key", "block", "fps", "reps", "mask", "value")
     left = blocks.select("key", *[F.col(c).alias(f"l_{c}") for c in ("block", "fps", "reps", "mask", "value")])

@@ -29,7 +29,7 @@ def test_rank_then_serve(spark, capsys):
     counties = _write(scratch_dir(spark, "cli-k"), ",CF,SF,lat,lon,geo_size",
                       [(k, f"C{k} County", "S0", 30.0, -90.0, 1.0) for k in range(4)])
     points = _write(scratch_dir(spark, "cli-p"), ",GEOID10,CF,SF,lat,lon,geo_size",
-                    [(i, f"{i:011d}", "C", "S", 30.0, -90.0, 1.0) for i in range(8)])
+                    [(i, str(i), "C", "S", 30.0 + i, -90.0, 1.0) for i in range(8)])   # zeros lost
     out = scratch_dir(spark, "cli-out")
     main(["rank", "--tracts", tracts, "--cities", cities, "--state-points", states,
           "--county-points", counties, "--tract-points", points, "--out", out])
@@ -42,3 +42,8 @@ def test_rank_then_serve(spark, capsys):
     main(["serve", "--ranked", out, "--level", "state", "--n", "20", "--features"])
     feats = [json.loads(x) for x in capsys.readouterr().out.splitlines()]
     assert len(feats) == 1 and feats[0]["geometry"]["coordinates"] == [-91.0, 31.0]
+    main(["serve", "--ranked", out, "--level", "census_tract", "--n", "20"])
+    rows = [json.loads(x) for x in capsys.readouterr().out.splitlines()]
+    assert len(rows) == 8 and all(r["tooltip"] == r["name"] and r["lat"] == 30.0 + int(r["name"]) for r in rows)
+    main(["serve", "--ranked", out, "--level", "city", "--n", "20"])
+    assert all("Town" in json.loads(x)["name"] for x in capsys.readouterr().out.splitlines())

@@ -31,13 +31,3 @@ def con():
 def test_query_matches_oracle(spark, con, name):
     ok = compare(spark, name, E.queries()[name], E.oracle_sql()[name], SF_SMALL, con)
     assert all(ok), ok
-
-
-@pytest.mark.parametrize("level", ["state", "city", "tract"])
-def test_distributed_chain_matches_oracle(spark, con, level):
-    """The whole chain with the distributed percent rank forced
-    gives the oracle's table, like the size-checked default."""
-    from tractus.plans import domain as D
-    ok = compare(spark, f"rank_{level}", lambda s, src: D.ranked(s, src, level, method="distributed"),
-                 E.oracle_sql()[f"rank_{level}"], SF_SMALL, con)
-    assert all(ok), ok

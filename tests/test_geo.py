@@ -96,3 +96,39 @@ def test_multi_part_region_scans_each_part(spark):
     assert G.interior_point_parts(df, "key", "id").first().asDict() == {"key": "k", "x": 10.0, "y": 0.5}
     assert G.interior_point(G.dissolve(df, "key"), ["key"], None).first().asDict() == \
         {"key": "k", "x": 0.5, "y": 5.5}
+
+
+def test_long_chain_of_cells_is_one_part(spark):
+    """A row of cells with shuffled ids: rounds grow with the logarithm of its length."""
+    import random
+    ids = list(range(2000))
+    random.Random(4).shuffle(ids)
+    rows = [(i, "k" if x < 1200 or x > 1300 else "other",
+             poly([(x, 0), (x + 1, 0), (x + 1, 1), (x, 1), (x, 0)])) for x, i in enumerate(ids)]
+    df = spark.createDataFrame(rows, f"id int, key string, geometry {GEOM}")
+    got = {r.id: r.part for r in G.connected_parts(df, "key", "id", quantum=1.0).collect()}
+    for lo, hi in ((0, 1200), (1200, 1301), (1301, 2000)):
+        assert {got[i] for i in ids[lo:hi]} == {min(ids[lo:hi])}
+
+
+def test_components_of_random_graphs(spark):
+    import random
+    from tractus.operators.components import components
+    r = random.Random(2)
+    links = [(r.randrange(300), r.randrange(300)) for _ in range(260)] + [(None, 5), (7, None), (9, 9)]
+    links += [(1000 + i, 1000 + i + 1) for i in range(64)] + [(5000, 5001 + i) for i in range(200)]
+    root = {}
+
+    def find(x):
+        root.setdefault(x, x)
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        if a is not None and b is not None and a != b:
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
+    got = {x.id: x.component for x in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {x: find(x) for x in root}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0

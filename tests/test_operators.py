@@ -43,13 +43,13 @@ def test_top3_ties_keep_list_order(spark):
     metrics = [f"m{i}" for i in range(7)]
     df = spark.createDataFrame([("s1", *[1.0] * 7), ("s2", *[1.0] * 7)],
                                "k string, " + ", ".join(f"{m} double" for m in metrics))
-    d = explain_level(df, "k", metrics, 3, "window").orderBy("k").collect()
+    d = explain_level(df, "k", metrics, 3).orderBy("k").collect()
     assert d[0].description == "Ranks highly in: m0: 0%, m1: 0%, m2: 0%"
 
 
 def test_explain_null_key_is_peer_without_description(spark):
     df = spark.createDataFrame([("a", 1.0), ("b", 2.0), (None, 3.0)], "k string, m double")
-    d = {r.k: r.description for r in explain_level(df, "k", ["m"], 3, "window").collect()}
+    d = {r.k: r.description for r in explain_level(df, "k", ["m"], 3).collect()}
     assert d == {"a": "Ranks highly in: m: 0%", "b": "Ranks highly in: m: 50%"}
 
 
@@ -128,7 +128,7 @@ def test_composite_county_key_keeps_same_names_apart(spark):
     by_name = rank_level(df, "county", "score").collect()
     assert len(by_name) == 2
     both = rank_level(df, ["state", "county"], "score",
-                      descriptions=explain_level(df, ["state", "county"], ["m"], 1, "window"),
+                      descriptions=explain_level(df, ["state", "county"], ["m"], 1),
                       descriptions_key=["state", "county"]).orderBy("rank").collect()
     assert [(r.state, r.county, r["rank"]) for r in both] == [("A", "Kent", 1), ("A", "Ada", 2), ("B", "Kent", 3)]
     assert both[2].description == "Ranks highly in: m: 50%"
@@ -140,21 +140,21 @@ def test_composite_score_strict_and_scaled(spark):
     from tractus.operators.score import composite_score
     df = spark.createDataFrame([(1, 10.0, 2.0, 5.0), (2, None, 1.0, 4.0), (3, 30.0, 3.0, None)],
                                "id int, a double, b double, d double")
-    plain = {r.id: r.score for r in composite_score(df, ["a", "b"], "d", method="window").collect()}
+    plain = {r.id: r.score for r in composite_score(df, ["a", "b"], "d").collect()}
     assert plain[2] is None                       # strict: any NULL term -> NULL
     assert float(plain[1]) == 12.0                # densest unit: percentile 0
     assert float(plain[3]) == 34.0                # NULL density ranks last: percentile 1
     scaled = {r.id: r.score for r in
-              composite_score(df, ["a", "b"], "d", method="window", scales={"a": 0.1}).collect()}
+              composite_score(df, ["a", "b"], "d", scales={"a": 0.1}).collect()}
     assert float(scaled[1]) == 3.0 and float(scaled[3]) == 7.0
 
 
 def test_empty_inputs(spark):
-    from tractus.operators.percentile import percent_rank_distributed
+    from tractus.operators.percentile import percent_rank
     from tractus.operators import geo as G
     empty = spark.createDataFrame([], "id int, v double, k string, score double")
-    assert percent_rank_distributed(empty, "v", "p", True, num_buckets=4).count() == 0
-    assert percent_rank_distributed(empty, "v", "p", True, ["k"], num_buckets=4).count() == 0
+    assert percent_rank(empty, "v", "p", True).count() == 0
+    assert percent_rank(empty, "v", "p", True, ["k"]).count() == 0
     assert rank_level(empty, "k", "score").count() == 0
     g = spark.createDataFrame([(1, [])], "id int, geometry array<array<array<struct<x:double,y:double>>>>")
     assert G.interior_point_rows(g, ["id"]).first().x is None

@@ -2,7 +2,7 @@
 
 import pytest
 
-from tractus.session import MAX_SHUFFLE_PARTITIONS, checkpoint_base, recommended_conf
+from tractus.session import checkpoint_base, recommended_conf
 
 
 class _Conf:
@@ -39,5 +39,5 @@ def test_recommended_conf_sizes_partitions():
     small = recommended_conf(10 * 2**30, 64)
     assert small["spark.sql.shuffle.partitions"] == str(3 * 64)
     big = recommended_conf(100 * 2**40, 8000)
-    assert big["spark.sql.shuffle.partitions"] == str(MAX_SHUFFLE_PARTITIONS)
+    assert big["spark.sql.shuffle.partitions"] == str(100 * 2**40 // (128 << 20))
     assert big["spark.sql.adaptive.skewJoin.enabled"] == "true"

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F  # noqa: E402
 
 from tractus.operators.density import density_enrichment  # noqa: E402
 from tractus.operators.explain import explain_level  # noqa: E402
-from tractus.operators.percentile import percent_rank_distributed, percent_rank_window  # noqa: E402
+from tractus.operators.percentile import percent_rank, percent_rank_window  # noqa: E402
 from tractus.plans import domain as D  # noqa: E402
 from tractus.session import get_session, materialize  # noqa: E402
 from tractus.sources import bindings as B  # noqa: E402
@@ -58,9 +58,9 @@ def main(src: str) -> None:
         "variants-regions")
     variants = {
         "w2_builtin_window": lambda: percent_rank_window(enriched, "unit_density", "p", False),
-        "w2_distributed": lambda: percent_rank_distributed(enriched, "unit_density", "p", False),
+        "w2_distributed": lambda: percent_rank(enriched, "unit_density", "p", False),
         "c4_seven_global_windows": lambda: seven_windows(scored, "county_name", B.INDICATORS),
-        "c4_unpivoted_window": lambda: explain_level(scored, "county_name", B.INDICATORS, 3, "window"),
+        "c4_unpivoted_window": lambda: explain_level(scored, "county_name", B.INDICATORS, 3),
         "c2_aggregate_join": lambda: density_enrichment(regions, "population", "geo_area",
                                                         "unit_density", D.DENSITY_LEVELS),
         "c2_window_per_key": lambda: window_density(regions, D.DENSITY_LEVELS),

@@ -22,8 +22,7 @@ from tractus.session import (checkpoint_base, get_session, materialize, recommen
 from tractus.operators.density import DensityLevel, density_enrichment, group_density
 from tractus.operators.explain import explain_level
 from tractus.operators.levels import LevelSpec, rank_levels
-from tractus.operators.percentile import (percent_rank, percent_rank_distributed,
-                                          percent_rank_window)
+from tractus.operators.percentile import percent_rank, percent_rank_window, value_ranks
 from tractus.operators.places import attach_principal_place, principal_places
 from tractus.operators.rank import rank_level
 from tractus.operators.score import composite_score
@@ -32,7 +31,7 @@ from tractus.plans.areas import rank_areas
 __all__ = [
     "DensityLevel", "LevelSpec", "attach_principal_place", "checkpoint_base",
     "composite_score", "density_enrichment", "explain_level", "get_session",
-    "group_density", "materialize", "percent_rank", "percent_rank_distributed",
-    "percent_rank_window", "principal_places", "rank_areas", "rank_level", "rank_levels",
+    "group_density", "materialize", "percent_rank", "percent_rank_window",
+    "principal_places", "rank_areas", "rank_level", "rank_levels",
     "recommended_conf", "scratch_dir",
 ]

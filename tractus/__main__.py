@@ -18,6 +18,7 @@ import sys
 
 SERVE_SIZES = (20, 50, 100, 200, 500)
 LEVELS = ("state", "county", "city", "census_tract")
+UNDESCRIBED = ("census_tract",)
 RANKED_SCHEMA = ("name string, rank int, lat double, lon double, description string, "
                  "level string")
 
@@ -47,7 +48,7 @@ def _serve(args: argparse.Namespace) -> None:
     from tractus.sources.files import read_level_table
     spark = get_session(args.master)
     ranked = read_level_table(spark, args.ranked, args.level, RANKED_SCHEMA)
-    top = serve_top_n(ranked, "name", args.n)
+    top = serve_top_n(ranked, "name", args.n, described=args.level not in UNDESCRIBED)
     if args.features:
         out = records(features(top, "name"), args.n)
         for r in out:

@@ -7,8 +7,7 @@ the earlier variable in the list (W5), and write
 ``Ranks highly in: A: 98%, B: 94%, C: 92%`` (P7, T2, A5, T3).
 
 Plan shape: one grouped aggregate (partial + final), one unpivot, one
-percent rank partitioned by variable (size-checked: distributed when
-the peer set, every key of the level, outgrows one task), one ``row_number() <= k`` per key
+percent rank partitioned by variable (distributed at every size), one ``row_number() <= k`` per key
 (``WindowGroupLimit``), one ordered collect per key whose input is
 bounded by k.  No driver round trip, no Python worker.
 
@@ -25,7 +24,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tractus.functions.columns import list_text, percent_label
-from tractus.operators.percentile import percent_rank_by_method
+from tractus.operators.percentile import percent_rank
+from tractus.session import materialize
 
 VARIABLE, VALUE, POS, RN = "variable", "value", "pos", "rn"
 Keys = str | list[str]
@@ -54,13 +54,10 @@ def unpivot_metrics(sums: DataFrame, key: Keys, metrics: list[str]) -> DataFrame
     return long.withColumn(POS, pos[F.col(VARIABLE)])
 
 
-def peer_percentiles(long: DataFrame, method: str = "auto",
-                     row_bound: int | None = None) -> DataFrame:
-    """Ascending percent rank of ``value`` within each ``variable``.
-    ``row_bound`` bounds the keys per variable (e.g. the unit count)."""
+def peer_percentiles(long: DataFrame) -> DataFrame:
+    """Ascending percent rank of ``value`` within each ``variable``."""
     raw = long.withColumnRenamed(VALUE, "_raw")
-    return percent_rank_by_method(raw, "_raw", VALUE, True, [VARIABLE], method,
-                                  row_bound).drop("_raw")
+    return percent_rank(raw, "_raw", VALUE, True, [VARIABLE]).drop("_raw")
 
 
 def top_metrics(pct: DataFrame, key: Keys, k: int = 3) -> DataFrame:
@@ -84,10 +81,9 @@ def describe(top: DataFrame, key: Keys, prefix: str = DESCRIPTION_PREFIX,
             .agg(list_text(ordered, prefix, sep).alias("description")))
 
 
-def explain_level(df: DataFrame, key: Keys, metrics: list[str], k: int = 3,
-                  method: str = "auto", row_bound: int | None = None) -> DataFrame:
-    """C4: (key, description) for every non-NULL key of the level.
-    ``row_bound``: a proven bound of the rows of ``df`` (keys <= rows)."""
-    sums = metric_sums(df, key, metrics)
-    pct = peer_percentiles(unpivot_metrics(sums, key, metrics), method, row_bound)
+def explain_level(df: DataFrame, key: Keys, metrics: list[str], k: int = 3) -> DataFrame:
+    """C4: (key, description) for every non-NULL key of the level.  The sums
+    (one row per key) are written once: the percentile reads them twice."""
+    sums = materialize(metric_sums(df, key, metrics), "metric-sums")
+    pct = peer_percentiles(unpivot_metrics(sums, key, metrics))
     return describe(top_metrics(pct, key, k), key)

@@ -31,6 +31,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tractus.operators.components import components
+
 from tractus.functions.geometry import geometry_area, interior_point_expr, ring_signed_area
 from tractus.functions.projection import project_geometry
 
@@ -173,10 +175,6 @@ def interior_point_rows(df: DataFrame, keys: list[str], geometry: str = "geometr
     return df.select(*keys, p["x"].alias("x"), p["y"].alias("y"))
 
 
-MAX_LABEL_ROUNDS = 64
-JUMPS_PER_ROUND = 2
-
-
 def unit_adjacency(df: DataFrame, key: str, unit: str, geometry: str = "geometry",
                    quantum: float = DEGREE_QUANTUM) -> DataFrame:
     """Pairs (a, b) of units of the same key that share an edge - one pair
@@ -191,55 +189,15 @@ def unit_adjacency(df: DataFrame, key: str, unit: str, geometry: str = "geometry
 
 
 def connected_parts(df: DataFrame, key: str, unit: str, geometry: str = "geometry",
-                    quantum: float = DEGREE_QUANTUM,
-                    max_rounds: int = MAX_LABEL_ROUNDS) -> DataFrame:
+                    quantum: float = DEGREE_QUANTUM) -> DataFrame:
     """(unit, key, part): part = smallest unit id of the connected block of
-    same-key units (units touching along an edge).
-
-    Min-label propagation with pointer jumping: each round every unit
-    takes the smallest label among itself and its neighbours, then the
-    label of that label.  Labels only decrease and stay inside the
-    component, so the fixed point is the component minimum; jumping
-    makes the number of rounds far smaller than the diameter.  Each
-    round is written to the shared checkpoint folder (lineage cut) and
-    the number of changed labels is observed during that write.
-    """
-    from pyspark.sql import Observation
-
-    from tractus.session import scratch_dir
-    spark = df.sparkSession
-    adj = unit_adjacency(df, key, unit, geometry, quantum)
-    nbr = adj.unionByName(adj.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    path = scratch_dir(spark, "parts-adjacency")
-    nbr.write.mode("overwrite").parquet(path)
-    nbr = spark.read.schema(nbr.schema).parquet(path)
-    labels = df.filter(F.col(key).isNotNull()).select(F.col(unit).alias("u"),
-                                                      F.col(unit).alias("label"))
-    for _ in range(max_rounds):
-        through = (nbr.join(labels.withColumnRenamed("u", "b"), "b")
-                   .groupBy(F.col("a").alias("u")).agg(F.min("label").alias("_m")))
-        prop = (labels.join(through, "u", "left")
-                .select("u", F.col("label").alias("old"),
-                        F.least("label", F.coalesce("_m", "label")).alias("p")))
-        jump = prop
-        for _ in range(JUMPS_PER_ROUND):   # pointer jumping: p <- p(p)
-            jump = (jump.join(jump.select(F.col("u").alias("p"), F.col("p").alias("pp")), "p", "left")
-                    .select("u", "old", F.coalesce("pp", "p").alias("p")))
-        step = jump.select("u", F.col("p").alias("label"),
-                           (F.col("p") != F.col("old")).cast("int").alias("_changed"))
-        obs = Observation("changed")
-        path = scratch_dir(spark, "parts-labels")
-        (step.observe(obs, F.sum("_changed").alias("n")).drop("_changed")
-         .write.mode("overwrite").parquet(path))
-        labels = spark.read.schema("u " + labels.schema["u"].dataType.simpleString()
-                                   + ", label " + labels.schema["u"].dataType.simpleString()
-                                   ).parquet(path)
-        if not (obs.get["n"] or 0):
-            break
-    else:
-        raise RuntimeError(f"connected_parts: no fixed point after {max_rounds} rounds")
-    return (df.filter(F.col(key).isNotNull()).select(unit, key)
-            .join(labels.select(F.col("u").alias(unit), F.col("label").alias("part")), unit))
+    same-key units (units touching along an edge).  A long row of cells
+    takes a number of rounds that grows with the logarithm of its length
+    (``operators.components``)."""
+    found = components(unit_adjacency(df, key, unit, geometry, quantum))
+    units = df.filter(F.col(key).isNotNull()).select(unit, key)
+    return (units.join(found, units[unit] == found["id"], "left")
+            .select(units[unit], units[key], F.coalesce("component", units[unit]).alias("part")))
 
 
 def interior_point_parts(df: DataFrame, key: str, unit: str, geometry: str = "geometry",

@@ -39,10 +39,12 @@ class LevelSpec:
 
 def rank_one_level(scored: DataFrame, spec: LevelSpec, indicators: list[str],
                    score: str = "score", n: int = 501, top: int = 3,
-                   method: str = "auto", row_bound: int | None = None) -> DataFrame:
-    """(name, rank, lat, lon[, description]) of one level."""
-    desc = (explain_level(scored, spec.describe_by, indicators, top, method, row_bound)
-            if spec.describe_by else None)
+                   indicators_of: DataFrame | None = None) -> DataFrame:
+    """(name, rank, lat, lon[, description]) of one level.  The explanation
+    reads ``indicators_of`` (the units before scoring) where it is given: it needs
+    no score, and so no percentile of the units."""
+    source = scored if indicators_of is None else indicators_of
+    desc = explain_level(source, spec.describe_by, indicators, top) if spec.describe_by else None
     return rank_level(scored, spec.key, score, n, spec.centres, spec.centres_key,
                       desc, spec.describe_by, spec.name,
                       drop_incomplete_before_rank=spec.drop_incomplete_before_rank,
@@ -50,13 +52,13 @@ def rank_one_level(scored: DataFrame, spec: LevelSpec, indicators: list[str],
 
 
 def rank_levels(scored: DataFrame, specs: dict[str, LevelSpec], indicators: list[str],
-                score: str = "score", n: int = 501, top: int = 3, method: str = "auto",
-                row_bound: int | None = None) -> DataFrame:
+                score: str = "score", n: int = 501, top: int = 3,
+                indicators_of: DataFrame | None = None) -> DataFrame:
     """All levels as one serving table (level, name, rank, lat, lon,
     description); composite names are joined with ', '."""
     parts = []
     for level, spec in specs.items():
-        r = rank_one_level(scored, spec, indicators, score, n, top, method, row_bound)
+        r = rank_one_level(scored, spec, indicators, score, n, top, indicators_of)
         names = [spec.name or spec.key] if isinstance(spec.name or spec.key, str) \
             else list(spec.name or spec.key)
         name = (F.col(names[0]).cast("string") if len(names) == 1

@@ -1,65 +1,41 @@
-"""Percent rank of a column, built-in and distributed.
-
-``percent_rank`` = (rows strictly before in the order) / (n - 1), ties
-equal, 0 for a one-row peer set.  Null placement follows Spark: an
-ascending order puts NULLs first, a descending order puts them last,
-and NULLs tie with each other.
-
-``percent_rank_window`` is the built-in window.  Without a partition
-it runs in ONE task (``Exchange SinglePartition``): fine for a few
-thousand aggregated peers, wrong for a unit table of billions of rows.
-
-``percent_rank_distributed`` computes the identical values with plain
-DataFrame steps whose parallelism grows with the data:
-
-1. One sketch action: row-weighted quantile bounds per group (partial
-   sketches merged; bounded result).  A value repeated across bounds is
-   heavy (at least ~rows / buckets rows).
-2. Every row gets an order key: its range bucket, found by binary search
-   over the literal bounds (constant expression size for any bucket
-   count, deterministic on retry), or a point bucket for a heavy value,
-   NaN (above every number) or NULL (first ascending, last descending).
-3. Bucket sizes (partial aggregate, groups x buckets rows) -> running
-   offsets by a tiny window -> broadcast (bounded by the bucket count).
-4. Rows of range buckets are ranked by a window partitioned by bucket
-   (about rows / buckets rows per partition); rows of point buckets all
-   tie and need no sort - a value carried by a third of all rows never
-   reaches one task.
-5. percent rank = (offset + rank in bucket) / (n - 1); no join back.
-
-Point buckets are used for value types whose cast to double is exact
-(double, float, int, short, byte); wider integers and decimals keep
-heavy values in range buckets (still exact, possibly larger buckets).
-
-The only action is the quantile sketch (bounded result: num_buckets
-doubles per group).  Callers should materialize an expensive input
-first: it is read by the sketch, the bucket sizes and the ranked rows.
+"""Percent rank of a column, exact, with one plan at every size.
+
+``percent_rank`` = (rows strictly before in the order) / (n - 1), ties equal, 0
+for a one-row peer set.  Null placement follows Spark: an ascending order
+puts NULLs first, a descending order puts them last, and NULLs tie with each
+other; NaN is above every number.
+
+The rank of a row depends on its value alone, so rows are first counted per
+(group, value) with partial sums in the tasks: a value that a third of all rows
+carry becomes one counted row.  The counted values are laid out by a
+range partitioning on (group, value) - each value once, so ranges are even -
+and numbered by the range they are in.  Three sums give a value's rank:
+the counts before it inside its range (a window per range and group), the counts
+of its group in the ranges before (a window over at most one row per range
+and group), and the group's total.  Ranks are joined back on (group, value).
+
+Any orderable type works (wide integers, decimals, strings): values are only
+compared, never cast.  The counted values are written to the shared folder
+once, so the range of a value is the same however often a task is repeated.
+``percent_rank_window`` is the built-in window, which sorts a peer set in
+one task; it is the reference of the tests.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_BUCKET, _BC, _OFF, _BEFORE, _N, _GROUP = (
-    "_pr_bucket", "_pr_bcount", "_pr_offset", "_pr_before", "_pr_n", "_pr_group")
-
-MAX_BUCKETS = 4096
-MAX_BOUND_GROUPS = 10_000
-# Bounds held as plan literals over all groups (8 bytes each); beyond it
-# bounds are thinned evenly - buckets get wider, ranks stay exact.
-MAX_TOTAL_BOUNDS = 200_000
-_EXACT_DOUBLE = {"double", "float", "integer", "short", "byte"}
-# Largest peer set sorted by one task in ``percent_rank``'s window path.
-MAX_ROWS_PER_TASK = 1_000_000
+from tractus.session import materialize
 
 
 def _order(c: Column, ascending: bool) -> Column:
     return c.asc_nulls_first() if ascending else c.desc_nulls_last()
 
 
-def percent_rank_window(df: DataFrame, value: str, out: str,
-                        ascending: bool = True,
+def percent_rank_window(df: DataFrame, value: str, out: str, ascending: bool = True,
                         by: list[str] | None = None) -> DataFrame:
     """Built-in ``percent_rank().over(partitionBy(by).orderBy(value))``."""
     order = _order(F.col(value), ascending)
@@ -67,232 +43,46 @@ def percent_rank_window(df: DataFrame, value: str, out: str,
     return df.withColumn(out, F.percent_rank().over(w))
 
 
-def _nsjoin(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """Join on ``keys`` with NULL-safe equality (a NULL group is a group);
-    the right side's key columns are dropped."""
-    tmp = {k: f"_pr_r_{i}" for i, k in enumerate(keys)}
-    r = right.select(*[F.col(c).alias(tmp[c]) if c in tmp else F.col(c) for c in right.columns])
-    cond = None
-    for k in keys:
-        t = F.col(k).eqNullSafe(F.col(tmp[k]))
-        cond = t if cond is None else cond & t
-    return left.join(r, cond, how).drop(*tmp.values())
-
-
-def _search(v: Column, bounds: Column, m: int, bind: bool = False) -> Column:
-    """Number of ``bounds`` (sorted, length ``m``) <= v: binary search as
-    a fixed number of ``aggregate`` steps - O(log m) per value, constant
-    expression size for any bucket count.  NaN compares above every
-    number, so it lands in the last bucket."""
-    if m == 0:
-        return F.lit(0)
-    steps = max(1, m.bit_length())
-
-    def search(bs):
-        def step(st, _):
-            lo, hi = st["lo"], st["hi"]
-            mid = ((lo + hi + 1) / 2).cast("int")
-            go_left = v < bs[mid - 1]
-            return F.when(lo >= hi, st).otherwise(F.struct(
-                F.when(go_left, lo).otherwise(mid).alias("lo"),
-                F.when(go_left, mid - 1).otherwise(hi).alias("hi")))
-
-        init = F.struct(F.lit(0).alias("lo"), F.size(bs).alias("hi"))
-        return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), init, step, lambda st: st["lo"])
-
-    if isinstance(bounds, Column) and bind:
-        # a looked-up array is evaluated once and bound as a lambda variable
-        return F.transform(F.array(bounds), search)[0]
-    return search(bounds)
-
-
-def _prepare(df: DataFrame, by: list[str] | None):
-    dummy = not by
-    if dummy:
-        return df.withColumn(_GROUP, F.lit(0)), [_GROUP], True
-    return df, list(by), False
-
-
-def _sketch(df: DataFrame, value: str, by: list[str], num_buckets: int,
-            relative_error: float) -> list:
-    """One action over the rows (partial sketches per task, merged; no
-    shuffle of rows): per group, the row count (NULLs included) and
-    row-weighted range bounds of the non-NULL, non-NaN values.  A bucket
-    then holds about rows / num_buckets rows and so at most that many
-    distinct values; a heavy value repeats as a bound and is
-    deduplicated.  Result size is bounded by MAX_BOUND_GROUPS x
-    num_buckets."""
-    v = F.col(value)
-    vnum = v.cast("double")
-    probs = [i / num_buckets for i in range(1, num_buckets)]
-    acc = max(1, int(round(1 / relative_error)))
-    valid = v.isNotNull() & ~F.isnan(vnum)
-    q = (F.percentile_approx(F.when(valid, vnum), probs, acc) if probs
-         else F.lit(None).cast("array<double>"))
-    rows = (df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), q.alias("_q"))
-            .limit(MAX_BOUND_GROUPS + 1).collect())
-    if len(rows) > MAX_BOUND_GROUPS:
-        raise ValueError(f"percent rank: more than {MAX_BOUND_GROUPS} partition groups in {by}")
-    return rows
+def _same(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]]) -> Column:
+    """NULL-safe equality of the key pairs (a NULL group is a group)."""
+    return reduce(lambda a, b: a & b, [left[x].eqNullSafe(right[y]) for x, y in keys])
 
 
-def _rel_error(relative_error: float | None, num_buckets: int) -> float:
-    """Sketch rank error: a tenth of a bucket's width by default, so range
-    buckets stay close to rows / num_buckets rows."""
-    if relative_error is not None:
-        return relative_error
-    return min(1e-2, max(1e-5, 1.0 / (10 * num_buckets)))
+def value_ranks(df: DataFrame, value: str, ascending: bool = True, by: list[str] | None = None,
+                ranges: int | None = None) -> DataFrame:
+    """(_g0.., _v, _pr): the percent rank of every distinct (group, value).
 
+    ``ranges``: number of ranges of distinct values (default: the
+    session's shuffle partitions)."""
+    ranges = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    groups = [f"_g{i}" for i in range(len(by or []))]
+    counted = (df.select(*[F.col(c).alias(g) for c, g in zip(by or [], groups)], F.col(value).alias("_v"))
+               .groupBy(*groups, "_v").agg(F.count(F.lit(1)).alias("_n")))
+    order = [F.col(g).asc_nulls_first() for g in groups] + [_order(F.col("_v"), ascending)]
+    laid = materialize(counted.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()),
+                       "value-counts")
 
-def _num_buckets(df: DataFrame, num_buckets: int | None) -> int:
-    if num_buckets is None:
-        num_buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(1, min(MAX_BUCKETS, num_buckets))
+    before = Window.unboundedPreceding, -1
+    inside = Window.partitionBy("_range", *groups).orderBy(_order(F.col("_v"), ascending)).rowsBetween(*before)
+    local = laid.withColumn("_in", F.coalesce(F.sum("_n").over(inside), F.lit(0)))
+    group = Window.partitionBy(*groups)
+    totals = (laid.groupBy("_range", *groups).agg(F.sum("_n").alias("_t"))
+              .select(F.col("_range").alias("_r"), *[F.col(g).alias(f"{g}r") for g in groups],
+                      F.coalesce(F.sum("_t").over(group.orderBy("_range").rowsBetween(*before)), F.lit(0)).alias("_off"),
+                      F.sum("_t").over(group).alias("_all")))
+    ranked = local.join(totals, _same(local, totals, [("_range", "_r"), *[(g, f"{g}r") for g in groups]]))
+    rank = F.when(F.col("_all") > 1, (F.col("_off") + F.col("_in")).cast("double")
+                  / (F.col("_all") - 1).cast("double")).otherwise(F.lit(0.0))
+    return ranked.select(*groups, "_v", rank.alias("_pr"))
 
 
 def percent_rank(df: DataFrame, value: str, out: str, ascending: bool = True,
-                 by: list[str] | None = None, max_rows_per_task: int = MAX_ROWS_PER_TASK,
-                 num_buckets: int | None = None, relative_error: float | None = None,
-                 row_bound: int | None = None) -> DataFrame:
-    """Percent rank with a size check.
-
-    ``row_bound`` is a proven upper bound of the rows of ``df`` (e.g. the
-    observed size of the materialized table it derives from); within
-    ``max_rows_per_task`` it selects the built-in window without any
-    extra job.  Otherwise one sketch action returns every group's row
-    count and range bounds: if no group exceeds ``max_rows_per_task``
-    the built-in window is used (one task per group sorts at most that
-    many rows), else the distributed plan runs with the bounds already
-    computed.
-    """
-    if row_bound is not None and row_bound <= max_rows_per_task:
-        return percent_rank_window(df, value, out, ascending, by)
-    nb = _num_buckets(df, num_buckets)
-    d, keys, dummy = _prepare(df, by)
-    rows = _sketch(d, value, keys, nb, _rel_error(relative_error, nb))
-    if all((r["_n"] or 0) <= max_rows_per_task for r in rows):
-        return percent_rank_window(df, value, out, ascending, by)
-    return percent_rank_distributed(df, value, out, ascending, by, nb, relative_error,
-                                    sketch=rows)
-
-
-def _bounds(raw, keep: int | None = None) -> tuple[list[float], list[float]]:
-    """Sorted distinct bounds and the heavy ones (repeated in the
-    row-weighted quantiles: each carries at least ~rows / buckets rows).
-    ``keep`` thins the range bounds evenly (heavy values stay)."""
-    vals = [float(x) for x in (raw or []) if x is not None and x == x]
-    seen: dict[float, int] = {}
-    for x in vals:
-        seen[x] = seen.get(x, 0) + 1
-    bounds = sorted(seen)
-    heavy = sorted(x for x, c in seen.items() if c > 1)
-    if keep is not None and len(bounds) > keep:
-        stride = -(-len(bounds) // max(1, keep))
-        bounds = sorted(set(bounds[::stride]) | set(heavy))
-    return bounds, heavy
-
-
-def _dlit(values: list[float]) -> Column:
-    return F.array(*[F.lit(x) for x in values]).cast("array<double>")
-
-
-def percent_rank_distributed(df: DataFrame, value: str, out: str,
-                             ascending: bool = True,
-                             by: list[str] | None = None,
-                             num_buckets: int | None = None,
-                             relative_error: float | None = None,
-                             sketch: list | None = None) -> DataFrame:
-    """Exact percent rank without a single-partition exchange over rows.
-
-    Every row gets an order key ``ok`` from literal quantile bounds:
-    range buckets (binary search), with point buckets for heavy values,
-    NaN and NULL, ordered exactly like the value order of the direction.
-    Rows in a point bucket all tie, so their rank inside the bucket is 0
-    without sorting; the other rows are ranked by a window partitioned by
-    (group, ok), whose partitions hold about rows / num_buckets rows.
-    Bucket sizes (a partial aggregate, groups x buckets rows) give the
-    running offsets by a tiny window; they are attached by a broadcast
-    equi-join whose size is bounded by groups x 3 x (buckets + 2).
-
-    ``by`` are partition columns of low, bounded cardinality (e.g. the
-    metric name after an unpivot), at most ``MAX_BOUND_GROUPS`` groups.
-    """
-    num_buckets = _num_buckets(df, num_buckets)
-    df, by, dummy = _prepare(df, by)
-    v = F.col(value)
-    vnum = v.cast("double")
-    # point buckets need an exact cast to double (distinct values stay
-    # distinct); wide integers and decimals keep heavy values in range
-    # buckets, which stay exact but may be larger
-    exact_double = df.schema[value].dataType.typeName() in _EXACT_DOUBLE
-
-    # 1. bounds (one action, bounded result) as literals: one array, or a
-    #    map from the group key to its arrays
-    rows = sketch if sketch is not None else _sketch(df, value, by, num_buckets,
-                                                     _rel_error(relative_error, num_buckets))
-    width = 3 * (num_buckets + 2)
-    if dummy:
-        bounds, heavy = _bounds(rows[0]["_q"]) if rows else ([], [])
-        arr, hv, m = _dlit(bounds), _dlit(heavy), len(bounds)
-    else:
-        entries, hentries, m = [], [], 0
-        keep = max(1, MAX_TOTAL_BOUNDS // max(1, len(rows)))
-        for r in rows:
-            bounds, heavy = _bounds(r["_q"], keep)
-            m = max(m, len(bounds))
-            key = F.struct(*[F.lit(r[c]).cast(df.schema[c].dataType).alias(c) for c in by])
-            entries += [key, _dlit(bounds)]
-            hentries += [key, _dlit(heavy)]
-        gkey = F.struct(*[F.col(c) for c in by])
-        empty = F.array().cast("array<double>")
-        arr = F.coalesce(F.create_map(*entries)[gkey], empty) if entries else empty
-        hv = F.coalesce(F.create_map(*hentries)[gkey], empty) if hentries else empty
-
-    # 2. order key: 3 * bucket + sub (0 = heavy point, 1 = range, 2 = NaN)
-    b = _search(vnum, arr, m, bind=not dummy)
-    sub = F.when(F.isnan(vnum), F.lit(2))
-    if exact_double:
-        sub = sub.when(F.array_contains(hv, vnum), F.lit(0))
-    sub = sub.otherwise(F.lit(1))
-    ok_asc = F.lit(3) * b + sub
-    ok = F.when(v.isNull(), F.lit(-1 if ascending else width + 1)) \
-        .otherwise(ok_asc if ascending else F.lit(width) - ok_asc)
-    point = v.isNull() | (sub != 1)
-    keyed = df.withColumn(_BUCKET, ok).withColumn("_pr_point", point)
-
-    # 3. bucket sizes -> running offsets and group sizes (bounded)
-    totals = keyed.groupBy(*by, _BUCKET).agg(F.count(F.lit(1)).alias(_BC))
-    wt = (Window.partitionBy(*by).orderBy(_BUCKET)
-          .rowsBetween(Window.unboundedPreceding, 0))
-    offsets = (totals
-               .withColumn(_OFF, F.sum(_BC).over(wt) - F.col(_BC))
-               .withColumn(_N, F.sum(_BC).over(Window.partitionBy(*by)))
-               .drop(_BC))
-
-    # 4. rank inside range buckets; point buckets are all ties
-    wb = Window.partitionBy(*by, _BUCKET).orderBy(_order(v, ascending))
-    ranged = (keyed.filter(~F.col("_pr_point"))
-              .withColumn(_BEFORE, (F.rank().over(wb) - 1).cast("bigint")))
-    points = keyed.filter(F.col("_pr_point")).withColumn(_BEFORE, F.lit(0).cast("bigint"))
-    ranked_rows = ranged.unionByName(points)
-
-    # 5. offsets attached by a bounded broadcast equi-join
-    joined = _nsjoin(ranked_rows, F.broadcast(offsets), [*by, _BUCKET])
-    pr = F.when(F.col(_N) > 1,
-                (F.col(_OFF) + F.col(_BEFORE)).cast("double") / (F.col(_N) - 1).cast("double")
-                ).otherwise(F.lit(0.0))
-    res = joined.withColumn(out, pr).drop(_BUCKET, "_pr_point", _BEFORE, _OFF, _N)
-    return res.drop(_GROUP) if dummy else res
-
-
-def percent_rank_by_method(df: DataFrame, value: str, out: str, ascending: bool = True,
-                           by: list[str] | None = None, method: str = "auto",
-                           row_bound: int | None = None) -> DataFrame:
-    """Dispatch: ``auto`` (size-checked), ``window`` or ``distributed``."""
-    if method == "auto":
-        return percent_rank(df, value, out, ascending, by, row_bound=row_bound)
-    if method == "window":
-        return percent_rank_window(df, value, out, ascending, by)
-    if method == "distributed":
-        return percent_rank_distributed(df, value, out, ascending, by)
-    raise ValueError(f"unknown percent rank method {method!r}")
+                 by: list[str] | None = None, ranges: int | None = None) -> DataFrame:
+    """``df`` with its percent rank as column ``out``.
+
+    Callers should materialize an expensive input first: it is read for
+    the counts and for the rows."""
+    ranks = value_ranks(df, value, ascending, by, ranges)
+    keys = [(c, f"_g{i}") for i, c in enumerate(by or [])] + [(value, "_v")]
+    joined = df.join(ranks, _same(df, ranks, keys))
+    return joined.select(*[df[c] for c in df.columns if c != out], F.col("_pr").alias(out))

@@ -1,10 +1,12 @@
 """Ranked level table.
 
-Sum the unit score per key, keep the n best keys (top-k is planned as
+Sum the unit score per key and keep the n best keys (top-k is planned as
 ``TakeOrderedAndProject``: every partition keeps its own n best, the
-driver merges n x partitions rows), attach centre point and description,
-then number the n rows with a competition rank (ties share, next
-skips).  The final window holds at most n rows.
+driver merges n x partitions rows); those n rows are written once.  Centres
+and descriptions are cut down to the n keys by a semi-join before anything
+of them is shuffled (the keys are broadcast: n rows), then attached, and the n rows
+are numbered with a competition rank (ties share, next skips).  The final
+window holds at most n rows.
 
 The key is a tie-break of the top-k so that the kept set is stable.
 ``drop_incomplete_before_rank`` reproduces the city table, which drops
@@ -13,10 +15,13 @@ rows with any NULL before numbering.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tractus.operators.joins import left_join_renamed
+from tractus.session import materialize
 
 SCORE = "_level_score"
 AGGREGATES = {"sum": F.sum, "avg": F.avg, "max": F.max, "min": F.min}
@@ -54,17 +59,24 @@ def rank_level(units: DataFrame, key: Keys, score: str = "score", n: int = 501,
     a list key, centres and descriptions join on the same column names.
     """
     keys = _keys(key)
-    top = top_keys(level_scores(units, keys, score, agg), keys, n)
+    top = materialize(top_keys(level_scores(units, keys, score, agg), keys, n), "top-keys")
+
+    def among(side: DataFrame, own: list[str], kept: DataFrame, cols: list[str]) -> DataFrame:
+        few = F.broadcast(kept.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(cols)]).distinct())
+        return side.join(few, reduce(lambda a, b: a & b, [side[o] == few[f"_k{i}"] for i, o in enumerate(own)]), "left_semi")
+
     # rows without a match would be dropped by the drop-any-null below, so
     # inner joins give the same rows (Catalyst keeps a left join there)
     how = "inner" if drop_incomplete_before_rank else "left"
     if centres is not None:
+        centres = among(centres, [centres_key or keys[0]] if len(keys) == 1 else keys, top, keys)
         if len(keys) == 1:
             top = left_join_renamed(top, centres, keys[0], centres_key or keys[0], how)
         else:
             top = top.join(centres, keys, how)
     if descriptions is not None:
         dkeys = _keys(descriptions_key or key)
+        descriptions = among(descriptions, dkeys, top, dkeys)
         top = top.join(descriptions.select(*dkeys, "description"), dkeys, how)
     names = _keys(name or key)
     cols = [*[F.col(c) for c in names], F.col(SCORE),

@@ -22,11 +22,13 @@ PAGE_SIZE = 10
 HIDDEN_COLUMNS = ("lat", "lon", "description")
 
 
-def top_n(ranked: DataFrame, name: str, n: int = DEFAULT_N) -> DataFrame:
+def top_n(ranked: DataFrame, name: str, n: int = DEFAULT_N,
+          required: list[str] | None = None) -> DataFrame:
     """O3 + F2: the n best rows by rank (name breaks rank ties), THEN drop
-    rows with any NULL - so fewer than n rows may come back."""
+    rows with a NULL in a required column (default: any) - so fewer than n rows
+    may come back.  A level without descriptions does not require one."""
     return ranked.orderBy(F.col("rank").asc_nulls_last(), F.col(name).asc_nulls_first()) \
-        .limit(n).na.drop("any")
+        .limit(n).na.drop("any", subset=required)
 
 
 def with_tooltip(df: DataFrame, name: str, description: str | None = "description") -> DataFrame:
@@ -36,9 +38,14 @@ def with_tooltip(df: DataFrame, name: str, description: str | None = "descriptio
     return df.withColumn("tooltip", tooltip(name, d))
 
 
-def serve_top_n(ranked: DataFrame, name: str, n: int = DEFAULT_N) -> DataFrame:
-    """C6 table rows: top n, complete rows only, with tooltip."""
-    return with_tooltip(top_n(ranked, name, n), name)
+def serve_top_n(ranked: DataFrame, name: str, n: int = DEFAULT_N, described: bool = True) -> DataFrame:
+    """C6 table rows: top n, complete rows only, with tooltip.  ``described``
+    False: a level without descriptions (the census tracts), whose rows
+    are complete with name, rank and point and whose tooltip is the name."""
+    if described:
+        return with_tooltip(top_n(ranked, name, n), name)
+    top = top_n(ranked, name, n, [name, "rank", "lat", "lon"])
+    return with_tooltip(top, name, None)
 
 
 def table_page(df: DataFrame, name: str, predicate: Column | str | None = None,

@@ -19,9 +19,10 @@ from tractus.operators.density import DensityLevel, density_enrichment
 from tractus.operators.levels import LevelSpec, rank_levels
 from tractus.operators.places import attach_principal_place, principal_places
 from tractus.operators.score import composite_score
-from tractus.session import materialize_counted
+from tractus.session import materialize
 from tractus.sources.screening import COUNTY_SUFFIX, INDICATORS
 
+_RANKED = ["state", "county_name", "city_id", "census_tract_id"]
 PLACE_KEEP = {"city": "city", "lat": "city_lat", "lng": "city_lon", "id": "city_id"}
 DENSITY_LEVELS = [
     DensityLevel("county_name", "county_population_density", "cf_area", replicated=True),
@@ -31,10 +32,9 @@ DENSITY_LEVELS = [
 
 
 def score_tracts(tracts: DataFrame, cities: DataFrame, ties: str = "one",
-                 method: str = "auto", materialize: bool = True
-                 ) -> tuple[DataFrame, int | None]:
-    """Tracts with principal city, four densities, the descending density
-    percentile and ``score``; materialized once (with its row count)."""
+                 ) -> tuple[DataFrame, DataFrame]:
+    """(scored, enriched): tracts with principal city and four densities,
+    written once, and the same with the descending density percentile and ``score``."""
     needed = ["state", "county_name", "census_tract_id", "total_population", "geo_area",
               "cf_area", "sf_area", *INDICATORS]
     missing = [c for c in needed if c not in tracts.columns]
@@ -44,20 +44,18 @@ def score_tracts(tracts: DataFrame, cities: DataFrame, ties: str = "one",
                                suffix=COUNTY_SUFFIX, ties=ties, keep=PLACE_KEEP)
     t = density_enrichment(t, "total_population", "geo_area", "census_population_density",
                            DENSITY_LEVELS)
-    n = None
-    if materialize:
-        t, n = materialize_counted(t, "tracts")
+    t = materialize(t, "tracts")
     scored = composite_score(t, INDICATORS, "census_population_density",
-                             density_out="census_population_density_percentile",
-                             method=method, row_bound=n)
-    return scored, n
+                             density_out="census_population_density_percentile")
+    return scored, t
 
 
 def rank_areas(tracts: DataFrame, cities: DataFrame, state_centres: DataFrame,
                county_centres: DataFrame, tract_centres: DataFrame, n: int = 501,
-               ties: str = "one", method: str = "auto") -> DataFrame:
+               ties: str = "one") -> DataFrame:
     """(level, name, rank, lat, lon, description) for the four levels."""
-    scored, rows = score_tracts(tracts, cities, ties, method)
+    scored, enriched = score_tracts(tracts, cities, ties)
+    scored = materialize(scored.select(*_RANKED, "score"), "scored")
     city_points = principal_places(cities, "county_name", suffix=COUNTY_SUFFIX, ties=ties,
                                    keep=PLACE_KEEP).select(
         "city_id", "city", F.col("city_lat").alias("lat"), F.col("city_lon").alias("lon"))
@@ -68,4 +66,4 @@ def rank_areas(tracts: DataFrame, cities: DataFrame, state_centres: DataFrame,
                           drop_incomplete_before_rank=True),
         "census_tract": LevelSpec("census_tract_id", None, tract_centres, "GEOID10"),
     }
-    return rank_levels(scored, specs, INDICATORS, "score", n, 3, method, rows)
+    return rank_levels(scored, specs, INDICATORS, "score", n, 3, enriched)

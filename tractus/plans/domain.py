@@ -20,7 +20,7 @@ from tractus.operators.explain import explain_level
 from tractus.operators.levels import LevelSpec, rank_levels, rank_one_level
 from tractus.operators.places import attach_principal_place, principal_places
 from tractus.operators.score import composite_score
-from tractus.session import materialize, materialize_counted
+from tractus.session import materialize
 from tractus.sources import bindings as B
 
 # Fixed values of the chain (shared with the oracle SQL).
@@ -54,29 +54,16 @@ def enriched_units(spark: SparkSession, src: str, ties: str = "one",
     return materialize(out, "enriched") if checkpoint else out
 
 
-def scored_units_counted(spark: SparkSession, src: str, method: str = "auto",
-                         exact: bool = True) -> tuple[DataFrame, int | None]:
-    """C3 with the enriched table materialized in the shared folder; also
-    returns its exact row count (observed during the write), a proven
-    bound for every peer set derived from it."""
-    if method == "window":
-        return scored_units(spark, src, method, exact, checkpoint=False), None
-    u = enriched_units(spark, src, checkpoint=False)
-    enriched, n = materialize_counted(u, "enriched")
-    return composite_score(enriched, B.INDICATORS, "unit_density", exact=exact,
-                           method=method, row_bound=n), n
+def scored_and_enriched(spark: SparkSession, src: str,
+                        exact: bool = True) -> tuple[DataFrame, DataFrame]:
+    """C3 (``density_percentile`` and ``score``) and the enriched units that it
+    reads, written once to the shared folder."""
+    enriched = enriched_units(spark, src, checkpoint=True)
+    return composite_score(enriched, B.INDICATORS, "unit_density", exact=exact), enriched
 
 
-def scored_units(spark: SparkSession, src: str, method: str = "auto",
-                 exact: bool = True, checkpoint: bool = True) -> DataFrame:
-    """C3 on the enriched units: ``density_percentile`` and ``score``.
-
-    Unless the plain window is asked for, the enriched table is
-    checkpointed first: the percentile's sketch reads it, then the plan."""
-    if checkpoint and method != "window":
-        return scored_units_counted(spark, src, method, exact)[0]
-    return composite_score(enriched_units(spark, src), B.INDICATORS, "unit_density",
-                           exact=exact, method=method)
+def scored_units(spark: SparkSession, src: str, exact: bool = True) -> DataFrame:
+    return scored_and_enriched(spark, src, exact)[0]
 
 
 def city_centres(spark: SparkSession, src: str) -> DataFrame:
@@ -112,35 +99,31 @@ def level_spec(spark: SparkSession, src: str, level: str) -> LevelSpec:
                      lv.centres_key, lv.name, lv.drop_incomplete_before_rank)
 
 
-def explain(scored: DataFrame, level: str, method: str = "auto",
-            row_bound: int | None = None) -> DataFrame:
+def explain(units: DataFrame, level: str) -> DataFrame:
+    """C4 of one level; ``units`` need no score."""
     lv = LEVELS[level]
-    return explain_level(scored, lv.describe_by, B.INDICATORS, EXPLAIN_TOP, method, row_bound)
+    return explain_level(units, lv.describe_by, B.INDICATORS, EXPLAIN_TOP)
 
 
-def ranked(spark: SparkSession, src: str, level: str, scored: DataFrame | None = None,
-           n: int = RANK_LIMIT, method: str = "auto",
-           row_bound: int | None = None) -> DataFrame:
+def ranked(spark: SparkSession, src: str, level: str, n: int = RANK_LIMIT) -> DataFrame:
     """C5 for one level of the bound data."""
-    if scored is None:
-        scored, row_bound = scored_units_counted(spark, src, method)
+    scored, enriched = scored_and_enriched(spark, src)
     return rank_one_level(scored, level_spec(spark, src, level), B.INDICATORS, "score", n,
-                          EXPLAIN_TOP, method, row_bound)
+                          EXPLAIN_TOP, enriched)
 
 
 LEVEL_ORDER = ("state", "county", "city", "tract")
 
 
-def ranked_levels(spark: SparkSession, src: str, n: int = RANK_LIMIT,
-                  method: str = "auto") -> DataFrame:
+def ranked_levels(spark: SparkSession, src: str, n: int = RANK_LIMIT) -> DataFrame:
     """All four ranked tables from ONE scored unit table, as one serving
     table (level, name, rank, lat, lon, description).
 
-    The scored table is materialized once in the shared folder and read
-    by the three explanations and four rankings (the reference re-ran
-    the whole enrichment for each of its nine actions).
+    Keys and score are written once for the four rankings; the three
+    explanations read the enriched units.
     """
-    scored, rows = scored_units_counted(spark, src, method)
-    scored = materialize(scored, "scored")
+    scored, enriched = scored_and_enriched(spark, src)
+    keys = sorted({LEVELS[lv].key for lv in LEVEL_ORDER})
+    scored = materialize(scored.select(*keys, "score"), "scored")
     specs = {lv: level_spec(spark, src, lv) for lv in LEVEL_ORDER}
-    return rank_levels(scored, specs, B.INDICATORS, "score", n, EXPLAIN_TOP, method, rows)
+    return rank_levels(scored, specs, B.INDICATORS, "score", n, EXPLAIN_TOP, enriched)

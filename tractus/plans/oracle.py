@@ -37,7 +37,6 @@ ind AS (
          COUNT_IF(l_returnflag = '{B.RETURN_FLAG}') AS "returns",
          MAX(l_quantity) AS max_quantity
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-  WHERE o_orderpriority = '{B.URGENT_PRIORITY}'
   GROUP BY o_custkey),
 u0 AS (
   SELECT c_custkey AS unit_id, n_name AS county_name, r_name AS state,
@@ -48,7 +47,8 @@ u0 AS (
          "returns", max_quantity
   FROM customer JOIN nation ON c_nationkey = n_nationkey
        JOIN region ON n_regionkey = r_regionkey
-       LEFT JOIN ind ON c_custkey = o_custkey),
+       LEFT JOIN ind ON c_custkey = o_custkey
+            AND c_custkey % {B.NULL_UNIT_MODULUS} <> {B.NULL_UNIT_REMAINDER}),
 units AS (
   SELECT unit_id, county_name, state, population, geo_area,
          SUM(geo_area) OVER (PARTITION BY county_name) AS cf_area,
@@ -58,13 +58,14 @@ units AS (
 
 CTE_PLACES = f"""
 places AS (
-  SELECT s_name AS city, replace(n_name, '{B.NATION_PREFIX}', '') AS county_name,
+  SELECT s_name AS city,
+         CASE WHEN s_nationkey % {B.PLACE_NATION_MODULUS} <> 0 THEN replace(n_name, '{B.NATION_PREFIX}', '')
+              ELSE '{B.UNMATCHED_PREFIX}' || CAST(s_nationkey AS VARCHAR) END AS county_name,
          s_acctbal AS population,
          CAST(25 + s_suppkey % 20 AS DOUBLE) AS lat,
          CAST(-120 + s_suppkey % 50 AS DOUBLE) AS lng,
          s_suppkey AS id
-  FROM supplier JOIN nation ON s_nationkey = n_nationkey
-  WHERE s_nationkey % {B.PLACE_NATION_MODULUS} <> 0)"""
+  FROM supplier JOIN nation ON s_nationkey = n_nationkey)"""
 
 # principal place, ties='one' (largest population, then smallest id)
 CTE_BEST = """
@@ -118,9 +119,11 @@ state_centres AS (
 CTE_TRACT_CENTRES = f"""
 tract_centres AS (
   SELECT c_custkey AS GEOID10,
-         {_d(B.GRID_ORIGIN_Y)} + {_d(B.GRID_STEP)} * CAST(c_custkey // {B.GRID_COLUMNS} AS DOUBLE) + {_d(B.GRID_STEP / 2)} AS lat,
-         {_d(B.GRID_ORIGIN_X)} + {_d(B.GRID_STEP)} * CAST(c_custkey % {B.GRID_COLUMNS} AS DOUBLE) + {_d(B.GRID_STEP / 2)} AS lon
-  FROM customer WHERE c_custkey % {B.TRACT_CENTRE_MODULUS} <> 0)"""
+         CASE WHEN c_custkey % {B.TRACT_CENTRE_MODULUS} <> 0 THEN
+           {_d(B.GRID_ORIGIN_Y)} + {_d(B.GRID_STEP)} * CAST(c_custkey // {B.GRID_COLUMNS} AS DOUBLE) + {_d(B.GRID_STEP / 2)} END AS lat,
+         CASE WHEN c_custkey % {B.TRACT_CENTRE_MODULUS} <> 0 THEN
+           {_d(B.GRID_ORIGIN_X)} + {_d(B.GRID_STEP)} * CAST(c_custkey % {B.GRID_COLUMNS} AS DOUBLE) + {_d(B.GRID_STEP / 2)} END AS lon
+  FROM customer)"""
 
 CTE_CITY_CENTRES = """
 city_centres AS (

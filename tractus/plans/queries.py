@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tractus.plans import domain as D
 from tractus.plans import oracle as O
+from tractus.session import materialize
 from tractus.sources import bindings as B
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,8 +40,7 @@ def composite_score(spark, src):
 # ---------------------------------------------------------------- C4
 for _lv, _key in (("state", "state"), ("county", "county_name"), ("city", "city")):
     def _explain(spark, src, _lv=_lv):
-        scored, rows = D.scored_units_counted(spark, src)
-        return D.explain(scored, _lv, row_bound=rows)
+        return D.explain(D.enriched_units(spark, src), _lv)
     register(f"explain_{_lv}", O.chain(O.explain_ctes(_key, _lv)) +
              f"\nSELECT k AS {_key}, description FROM desc_{_lv}")(_explain)
 
@@ -213,16 +213,15 @@ SELECT unit_id, unit_density, density_percentile FROM pctd"""
 
 @register("global_percentile_desc", _W2_SQL)
 def global_percentile_desc(spark, src):
-    from tractus.operators.score import density_percentile
-    e = D.enriched_units(spark, src).select("unit_id", "unit_density")
-    return density_percentile(e, "unit_density", "density_percentile", False, "window")
+    return global_percentile_distributed(spark, src)
 
 
 @register("global_percentile_distributed", _W2_SQL)
 def global_percentile_distributed(spark, src):
     from tractus.operators.score import density_percentile
-    e = D.enriched_units(spark, src, checkpoint=True).select("unit_id", "unit_density")
-    return density_percentile(e, "unit_density", "density_percentile", False, "distributed")
+    # the two columns alone: the indicators' joins fall away
+    e = materialize(D.enriched_units(spark, src).select("unit_id", "unit_density"), "densities")
+    return density_percentile(e, "unit_density", "density_percentile")
 
 
 # ---------------------------------------------------------- A3 R1 W3 W5
@@ -258,21 +257,21 @@ pct AS (SELECT county_name, variable, pos,
         FROM long)""")
 
 
-def _peer(spark, src, method):
+def _peer(spark, src):
     from tractus.operators.explain import metric_sums as ms
     from tractus.operators.explain import peer_percentiles, unpivot_metrics as um
-    long = um(ms(B.units(spark, src), "county_name", B.INDICATORS), "county_name", B.INDICATORS)
-    return peer_percentiles(long, method)
+    sums = materialize(ms(B.units(spark, src), "county_name", B.INDICATORS), "metric-sums")
+    return peer_percentiles(um(sums, "county_name", B.INDICATORS))
 
 
 @register("peer_percentiles", _W3_SQL + "\nSELECT * FROM pct")
 def peer_percentiles_q(spark, src):
-    return _peer(spark, src, "auto")
+    return _peer(spark, src)
 
 
 @register("peer_percentiles_distributed", _W3_SQL + "\nSELECT * FROM pct")
 def peer_percentiles_distributed(spark, src):
-    return _peer(spark, src, "distributed")
+    return _peer(spark, src)
 
 
 @register("top3_metrics", _W3_SQL + """
@@ -284,7 +283,7 @@ SELECT * FROM (
 WHERE rn <= 3""")
 def top3_metrics(spark, src):
     from tractus.operators.explain import top_metrics
-    return top_metrics(_peer(spark, src, "auto"), "county_name", 3)
+    return top_metrics(_peer(spark, src), "county_name", 3)
 
 
 # ---------------------------------------------------------------- C6
@@ -308,6 +307,16 @@ def serve_top_n_q(spark, src):
     return _served(spark, src)
 
 
+@register("serve_top_n_tract", O.chain(O.ranked_ctes("tract")) + """
+SELECT *, CAST(unit_id AS VARCHAR) AS tooltip FROM (
+  SELECT * FROM ranked_tract ORDER BY rank ASC NULLS LAST, unit_id ASC NULLS FIRST LIMIT 20) t
+WHERE unit_id IS NOT NULL AND rank IS NOT NULL AND lat IS NOT NULL AND lon IS NOT NULL""")
+def serve_top_n_tract(spark, src):
+    from tractus.operators.serve import serve_top_n
+    ranked = D.ranked(spark, src, "tract").withColumn("description", F.lit(None).cast("string"))
+    return serve_top_n(ranked, "unit_id", 20, described=False).drop("description")
+
+
 @register("serve_table_page", O.chain(O.ranked_ctes("county")) + """
 SELECT county_name AS County_Name, rank AS Rank FROM ranked_county
 WHERE rank <= 20

@@ -27,24 +27,19 @@ DEFAULT_CONF = {
 }
 
 
-MAX_SHUFFLE_PARTITIONS = 64_000
-
-
 def recommended_conf(input_bytes: int, total_cores: int,
                      partition_bytes: int = 128 << 20) -> dict[str, str]:
-    """Spill-aware sizing for a cluster run.
+    """Spill-aware sizing for a cluster run.  ``input_bytes``: what the largest
+    shuffle carries (after projection and partial aggregation), which may be
+    far less than the tables read.
 
     Shuffle partitions ~ input / 128 MB (at least 3 waves of tasks), file
     splits of 128 MB, AQE coalescing toward 128 MB and skew splitting
     for partitions 5x the median.  The largest operator state per task
-    is then one shuffle partition, a window over at most one percent-rank
-    bucket, or a broadcast bounded by its documented size.
+    is then one shuffle partition, a window over one range of distinct values,
+    or a broadcast bounded by its documented size.
     """
-    # shuffles after projection/aggregation are far smaller than the
-    # input, and AQE coalesces small partitions: cap the count so the
-    # map-output bookkeeping stays small
-    shuffle = min(MAX_SHUFFLE_PARTITIONS,
-                  max(3 * total_cores, -(-input_bytes // partition_bytes)))
+    shuffle = max(3 * total_cores, -(-input_bytes // partition_bytes))
     return {
         **DEFAULT_CONF,
         "spark.sql.shuffle.partitions": str(shuffle),

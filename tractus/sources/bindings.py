@@ -14,20 +14,20 @@ Bindings (fixed values, shared with the oracle SQL):
   population = round(abs(c_acctbal)) as BIGINT,
   geo_area = c_custkey % 97, cf_area / sf_area = sum of geo_area per
   county / state.
-* unit indicators: orders with o_orderpriority = '1-URGENT' joined to
-  lineitem, per customer: quantity, revenue, tax, discount (sums as
-  DECIMAL(18,2)), lines (row count), returns (count of
-  l_returnflag = 'R'), max_quantity; discount is NULL for nations 7, 8.
-* places: suppliers with s_nationkey % 6 <> 0; city = s_name,
-  county_name = n_name without the 'NATION_' prefix,
+* unit indicators: all orders joined to lineitem, per customer: quantity,
+  revenue, tax, discount (sums as DECIMAL(18,2)), lines (row count),
+  returns (count of l_returnflag = 'R'), max_quantity; all of them are NULL for
+  units with unit_id % 7 = 3, discount also for nations 7, 8.
+* places: all suppliers; city = s_name, county_name = n_name without the
+  'NATION_' prefix - for s_nationkey % 6 = 0 a name that matches no county,
   population = s_acctbal, lat = 25 + s_suppkey % 20,
   lng = -120 + s_suppkey % 50.
 * county centres: per nation lat = 25 + n_nationkey,
   lon = -120 + 2 * n_nationkey; nations 3 and 9 have none.
 * state centres: per region lat = 30 + 2 * r_regionkey,
   lon = -100 - 5 * r_regionkey; region 2 has none.
-* tract centres: per customer the middle of its grid cell; customers
-  with c_custkey % 11 = 0 have none.
+* tract centres: per customer the middle of its grid cell; the point is
+  NULL where c_custkey % 11 = 0.
 * cells: per customer k a 0.05 degree square at column k % 50, row
   k div 50 of a grid with origin (-120, 25); county = 'C<ix div 10>_<iy
   div 10>', state = 'S<ix div 10>'.
@@ -41,7 +41,8 @@ from pyspark.sql import functions as F
 from tractus.sources.tables import read_table
 
 # Fixed values of the bindings (must equal the oracle SQL).
-URGENT_PRIORITY = "1-URGENT"
+NULL_UNIT_MODULUS, NULL_UNIT_REMAINDER = 7, 3
+UNMATCHED_PREFIX = "ELSEWHERE_"
 RETURN_FLAG = "R"
 NULL_DISCOUNT_NATIONS = (7, 8)
 AREA_MODULUS = 97
@@ -82,18 +83,13 @@ INDICATORS = ["quantity", "revenue", "lines", "tax", "discount", "returns",
 
 
 def unit_indicators(spark: SparkSession, src: str) -> DataFrame:
-    """Per-customer indicators from urgent orders (one row per customer
-    that has any).
-
-    The filter on o_orderpriority reaches the orders scan.  At scale the
-    urgent orders are too large to broadcast: the join is a sort-merge
-    join on the order key, and Spark's runtime bloom filter (on by
-    default) built from the filtered orders prunes lineitem before its
-    shuffle.  Partial aggregation runs before the shuffle on o_custkey,
-    so a customer with a third of all lines is combined map-side."""
-    orders = (_read(spark, src, "orders",
-                         ["o_orderkey", "o_custkey", "o_orderpriority"])
-              .filter(F.col("o_orderpriority") == URGENT_PRIORITY))
+    """Per-customer indicators from all orders and lines (one row per
+    customer that has any).
+
+    At scale the join is a sort-merge join on the order key.  Partial
+    aggregation runs before the shuffle on o_custkey, so a customer with a
+    third of all lines is combined map-side."""
+    orders = _read(spark, src, "orders", ["o_orderkey", "o_custkey"])
     lines = _read(spark, src, "lineitem",
                        ["l_orderkey", "l_quantity", "l_extendedprice",
                         "l_tax", "l_discount", "l_returnflag"])
@@ -149,6 +145,8 @@ def attach_indicators(regions: DataFrame, spark: SparkSession, src: str) -> Data
     lineitem) to a table carrying ``unit_id`` and ``nation_key``."""
     ind = unit_indicators(spark, src).withColumnRenamed("o_custkey", "unit_id")
     out = regions.join(ind, "unit_id", "left")
+    measured = F.col("unit_id") % NULL_UNIT_MODULUS != NULL_UNIT_REMAINDER
+    out = out.withColumns({c: F.when(measured, F.col(c)) for c in INDICATORS})
     return out.withColumn("discount", F.when(~F.col("nation_key").isin(*NULL_DISCOUNT_NATIONS),
                                              F.col("discount")))
 
@@ -169,13 +167,13 @@ def units(spark: SparkSession, src: str) -> DataFrame:
 def places(spark: SparkSession, src: str) -> DataFrame:
     """Places lookup: city, county_name (without prefix), population,
     lat, lng, id."""
-    s = (_read(spark, src, "supplier",
-                    ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"])
-         .filter(F.col("s_nationkey") % PLACE_NATION_MODULUS != 0))
+    s = _read(spark, src, "supplier", ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"])
     n = _read(spark, src, "nation", ["n_nationkey", "n_name"])
     return (s.join(n, s.s_nationkey == n.n_nationkey)
             .select(F.col("s_name").alias("city"),
-                    F.replace(F.col("n_name"), F.lit(NATION_PREFIX), F.lit(""))
+                    F.when(F.col("s_nationkey") % PLACE_NATION_MODULUS != 0,
+                           F.replace(F.col("n_name"), F.lit(NATION_PREFIX), F.lit("")))
+                    .otherwise(F.concat(F.lit(UNMATCHED_PREFIX), F.col("s_nationkey").cast("string")))
                     .alias("county_name"),
                     F.col("s_acctbal").alias("population"),
                     (F.lit(25) + F.col("s_suppkey") % 20).cast("double").alias("lat"),
@@ -220,10 +218,10 @@ def tract_centres(spark: SparkSession, src: str) -> DataFrame:
     c = _read(spark, src, "customer", ["c_custkey"])
     ix, iy = _grid_index(F.col("c_custkey"))
     half = F.lit(GRID_STEP / 2)
-    return (c.filter(F.col("c_custkey") % TRACT_CENTRE_MODULUS != 0)
-            .select(F.col("c_custkey").alias("GEOID10"),
-                    (_grid_y(iy) + half).alias("lat"),
-                    (_grid_x(ix) + half).alias("lon")))
+    known = F.col("c_custkey") % TRACT_CENTRE_MODULUS != 0
+    return c.select(F.col("c_custkey").alias("GEOID10"),
+                    F.when(known, _grid_y(iy) + half).alias("lat"),
+                    F.when(known, _grid_x(ix) + half).alias("lon"))
 
 
 def cells(spark: SparkSession, src: str) -> DataFrame:

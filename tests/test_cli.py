@@ -47,3 +47,33 @@ def test_rank_then_serve(spark, capsys):
     assert len(rows) == 8 and all(r["tooltip"] == r["name"] and r["lat"] == 30.0 + int(r["name"]) for r in rows)
     main(["serve", "--ranked", out, "--level", "city", "--n", "20"])
     assert all("Town" in json.loads(x)["name"] for x in capsys.readouterr().out.splitlines())
+
+
+def test_prepare_layer(spark, capsys):
+    """Areas and centre tables from a polygon layer; a county of two blocks and a U shape."""
+    from tractus.operators.layer import attach_areas, prepare_layer
+    from tractus.sinks.features import write_polygon_features
+
+    from conftest import GEOM, poly
+
+    def box(x, y, w=1, h=1):
+        return poly([(x, y), (x + w, y), (x + w, y + h), (x, y + h), (x, y)])
+
+    u = poly([(20, 0), (29, 0), (29, 9), (26, 9), (26, 2), (22, 2), (22, 9), (20, 9), (20, 0)])
+    rows = [("1", "A", "S", box(0, 0)), ("2", "A", "S", box(1, 0)), ("3", "A", "S", box(5, 0, 3)), ("4", "B", "T", u)]
+    layer = spark.createDataFrame(rows, f"GEOID10 string, CF string, SF string, geometry {GEOM}")
+    folder = scratch_dir(spark, "cli-layer")
+    write_polygon_features(layer, folder)
+    out = scratch_dir(spark, "cli-prepared")
+    main(["prepare", "--layer", folder, "--out", out])
+    assert len(capsys.readouterr().out.splitlines()) == 4
+    read = lambda n: {r[0]: r for r in spark.read.option("header", True).csv(f"{out}/{n}").collect()}
+    counties, tracts, areas = read("county_points"), read("tract_points"), read("areas")
+    assert (float(counties["A"].lon), float(counties["A"].lat), counties["A"].SF) == (6.5, 0.5, "S")   # the wider block
+    assert (float(tracts["4"].lon), float(tracts["4"].lat)) == (27.5, 5.5)                             # inside the wider arm
+    own = [float(areas[i].geo_area) for i in "123"]
+    assert abs(float(areas["1"].cf_area) - sum(own)) < 1e-6 and abs(own[2] - 3 * own[0]) < 1e-6 * own[2]
+    p = prepare_layer(layer)
+    t = attach_areas(spark.createDataFrame([("00000000001", 9.0), ("00000000077", 9.0)], "census_tract_id string, geo_area double"), p.areas)
+    got = {r.census_tract_id: r.geo_area for r in t.collect()}
+    assert abs(got["00000000001"] - own[0]) < 1e-6 and got["00000000077"] is None

@@ -528,14 +528,42 @@ FROM units u LEFT JOIN akeys a ON u.unit_id = a.GEOID10
      LEFT JOIN ip_unit p ON u.unit_id = p.GEOID10""")
 def layer_prep(spark, src):
     from tractus.operators.joins import left_join_renamed
+    from tractus.operators.layer import layer_areas, unit_centres
     u = B.units(spark, src).select("unit_id", "county_name", "state")
-    areas = _area_table(spark, src).select("GEOID10", "geo_area", "cf_area", "sf_area")
-    pts = _unit_points(spark, src).select("GEOID10", F.col("y").alias("lat"), F.col("x").alias("lon"))
+    cells = B.cells(spark, src)
+    areas = layer_areas(cells).select("GEOID10", "geo_area", "cf_area", "sf_area")
+    pts = unit_centres(cells).select("GEOID10", "lat", "lon")
     out = left_join_renamed(left_join_renamed(u, areas, "unit_id", "GEOID10"), pts, "unit_id", "GEOID10")
     return out.select("unit_id", "county_name", "state",
                       *[_r(c, 6).alias(c) for c in ("geo_area", "cf_area", "sf_area")], "lat", "lon")
 
 
+def _centres_sql(key: str) -> str:
+    return O.ctes(O.CTE_CORNERS, O.CTE_CELL_EDGES, O.outline_ctes(key), O.scanline_ctes("outline"))
+
+
+@register("county_centres", _centres_sql("CF") + """
+SELECT i.k AS CF, a.SF, i.y AS lat, i.x AS lon
+FROM ipoint i JOIN (SELECT CF, arg_min(SF, GEOID10) AS SF FROM corners WHERE idx = 0 GROUP BY CF) a ON a.CF = i.k""")
+def county_centres(spark, src):
+    from tractus.operators.layer import region_centres
+    return region_centres(B.cells(spark, src), "CF", attributes=("SF",))
+
+
+@register("state_centres", _centres_sql("SF") + "\nSELECT k AS SF, y AS lat, x AS lon FROM ipoint")
+def state_centres(spark, src):
+    from tractus.operators.layer import region_centres
+    return region_centres(B.cells(spark, src), "SF")
+
+
+@register("layer_areas_3035", O.ctes(O.CTE_CORNERS, O.projected_corners_cte(3035), O.unit_area_cte(), _AREA_KEYS_SQL) + """
+SELECT GEOID10, CF, SF, round(geo_area, 6) AS geo_area, round(cf_area, 6) AS cf_area, round(sf_area, 6) AS sf_area
+FROM akeys""")
+def layer_areas_3035(spark, src):
+    from tractus.operators.layer import layer_areas
+    t = layer_areas(B.cells(spark, src), srid=3035)
+    return t.select("GEOID10", "CF", "SF", *[_r(c, 6).alias(c) for c in ("geo_area", "cf_area", "sf_area")])
+
 
 # ------------------------------------------------ whole chain, S3, O1
 _LEVELS_SQL = O.chain(*[O.ranked_ctes(lv) for lv in D.LEVEL_ORDER]) + "\n" + "\nUNION ALL\n".join(

@@ -52,7 +52,7 @@ def normalise(name: str) -> str:
     return re.sub(r"[ ,;{}()\n\t=/]", "_", name)
 
 
-def _tract_id(column: str):
+def tract_id(column: str):
     """Tract ids as text of a fixed width: exports lose leading zeros."""
     return F.lpad(F.regexp_replace(F.col(f"`{column}`").cast("string"), r"\.0$", ""), TRACT_ID_WIDTH, "0")
 
@@ -68,7 +68,7 @@ def canonical_tracts(df: DataFrame) -> DataFrame:
         t = _TYPES.get(target, "double")
         col = F.col(f"`{c}`").cast(t)
         if target == "census_tract_id":
-            col = _tract_id(c)
+            col = tract_id(c)
         cols.append(col.alias(target))
     return df.select(*cols)
 
@@ -96,6 +96,6 @@ def read_centres(spark: SparkSession, path: str, key_columns: list[str]) -> Data
     ``,GEOID10,CF,SF,lat,lon,geo_size``: keys as STRING (tract ids padded to
     their width like the tract table's), lat/lon DOUBLE."""
     raw = spark.read.option("header", True).option("nullValue", "null").csv(path)
-    out = [(_tract_id(k) if k == "GEOID10" else F.col(k).cast("string")).alias(k) for k in key_columns]
+    out = [(tract_id(k) if k == "GEOID10" else F.col(k).cast("string")).alias(k) for k in key_columns]
     return raw.select(*out, F.col("lat").cast("double").alias("lat"),
                       F.col("lon").cast("double").alias("lon"))

@@ -108,16 +108,14 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def _range_of(col: str, bounds: list[int]) -> Column:
-    """Number of bounds below the value: a binary search in one literal."""
+    """Number of bounds below the value: a binary search in one literal, whose
+    steps are a lambda, so that the expression stays small."""
     if not bounds:
         return F.lit(0)
-    cut = F.lit(bounds).cast("array<long>")
-    at, step = F.lit(0), 1 << (len(bounds).bit_length() - 1)
-    while step:
-        inside = at + step <= len(bounds)
-        at = F.when(inside & (F.col(col) > F.get(cut, at + (step - 1))), at + step).otherwise(at)
-        step //= 2
-    return at
+    cut, value = F.lit(bounds).cast("array<long>"), F.col(col)
+    steps = [1 << k for k in reversed(range(len(bounds).bit_length()))]
+    return F.aggregate(F.lit(steps).cast("array<int>"), F.lit(0), lambda at, step: F.when(
+        (at + step <= len(bounds)) & (value > F.get(cut, at + step - 1)), at + step).otherwise(at))
 
 
 def with_next(rows: DataFrame, carry: list[str]) -> DataFrame:

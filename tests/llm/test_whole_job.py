@@ -38,3 +38,12 @@ def test_a_passage_below_the_limit_is_not_found():
     passage, new = _own("p", 60), _own("p", 30) + _own("n", 12) + _own("p", 60)[30:]
     assert _similarity(passage, new) < 0.8
     assert not substring.verify(_shingles(_own("a", 40) + passage), _shingles(_own("c", 33) + new))
+
+
+def test_passages_in_another_order_are_all_found():
+    p, q, r = _own("p", 80), _own("q", 60), _own("r", 30)
+    a, b = q + _own("x", 30) + p, p + q
+    assert [s[:4] for s in substring.verify(_shingles(a), _shingles(b))] == [(90, 165, 0, 75), (0, 55, 80, 135)]
+    # a passage whose first words stand earlier in the text, too
+    a, b = r + _own("x", 30) + _own("u", 20) + r, _own("k", 10) + _own("u", 20) + r
+    assert [s[:4] for s in substring.verify(_shingles(a), _shingles(b))] == [(60, 105, 10, 55)]

@@ -5,6 +5,8 @@ import pytest
 
 from tractus.llm import substring
 
+from .frames import documents, roots
+
 
 def _own(name, n):
     return [f"{name}{i}" for i in range(n)]
@@ -47,3 +49,33 @@ def test_passages_in_another_order_are_all_found():
     # a passage whose first words stand earlier in the text, too
     a, b = r + _own("x", 30) + _own("u", 20) + r, _own("k", 10) + _own("u", 20) + r
     assert [s[:4] for s in substring.verify(_shingles(a), _shingles(b))] == [(60, 105, 10, 55)]
+
+
+def test_texts_behind_a_stranger_in_their_groups_are_linked(spark):
+    """Passages made of frequent lines in an order of their own: every
+    shingle that stands within a line leads a group of strangers."""
+    r = np.random.default_rng(4)
+    lines = [_own(f"line{i}w", 30) for i in range(12)]
+    texts = []
+    for i in range(120):
+        texts.append(sum((lines[j] + _own(f"t{i}x{j}y", 20) for j in r.permutation(12)[:6]), []))
+    for i in range(0, 120, 10):     # a pair with one exact passage of two lines
+        j, k = r.permutation(12)[:2]
+        passage = lines[j] + lines[k]
+        texts[i] = _own(f"s{i}a", 9) + passage + _own(f"s{i}b", 9) + texts[i]
+        texts[i + 1] = texts[i + 1] + _own(f"s{i}c", 9) + passage
+    sets = [{tuple(t[x:x + 50]) for x in range(len(t) - 49)} for t in texts]
+    want = [(a, b) for a in range(120) for b in range(a) if sets[a] & sets[b]]
+    assert len(want) >= 12
+    got = substring.near_duplicate_spans(documents(spark, [(i, " ".join(t)) for i, t in enumerate(texts)])).collect()
+    comp = roots(120, [(x.doc_id, x.match_id) for x in got])
+    assert all(comp[a] == comp[b] for a, b in want)
+
+
+def test_every_window_of_a_text_counts(spark):
+    """A passage's minimum may stand earlier in the text, outside the passage."""
+    passage = _own("p", 60)
+    first = sum((passage[i:i + 7] + _own(f"x{i}y", 50) for i in range(0, 60, 3)), [])
+    texts = [_own("a", 20) + passage, first + passage + _own("b", 20) + passage]
+    got = substring.near_duplicate_spans(documents(spark, [(i, " ".join(t)) for i, t in enumerate(texts)])).collect()
+    assert {tuple(sorted((x.doc_id, x.match_id))) for x in got} == {(0, 1)}

@@ -3,7 +3,8 @@
 import numpy as np
 import pytest
 
-from tractus.llm import substring
+from tractus.llm import packing, substring
+from tractus.llm.common import materialize
 
 from .frames import documents, roots
 
@@ -79,3 +80,12 @@ def test_every_window_of_a_text_counts(spark):
     texts = [_own("a", 20) + passage, first + passage + _own("b", 20) + passage]
     got = substring.near_duplicate_spans(documents(spark, [(i, " ".join(t)) for i, t in enumerate(texts)])).collect()
     assert {tuple(sorted((x.doc_id, x.match_id))) for x in got} == {(0, 1)}
+
+
+# ------------------------------------------------------------------ 9
+@pytest.mark.parametrize("lengths, sequences", [([2049, 2047], 1), ([1] * 5000, 2), ([1365, 1365, 1366] * 7, 7)])
+def test_packing_uses_every_token_of_room(spark, lengths, sequences):
+    cut = materialize(spark.createDataFrame([(i, 0, 0, n, 7) for i, n in enumerate(lengths)],
+                                            "doc_id long, piece int, start long, length long, ids_crc32 long"))
+    got = packing.assign(cut).groupBy("sequence_id").sum("length").collect()
+    assert len(got) == sequences and max(r[1] for r in got) <= 4096 and sum(r[1] for r in got) == sum(lengths)

@@ -1,8 +1,8 @@
 """Best-fit packing: a configuration linear program over the histogram of
 piece lengths.
 
-Documents become ids with an end id and are cut into pieces.  Lengths are
-grouped into size classes of ``GRAIN`` tokens; the number of pieces per
+Documents become ids with an end id and are cut into pieces.  A size class is a
+length (``GRAIN`` = 1, so no room is rounded away); the number of pieces per
 class - at most capacity / GRAIN numbers, whatever the corpus - is all the
 driver sees.  The program "fewest patterns that cover every class" is solved by
 multiplicative weights: the weight of a class falls as it gets covered, and
@@ -37,7 +37,7 @@ from tractus.llm.common import Memory, id_text, map_slices, materialize, shuffle
 CAPACITY = 4096
 END_ID = 1
 #: Tokens of a size class.
-GRAIN = 4
+GRAIN = 1
 #: Pricing steps of the multiplicative weights, and their learning rate.
 STEPS, RATE = 900, 0.6
 MEMORY = 250_000
@@ -120,11 +120,14 @@ def price(value: np.ndarray, size: int) -> list[int]:
     value whose sizes add up to ``size`` at most.  ``value[c]`` is the value of
     class c, -inf for an absent one."""
     best, pick, used = np.zeros(size + 1), np.zeros(size + 1, np.int64), np.zeros(size + 1, np.int64)
+    live = np.flatnonzero(value > -np.inf)
+    worth, fits = value[live], np.searchsorted(live, np.arange(size + 1), side="right").tolist()
     for c in range(1, size + 1):
-        total = best[c - 1::-1] + value[1:c + 1]
-        k = int(total.argmax())
-        if total[k] > best[c - 1]:
-            best[c], pick[c], used[c] = total[k], k + 1, c
+        n = fits[c]   # classes that fit
+        total = best[c - live[:n]] + worth[:n]
+        k = int(total.argmax()) if n else 0
+        if n and total[k] > best[c - 1]:
+            best[c], pick[c], used[c] = total[k], live[k], c
         else:
             best[c], pick[c], used[c] = best[c - 1], 0, used[c - 1]
     out, c = [], int(used[size])

@@ -50,7 +50,7 @@ def whole_vectors(vectors: DataFrame, length: int = LENGTH, scale: float = SCALE
 def first_centroids(kept: DataFrame, clusters: int, order: Column) -> np.ndarray:
     """The vectors with the smallest ``order``; equal ones by id, then by components."""
     rows = kept.where("vec_id is not null").orderBy(order, "vec_id", "v").limit(clusters).select("v").collect()
-    return np.array([r.v for r in rows], dtype=np.int64).reshape(len(rows), -1)
+    return np.array([r.v for r in rows], dtype=np.int64)
 
 
 def exact_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -253,6 +253,56 @@ outline AS (
   FROM ukeys GROUP BY k, lx, ly, hx, hy HAVING count(*) = 1)"""
 
 
+CTE_ZONES = f"""
+zedges AS (
+  SELECT e.*, 'Z' || CAST(CASE WHEN ({' OR '.join(f"(ix % {B.GRID_BLOCK} = {x} AND iy % {B.GRID_BLOCK} = {y})" for x, y in B.ENCLAVES)})
+                          THEN (ix // {B.GRID_BLOCK} + 1) % {B.ZONES} ELSE ix // {B.GRID_BLOCK} END AS VARCHAR) AS ZONE
+  FROM (SELECT *, GEOID10 % {B.GRID_COLUMNS} AS ix, GEOID10 // {B.GRID_COLUMNS} AS iy FROM cedges) e)"""
+
+# sides of cells with odd ids are halved, and so are those that an odd neighbour has halved (left and right ones
+# alone: 50 columns, so ids above and below have the same parity)
+CTE_SPLIT_EDGES = f"""
+sedges AS (
+  SELECT GEOID10, CF, qx0, qy0, (qx0 + qx1) // 2 AS qx1, (qy0 + qy1) // 2 AS qy1 FROM halved WHERE half
+  UNION ALL SELECT GEOID10, CF, (qx0 + qx1) // 2, (qy0 + qy1) // 2, qx1, qy1 FROM halved WHERE half
+  UNION ALL SELECT GEOID10, CF, qx0, qy0, qx1, qy1 FROM halved WHERE NOT half)"""
+CTE_HALVED = f"""
+halved AS (
+  SELECT e.*, GEOID10 % 2 = 1
+    OR (idx = 1 AND GEOID10 % {B.GRID_COLUMNS} < {B.GRID_COLUMNS - 1} AND GEOID10 + 1 IN (SELECT c_custkey FROM customer))
+    OR (idx = 3 AND GEOID10 % {B.GRID_COLUMNS} > 0 AND GEOID10 - 1 IN (SELECT c_custkey FROM customer)) AS half
+  FROM cedges e)"""
+
+
+def polygon_ctes(edges: str, key: str) -> str:
+    """``polygons`` CTE (k, part, ring, pos, qx, qy): rings of the merged cells, walked edge by edge.  Sides are
+    parallel to the axes: directions are 0 to 3 from east."""
+    return f"""
+und AS (
+  SELECT {key} AS k, GEOID10 AS u, qx0, qy0, qx1, qy1, least(qx0, qx1) AS lx, least(qy0, qy1) AS ly, greatest(qx0, qx1) AS hx, greatest(qy0, qy1) AS hy,
+    CASE WHEN qx1 > qx0 THEN 0 WHEN qy1 > qy0 THEN 1 WHEN qx1 < qx0 THEN 2 ELSE 3 END AS dir FROM {edges}),
+near AS (SELECT DISTINCT a.u AS a, b.u AS b FROM und a JOIN und b ON (a.k, a.lx, a.ly, a.hx, a.hy) = (b.k, b.lx, b.ly, b.hx, b.hy) AND a.u <> b.u),
+reach AS (SELECT DISTINCT u, u AS r FROM und UNION SELECT reach.u, near.b FROM reach JOIN near ON reach.r = near.a),
+block AS (SELECT u, min(r) AS part FROM reach GROUP BY u),
+ol AS (
+  SELECT row_number() OVER () AS id, und.k, part, qx0, qy0, qx1, qy1, dir FROM und JOIN block USING (u)
+  JOIN (SELECT k, lx, ly, hx, hy FROM und GROUP BY ALL HAVING count(*) = 1) once ON (und.k, und.lx, und.ly, und.hx, und.hy) = (once.k, once.lx, once.ly, once.hx, once.hy)),
+follow AS (
+  SELECT a.id, arg_min(b.id, (b.dir - a.dir + 6) % 4) AS next FROM ol a
+  JOIN ol b ON (a.k, a.part, a.qx1, a.qy1) = (b.k, b.part, b.qx0, b.qy0) GROUP BY a.id),
+walk AS (SELECT id AS s, id AS cur, 0 AS pos FROM ol UNION ALL SELECT s, next, pos + 1 FROM walk JOIN follow ON id = cur WHERE next <> s),
+placed AS (SELECT s, pos, k, part, qx0, qy0, qx1, qy1 FROM walk JOIN ol ON id = cur),
+loops AS (
+  SELECT s, any_value(k) AS k, any_value(part) AS part, min((qx0, qy0)) AS least, arg_min((qx0, qy0), pos) AS first, count(*) AS n,
+    sum(CAST(qx0 AS HUGEINT) * qy1 - CAST(qx1 AS HUGEINT) * qy0) < 0 AS hole FROM placed GROUP BY s HAVING least = first),
+named AS (
+  SELECT *, row_number() OVER (PARTITION BY k, part ORDER BY hole, first) - 1 AS ring, min(CASE WHEN NOT hole THEN first END) OVER (PARTITION BY k, part) AS shell FROM loops),
+numbered AS (SELECT *, dense_rank() OVER (PARTITION BY k ORDER BY shell) - 1 AS part_no FROM named),
+polygons AS (
+  SELECT n.k, part_no, ring, pos, qx0 AS qx, qy0 AS qy FROM numbered n JOIN placed p ON p.s = n.s
+  UNION ALL SELECT n.k, part_no, ring, n.n, qx0, qy0 FROM numbered n JOIN placed p ON p.s = n.s AND pos = 0)"""
+
+
 def scanline_ctes(edges: str, k: str = "k") -> str:
     """``ipoint`` CTE (k, x, y): scan-line interior point of edge set."""
     return f"""

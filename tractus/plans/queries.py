@@ -507,6 +507,61 @@ def layer_geojson_roundtrip(spark, src):
                        F.array_min(ys).alias("min_y"), F.array_max(ys).alias("max_y"))
 
 
+def _polygon_sql(key: str, edges: str = "cedges", *more: str) -> str:
+    head = O.ctes(O.CTE_CORNERS, O.CTE_CELL_EDGES, *more, O.polygon_ctes(edges, key)).replace("WITH", "WITH RECURSIVE", 1)
+    return head + f"""
+SELECT k AS {key}, CAST(part_no AS INTEGER) AS part, CAST(ring AS INTEGER) AS ring, CAST(pos AS INTEGER) AS pos, qx, qy FROM polygons"""
+
+
+def _polygon_points(polygons, key: str):
+    """A row per point: polygon, ring (0: the shell) and place, all from 0, and the coordinates in 1e-7 degrees."""
+    parts = polygons.select(key, F.posexplode("geometry").alias("part", "rings"))
+    points = parts.select(key, "part", F.posexplode("rings").alias("ring", "points")).select(key, "part", "ring", F.posexplode("points").alias("pos", "p"))
+    return points.select(key, "part", "ring", "pos", *[F.round(F.col(f"p.{c}") / F.lit(1e-7)).cast("bigint").alias(f"q{c}") for c in "xy"])
+
+
+def _written_polygons(layer, spark, key: str):
+    """The merged polygons written as GeoJSON features and read back."""
+    from tractus.operators.rings import region_polygons
+    from tractus.session import scratch_dir
+    from tractus.sinks.features import write_polygon_features
+    from tractus.sources.geojson import read_features
+    path = write_polygon_features(region_polygons(layer, key, "GEOID10"), scratch_dir(spark, "polygons"))
+    return read_features(spark, path, f"{key} string, area double")
+
+
+@register("county_polygons", _polygon_sql("CF"))
+def county_polygons(spark, src):
+    return _polygon_points(_written_polygons(B.cells(spark, src), spark, "CF"), "CF")
+
+
+@register("state_polygons", _polygon_sql("SF"))
+def state_polygons(spark, src):
+    return _polygon_points(_written_polygons(B.cells(spark, src), spark, "SF"), "SF")
+
+
+@register("zone_polygons", _polygon_sql("ZONE", "zedges", O.CTE_ZONES))
+def zone_polygons(spark, src):
+    return _polygon_points(_written_polygons(B.zones(spark, src), spark, "ZONE"), "ZONE")
+
+
+@register("noded_polygons", _polygon_sql("CF", "sedges", O.CTE_HALVED, O.CTE_SPLIT_EDGES))
+def noded_polygons(spark, src):
+    from tractus.operators.rings import region_polygons
+    return _polygon_points(region_polygons(B.split_cells(spark, src), "CF", "GEOID10"), "CF")
+
+
+@register("coverage_check", f"""
+WITH pairs AS (
+  SELECT a.c_custkey AS k, b.c_custkey AS right_k FROM customer a JOIN customer b ON b.c_custkey = a.c_custkey + 1
+  WHERE a.c_custkey % {B.MOVED_MODULUS} = 0 AND a.c_custkey % {B.GRID_COLUMNS} < {B.GRID_COLUMNS - 1})
+SELECT unnest([k, right_k]) AS GEOID10, fault, CAST(2 AS BIGINT) AS n FROM pairs, (VALUES ('edge'), ('vertex')) f(fault)""")
+def coverage_check(spark, src):
+    """Units that were moved over a neighbour: the neighbour's sides are held twice, and corners overlap."""
+    from tractus.operators.coverage import coverage_faults
+    return coverage_faults(B.moved_cells(spark, src), "CF", "GEOID10")
+
+
 @register("point_layer_roundtrip", O.ctes(O.CTE_TRACT_CENTRES) + "\nSELECT * FROM tract_centres")
 def point_layer_roundtrip(spark, src):
     from tractus.session import scratch_dir

@@ -28,6 +28,12 @@ Bindings (fixed values, shared with the oracle SQL):
   lon = -100 - 5 * r_regionkey; region 2 has none.
 * tract centres: per customer the middle of its grid cell; the point is
   NULL where c_custkey % 11 = 0.
+* zones: cells with a third key; 'Z<ix div 10>', but the cells (3, 1), (6, 1) and
+  (7, 2) of each 10 x 10 block belong to the next zone (of five), so that zones have
+  holes, holes that touch, and several parts.
+* split cells: cells whose polygons have an extra vertex in the middle of each
+  side where k is odd, so that borders with even neighbours are not noded.
+* moved cells: cells with k % 101 = 0 moved right by 0.4 of a cell, over their neighbour.
 * cells: per customer k a 0.05 degree square at column k % 50, row
   k div 50 of a grid with origin (-120, 25); county = 'C<ix div 10>_<iy
   div 10>', state = 'S<ix div 10>'.
@@ -56,6 +62,8 @@ GRID_STEP = 0.05
 GRID_ORIGIN_X = -120.0
 GRID_ORIGIN_Y = 25.0
 GRID_BLOCK = 10
+ZONES, ENCLAVES = 5, ((3, 1), (6, 1), (7, 2))
+MOVED_MODULUS, MOVED_BY = 101, 0.4
 
 METRIC_DECIMAL = "decimal(18,2)"
 
@@ -224,6 +232,36 @@ def tract_centres(spark: SparkSession, src: str) -> DataFrame:
                     F.when(known, _grid_x(ix) + half).alias("lon"))
 
 
+def zones(spark: SparkSession, src: str) -> DataFrame:
+    """The cells with a region key ``ZONE`` whose regions have holes and several parts."""
+    ix, iy = _grid_index(F.col("GEOID10"))
+    bx = F.floor(ix / GRID_BLOCK)
+    enclave = F.lit(False)
+    for x, y in ENCLAVES:
+        enclave = enclave | ((ix % GRID_BLOCK == x) & (iy % GRID_BLOCK == y))
+    zone = F.when(enclave, (bx + 1) % ZONES).otherwise(bx)
+    return cells(spark, src).withColumn("ZONE", F.concat(F.lit("Z"), zone.cast("string")))
+
+
+def split_cells(spark: SparkSession, src: str) -> DataFrame:
+    """The cells, every other one with an extra vertex in the middle of each side."""
+    ring = F.col("geometry")[0][0]
+
+    def middle(p, i):
+        q = F.get(ring, i + 1)
+        return F.array(p, F.struct(((p["x"] + q["x"]) / 2).alias("x"), ((p["y"] + q["y"]) / 2).alias("y")))
+
+    split = F.concat(F.flatten(F.transform(F.slice(ring, 1, 4), middle)), F.slice(ring, 5, 1))
+    return cells(spark, src).withColumn("geometry", F.when(F.col("GEOID10") % 2 == 1, F.array(F.array(split))).otherwise(F.col("geometry")))
+
+
+def moved_cells(spark: SparkSession, src: str) -> DataFrame:
+    """The cells, some of them moved over their right neighbour."""
+    moved = F.transform("geometry", lambda part: F.transform(part, lambda ring: F.transform(
+        ring, lambda p: F.struct((p["x"] + GRID_STEP * MOVED_BY).alias("x"), p["y"].alias("y")))))
+    return cells(spark, src).withColumn("geometry", F.when(F.col("GEOID10") % MOVED_MODULUS == 0, moved).otherwise(F.col("geometry")))
+
+
 def cells(spark: SparkSession, src: str) -> DataFrame:
     """Polygon layer: one square per customer.
 

@@ -224,8 +224,7 @@ def test_compact_windows(values, length):
 
 
 def _passages(rows):
-    memory = substring.word_memory()
-    sh = {i: substring.shingles(t, memory) for i, t in rows.items()}
+    sh = {i: substring.shingles(t) for i, t in rows.items()}
     first = {}
     for i in sorted(rows):
         first.setdefault(rows[i], i)

@@ -14,7 +14,7 @@ def _own(name, n):
 
 
 def _shingles(words):
-    return substring.shingles(" ".join(words), substring.word_memory())
+    return substring.shingles(" ".join(words))
 
 
 def _similarity(a, b):
@@ -82,6 +82,32 @@ def test_every_window_of_a_text_counts(spark):
     assert {tuple(sorted((x.doc_id, x.match_id))) for x in got} == {(0, 1)}
 
 
+@pytest.mark.parametrize("length, changed", [(30, 1), (15, 1), (45, 1), (30, 0)])
+def test_near_variants_behind_strangers_are_linked(spark, length, changed):
+    """240 texts of twelve frequent lines; 40 pairs share three lines in the same order, one
+    word changed (similarity 81/91 for lines of 30).  The expected pairs are the planted ones and
+    need none of the operator's functions."""
+    r = np.random.default_rng(length + changed)
+    lines = [_own(f"line{i}w", length) for i in range(12)]
+    texts = [sum((lines[j] + _own(f"t{i}x{j}y", 20) for j in r.permutation(12)[:6]), []) for i in range(240)]
+    want = []
+    for i in range(0, 80, 2):
+        passage = sum((lines[j] for j in r.permutation(12)[:max(3, 90 // length)]), [])
+        near = list(passage)
+        if changed:
+            near[len(near) // 2] = f"changed{i}"
+        assert _similarity(passage, near) >= 0.8
+        texts[i] = _own(f"s{i}a", 9) + passage + _own(f"s{i}b", 9) + texts[i]
+        texts[i + 1] = texts[i + 1] + _own(f"s{i}c", 9) + near
+        want.append((i, i + 1))
+    got = substring.near_duplicate_spans(documents(spark, [(i, " ".join(t)) for i, t in enumerate(texts)])).collect()
+    comp = roots(240, [(x.doc_id, x.match_id) for x in got])
+    recall = np.mean([comp[a] == comp[b] for a, b in want])
+    linked = {tuple(sorted((x.doc_id, x.match_id))) for x in got}
+    print(f"recall {recall:.2f}, pairs linked themselves {np.mean([w in linked for w in want]):.2f}")
+    assert recall >= 0.9
+
+
 # ------------------------------------------------------------------ 9
 @pytest.mark.parametrize("lengths, sequences", [([2049, 2047], 1), ([1] * 5000, 2), ([1365, 1365, 1366] * 7, 7)])
 def test_packing_uses_every_token_of_room(spark, lengths, sequences):

@@ -37,63 +37,140 @@ are exact copies; rows with a null id take no part.
 from __future__ import annotations
 
 import functools
-import re
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tractus.llm.common import Memory, id_text, map_slices, materialize, shuffle_width
+from tractus.llm.common import id_text, map_slices, materialize, shuffle_width
 
 SHINGLE, WORDS, SIMILARITY = 5, 50, 0.8
 HASHES, AGREE = 5, 2
-#: Number of the links by a whole run, beside those of the hash functions.
+#: Number of the links by a whole run or a context, beside those of the hash functions.
 WHOLE = 30
+#: Shingles to one side of a minimum that name its window, its own included.
+CONTEXT = 12
 #: Largest number of positions handled at once; longer texts go in overlapping pieces.
 PIECE = 1 << 22
-#: Texts with a candidate are looked up by broadcast up to this many (32 bytes
-#: each), by a join beyond.
-BROADCAST_TEXTS = 1_000_000
-MEMORY = 200_000
-_WORD = re.compile(r"\S+")
+#: Characters hashed together.
+STRETCH = 1 << 18
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _SALTS = np.array([0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3,
                    0x1D8E4E27C47D124F, 0xEB44ACCAB455D165, 0x9C6E6877736C46E3, 0xD6E8FEB86659FD93], dtype=np.uint64)
 
 
-def _word_hash(word: str) -> int:
-    import xxhash
-    return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
-
-
-@functools.lru_cache(maxsize=1)
-def word_memory() -> Memory:
-    """One memory of words per worker process."""
-    return Memory(_word_hash, MEMORY)
-
-
-def shingles(text: str, memory: Memory, k: int = SHINGLE) -> np.ndarray:
-    """A 64-bit hash per run of k words (lower-cased)."""
-    words = text.lower().split()
-    n = len(words) - k + 1
+def _random_numbers(n: int, seed: int) -> np.ndarray:
+    return np.random.default_rng(seed).integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+_CHARACTERS = _random_numbers(1 << 12, 11)
+_SPACE = np.array([chr(c).isspace() for c in range(0x3002)])
+
+
+@functools.lru_cache(maxsize=2)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse, modulo 2^64."""
+    inverse = pow(int(_MULTIPLIER), -1, 1 << 64)
+    return tuple(np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, np.uint64(m))]), dtype=np.uint64)
+                 for m in (_MULTIPLIER, inverse))
+
+
+def _codes(text: str) -> np.ndarray:
+    if text.isascii():
+        return np.frombuffer(text.encode(), np.uint8)
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _bounds(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last + 1 place of every word (a run of characters that are no white space)."""
+    space = _SPACE[codes] if codes.dtype == np.uint8 else _SPACE[np.minimum(codes, len(_SPACE) - 1)]
+    edge = np.flatnonzero(np.diff(np.concatenate([[True], space, [True]])))
+    return edge[::2], edge[1::2]
+
+
+def word_starts(text: str) -> np.ndarray:
+    """Code points where the words start, and the text's end."""
+    codes = _codes(text)
+    return np.append(_bounds(codes)[0], len(codes)).astype("<u4")
+
+
+def _word_hashes(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, first places): a 64-bit hash per word, the sum of its characters' random numbers times
+    powers by their place, as a difference of running sums over a stretch of text, moved to place 0."""
+    codes = _codes(text)
+    first, end = _bounds(codes)
+    out = np.zeros(len(first), np.uint64)
+    at = 0
+    while at < len(first):
+        # whole words, about STRETCH characters
+        to = max(at + 1, int(np.searchsorted(end, first[at] + STRETCH, side="right")))
+        base = int(first[at])
+        part = codes[base:int(end[to - 1])]
+        power, inverse = _powers(max(STRETCH, 1 << (len(part) - 1).bit_length()))
+        value = _CHARACTERS[part] if part.dtype == np.uint8 else (
+            _CHARACTERS[part & np.uint32(0xFFF)] + (part >> np.uint32(12)) * _SALTS[1])
+        value *= power[:len(part)]
+        total = np.concatenate([[np.uint64(0)], np.cumsum(value, dtype=np.uint64)])
+        f = first[at:to] - base
+        h = (total[end[at:to] - base] - total[f]) * inverse[f]
+        h ^= h >> np.uint64(32)
+        h *= _SALTS[2]
+        out[at:to] = h ^ (h >> np.uint64(29))
+        at = to
+    return out, first
+
+
+def shingle_batch(texts: list[str], k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, offsets): a 64-bit hash per run of k words (lower-cased) of all texts in one
+    array; text i has those from offsets[i] to offsets[i + 1]."""
+    low = [t.lower() for t in texts]
+    w, first = _word_hashes("\n".join(low))
+    ends = np.cumsum([len(t) + 1 for t in low])
+    words = np.diff(np.searchsorted(first, ends), prepend=0)
+    counts = np.maximum(words - k + 1, 0)
+    n = len(w) - k + 1
+    offsets = np.concatenate([[0], np.cumsum(counts)])
     if n < 1:
-        return np.zeros(0, np.uint64)
-    w = np.fromiter(map(memory.__getitem__, words), dtype=np.uint64, count=len(words))
+        return np.zeros(0, np.uint64), offsets
     s = w[:n].copy()
     for i in range(1, k):
         s *= _MULTIPLIER
         s += w[i:n + i]
         s ^= s >> np.uint64(29)
     s *= _MULTIPLIER
-    return s ^ (s >> np.uint64(32))
+    s ^= s >> np.uint64(32)
+    if len(texts) > 1:       # runs over the end of a text go
+        owner = np.repeat(np.arange(len(texts)), words)
+        s = s[owner[:n] == owner[k - 1:]]
+    return s, offsets
+
 
+def shingles(text: str, k: int = SHINGLE) -> np.ndarray:
+    return shingle_batch([text], k)[0]
 
-def _centres(s: np.ndarray, salts: np.ndarray, length: int) -> list[np.ndarray]:
-    """Per hash function the minima of all sliding windows, in order: 40 bits of
+
+def _text_batches(column, rows: int = 256, characters: int = 1 << 21):
+    """(first row, texts): runs of a column's texts, a few million characters at most or a single text."""
+    at, held, size = 0, [], 0
+    for i, t in enumerate(column):
+        t = t.as_py()
+        if held and (len(held) >= rows or size + len(t) > characters):
+            yield at, held
+            at, held, size = i, [], 0
+        held.append(t)
+        size += len(t)
+    if held:
+        yield at, held
+
+
+def _centres(s: np.ndarray, offsets: np.ndarray, salts: np.ndarray, length: int) -> list[np.ndarray]:
+    """Per hash function the minima of all sliding windows inside the texts, in order: 40 bits of
     hash over 24 bits of position.  All hash functions go through each array
     operation together."""
     n, salt = len(s), salts[:, None]
+    if n < length:
+        return [np.zeros(0, np.uint64) for _ in salts]
     h = (s[None] ^ salt) * _MULTIPLIER
     h ^= h >> np.uint64(31)
     h *= salt | np.uint64(1)
@@ -106,31 +183,66 @@ def _centres(s: np.ndarray, salts: np.ndarray, length: int) -> list[np.ndarray]:
         m = np.minimum(m[:, :n - length + 1], m[:, length - span:length - span + n - length + 1])
     new = np.ones(m.shape, dtype=bool)
     np.not_equal(m[:, 1:], m[:, :-1], out=new[:, 1:])
+    if len(offsets) > 2:
+        owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+        whole = owner[:n - length + 1] == owner[length - 1:]      # windows inside one text
+        new[:, 1:] |= ~whole[:-1]
+        new &= whole
     return [row[keep] for row, keep in zip(m, new)]
 
 
-def _tree(centre: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Cartesian tree over the centres: between the nearest smaller ones on both sides."""
-    keys, places = centre.tolist(), (centre & np.uint64(0xFFFFFF)).tolist()
-    left, right = [0] * len(keys), [n - 1] * len(keys)
-    stack: list[int] = []
-    for i, k in enumerate(keys):
-        while stack and keys[stack[-1]] > k:
-            right[stack.pop()] = places[i] - 1
-        if stack:
-            left[i] = places[stack[-1]] + 1
-        stack.append(i)
-    return np.array(left, dtype=np.int64), np.array(right, dtype=np.int64)
+def _nearest_smaller(keys: np.ndarray, edge: np.ndarray, step: int) -> np.ndarray:
+    """Index of the nearest smaller key on one side, or len(keys) beyond an ``edge``.  Each
+    round every element that points to a larger one goes on to where that one points."""
+    n = len(keys)
+    k = np.append(keys, np.uint64(0))
+    to = np.arange(n + 1) + step
+    to[np.append(edge, True)] = n
+    active = np.arange(n)
+    while True:
+        active = active[k[to[active]] > keys[active]]
+        if not len(active):
+            return to[:n]
+        to[active] = to[to[active]]
+
+
+def _tree(centre: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, place, left, right): Cartesian trees over the centres of each text; a centre's window lies
+    between the nearest smaller ones on both sides.  Places count from the text's start."""
+    place = (centre & np.uint64(0xFFFFFF)).astype(np.int64)
+    text = np.searchsorted(offsets, place, side="right") - 1
+    first = np.ones(len(centre), dtype=bool)
+    first[1:] = text[1:] != text[:-1]
+    last = np.append(first[1:], True) if len(centre) else first
+    lower, upper = _nearest_smaller(centre, first, -1), _nearest_smaller(centre, last, 1)
+    padded = np.append(place, 0)
+    left = np.where(lower < len(centre), padded[lower] + 1, offsets[text])
+    right = np.where(upper < len(centre), padded[upper] - 1, offsets[text + 1] - 1)
+    base = offsets[text]
+    return text, place - base, left - base, right - base
 
 
 def compact_windows(s: np.ndarray, salt: np.uint64, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(min-hash, left, right) of every compact window of at least
     ``length`` positions, under one hash function.  Equal hashes: the leftmost is the smaller."""
-    if len(s) < length:
-        none = np.zeros(0, np.int64)
-        return none.astype(np.uint64), none, none
-    centre = _centres(s, np.array([salt], dtype=np.uint64), length)[0]
-    return (centre >> np.uint64(24), *_tree(centre, len(s)))
+    whole = np.array([0, len(s)])
+    centre = _centres(s, whole, np.array([salt], dtype=np.uint64), length)[0]
+    return (centre >> np.uint64(24), *_tree(centre, whole)[2:])
+
+
+def _pieces(s: np.ndarray, offsets: np.ndarray, length: int):
+    """(s, offsets, first text, start): texts of a batch together, one that is longer than PIECE in overlapping pieces."""
+    if len(s) <= PIECE + length:
+        yield s, offsets, 0, 0
+        return
+    for i, (lo, hi) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
+        for start in range(0, max(1, hi - lo - length + 1), PIECE):
+            part = s[lo + start:min(hi, lo + start + PIECE + length - 1)]
+            yield part, np.array([0, len(part)]), i, start
+
+
+def _key(centre: np.ndarray, f: int) -> np.ndarray:
+    return ((centre >> np.uint64(24)) | np.uint64(f << 40)).astype(np.int64)
 
 
 def _windows(docs: DataFrame, hashes: int, words: int) -> DataFrame:
@@ -139,26 +251,15 @@ def _windows(docs: DataFrame, hashes: int, words: int) -> DataFrame:
     schema = pa.schema([("key", pa.int64()), ("h", pa.int64()), ("at", pa.int64())])
 
     def run(batches):
-        memory = word_memory()
         for b in batches:
-            keys, names, ats, held = [], [], [], 0
-            for h, t in zip(b.column(0).to_pylist(), b.column(1)):
-                s = shingles(t.as_py(), memory)
-                for start in range(0, max(1, len(s) - length + 1), PIECE):
-                    part = s[start:start + PIECE + length - 1]
-                    if len(part) < length:
-                        continue
-                    for f, centre in enumerate(_centres(part, _SALTS[:hashes], length)):
-                        left, right = _tree(centre, len(part))
-                        keys.append(((centre >> np.uint64(24)) | np.uint64(f << 40)).astype(np.int64))
-                        ats.append(((left + start) << 31) | (right - left + 1))
-                        names.append(np.full(len(centre), h, dtype=np.int64))
-                        held += len(centre)
-                if held > 50_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, names, ats)], schema=schema)
-                    keys, names, ats, held = [], [], [], 0
-            if held:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, names, ats)], schema=schema)
+            h = b.column(0).to_numpy()
+            for row, texts in _text_batches(b.column(1)):
+                for s, offsets, i, start in _pieces(*shingle_batch(texts), length):
+                    out = []
+                    for f, centre in enumerate(_centres(s, offsets, _SALTS[:hashes], length)):
+                        text, _, left, right = _tree(centre, offsets)
+                        out.append((_key(centre, f), h[row + i + text], ((left + start) << 31) | (right - left + 1)))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], schema=schema)
 
     return docs.select("h", "text").mapInArrow(run, "key long, h long, at long")
 
@@ -168,7 +269,7 @@ def _link_groups(batches, chain: bool = True):
     group's first one and, with ``chain``, of each text's first window to the text
     before; further windows of the first text come as links with a = b.  The heads of
     the first and the last group, which may go on in another task, come marked by b null."""
-    schema = pa.schema([(c, pa.int64()) for c in ("key", "a", "a_at", "b", "b_at")])
+    schema = pa.schema([(c, pa.int64()) for c in ("key", "a", "a_at", "b", "b_at", "more")])
     head = prev = None    # (key, h, at)
     first = None
     for batch in batches:
@@ -185,10 +286,15 @@ def _link_groups(batches, chain: bool = True):
         head_h = np.where(opened, head[1] if head else 0, h[group])
         head_at = np.where(opened, head[2] if head else 0, at[group])
         inner = ~starts
-        links = [(k[inner], head_h[inner], head_at[inner], h[inner], at[inner])]
+        # more than two windows; groups that may go on beyond the batch count as such
+        number = np.cumsum(starts)
+        size = np.bincount(number)
+        size[[number[0], number[-1]]] = 3
+        more = (size[number] > 2).astype(np.int64)
+        links = [(k[inner], head_h[inner], head_at[inner], h[inner], at[inner], more[inner])]
         if chain:
             new = inner & (h != before_h) & (before_h != head_h)
-            links.append((k[new], before_h[new], before_at[new], h[new], at[new]))
+            links.append((k[new], before_h[new], before_at[new], h[new], at[new], more[new]))
         if first is None:
             first = (int(k[0]), int(h[0]), int(at[0]))
         head = (int(k[-1]), int(head_h[-1]), int(head_at[-1]))
@@ -197,7 +303,7 @@ def _link_groups(batches, chain: bool = True):
         if len(cols[0]):
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], schema=schema)
     for key, h, at in {x for x in (first, head) if x is not None}:
-        yield pa.RecordBatch.from_pydict({"key": [key], "a": [h], "a_at": [at], "b": [None], "b_at": [None]}, schema=schema)
+        yield pa.RecordBatch.from_pydict({"key": [key], "a": [h], "a_at": [at], "b": [None], "b_at": [None], "more": [1]}, schema=schema)
 
 
 def _linked(rows: DataFrame, name: str, chain: bool = True) -> DataFrame:
@@ -206,12 +312,12 @@ def _linked(rows: DataFrame, name: str, chain: bool = True) -> DataFrame:
     laid = (rows.repartitionByRange(shuffle_width(rows.sparkSession), "key", "h")
             .sortWithinPartitions("key", "h", "at"))
     links = materialize(laid.mapInArrow(lambda batches: _link_groups(batches, chain),
-                                        "key long, a long, a_at long, b long, b_at long"), name)
+                                        "key long, a long, a_at long, b long, b_at long, more long"), name)
     ends = links.where("b is null").select("key", "a", "a_at").distinct()
     heads = ends.groupBy("key").agg(F.min(F.struct("a", "a_at")).alias("m"))
     across = (ends.join(heads, "key").where("struct(a, a_at) <> m")
               .select("key", F.col("m.a").alias("a"), F.col("m.a_at").alias("a_at"),
-                      F.col("a").alias("b"), F.col("a_at").alias("b_at")))
+                      F.col("a").alias("b"), F.col("a_at").alias("b_at"), F.lit(1).cast("long").alias("more")))
     return links.where("b is not null").unionByName(across)
 
 
@@ -229,56 +335,82 @@ def _run_hashes(s: np.ndarray, length: int) -> np.ndarray:
     return join(s[:n], s[length - span:length - span + n])
 
 
-def _whole_runs(texts: DataFrame, links: DataFrame, reps: DataFrame, hashes: int, words: int) -> DataFrame:
-    """(key, h, at) of every run of ``words`` words that may stand in another
-    text: key is the hash of the whole run, so a group has no texts
-    that do not share it.  Two texts with a run in common have a group in common
-    under every hash function; runs not covered by groups of two or more
-    texts under each of them are left out."""
+def _covered(f: np.ndarray, at: np.ndarray, hashes: int, length: int) -> np.ndarray:
+    """First places of the runs of ``length`` shingles that lie in shared windows under every hash function."""
+    lo, hi = at >> 31, (at >> 31) + (at & 0x7FFFFFFF) - length
+    end = int(hi.max()) + 2
+    held = np.ones(end, dtype=bool)
+    for i in range(hashes):
+        step = np.zeros(end, dtype=np.int64)
+        np.add.at(step, lo[f == i], 1)
+        np.add.at(step, hi[f == i] + 1, -1)
+        held &= np.cumsum(step) > 0
+    return np.flatnonzero(held)
+
+
+def _context_keys(s: np.ndarray, key: np.ndarray, at: np.ndarray, hashes: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, at): windows named by their minimum and the CONTEXT shingles that end, or start, with it."""
+    centres = [(f, start, c) for part, offsets, _, start in _pieces(s, np.array([0, len(s)]), length)
+               for f, c in enumerate(_centres(part, offsets, _SALTS[:hashes], length))]
+    keys = np.concatenate([_key(c, f) for f, _, c in centres])
+    place = np.concatenate([(c & np.uint64(0xFFFFFF)).astype(np.int64) + start for _, start, c in centres])
+    order = np.lexsort((place, keys))
+    keys, place = keys[order], place[order]
+    # a window's own centre: the first one of its hash inside it
+    left, size = at >> 31, at & 0x7FFFFFFF
+    own = np.searchsorted(keys, key, side="left")
+    while (late := place[own] < left).any():
+        own[late] += 1
+    run, out, ats = _run_hashes(s, CONTEXT), [], []
+    for side, first in ((_SALTS[3], place[own] - CONTEXT + 1), (_SALTS[4], place[own])):
+        inside = (left <= first) & (first + CONTEXT <= left + size)
+        h = (key[inside].view(np.uint64) * _MULTIPLIER) ^ run[first[inside]]
+        h = (h ^ (h >> np.uint64(31))) * side
+        out.append((h ^ (h >> np.uint64(29))).view(np.int64))
+        ats.append(at[inside])
+    return np.concatenate(out), np.concatenate(ats)
+
+
+def _shared_texts(texts: DataFrame, links: DataFrame, reps: DataFrame, hashes: int, words: int) -> DataFrame:
+    """(h, doc_id, s, places, keys, ats) of the texts with a shared window: their shingles' hashes and
+    their words' places as bytes, and the stronger keys of their windows.  A group of windows may be led by a text
+    that shares no passage with the others, so two finer kinds of group follow:
+
+    * whole runs: every run of ``words`` words in shared windows under each hash function, by its hash.  Two
+      texts with a run in common have a group in common under every hash function, so none is lost;
+    * contexts: a window of a group of three or more, by its minimum and the CONTEXT shingles to either
+      side.  Near variants share one or the other side of most minima, strangers
+      that share a line or phrase do not, unless all of it is theirs, too."""
     length = words - SHINGLE + 1
-    f = F.shiftright("key", 40).cast("int").alias("f")
-    sides = links.select(F.col("a").alias("h"), f, F.col("a_at").alias("at")).unionAll(
-        links.select(F.col("b").alias("h"), f, F.col("b_at").alias("at"))).distinct()
-    shared = (sides.groupBy("h").agg(F.collect_list(F.struct("f", "at")).alias("l"),
-                                     F.expr("bit_or(shiftleft(1, f))").alias("kinds"))
-              .where(F.bit_count("kinds") == hashes))
-
-    def covered(batch):
-        out = {"h": [], "lo": [], "hi": []}
-        for h, ls in zip(batch.column(0).to_pylist(), batch.column(1)):
-            f, at = (ls.values.field(i).to_numpy() for i in range(2))
-            lo, hi = at >> 31, (at >> 31) + (at & 0x7FFFFFFF) - length
-            end = int(hi.max()) + 2
-            held = np.ones(end, dtype=bool)
-            for i in range(hashes):
-                step = np.zeros(end, dtype=np.int64)
-                np.add.at(step, lo[f == i], 1)
-                np.add.at(step, hi[f == i] + 1, -1)
-                held &= np.cumsum(step) > 0
-            edge = np.diff(np.concatenate([[0], held.view(np.int8), [0]]))
-            for a, z in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist()):
-                for c, v in zip(out, (h, a, z - 1)):
-                    out[c].append(v)
-        return out
-
-    parts = materialize(map_slices(shared.select("h", "l"), covered, "h long, lo long, hi long"), "shared-runs")
-    small = parts.count() <= BROADCAST_TEXTS
-    per = (parts.groupBy("h").agg(F.collect_list(F.struct("lo", "hi")).alias("parts"))
+    sides = (links.select(F.col("a").alias("h"), "key", F.col("a_at").alias("at"), "more").unionAll(
+        links.select(F.col("b").alias("h"), "key", F.col("b_at").alias("at"), "more"))
+        .groupBy("h", "key", "at").agg(F.max("more").alias("more")))
+    per = (sides.groupBy("h").agg(F.collect_list(F.struct("key", "at", "more")).alias("l"))
            .join(reps.groupBy("h").agg(F.min("rep").alias("doc_id")), "h"))
-    asked = texts.join(F.broadcast(per) if small else per, ["doc_id", "h"]).select("h", "text", "parts")
-
-    def run(batches):
-        memory = word_memory()
-        for whole in batches:
-            for b in (whole.slice(i, 1) for i in range(whole.num_rows)):
-                keys = _run_hashes(shingles(b.column(1)[0].as_py(), memory), length).view(np.int64)
-                spans = b.column(2)[0].as_py()
-                at = np.concatenate([np.arange(x["lo"], min(x["hi"] + 1, len(keys))) for x in spans])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys[at]), pa.array(np.full(len(at), b.column(0)[0].as_py(), dtype=np.int64)),
-                     pa.array((at << 31) | length)], names=["key", "h", "at"])
+    asked = texts.join(per, ["doc_id", "h"]).select("h", "doc_id", "text", "l")
+
+    def run(b):
+        out = {"h": b.column(0), "doc_id": b.column(1), "s": [], "places": [], "keys": [], "ats": []}
+        for row, held in _text_batches(b.column(2)):
+            every, offsets = shingle_batch(held)
+            for i, text in enumerate(held):
+                s, windows = every[offsets[i]:offsets[i + 1]], b.column(3)[row + i].values
+                key, at, more = (windows.field(c).to_numpy() for c in ("key", "at", "more"))
+                keys, ats = _context_keys(s, key[more > 0], at[more > 0], hashes, length)
+                f = key >> 40
+                if len(np.unique(f)) == hashes:
+                    first = _covered(f, at, hashes, length)
+                    runs = _run_hashes(s, length).view(np.int64)
+                    first = first[first < len(runs)]
+                    keys, ats = np.concatenate([keys, runs[first]]), np.concatenate([ats, (first << 31) | length])
+                out["keys"].append(keys)
+                out["ats"].append(ats)
+                out["s"].append((s >> np.uint64(32)).astype("<u4").tobytes())
+                out["places"].append(word_starts(text).tobytes())
+        return out
 
-    return materialize(asked.mapInArrow(run, "key long, h long, at long"), "whole-runs")
+    return materialize(map_slices(asked, run, "h long, doc_id long, s binary, places binary, keys array<long>, ats array<long>", 64),
+                       "shared-texts")
 
 
 def sweep(links: list[tuple[int, int, int]], agree: int) -> list[tuple[int, int, int, int]]:
@@ -437,8 +569,9 @@ def near_duplicate_spans(docs: DataFrame, words: int = WORDS, similarity: float
     # written once: the range partitioning reads its input for a sample, too
     windows = materialize(_windows(texts, hashes, words), "windows")
     near = _linked(windows, "window-links")
-    runs = _whole_runs(texts, near, reps, hashes, words)
-    exact = _linked(runs, "run-links", chain=False)
+    shared = _shared_texts(texts, near, reps, hashes, words)
+    strong = shared.select("h", F.explode(F.arrays_zip("keys", "ats")).alias("k")).select(F.col("k.keys").alias("key"), "h", F.col("k.ats").alias("at"))
+    exact = _linked(materialize(strong, "strong-keys"), "strong-links", chain=False)
     f = F.shiftright("key", 40).cast("int")
     pairs = (near.withColumn("f", f).unionByName(exact.withColumn("f", F.lit(WHOLE))).where("a <> b")
              .groupBy("a", "b").agg(F.collect_list(F.struct("f", "a_at", "b_at")).alias("l"),
@@ -455,7 +588,7 @@ def near_duplicate_spans(docs: DataFrame, words: int = WORDS, similarity: float
 
     cand = materialize(map_slices(pairs.select("a", "b", "l"), intervals,
                                   "a long, b long, a_lo long, a_hi long, b_lo long, b_hi long"), "candidates")
-    spans = _verified(texts, cand, reps, words, similarity)
+    spans = _verified(shared, cand, words, similarity)
     copies = (own.join(reps.where("copies > 1"), ["h", "h2"]).where("long and doc_id <> rep")
               .select("doc_id", F.col("rep").alias("match_id"), F.lit(0).cast("long").alias("start"),
                       F.col("n").cast("long").alias("end"), F.lit(0).cast("long").alias("match_start"),
@@ -464,38 +597,18 @@ def near_duplicate_spans(docs: DataFrame, words: int = WORDS, similarity: float
     return spans.unionByName(copies)
 
 
-def _verified(texts: DataFrame, cand: DataFrame, reps: DataFrame, words: int, similarity: float) -> DataFrame:
-    # the part of each text that any candidate names, as one interval
-    sides = (cand.select(F.col("a").alias("h"), F.col("a_lo").alias("lo"), F.col("a_hi").alias("hi"))
-             .unionAll(cand.select(F.col("b").alias("h"), F.col("b_lo").alias("lo"), F.col("b_hi").alias("hi"))))
-    hulls = (sides.groupBy("h").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-             .join(reps.groupBy("h").agg(F.min("rep").alias("doc_id")), "h"))
-    hulls = materialize(hulls, "candidate-texts")
-    small = hulls.count() <= BROADCAST_TEXTS
-    asked = texts.join(F.broadcast(hulls) if small else hulls, ["doc_id", "h"]).select("h", "doc_id", "text", "lo", "hi")
-
-    def extract(b):
-        memory = word_memory()
-        out = {"h": b.column(0), "doc_id": b.column(1), "lo": b.column(3), "s": [], "at": []}
-        for t, lo, hi in zip(b.column(2), b.column(3).to_pylist(), b.column(4).to_pylist()):
-            text = t.as_py()
-            starts = np.array([m.start() for m in _WORD.finditer(text)] + [len(text)], dtype="<u4")
-            out["s"].append((shingles(text, memory)[lo:hi + 1] >> np.uint64(32)).astype("<u4").tobytes())
-            out["at"].append(starts[lo:hi + SHINGLE + 1].tobytes())
-        return out
-
-    held = map_slices(asked, extract, "h long, doc_id long, lo long, s binary, at binary")
+def _verified(shared: DataFrame, cand: DataFrame, words: int, similarity: float) -> DataFrame:
+    held = shared.select("h", "doc_id", "s", "places")
 
-    def cut(lo, hi, extra):   # little-endian 4-byte numbers lo..hi + extra of a text's interval
-        return lambda c: F.substring(F.col(c), ((F.col(lo) - F.col("lo")) * 4 + 1).cast("int"),
-                                     ((F.col(hi) - F.col(lo) + 1 + extra) * 4).cast("int"))
+    def cut(lo, hi, extra):   # little-endian 4-byte numbers lo..hi + extra of a text
+        return lambda c: F.substring(F.col(c), (F.col(lo) * 4 + 1).cast("int"), ((F.col(hi) - F.col(lo) + 1 + extra) * 4).cast("int"))
 
     side_a = (cand.join(held, cand["a"] == held["h"])
               .select("a", "b", "b_lo", "b_hi", F.col("doc_id").alias("match_id"),
-                      cut("a_lo", "a_hi", 0)("s").alias("a_s"), cut("a_lo", "a_hi", SHINGLE)("at").alias("a_at")))
+                      cut("a_lo", "a_hi", 0)("s").alias("a_s"), cut("a_lo", "a_hi", SHINGLE)("places").alias("a_at")))
     both = (side_a.join(held, side_a["b"] == held["h"])
             .select("match_id", "doc_id", "a_s", "a_at", cut("b_lo", "b_hi", 0)("s").alias("b_s"),
-                    cut("b_lo", "b_hi", SHINGLE)("at").alias("b_at")))
+                    cut("b_lo", "b_hi", SHINGLE)("places").alias("b_at")))
 
     def check(b):
         out = {c: [] for c in ("doc_id", "match_id", "start", "end", "match_start", "match_end", "similarity")}
@@ -516,8 +629,6 @@ def cut_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     where there is one); every row and column stays."""
     one = materialize(spans.groupBy("doc_id").agg(
         F.sort_array(F.collect_set(F.struct("start", "end"))).alias("_spans")), "cuts")
-    if one.count() <= BROADCAST_TEXTS:
-        one = F.broadcast(one)
     # the row as one struct: its columns' names cannot clash with the spans'
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("d"))
     one = one.withColumnRenamed("doc_id", "_id")

@@ -44,6 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tractus.llm.common import id_text, map_slices, materialize, shuffle_width
+from tractus.session import remove_path, scratch_dir
 
 SHINGLE, WORDS, SIMILARITY = 5, 50, 0.8
 HASHES, AGREE = 5, 2
@@ -309,10 +310,14 @@ def _link_groups(batches, chain: bool = True):
 def _linked(rows: DataFrame, name: str, chain: bool = True) -> DataFrame:
     """Links within the groups of ``rows`` (key, h, at), and the links of the
     groups' parts in other tasks to the first one."""
-    laid = (rows.repartitionByRange(shuffle_width(rows.sparkSession), "key", "h")
+    # written once, as the range partitioning reads its input for a sample, too; removed when the links are there
+    spark, path = rows.sparkSession, scratch_dir(rows.sparkSession, f"{name}-input")
+    rows.write.mode("overwrite").parquet(path)
+    laid = (spark.read.schema(rows.schema).parquet(path).repartitionByRange(shuffle_width(spark), "key", "h")
             .sortWithinPartitions("key", "h", "at"))
     links = materialize(laid.mapInArrow(lambda batches: _link_groups(batches, chain),
                                         "key long, a long, a_at long, b long, b_at long, more long"), name)
+    remove_path(spark, path)
     ends = links.where("b is null").select("key", "a", "a_at").distinct()
     heads = ends.groupBy("key").agg(F.min(F.struct("a", "a_at")).alias("m"))
     across = (ends.join(heads, "key").where("struct(a, a_at) <> m")
@@ -335,49 +340,59 @@ def _run_hashes(s: np.ndarray, length: int) -> np.ndarray:
     return join(s[:n], s[length - span:length - span + n])
 
 
-def _covered(f: np.ndarray, at: np.ndarray, hashes: int, length: int) -> np.ndarray:
-    """First places of the runs of ``length`` shingles that lie in shared windows under every hash function."""
-    lo, hi = at >> 31, (at >> 31) + (at & 0x7FFFFFFF) - length
-    end = int(hi.max()) + 2
-    held = np.ones(end, dtype=bool)
+def _covered(f: np.ndarray, lo: np.ndarray, hi: np.ndarray, more: np.ndarray, n: int, hashes: int, agree: int) -> np.ndarray:
+    """Places, of n, from which a run lies in shared windows (runs start from lo to hi) under every hash
+    function, and in groups of more than two under so many that fewer than ``agree`` link it at once."""
+    def inside(own):
+        return np.cumsum(np.bincount(lo[own], minlength=n + 1) - np.bincount(hi[own] + 1, minlength=n + 1))[:n] > 0
+
+    held, large = np.ones(n, dtype=bool), np.zeros(n, dtype=np.int64)
     for i in range(hashes):
-        step = np.zeros(end, dtype=np.int64)
-        np.add.at(step, lo[f == i], 1)
-        np.add.at(step, hi[f == i] + 1, -1)
-        held &= np.cumsum(step) > 0
-    return np.flatnonzero(held)
-
-
-def _context_keys(s: np.ndarray, key: np.ndarray, at: np.ndarray, hashes: int, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, at): windows named by their minimum and the CONTEXT shingles that end, or start, with it."""
-    centres = [(f, start, c) for part, offsets, _, start in _pieces(s, np.array([0, len(s)]), length)
-               for f, c in enumerate(_centres(part, offsets, _SALTS[:hashes], length))]
-    keys = np.concatenate([_key(c, f) for f, _, c in centres])
-    place = np.concatenate([(c & np.uint64(0xFFFFFF)).astype(np.int64) + start for _, start, c in centres])
-    order = np.lexsort((place, keys))
-    keys, place = keys[order], place[order]
-    # a window's own centre: the first one of its hash inside it
-    left, size = at >> 31, at & 0x7FFFFFFF
-    own = np.searchsorted(keys, key, side="left")
-    while (late := place[own] < left).any():
+        held &= inside(f == i)
+        large += inside((f == i) & (more > 0))
+    return np.flatnonzero(held & (large > hashes - agree))
+
+
+def _strong_keys(s: np.ndarray, offsets: np.ndarray, text: np.ndarray, key: np.ndarray, at: np.ndarray, more: np.ndarray,
+                 hashes: int, agree: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, text, at) of the whole runs and contexts of a batch's shared windows (text, key, at, more)."""
+    base, left, size = offsets[text], at >> 31, at & 0x7FFFFFFF
+    out = []
+    if len(s) >= length:
+        first = _covered(key >> 40, base + left, base + left + size - length, more, len(s), hashes, agree)
+        owner = np.searchsorted(offsets, first, side="right") - 1
+        out.append((_run_hashes(s, length).view(np.int64)[first], owner, ((first - offsets[owner]) << 31) | length))
+    # the windows' own centres: the first one of their hash inside them
+    text, key, at, base, left, size = (x[more > 0] for x in (text, key, at, base, left, size))
+    names, places = [], []
+    for part, bounds, i, start in _pieces(s, offsets, length):
+        for f, c in enumerate(_centres(part, bounds, _SALTS[:hashes], length)):
+            place = (c & np.uint64(0xFFFFFF)).astype(np.int64)
+            own = np.searchsorted(bounds, place, side="right") - 1
+            names.append((_key(c, f) << 8) | (own + i))
+            places.append(place - bounds[own] + start)
+    names, places = np.concatenate(names), np.concatenate(places)
+    order = np.lexsort((places, names))
+    names, places = names[order], places[order]
+    own = np.searchsorted(names, (key << 8) | text, side="left")
+    while (late := places[own] < left).any():
         own[late] += 1
-    run, out, ats = _run_hashes(s, CONTEXT), [], []
-    for side, first in ((_SALTS[3], place[own] - CONTEXT + 1), (_SALTS[4], place[own])):
+    run = _run_hashes(s, CONTEXT)
+    for side, first in ((_SALTS[3], places[own] - CONTEXT + 1), (_SALTS[4], places[own])):
         inside = (left <= first) & (first + CONTEXT <= left + size)
-        h = (key[inside].view(np.uint64) * _MULTIPLIER) ^ run[first[inside]]
+        h = (key[inside].view(np.uint64) * _MULTIPLIER) ^ run[(base + first)[inside]]
         h = (h ^ (h >> np.uint64(31))) * side
-        out.append((h ^ (h >> np.uint64(29))).view(np.int64))
-        ats.append(at[inside])
-    return np.concatenate(out), np.concatenate(ats)
+        out.append(((h ^ (h >> np.uint64(29))).view(np.int64), text[inside], at[inside]))
+    return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def _shared_texts(texts: DataFrame, links: DataFrame, reps: DataFrame, hashes: int, words: int) -> DataFrame:
-    """(h, doc_id, s, places, keys, ats) of the texts with a shared window: their shingles' hashes and
-    their words' places as bytes, and the stronger keys of their windows.  A group of windows may be led by a text
+def _strong_windows(texts: DataFrame, links: DataFrame, reps: DataFrame, hashes: int, agree: int, words: int) -> DataFrame:
+    """(key, h, at): stronger names of the shared windows.  A group of windows may be led by a text
     that shares no passage with the others, so two finer kinds of group follow:
 
     * whole runs: every run of ``words`` words in shared windows under each hash function, by its hash.  Two
-      texts with a run in common have a group in common under every hash function, so none is lost;
+      texts with a run in common have a group in common under every hash function, so none is lost.  Where ``agree`` of
+      these groups hold two windows only, those are linked as they are;
     * contexts: a window of a group of three or more, by its minimum and the CONTEXT shingles to either
       side.  Near variants share one or the other side of most minima, strangers
       that share a line or phrase do not, unless all of it is theirs, too."""
@@ -385,32 +400,22 @@ def _shared_texts(texts: DataFrame, links: DataFrame, reps: DataFrame, hashes: i
     sides = (links.select(F.col("a").alias("h"), "key", F.col("a_at").alias("at"), "more").unionAll(
         links.select(F.col("b").alias("h"), "key", F.col("b_at").alias("at"), "more"))
         .groupBy("h", "key", "at").agg(F.max("more").alias("more")))
-    per = (sides.groupBy("h").agg(F.collect_list(F.struct("key", "at", "more")).alias("l"))
+    # without a large group there is nothing to name anew
+    per = (sides.groupBy("h").agg(F.collect_list(F.struct("key", "at", "more")).alias("l"), F.max("more").alias("more")).where("more > 0")
            .join(reps.groupBy("h").agg(F.min("rep").alias("doc_id")), "h"))
-    asked = texts.join(per, ["doc_id", "h"]).select("h", "doc_id", "text", "l")
+    asked = texts.join(per, ["doc_id", "h"]).select("h", "text", "l")
 
-    def run(b):
-        out = {"h": b.column(0), "doc_id": b.column(1), "s": [], "places": [], "keys": [], "ats": []}
-        for row, held in _text_batches(b.column(2)):
-            every, offsets = shingle_batch(held)
-            for i, text in enumerate(held):
-                s, windows = every[offsets[i]:offsets[i + 1]], b.column(3)[row + i].values
+    def run(batches):
+        for b in batches:
+            h, lists = b.column(0).to_numpy(), b.column(2)
+            for row, held in _text_batches(b.column(1)):
+                own = lists.slice(row, len(held))
+                windows, text = own.flatten(), np.repeat(np.arange(len(held)), own.value_lengths().to_numpy())
                 key, at, more = (windows.field(c).to_numpy() for c in ("key", "at", "more"))
-                keys, ats = _context_keys(s, key[more > 0], at[more > 0], hashes, length)
-                f = key >> 40
-                if len(np.unique(f)) == hashes:
-                    first = _covered(f, at, hashes, length)
-                    runs = _run_hashes(s, length).view(np.int64)
-                    first = first[first < len(runs)]
-                    keys, ats = np.concatenate([keys, runs[first]]), np.concatenate([ats, (first << 31) | length])
-                out["keys"].append(keys)
-                out["ats"].append(ats)
-                out["s"].append((s >> np.uint64(32)).astype("<u4").tobytes())
-                out["places"].append(word_starts(text).tobytes())
-        return out
+                keys, owner, ats = _strong_keys(*shingle_batch(held), text, key, at, more, hashes, agree, length)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(h[row + owner]), pa.array(ats)], names=["key", "h", "at"])
 
-    return materialize(map_slices(asked, run, "h long, doc_id long, s binary, places binary, keys array<long>, ats array<long>", 64),
-                       "shared-texts")
+    return asked.mapInArrow(run, "key long, h long, at long")
 
 
 def sweep(links: list[tuple[int, int, int]], agree: int) -> list[tuple[int, int, int, int]]:
@@ -566,12 +571,8 @@ def near_duplicate_spans(docs: DataFrame, words: int = WORDS, similarity: float
                                    F.length("text").alias("n"), long_enough.alias("long")), "texts")
     reps = own.groupBy("h", "h2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
 
-    # written once: the range partitioning reads its input for a sample, too
-    windows = materialize(_windows(texts, hashes, words), "windows")
-    near = _linked(windows, "window-links")
-    shared = _shared_texts(texts, near, reps, hashes, words)
-    strong = shared.select("h", F.explode(F.arrays_zip("keys", "ats")).alias("k")).select(F.col("k.keys").alias("key"), "h", F.col("k.ats").alias("at"))
-    exact = _linked(materialize(strong, "strong-keys"), "strong-links", chain=False)
+    near = _linked(_windows(texts, hashes, words), "window-links")
+    exact = _linked(_strong_windows(texts, near, reps, hashes, agree, words), "strong-links", chain=False)
     f = F.shiftright("key", 40).cast("int")
     pairs = (near.withColumn("f", f).unionByName(exact.withColumn("f", F.lit(WHOLE))).where("a <> b")
              .groupBy("a", "b").agg(F.collect_list(F.struct("f", "a_at", "b_at")).alias("l"),
@@ -588,7 +589,7 @@ def near_duplicate_spans(docs: DataFrame, words: int = WORDS, similarity: float
 
     cand = materialize(map_slices(pairs.select("a", "b", "l"), intervals,
                                   "a long, b long, a_lo long, a_hi long, b_lo long, b_hi long"), "candidates")
-    spans = _verified(shared, cand, words, similarity)
+    spans = _verified(texts, cand, reps, words, similarity)
     copies = (own.join(reps.where("copies > 1"), ["h", "h2"]).where("long and doc_id <> rep")
               .select("doc_id", F.col("rep").alias("match_id"), F.lit(0).cast("long").alias("start"),
                       F.col("n").cast("long").alias("end"), F.lit(0).cast("long").alias("match_start"),
@@ -597,11 +598,30 @@ def near_duplicate_spans(docs: DataFrame, words: int = WORDS, similarity: float
     return spans.unionByName(copies)
 
 
-def _verified(shared: DataFrame, cand: DataFrame, words: int, similarity: float) -> DataFrame:
-    held = shared.select("h", "doc_id", "s", "places")
+def _verified(texts: DataFrame, cand: DataFrame, reps: DataFrame, words: int, similarity: float) -> DataFrame:
+    # the part of each text that any candidate names, as one interval
+    sides = (cand.select(F.col("a").alias("h"), F.col("a_lo").alias("lo"), F.col("a_hi").alias("hi"))
+             .unionAll(cand.select(F.col("b").alias("h"), F.col("b_lo").alias("lo"), F.col("b_hi").alias("hi"))))
+    hulls = (sides.groupBy("h").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+             .join(reps.groupBy("h").agg(F.min("rep").alias("doc_id")), "h"))
+    asked = texts.join(hulls, ["doc_id", "h"]).select("h", "doc_id", "text", "lo", "hi")
+
+    def extract(b):
+        out = {"h": b.column(0), "doc_id": b.column(1), "lo": b.column(3), "s": [], "places": []}
+        lo, hi = b.column(3).to_pylist(), b.column(4).to_pylist()
+        for row, held in _text_batches(b.column(2)):
+            every, offsets = shingle_batch(held)
+            for i, text in enumerate(held):
+                s, x, y = every[offsets[i]:offsets[i + 1]], lo[row + i], hi[row + i]
+                out["s"].append((s[x:y + 1] >> np.uint64(32)).astype("<u4").tobytes())
+                out["places"].append(word_starts(text)[x:y + SHINGLE + 1].tobytes())
+        return out
+
+    held = materialize(map_slices(asked, extract, "h long, doc_id long, lo long, s binary, places binary"), "candidate-texts")
 
-    def cut(lo, hi, extra):   # little-endian 4-byte numbers lo..hi + extra of a text
-        return lambda c: F.substring(F.col(c), (F.col(lo) * 4 + 1).cast("int"), ((F.col(hi) - F.col(lo) + 1 + extra) * 4).cast("int"))
+    def cut(lo, hi, extra):   # little-endian 4-byte numbers lo..hi + extra of a text's interval
+        return lambda c: F.substring(F.col(c), ((F.col(lo) - F.col("lo")) * 4 + 1).cast("int"),
+                                     ((F.col(hi) - F.col(lo) + 1 + extra) * 4).cast("int"))
 
     side_a = (cand.join(held, cand["a"] == held["h"])
               .select("a", "b", "b_lo", "b_hi", F.col("doc_id").alias("match_id"),

@@ -418,57 +418,86 @@ def _strong_windows(texts: DataFrame, links: DataFrame, reps: DataFrame, hashes:
     return asked.mapInArrow(run, "key long, h long, at long")
 
 
-def sweep(links: list[tuple[int, int, int]], agree: int) -> list[tuple[int, int, int, int]]:
-    """Intervals (a_lo, a_hi, b_lo, b_hi) where links (f, a_at, b_at) of one pair
-    overlap in b, and in a, under ``agree`` or more hash functions or by a whole run."""
-    rows = sorted((b >> 31, (b >> 31) + (b & 0x7FFFFFFF) - 1, a >> 31, (a >> 31) + (a & 0x7FFFFFFF) - 1, f)
-                  for f, a, b in links)
-    out, cluster = [], []
-
-    def close(c):
-        c.sort(key=lambda r: r[2])
-        part, end = [], -1
-        for r in c + [None]:
-            if r is None or (part and r[2] > end + 1):
-                kinds = {x[4] for x in part}
-                if len(kinds) >= agree or WHOLE in kinds:
-                    out.append((min(x[2] for x in part), max(x[3] for x in part),
-                                min(x[0] for x in part), max(x[1] for x in part)))
-                part, end = [], -1
-            if r is not None:
-                part.append(r)
-                end = max(end, r[3])
-
-    end = -1
-    for r in rows:
-        if cluster and r[0] > end + 1:
-            close(cluster)
-            cluster, end = [], -1
-        cluster.append(r)
-        end = max(end, r[1])
-    if cluster:
-        close(cluster)
-    return out
-
-
-def _jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    a, b = np.unique(a), np.unique(b)
-    both = len(np.intersect1d(a, b, assume_unique=True))
+def _clusters(group: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, cluster): rows by group and lo, and a number per run of intervals of a group that overlap or touch."""
+    order = np.lexsort((lo, group))
+    g, x, y = group[order], lo[order], hi[order]
+    # groups stand far apart, so that a running maximum does not reach into the next one
+    far = g * (int(y.max()) + 3)
+    reach = np.maximum.accumulate(y + far)
+    new = np.ones(len(g), dtype=bool)
+    new[1:] = x[1:] + far[1:] > reach[:-1] + 1
+    return order, np.cumsum(new) - 1
+
+
+def sweep(pair: np.ndarray, f: np.ndarray, a_at: np.ndarray, b_at: np.ndarray, agree: int) -> tuple[np.ndarray, ...]:
+    """(pair, a_lo, a_hi, b_lo, b_hi): intervals where links of one pair overlap in b, and in a,
+    under ``agree`` or more hash functions or by a whole run or context.  Pairs are numbered from 0."""
+    a_lo, b_lo = a_at >> 31, b_at >> 31
+    a_hi, b_hi = a_lo + (a_at & 0x7FFFFFFF) - 1, b_lo + (b_at & 0x7FFFFFFF) - 1
+    order, in_b = _clusters(pair, b_lo, b_hi)
+    pair, f, a_lo, a_hi, b_lo, b_hi = (x[order] for x in (pair, f, a_lo, a_hi, b_lo, b_hi))
+    order, part = _clusters(in_b, a_lo, a_hi)
+    pair, f, a_lo, a_hi, b_lo, b_hi = (x[order] for x in (pair, f, a_lo, a_hi, b_lo, b_hi))
+    first = np.flatnonzero(np.diff(part, prepend=-1))
+    kinds = np.bitwise_or.reduceat(np.int64(1) << f, first)
+    keep = (np.bitwise_count(kinds) >= agree) | (kinds >> WHOLE > 0)
+    low, high = np.minimum.reduceat, np.maximum.reduceat
+    return tuple(x[keep] for x in (pair[first], low(a_lo, first), high(a_hi, first), low(b_lo, first), high(b_hi, first)))
+
+
+def _candidates(links: DataFrame, agree: int, width: int) -> DataFrame:
+    """(a, b, a_lo, a_hi, b_lo, b_hi) of links (a, b, f, a_at, b_at).  A pair's links come to one task, sorted; a
+    hot first text's pairs go to many."""
+    def run(batches):
+        held = None
+        for b in batches:
+            cols = [c.to_numpy() for c in b.columns]
+            if held is not None:
+                cols = [np.concatenate(x) for x in zip(held, cols)]
+            if not len(cols[0]):
+                continue
+            new = np.flatnonzero((np.diff(cols[0]) != 0) | (np.diff(cols[1]) != 0)) + 1
+            # the last pair may go on in the next batch
+            end = int(new[-1]) if len(new) else 0
+            held = [c[end:] for c in cols]
+            if end:
+                yield found([c[:end] for c in cols], new[:-1])
+        if held is not None:
+            yield found(held, np.zeros(0, np.int64))
+
+    def found(cols, starts):
+        a, b, f, a_at, b_at = cols
+        starts = np.concatenate([[0], starts])
+        pair = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(a))))
+        at, *rest = sweep(pair, f, a_at, b_at, agree)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (a[starts[at]], b[starts[at]], *rest)],
+                                          names=["a", "b", "a_lo", "a_hi", "b_lo", "b_hi"])
+
+    return (links.select("a", "b", "f", "a_at", "b_at").repartition(width, "a", "b").sortWithinPartitions("a", "b")
+            .mapInArrow(run, "a long, b long, a_lo long, a_hi long, b_lo long, b_hi long"))
+
+
+def _jaccard(a: np.ndarray, b: np.ndarray, distinct: bool = False) -> float:
+    if not distinct:
+        a, b = np.unique(a), np.unique(b)
+    both = np.sort(np.concatenate([a, b]))
+    both = int((both[1:] == both[:-1]).sum())
     return both / (len(a) + len(b) - both)
 
 
-def _runs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """(a_first, b_first, length) of the unbroken common runs.  A
-    shingle that a repeats goes on with the run before it and, besides, with the
+def _runs(a: np.ndarray, b: np.ndarray, order: np.ndarray, ranked: np.ndarray, repeats: bool) -> tuple[np.ndarray, np.ndarray]:
+    """((a_first, b_first, length) of the unbroken common runs, which places of b are common); ``ranked`` is
+    a in the given order.  A shingle that a repeats goes on with the run before it and, besides, with the
     run after it; on its own it stands for its first place."""
-    order = np.argsort(a, kind="stable")
-    lo, hi = (np.searchsorted(a[order], b, side=x) for x in ("left", "right"))
-    bp = np.flatnonzero(hi > lo)
+    lo = np.searchsorted(ranked, b)
+    common = ranked[np.minimum(lo, len(a) - 1)] == b
+    bp = np.flatnonzero(common)
     if not len(bp):
-        return np.zeros((0, 3), np.int64)
+        return np.zeros((0, 3), np.int64), common
     ap = order[lo[bp]]
     ways = [ap]
-    if (hi - lo).max() > 1:
+    if repeats:
         places, al, bl = bp.tolist(), a.tolist(), b.tolist()
         for step, turn in ((1, range(1, len(bp))), (-1, range(len(bp) - 2, -1, -1))):
             own = ap.tolist()
@@ -481,14 +510,15 @@ def _runs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     for ap in ways:
         first = np.flatnonzero(np.concatenate([[True], (np.diff(bp) != 1) | (np.diff(ap) != 1)]))
         out.append(np.stack([ap[first], bp[first], np.diff(np.append(first, len(bp)))], axis=1))
-    return np.unique(np.concatenate(out), axis=0)
+    return (np.unique(np.concatenate(out), axis=0) if len(out) > 1 else out[0]), common
 
 
-def _first(x: np.ndarray) -> np.ndarray:
-    """Where a value stands for the first time."""
-    out = np.zeros(len(x), dtype=np.int64)
-    out[np.unique(x, return_index=True)[1]] = 1
-    return out
+def _sorted(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, values in order, 1 where a value stands for the first time)."""
+    order = np.argsort(x, kind="stable")
+    ranked, first = x[order], np.ones(len(x), dtype=np.int64)
+    first[order[1:][ranked[1:] == ranked[:-1]]] = 0
+    return order, ranked, first
 
 
 def verify(a: np.ndarray, b: np.ndarray, words: int = WORDS, similarity: float = SIMILARITY) -> list[tuple[int, int, int, int, float]]:
@@ -500,12 +530,14 @@ def verify(a: np.ndarray, b: np.ndarray, words: int = WORDS, similarity: float =
     run that no span holds yet is extended run by run to both sides, wherever in a it
     lies, until no run is left."""
     need, pay = words - SHINGLE + 1, similarity / max(1e-9, 1 - similarity)
-    runs, out = _runs(a, b), []
-    common = np.concatenate([[0], np.cumsum(np.isin(b, a))])
-    kinds_a, kinds_b = (np.concatenate([[0], np.cumsum(_first(x))]) for x in (a, b))
-    plain = kinds_a[-1] == len(a) and kinds_b[-1] == len(b)
-    if plain and common[-1] < similarity * need - 1e-6:
+    order, ranked, first_a = _sorted(a)
+    runs, held = _runs(a, b, order, ranked, not first_a.all())
+    total, out = int(held.sum()), []
+    first_b = _sorted(b)[2]
+    plain = bool(first_a.all() and first_b.all())
+    if not total or (plain and total < similarity * need - 1e-6):
         return []
+    common, kinds_a, kinds_b = (np.concatenate([[0], np.cumsum(x)]) for x in (held, first_a, first_b))
     # k breaks cost 8 k shingles or more, so one run of a span has this length; with repeated shingles 4 k
     least = min(need, max(1, int((4 if plain else 2) * pay)))
     left = runs[:, 2] >= least
@@ -533,7 +565,12 @@ def verify(a: np.ndarray, b: np.ndarray, words: int = WORDS, similarity: float =
                 return (ra + rl - 1)[ends], (rb + rl - 1)[ends]
             ends.append(k)
 
-    rl, total, onward, backward = runs[:, 2], int(common[-1]), {}, {}
+    if not left.any():
+        return []
+    if plain and len(runs) == 1 and runs[0, 2] >= need:     # one unbroken run
+        a0, b0, n = runs[0].tolist()
+        return [(a0, a0 + n - 1, b0, b0 + n - 1, 1.0)]
+    rl, onward, backward = runs[:, 2], {}, {}
     last = runs[:, 1] + rl - 1
     before, after = common[runs[:, 1]], total - common[last + 1]
     while left.any():
@@ -549,7 +586,7 @@ def verify(a: np.ndarray, b: np.ndarray, words: int = WORDS, similarity: float =
             kinds_a[a1 + 1] - kinds_a[a0] + kinds_b[b1 + 1] - kinds_b[b0]) - 1e-6)
         for i in np.flatnonzero(may)[np.argsort(-(b1 - b0)[may], kind="stable")].tolist():
             a_0, a_1, b_0, b_1 = int(a0[i]), int(a1[i]), int(b0[i]), int(b1[i])
-            j = _jaccard(a[a_0:a_1 + 1], b[b_0:b_1 + 1])
+            j = _jaccard(a[a_0:a_1 + 1], b[b_0:b_1 + 1], plain)
             if j >= similarity:
                 out.append((a_0, a_1, b_0, b_1, j))
                 left &= (runs[:, 1] < b_0) | (runs[:, 1] + rl - 1 > b_1)
@@ -573,22 +610,8 @@ def near_duplicate_spans(docs: DataFrame, words: int = WORDS, similarity: float
 
     near = _linked(_windows(texts, hashes, words), "window-links")
     exact = _linked(_strong_windows(texts, near, reps, hashes, agree, words), "strong-links", chain=False)
-    f = F.shiftright("key", 40).cast("int")
-    pairs = (near.withColumn("f", f).unionByName(exact.withColumn("f", F.lit(WHOLE))).where("a <> b")
-             .groupBy("a", "b").agg(F.collect_list(F.struct("f", "a_at", "b_at")).alias("l"),
-                                    F.expr("bit_or(shiftleft(1, f))").alias("kinds"))
-             .where((F.bit_count("kinds") >= agree) | (F.col("kinds").bitwiseAND(1 << WHOLE) != 0)))
-
-    def intervals(batch):
-        out = {c: [] for c in ("a", "b", "a_lo", "a_hi", "b_lo", "b_hi")}
-        for a, b, ls in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-            for x in sweep([(v["f"], v["a_at"], v["b_at"]) for v in ls.as_py()], agree):
-                for c, v in zip(out, (a, b, *x)):
-                    out[c].append(v)
-        return out
-
-    cand = materialize(map_slices(pairs.select("a", "b", "l"), intervals,
-                                  "a long, b long, a_lo long, a_hi long, b_lo long, b_hi long"), "candidates")
+    both = near.withColumn("f", F.shiftright("key", 40)).unionByName(exact.withColumn("f", F.lit(WHOLE).cast("long"))).where("a <> b")
+    cand = materialize(_candidates(both, agree, shuffle_width(docs.sparkSession)), "candidates")
     spans = _verified(texts, cand, reps, words, similarity)
     copies = (own.join(reps.where("copies > 1"), ["h", "h2"]).where("long and doc_id <> rep")
               .select("doc_id", F.col("rep").alias("match_id"), F.lit(0).cast("long").alias("start"),

@@ -147,6 +147,39 @@ def test_edits_and_fingerprints(docs, rows):
     assert np.mean([got[d].near_edited for d in long]) > 0.6 > 0.3 > np.mean([got[d].near_next for d in long])
 
 
+def _share(a, b):
+    """The exact share of common runs of up to three words of a line."""
+    a, b = (Counter(x for p in t.split("\n") for x in re.findall(r"[^ \t\n\r\f\x0B]+(?:[ \t]+[^ \t\n\r\f\x0B]+){0,2}", p)) for t in (a, b))
+    size = sum(v * v for v in a.values()) + sum(v * v for v in b.values())
+    return 2 * sum(v * b[x] for x, v in a.items()) / size if size else 0.0
+
+
+def test_likeness_against_the_exact_share(docs, rows):
+    order = sorted(rows)
+    got = {r.doc_id: r for r in fingerprint.compare_edits(docs).collect()}
+    errors = []
+    for i, d in enumerate(order):
+        t, n = rows[d], rows[order[(i + 1) % len(order)]]
+        k = len(t) // 4
+        for near, other in ((got[d].near_edited, t[:len(t) - k] + n[:k]), (got[d].near_next, n)):
+            if other != t:
+                errors.append(near - _share(t, other))
+    errors = np.array(errors)
+    print(f"rmse {np.sqrt((errors ** 2).mean()):.3f}, most {np.abs(errors).max():.2f}, of {len(errors)}")
+    assert np.sqrt((errors ** 2).mean()) < 0.08 and np.abs(errors).max() < 0.35
+
+
+def test_likeness_of_very_long_texts(spark):
+    """More equal runs than 2^16: lanes do not wrap."""
+    long = ["same three words\n" * 70_000, "a b c\n" * 300_000, "x y z"]
+    d = documents(spark, list(enumerate(long)))
+    got = {r.doc_id: r for r in fingerprint.compare_edits(d).collect()}
+    for i, t in enumerate(long):
+        n, k = long[(i + 1) % 3], len(t) // 4
+        assert abs(got[i].near_edited - _share(t, t[:len(t) - k] + n[:k])) < 0.1
+    assert got[0].near_edited > 0.6 and got[1].near_edited > 0.9
+
+
 def test_multiset_sums(spark):
     a, b, c = prose(1), prose(2), prose(3)
     d = documents(spark, [(1, f"{a}\n{b}"), (2, f"{b}\n{a}"), (3, a), (4, b), (5, f"{a}\n{b}\n{c}"), (6, c)])

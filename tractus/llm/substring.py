@@ -286,12 +286,14 @@ def _link_groups(batches, chain: bool = True):
         opened = group < 0   # go on with the group of the batch before
         head_h = np.where(opened, head[1] if head else 0, h[group])
         head_at = np.where(opened, head[2] if head else 0, at[group])
-        inner = ~starts
-        # more than two windows; groups that may go on beyond the batch count as such
+        # groups of one text alone have no links; more: of more than two windows.  Groups that may go
+        # on beyond the batch count as both
         number = np.cumsum(starts)
-        size = np.bincount(number)
+        size, others = np.bincount(number), np.bincount(number, weights=h != head_h)
         size[[number[0], number[-1]]] = 3
+        others[[number[0], number[-1]]] = 1
         more = (size[number] > 2).astype(np.int64)
+        inner = ~starts & (others[number] > 0)
         links = [(k[inner], head_h[inner], head_at[inner], h[inner], at[inner], more[inner])]
         if chain:
             new = inner & (h != before_h) & (before_h != head_h)

@@ -54,6 +54,8 @@ WHOLE = 30
 CONTEXT = 12
 #: Largest number of positions handled at once; longer texts go in overlapping pieces.
 PIECE = 1 << 22
+#: Runs whose followers are looked up together.
+BLOCK = 16
 #: Characters hashed together.
 STRETCH = 1 << 18
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -512,7 +514,8 @@ def _runs(a: np.ndarray, b: np.ndarray, order: np.ndarray, ranked: np.ndarray, r
     for ap in ways:
         first = np.flatnonzero(np.concatenate([[True], (np.diff(bp) != 1) | (np.diff(ap) != 1)]))
         out.append(np.stack([ap[first], bp[first], np.diff(np.append(first, len(bp)))], axis=1))
-    return (np.unique(np.concatenate(out), axis=0) if len(out) > 1 else out[0]), common
+    runs = np.unique(np.concatenate(out), axis=0) if len(out) > 1 else out[0]
+    return runs[np.argsort(runs[:, 1], kind="stable")], common
 
 
 def _sorted(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -544,43 +547,49 @@ def verify(a: np.ndarray, b: np.ndarray, words: int = WORDS, similarity: float =
     least = min(need, max(1, int((4 if plain else 2) * pay)))
     left = runs[:, 2] >= least
 
-    def follower(ra, rb, known, k):
-        """(run, gain) of the run that goes on best behind run k, made once."""
-        if k not in known:
-            a1, b1 = ra[k] + rl[k] - 1, rb[k] + rl[k] - 1
-            # the part of a run that lies beyond both ends
-            skip = np.maximum(0, np.maximum(a1 + 1 - ra, b1 + 1 - rb))
-            gap = (ra + skip - a1 - 1) + (rb + skip - b1 - 1)
-            worth = np.where(rl > skip, rl - skip - pay * gap, -np.inf)
-            j = int(worth.argmax())
-            known[k] = (j, float(worth[j]))
-        return known[k]
+    def followers(ra, rb, lo):
+        """(run, gain) of the run that goes on best behind each of BLOCK runs from lo on."""
+        k = slice(lo, lo + BLOCK)
+        a1, b1 = (ra[k] + rl[k] - 1)[:, None], (rb[k] + rl[k] - 1)[:, None]
+        # the part of a run that lies beyond both ends
+        skip = np.maximum(0, np.maximum(a1 + 1 - ra, b1 + 1 - rb))
+        gap = (ra + skip - a1 - 1) + (rb + skip - b1 - 1)
+        worth = np.where(rl > skip, rl - skip - pay * gap, -np.inf)
+        best = worth.argmax(axis=1)
+        return best.tolist(), worth[np.arange(len(best)), best].tolist()
 
     def extend(ra, rb, known, k, others, after):
         """Run ends reached from run k to the right: (a_last, b_last), as long as
         all matches, ``others`` and ``after`` (by the run), could pay for the gap."""
         ends, gain = [k], 0.0
         while True:
-            k, more = follower(ra, rb, known, k)
+            lo = k - k % BLOCK
+            if lo not in known:
+                known[lo] = followers(ra, rb, lo)
+            k, more = known[lo][0][k - lo], known[lo][1][k - lo]
             gain += more
             if not gain + others + after[k] >= -1e-6:
                 return (ra + rl - 1)[ends], (rb + rl - 1)[ends]
             ends.append(k)
 
-    if not left.any():
-        return []
-    if plain and len(runs) == 1 and runs[0, 2] >= need:     # one unbroken run
-        a0, b0, n = runs[0].tolist()
-        return [(a0, a0 + n - 1, b0, b0 + n - 1, 1.0)]
+    # from the first run to the last: no span is longer, and of near copies this is the whole passage
+    a_end, b_end = runs[:, 0] + runs[:, 2] - 1, runs[:, 1] + runs[:, 2] - 1
+    if (runs[1:, 0] > a_end[:-1]).all() and (runs[1:, 1] > b_end[:-1]).all():
+        a0, a1, b0, b1 = (int(x) for x in (runs[0, 0], a_end[-1], runs[0, 1], b_end[-1]))
+        if b1 - b0 + 1 >= need and total * (1 + similarity) >= similarity * (
+                kinds_a[a1 + 1] - kinds_a[a0] + kinds_b[b1 + 1] - kinds_b[b0]) - 1e-6:
+            j = _jaccard(a[a0:a1 + 1], b[b0:b1 + 1], plain)
+            if j >= similarity:
+                return [(a0, a1, b0, b1, j)]
     rl, onward, backward = runs[:, 2], {}, {}
     last = runs[:, 1] + rl - 1
-    before, after = common[runs[:, 1]], total - common[last + 1]
+    before, after = common[runs[:, 1]].tolist(), (total - common[last + 1]).tolist()
     while left.any():
         at = int(np.where(left, rl, 0).argmax())
         left[at] = False
         a1, b1 = extend(runs[:, 0], runs[:, 1], onward, at, int(common[last[at] + 1]), after)
         # to the left: the same on mirrored positions
-        a0, b0 = extend(1 - runs[:, 0] - rl, 1 - runs[:, 1] - rl, backward, at, total - int(before[at]), before)
+        a0, b0 = extend(1 - runs[:, 0] - rl, 1 - runs[:, 1] - rl, backward, at, total - before[at], before)
         a0, a1 = np.repeat(-a0, len(a1)), np.tile(a1, len(a0))
         b0, b1 = np.repeat(-b0, len(b1)), np.tile(b1, len(b0))
         # no more than b's matches are common, no less than the first places are distinct

@@ -6,7 +6,7 @@ from tractus.operators.density import DensityLevel, density_enrichment, group_de
 from tractus.operators.explain import explain_level
 from tractus.operators.places import attach_principal_place
 from tractus.operators.rank import rank_level
-from tractus.operators.serve import grid_clusters, table_page, top_n
+from tractus.operators.serve import grid_cluster_pyramid, grid_clusters, table_page, top_n
 
 
 def test_principal_place_ties(spark):
@@ -158,3 +158,27 @@ def test_empty_inputs(spark):
     assert rank_level(empty, "k", "score").count() == 0
     g = spark.createDataFrame([(1, [])], "id int, geometry array<array<array<struct<x:double,y:double>>>>")
     assert G.interior_point_rows(g, ["id"]).first().x is None
+
+
+def test_cluster_pyramid_sums_to_the_points_at_every_zoom(spark):
+    import random
+    r = random.Random(3)
+    rows = [(r.uniform(-90, 90), r.uniform(-180, 180), None if i % 9 == 0 else i) for i in range(500)] + [(None, 1.0, 5), (1.0, None, 5)] + [(10.0, 20.0, 7)] * 200
+    df = spark.createDataFrame(rows, "lat double, lon double, rank int")
+    zooms = [0, 3, 5, 9]
+    got = grid_cluster_pyramid(df, zooms).collect()
+    for z in zooms:
+        cell = 360.0 / 2 ** z
+        want = {}
+        for lat, lon, rank in rows:
+            if lat is not None and lon is not None:
+                want.setdefault((math.floor(lon / cell), math.floor(lat / cell)), []).append((rank, lat, lon))
+        level = {(c.cell_x, c.cell_y): c for c in got if c.zoom == z}
+        assert sum(c.point_count for c in level.values()) == 700 and set(level) == set(want)
+        for k, points in want.items():
+            ranks = [p[0] for p in points if p[0] is not None]
+            assert level[k].point_count == len(points)
+            assert level[k].mean_value == (sum(ranks) / len(ranks) if ranks else None)
+            assert level[k].lat == pytest.approx(sum(p[1] for p in points) / len(points)) and level[k].lon == pytest.approx(sum(p[2] for p in points) / len(points))
+        one = {(c.cell_x, c.cell_y): tuple(c) for c in grid_clusters(df, z).collect()}
+        assert {k: (*k, *tuple(c)[3:]) for k, c in level.items()} == one

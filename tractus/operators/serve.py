@@ -20,6 +20,8 @@ SERVE_SIZES = (20, 50, 100, 200, 500)
 DEFAULT_N = 20
 PAGE_SIZE = 10
 HIDDEN_COLUMNS = ("lat", "lon", "description")
+#: Degrees are summed as decimals, so that means do not depend on the order of the points.
+POSITION = "decimal(24,12)"
 
 
 def top_n(ranked: DataFrame, name: str, n: int = DEFAULT_N,
@@ -76,33 +78,41 @@ def domain_extent(df: DataFrame, lat: str = "lat", lon: str = "lon") -> DataFram
                   F.count(F.lit(1)).alias("n"))
 
 
-def grid_clusters(df: DataFrame, zoom: int, lat: str = "lat", lon: str = "lon",
-                  value: str = "rank") -> DataFrame:
-    """Points clustered on a grid of 360 / 2^zoom degrees; per cell the
-    point count, the mean value (the client's cluster colour) and the
-    mean position."""
-    cell = 360.0 / (2 ** zoom)
+def _cells(df: DataFrame, cell: float, lat: str, lon: str, value: str) -> DataFrame:
+    """Per grid cell: points, valued points and the sums of value, latitude and longitude."""
     return (df.filter(F.col(lat).isNotNull() & F.col(lon).isNotNull())
             .groupBy(F.floor(F.col(lon) / F.lit(cell)).alias("cell_x"),
                      F.floor(F.col(lat) / F.lit(cell)).alias("cell_y"))
-            .agg(F.count(F.lit(1)).alias("point_count"),
-                 F.avg(value).alias("mean_value"),
-                 F.avg(lat).alias("lat"), F.avg(lon).alias("lon")))
+            .agg(F.count(F.lit(1)).alias("point_count"), F.count(value).alias("_n"), F.sum(value).alias("_value"),
+                 *[F.sum(F.col(c).cast(POSITION)).alias(a) for c, a in ((lat, "_lat"), (lon, "_lon"))]))
+
+
+def _means(cells: DataFrame) -> list[Column]:
+    n = F.col("point_count")
+    return [n, F.try_divide(F.col("_value").cast("double"), F.col("_n").cast("double")).alias("mean_value"),
+            (F.col("_lat").cast("double") / n).alias("lat"), (F.col("_lon").cast("double") / n).alias("lon")]
+
+
+def grid_clusters(df: DataFrame, zoom: int, lat: str = "lat", lon: str = "lon",
+                  value: str = "rank") -> DataFrame:
+    """Points clustered on a grid of 360 / 2^zoom degrees; per cell the
+    point count, the mean value (the client's cluster colour; points without a value are
+    left out of it) and the mean position.  Positions, whole numbers and decimals are summed exactly."""
+    cells = _cells(df, 360.0 / (2 ** zoom), lat, lon, value)
+    return cells.select("cell_x", "cell_y", *_means(cells))
 
 
 def grid_cluster_pyramid(df: DataFrame, zooms: list[int], lat: str = "lat", lon: str = "lon",
                          value: str = "rank") -> DataFrame:
-    """A8 for every zoom level of a map at once (the client clusters at
-    each zoom): each point is repeated once per zoom (a narrow explode of
-    a literal array) and one grouped aggregate, combined map-side, builds
-    every level's clusters."""
-    cells = F.explode(F.array(*[F.struct(F.lit(z).alias("zoom"),
-                                         F.lit(360.0 / (2 ** z)).alias("cell")) for z in zooms]))
-    pts = (df.filter(F.col(lat).isNotNull() & F.col(lon).isNotNull())
-           .select(lat, lon, value, cells.alias("_z")))
-    return (pts.groupBy(F.col("_z.zoom").alias("zoom"),
-                        F.floor(F.col(lon) / F.col("_z.cell")).alias("cell_x"),
-                        F.floor(F.col(lat) / F.col("_z.cell")).alias("cell_y"))
-            .agg(F.count(F.lit(1)).alias("point_count"),
-                 F.avg(value).alias("mean_value"),
-                 F.avg(lat).alias("lat"), F.avg(lon).alias("lon")))
+    """A8 for every zoom level of a map, from the finest up: points are grouped once, at the
+    finest zoom, and coarser cells are sums of these cells, as cells nest.  The
+    points are read and shuffled (after partial sums) once, whatever the number of levels; each
+    occupied fine cell, not each point, is repeated per level."""
+    finest = max(zooms)
+    cells = _cells(df, 360.0 / (2 ** finest), lat, lon, value)
+    level = F.explode(F.lit(sorted(zooms)).cast("array<int>"))
+    sums = [F.sum(c).alias(c) for c in ("point_count", "_n", "_value", "_lat", "_lon")]
+    shift = lambda c: F.call_function("shiftright", F.col(c), F.lit(finest) - F.col("zoom")).alias(c)
+    up = (cells.select("*", level.alias("zoom")).select("zoom", shift("cell_x"), shift("cell_y"), "point_count", "_n", "_value", "_lat", "_lon")
+          .groupBy("zoom", "cell_x", "cell_y").agg(*sums))
+    return up.select("zoom", "cell_x", "cell_y", *_means(up))

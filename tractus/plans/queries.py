@@ -353,16 +353,27 @@ GRID_ZOOM = 9
 PYRAMID_ZOOMS = list(range(3, 13))
 
 
-@register("grid_clusters", O.chain(O.ranked_ctes("tract")) + f"""
+_POINTS_SQL = """
+, points AS (SELECT lat, lon, score FROM scored LEFT JOIN tract_centres ON GEOID10 = unit_id WHERE lat IS NOT NULL AND lon IS NOT NULL)"""
+_MEANS_SQL = """count(*) AS point_count, CAST(sum(score) AS DOUBLE) / CAST(nullif(count(score), 0) AS DOUBLE) AS mean_value,
+       round(CAST(sum(CAST(lat AS DECIMAL(24,12))) AS DOUBLE) / count(*), 6) AS lat,
+       round(CAST(sum(CAST(lon AS DECIMAL(24,12))) AS DOUBLE) / count(*), 6) AS lon"""
+
+
+def _scored_points(spark, src):
+    """Every scored tract with its point (none where the centre is unknown)."""
+    from tractus.operators.joins import left_join_renamed
+    scored = D.scored_units(spark, src).select("unit_id", "score")
+    return left_join_renamed(scored, B.tract_centres(spark, src), "unit_id", "GEOID10")
+
+
+@register("grid_clusters", O.chain() + _POINTS_SQL + f"""
 SELECT CAST(floor(lon / {O._d(360.0 / 2 ** GRID_ZOOM)}) AS BIGINT) AS cell_x,
-       CAST(floor(lat / {O._d(360.0 / 2 ** GRID_ZOOM)}) AS BIGINT) AS cell_y,
-       count(*) AS point_count, avg(rank) AS mean_value,
-       round(avg(lat), 6) AS lat, round(avg(lon), 6) AS lon
-FROM ranked_tract WHERE lat IS NOT NULL AND lon IS NOT NULL
-GROUP BY 1, 2""")
+       CAST(floor(lat / {O._d(360.0 / 2 ** GRID_ZOOM)}) AS BIGINT) AS cell_y, {_MEANS_SQL}
+FROM points GROUP BY 1, 2""")
 def grid_clusters(spark, src):
     from tractus.operators.serve import grid_clusters as gc
-    out = gc(D.ranked(spark, src, "tract"), GRID_ZOOM)
+    out = gc(_scored_points(spark, src), GRID_ZOOM, value="score")
     return out.withColumn("lat", _r("lat", 6)).withColumn("lon", _r("lon", 6))
 
 
@@ -652,16 +663,22 @@ def score_sorted(spark, src):
 
 
 
-@register("grid_cluster_pyramid", O.chain(O.ranked_ctes("tract")) + f"""
+@register("grid_cluster_pyramid", O.chain() + _POINTS_SQL + f"""
 , zooms AS (SELECT unnest({PYRAMID_ZOOMS}) AS zoom)
 SELECT CAST(zoom AS INTEGER) AS zoom,
        CAST(floor(lon / (CAST(360.0 AS DOUBLE) / CAST(pow(2, zoom) AS DOUBLE))) AS BIGINT) AS cell_x,
-       CAST(floor(lat / (CAST(360.0 AS DOUBLE) / CAST(pow(2, zoom) AS DOUBLE))) AS BIGINT) AS cell_y,
-       count(*) AS point_count, avg(rank) AS mean_value,
-       round(avg(lat), 6) AS lat, round(avg(lon), 6) AS lon
-FROM ranked_tract, zooms WHERE lat IS NOT NULL AND lon IS NOT NULL
-GROUP BY 1, 2, 3""")
+       CAST(floor(lat / (CAST(360.0 AS DOUBLE) / CAST(pow(2, zoom) AS DOUBLE))) AS BIGINT) AS cell_y, {_MEANS_SQL}
+FROM points, zooms GROUP BY 1, 2, 3""")
 def grid_cluster_pyramid(spark, src):
     from tractus.operators.serve import grid_cluster_pyramid as gcp
-    out = gcp(D.ranked(spark, src, "tract"), PYRAMID_ZOOMS)
+    out = gcp(_scored_points(spark, src), PYRAMID_ZOOMS, value="score")
     return out.withColumn("lat", _r("lat", 6)).withColumn("lon", _r("lon", 6))
+
+
+@register("serve_records", O.chain(O.ranked_ctes("county"), _served_sql()) + "\nSELECT * FROM served")
+def serve_records(spark, src):
+    """K6: the served rows as dicts, as a table widget takes them."""
+    from tractus.sinks.features import records
+    served = _served(spark, src)
+    rows = records(served, 20)
+    return spark.createDataFrame([tuple(r[c] for c in served.columns) for r in rows], served.schema)

@@ -1,6 +1,8 @@
 """Operators on hand-made frames (FIXTURES section 3) and golden facts."""
 
 
+import math
+
 from tractus.operators.columns import pad_id, title_header
 from tractus.operators.density import DensityLevel, density_enrichment, group_density
 from tractus.operators.explain import explain_level

@@ -3,6 +3,8 @@
 
 import math
 
+import pytest
+
 from tractus.operators.columns import pad_id, title_header
 from tractus.operators.density import DensityLevel, density_enrichment, group_density
 from tractus.operators.explain import explain_level

@@ -518,6 +518,19 @@ def layer_geojson_roundtrip(spark, src):
                        F.array_min(ys).alias("min_y"), F.array_max(ys).alias("max_y"))
 
 
+@register("collection_roundtrip", O.ctes(O.CTE_CORNERS) + f"""
+SELECT GEOID10, CF, SF, CAST(idx AS INTEGER) AS pos, {O._qz('x')} AS qx, {O._qz('y')} AS qy FROM corners""")
+def collection_roundtrip(spark, src):
+    from tractus.session import scratch_dir
+    from tractus.sinks.features import polygon_feature, write_collection
+    from tractus.sources.collection import read_collection
+    layer = B.cells(spark, src)
+    path = write_collection(layer.select(polygon_feature(layer).alias("feature")), scratch_dir(spark, "collection"), name='cells {"a}')
+    back = read_collection(spark, path, "GEOID10 bigint, CF string, SF string", one_document=True)
+    points = back.select("GEOID10", "CF", "SF", F.posexplode(F.col("geometry")[0][0]).alias("pos", "p"))
+    return points.select("GEOID10", "CF", "SF", "pos", *[F.round(F.col(f"p.{c}") / F.lit(1e-7)).cast("bigint").alias(f"q{c}") for c in "xy"])
+
+
 def _polygon_sql(key: str, edges: str = "cedges", *more: str) -> str:
     head = O.ctes(O.CTE_CORNERS, O.CTE_CELL_EDGES, *more, O.polygon_ctes(edges, key)).replace("WITH", "WITH RECURSIVE", 1)
     return head + f"""

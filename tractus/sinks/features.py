@@ -37,6 +37,33 @@ def write_polygon_features(df: DataFrame, path: str, geometry: str = "geometry",
     return path
 
 
+def write_collection(features: DataFrame, path: str, feature: str = "feature", name: str | None = None) -> str:
+    """K3: a column of feature texts as ONE FeatureCollection document.
+
+    The document is a folder of parts, written in parallel: the head with
+    one feature, the other features each behind a comma, and the tail.  Joined
+    in the order of their names (``hadoop fs -getmerge``, or the store's own
+    compose) the parts are the document; ``read_collection(..., one_document=True)``
+    reads the folder as it is.  Null texts are left out; features keep no order; no features: an
+    empty collection.  ``name`` becomes the collection's name.
+    """
+    from tractus.session import materialize
+    spark = features.sparkSession
+    # the place of a row is written with it, so exactly one row is the first in every later job
+    rows = materialize(features.where(F.col(feature).isNotNull())
+                       .select(F.col(feature).alias("feature"), F.monotonically_increasing_id().alias("at")), "features")
+    first = rows.agg(F.min("at")).first()[0]
+    title = F.concat(F.lit('"name":'), F.substring(F.to_json(F.array(F.lit(name))), 2, 1 << 30)) if name else F.lit(None).cast("string")
+    # to_json of an array of one text, without its brackets
+    title = F.coalesce(F.concat(F.regexp_replace(title, r"\]$", ""), F.lit(",")), F.lit(""))
+    head = rows.where(F.col("at") == F.lit(first)).agg(F.max("feature").alias("f")).select(
+        F.concat(F.lit('{"type":"FeatureCollection",'), title, F.lit('"features":['), F.coalesce("f", F.lit(""))).alias("value"))
+    rest = rows.where(F.col("at") != F.lit(first)).select(F.concat(F.lit(","), "feature").alias("value"))
+    tail = spark.range(0, 1, 1, 1).select(F.lit("]}").alias("value"))
+    head.unionByName(rest).unionByName(tail).write.mode("overwrite").text(path)
+    return path
+
+
 def point_feature(df: DataFrame, lat: str = "lat", lon: str = "lon") -> Column:
     """K5: lat/lon become a Point geometry ``[lon, lat]``; every other
     column becomes a property."""

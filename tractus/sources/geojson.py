@@ -2,8 +2,8 @@
 
 Features are read one per line (the layout written by
 ``tractus.sinks.features``), so a layer is split across tasks like any
-JSON-lines file; a single FeatureCollection document can be read with
-``collection=True`` (one task per file - only for small layers).
+JSON-lines file; FeatureCollection documents are read with
+``collection=True`` (``tractus.sources.collection``: many tasks per document).
 
 The geometry's ``coordinates`` are read as raw JSON text and parsed by
 geometry type into the nested struct form used by the geo operators:
@@ -15,12 +15,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType, StructField, StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tractus.functions.geometry import GEOMETRY_TYPE
 
 
-def _feature_schema(properties: StructType) -> StructType:
+def feature_schema(properties: StructType) -> StructType:
     geom = StructType([StructField("type", StringType()), StructField("coordinates", StringType())])
     return StructType([StructField("type", StringType()),
                        StructField("geometry", geom),
@@ -37,14 +37,14 @@ def read_features(spark: SparkSession, path: str, properties: StructType | str,
     ``point`` (struct<x, y>, for Point features)."""
     if isinstance(properties, str):
         properties = StructType.fromDDL(properties)
-    schema = _feature_schema(properties)
     if collection:
-        raw = (spark.read.option("multiLine", True)
-               .schema(StructType([StructField("features", ArrayType(schema))]))
-               .json(path))
-        df = raw.select(F.explode("features").alias("f")).select("f.*")
-    else:
-        df = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+        from tractus.sources.collection import read_collection
+        return read_collection(spark, path, properties)
+    return geometry_columns(spark.read.schema(feature_schema(properties)).option("mode", "FAILFAST").json(path))
+
+
+def geometry_columns(df: DataFrame) -> DataFrame:
+    """Parsed features -> properties, ``geometry`` and ``point``."""
     gtype = F.col("geometry.type")
     coords = F.col("geometry.coordinates")
     poly = F.from_json(coords, "array<array<array<double>>>")

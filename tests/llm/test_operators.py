@@ -71,6 +71,33 @@ def test_network_gradients_match_differences():
         assert math.isclose((up - down) / (2 * eps), g[at], rel_tol=1e-3, abs_tol=1e-7)
 
 
+def test_short_letter_only_and_punctuated_secrets_are_scored():
+    for text, body in [("pwd: hunter2x9", "hunter2x9"), ("client credential=correcthorsebatterystaple", "correcthorsebatterystaple"),
+                       ("pass: s3cr3t@w0rd! and so", "s3cr3t@w0rd!"), ("Passphrase is tango-lima-kilo.", "tango-lima-kilo"),
+                       ("PIN: '48291736'", "48291736"), ("x=" + "q" * 5000, "q" * 5000)]:
+        at = text.index(body)
+        assert (at, at + len(body)) in secrets.candidates(text)
+    for text in ["", "a: b c: d", "key " + " " * 200_000, ":" * 200_000, "=" * 200_000, "no sign here at all"]:
+        assert secrets.candidates(text) == []
+
+
+def test_recall_over_whole_secrets_counts_those_without_candidates(docs):
+    p, y = secrets._by_secret(np.array([.2, .9, .5, .7]), np.array([1, 1, 0, 1.]), [3, 3, -1, -1], 3)
+    assert sorted(p) == [0, 0, .7, .9] and y.sum() == 4
+    net = secrets.fit(docs)
+    fresh = secrets.generated_texts(2000, seed=99)
+    found = secrets.find_batch([t for t, _, _ in fresh], net)
+    hit = [any(s < e and start < z for s, z, _ in f) for f, (_, start, e) in zip(found, fresh) if e]
+    false = [bool(f) for f, (_, _, e) in zip(found, fresh) if not e]
+    assert np.mean(hit) >= 0.95 and np.mean(false) <= 0.15
+    outside = ["my login is pwd: hunter2x9 thanks", "with client credential=correcthorsebatterystaple here", "use pass: s3cr3t@w0rd! now"]
+    assert all(f and f[0][2] == "model" for f in secrets.find_batch(outside, net))
+    assert not any(secrets.find_batch(["Dear all: the meeting starts at 10:30:00, see http://www.example.org/notes", "key figures: revenue grew"], net))
+    for f in found:
+        model = [s for s in f if s[2] == "model"]
+        assert all(a[1] <= b[0] for a, b in zip(model, model[1:]))
+
+
 def test_threshold_keeps_the_required_recall():
     p, y = np.linspace(0, 1, 101), np.ones(101)
     t = secrets.recall_threshold(p, y, 0.9)

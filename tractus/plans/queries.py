@@ -349,6 +349,26 @@ def serve_domain_extent(spark, src):
     return domain_extent(_served(spark, src))
 
 
+#: Rows of a range of the page index, and the pages asked for as shares of the table.
+PAGE_RANGE_ROWS = 500
+PAGE_SHARES = (0, 3, 7)
+
+
+@register("serve_indexed_pages", O.chain() + f""", placed AS (
+  SELECT unit_id, score, row_number() OVER (ORDER BY score DESC NULLS LAST, unit_id) - 1 AS position, count(*) OVER () AS n FROM scored)
+SELECT unit_id, score, position FROM placed, (VALUES {', '.join(f'({k})' for k in PAGE_SHARES)}) s(k)
+WHERE position // 10 = ((n + 9) // 10) * k // 8""")
+def serve_indexed_pages(spark, src):
+    from functools import reduce
+
+    from tractus.operators.pages import n_pages, read_page, write_pages
+    from tractus.session import scratch_dir
+    scored, order = D.scored_units(spark, src).select("unit_id", "score"), [("score", False), ("unit_id", True)]
+    path = write_pages(scored, scratch_dir(spark, "pages"), order, PAGE_RANGE_ROWS)
+    pages = n_pages(spark, path)
+    return reduce(lambda a, b: a.unionByName(b), [read_page(spark, path, scored.schema, order, pages * k // 8) for k in PAGE_SHARES])
+
+
 GRID_ZOOM = 9
 PYRAMID_ZOOMS = list(range(3, 13))
 

@@ -2,6 +2,8 @@
 
 import json
 
+import pytest
+
 from tractus.__main__ import main
 from tractus.session import scratch_dir
 from tractus.sources.screening import INDICATOR_COLUMNS
@@ -49,6 +51,20 @@ def test_rank_then_serve(spark, capsys):
     assert all("Town" in json.loads(x)["name"] for x in capsys.readouterr().out.splitlines())
 
 
+def test_serve_csv_level(spark, capsys):
+    path = scratch_dir(spark, "level-csv").removeprefix("file:")
+    with open(path + "/t.csv", "w") as f:
+        f.write("extra,rank,name,lon,lat,description\nx,2,B,-1.5,3,late\ny,1,A,-2.5,4,early\nz,3,C,null,5,none\n")
+    main(["serve", "--ranked", path, "--format", "csv", "--level", "county", "--n", "20"])
+    rows = [json.loads(x) for x in capsys.readouterr().out.splitlines()]
+    assert [(r["name"], r["rank"], r["lat"], r["lon"]) for r in rows] == [("A", 1, 4.0, -2.5), ("B", 2, 3.0, -1.5)]
+    assert rows[0]["tooltip"] == "A <br> early"
+    with open(path + "/t.csv", "w") as f:
+        f.write("name,lat,lon\nA,1,2\n")
+    with pytest.raises(ValueError, match="rank"):
+        main(["serve", "--ranked", path, "--format", "csv", "--level", "county", "--n", "20"])
+
+
 def test_prepare_layer(spark, capsys):
     """Areas and centre tables from a polygon layer; a county of two blocks and a U shape."""
     from tractus.operators.layer import attach_areas, prepare_layer

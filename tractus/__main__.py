@@ -66,9 +66,10 @@ def _serve(args: argparse.Namespace) -> None:
     from tractus.operators.serve import features, serve_top_n
     from tractus.session import get_session
     from tractus.sinks.features import records
-    from tractus.sources.files import read_level_table
+    from tractus.sources.files import read_level_csv, read_level_table
     spark = get_session(args.master)
-    ranked = read_level_table(spark, args.ranked, args.level, RANKED_SCHEMA)
+    read = read_level_csv if args.format == "csv" else read_level_table
+    ranked = read(spark, args.ranked, args.level, RANKED_SCHEMA)
     top = serve_top_n(ranked, "name", args.n, described=args.level not in UNDESCRIBED)
     if args.features:
         out = records(features(top, "name"), args.n)
@@ -103,6 +104,8 @@ def main(argv: list[str] | None = None) -> None:
     s = sub.add_parser("serve", help="N best complete rows of one level")
     s.add_argument("--ranked", required=True)
     s.add_argument("--level", choices=LEVELS, default="city")
+    s.add_argument("--format", choices=("parquet", "csv"), default="parquet",
+                   help="parquet: the table that rank wrote; csv: a level's table with header")
     s.add_argument("--n", type=int, choices=SERVE_SIZES, default=20)
     s.add_argument("--features", action="store_true", help="GeoJSON point features")
     s.set_defaults(fn=_serve)

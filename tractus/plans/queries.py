@@ -349,6 +349,21 @@ def serve_domain_extent(spark, src):
     return domain_extent(_served(spark, src))
 
 
+@register("csv_inferred_scan", """
+SELECT lpad(CAST(c_custkey AS VARCHAR), 11, '0') AS geoid, c_custkey AS number, c_acctbal AS amount,
+       c_custkey % 2 = 0 AS even, CASE WHEN c_custkey % 3 <> 0 THEN c_mktsegment END AS segment
+FROM customer""")
+def csv_inferred_scan(spark, src):
+    from tractus.session import scratch_dir
+    from tractus.sinks.files import write_csv
+    from tractus.sources.files import read_csv_inferred
+    c = B._read(spark, src, "customer", ["c_custkey", "c_acctbal", "c_mktsegment"])
+    k = F.col("c_custkey")
+    rows = c.select(F.lpad(k.cast("string"), 11, "0").alias("geoid"), k.alias("number"), F.col("c_acctbal").alias("amount"),
+                    (k % 2 == 0).alias("even"), F.when(k % 3 != 0, F.col("c_mktsegment")).alias("segment"))
+    return read_csv_inferred(spark, write_csv(rows, scratch_dir(spark, "csv")))
+
+
 #: Rows of a range of the page index, and the pages asked for as shares of the table.
 PAGE_RANGE_ROWS = 500
 PAGE_SHARES = (0, 3, 7)

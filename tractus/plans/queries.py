@@ -152,6 +152,39 @@ def principal_place(spark, src):
     return out.select("unit_id", "county_name", "city", "city_id", "city_lat", "city_lon")
 
 
+_NAME_SQL = "regexp_replace(trim(regexp_replace(strip_accents(lower({})), '[^a-z0-9]+', ' ', 'g')), '( (county|parish|borough))+$', '')"
+
+
+@register("place_keys_repaired", f"""
+WITH u AS (
+  SELECT DISTINCT r_name AS state, 'San José ' || n_name || ' County' AS unit, {_NAME_SQL.format("'San José ' || n_name || ' County'")} AS name
+  FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+s AS (
+  SELECT r_name AS state, CASE s_nationkey % 5 WHEN 0 THEN 'San José ' || n_name || ' County' WHEN 1 THEN 'SAN JOSE ' || n_name || ' PARISH'
+         WHEN 2 THEN 'Sán José ' || replace(n_name, '_', '-') || ' Borough' WHEN 3 THEN 'San José de ' || n_name
+         ELSE '{B.UNMATCHED_PREFIX}' || CAST(s_nationkey AS VARCHAR) END AS place
+  FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+p AS (SELECT state, place, {_NAME_SQL.format('place')} AS name, count(*) AS n_places FROM s GROUP BY state, place),
+j AS (
+  SELECT p.state, p.place, u.unit, u.unit = p.place AS same, u.name = p.name AS alike,
+         len(list_intersect(string_split(p.name, ' '), string_split(u.name, ' ')))
+         / CAST(len(list_distinct(string_split(p.name, ' ') || string_split(u.name, ' '))) AS DOUBLE) AS share
+  FROM p JOIN u ON u.state = p.state),
+best AS (
+  SELECT state, place, max(CASE WHEN same THEN unit END) AS same_unit, max(CASE WHEN alike THEN unit END) AS alike_unit,
+         arg_max(unit, share) AS near_unit, max(share) AS share FROM j GROUP BY state, place),
+tops AS (SELECT state, place, count(*) AS n FROM j JOIN best USING (state, place) WHERE j.share = best.share GROUP BY state, place)
+SELECT state, place AS county_name, n_places,
+       CASE WHEN same_unit IS NOT NULL THEN same_unit WHEN alike_unit IS NOT NULL THEN alike_unit WHEN share >= 0.6 AND n = 1 THEN near_unit END AS matched_key,
+       CASE WHEN same_unit IS NOT NULL THEN 'exact' WHEN alike_unit IS NOT NULL THEN 'normalised' WHEN share >= 0.6 AND n = 1 THEN 'similar'
+            WHEN share >= 0.6 THEN 'ambiguous' ELSE 'unmatched' END AS how,
+       CASE WHEN same_unit IS NOT NULL OR alike_unit IS NOT NULL THEN 1.0::DOUBLE WHEN share >= 0.6 AND n = 1 THEN share END AS similarity
+FROM p LEFT JOIN best USING (state, place) LEFT JOIN tops USING (state, place)""")
+def place_keys_repaired(spark, src):
+    from tractus.operators.place_keys import match_keys
+    return match_keys(B.spelled_counties(spark, src), B.spelled_places(spark, src), block=("state",))
+
+
 # ----------------------------------------------------------------- J5
 @register("inner_merge_area", _units_sql() + """
 , ca AS (SELECT county_name, SUM(geo_area) AS county_area FROM units GROUP BY county_name)
@@ -384,6 +417,25 @@ def serve_indexed_pages(spark, src):
     return reduce(lambda a, b: a.unionByName(b), [read_page(spark, path, scored.schema, order, pages * k // 8) for k in PAGE_SHARES])
 
 
+#: Rows of a range of the layer store, low so that small layers have several.
+LAYER_RANGE_ROWS = 500
+
+
+@register("layer_extent", O.ctes(O.CTE_CORNERS) + """
+, boxes AS (SELECT GEOID10, SF, min(x) AS xmin, min(y) AS ymin, max(x) AS xmax, max(y) AS ymax FROM corners GROUP BY GEOID10, SF),
+asked AS (SELECT min(xmin) AS x0, min(ymin) AS y0, max(xmax) AS x1, min(ymin) + (max(ymax) - min(ymin)) / 4 AS y1 FROM boxes WHERE SF = 'S1')
+SELECT b.* FROM boxes b, asked WHERE xmin <= x1 AND xmax >= x0 AND ymin <= y1 AND ymax >= y0""")
+def layer_extent(spark, src):
+    from tractus.operators.layer_store import BOX, bounds, read_extent, write_layer
+    from tractus.session import scratch_dir
+    cells = B.cells(spark, src).select("GEOID10", "SF", "geometry")
+    path = write_layer(cells, scratch_dir(spark, "layer"), range_rows=LAYER_RANGE_ROWS)
+    x0, y0, x1, y1 = (cells.where("SF = 'S1'").select(*bounds()).agg(F.min("xmin"), F.min("ymin"), F.max("xmax"), F.max("ymax")).first())
+    if x0 is None:
+        return cells.limit(0).select("GEOID10", "SF", *bounds())
+    return read_extent(spark, path, cells.schema, x0, y0, x1, y0 + (y1 - y0) / 4).select("GEOID10", "SF", *BOX)
+
+
 GRID_ZOOM = 9
 PYRAMID_ZOOMS = list(range(3, 13))
 

@@ -189,6 +189,29 @@ def places(spark: SparkSession, src: str) -> DataFrame:
                     F.col("s_suppkey").alias("id")))
 
 
+def spelled_counties(spark: SparkSession, src: str) -> DataFrame:
+    """The units' regions under names with an accent: unit_id, state, county_name."""
+    u = region_units(spark, src)
+    return u.select(F.col("c_custkey").alias("unit_id"), F.col("r_name").alias("state"),
+                    F.concat(F.lit("San José "), F.col("n_name"), F.lit(" County")).alias("county_name"))
+
+
+def spelled_places(spark: SparkSession, src: str) -> DataFrame:
+    """The places with the same names spelled in five ways, by nation: as the units do, in
+    capitals with another area word, with another accent and a hyphen, with a word more, and unknown ones."""
+    s = _read(spark, src, "supplier", ["s_suppkey", "s_nationkey"])
+    n = _read(spark, src, "nation", ["n_nationkey", "n_name", "n_regionkey"])
+    r = _read(spark, src, "region", ["r_regionkey", "r_name"])
+    way, name = F.col("s_nationkey") % 5, F.col("n_name")
+    spelled = (F.when(way == 0, F.concat(F.lit("San José "), name, F.lit(" County")))
+               .when(way == 1, F.concat(F.lit("SAN JOSE "), name, F.lit(" PARISH")))
+               .when(way == 2, F.concat(F.lit("Sán José "), F.replace(name, F.lit("_"), F.lit("-")), F.lit(" Borough")))
+               .when(way == 3, F.concat(F.lit("San José de "), name))
+               .otherwise(F.concat(F.lit(UNMATCHED_PREFIX), F.col("s_nationkey").cast("string"))))
+    return (s.join(n, s.s_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)
+            .select(F.col("s_suppkey").alias("id"), F.col("r_name").alias("state"), spelled.alias("county_name")))
+
+
 def county_centres(spark: SparkSession, src: str) -> DataFrame:
     """County centre points keyed by CF (county name), with SF."""
     n = _read(spark, src, "nation", ["n_nationkey", "n_name", "n_regionkey"])

@@ -246,11 +246,14 @@ def test_moments_and_shrinkage():
 
 
 # ------------------------------------------------------------------ 5
-def test_vector_join_against_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("block, pivot_bytes", [(64, 1 << 20), (6, 1 << 20), (6, 20 * 12 * 8)])
+def test_vector_join_against_brute_force(spark, monkeypatch, block, pivot_bytes):
     r = np.random.default_rng(5)
     centres = r.normal(size=(40, 12))
     x = centres[r.integers(0, 40, 900)] + r.normal(size=(900, 12)) * r.choice([0.0, 0.05, 0.3, 0.5], (900, 1))
-    monkeypatch.setattr(vectorjoin, "BLOCK", 64)   # many pivots and blocks
+    x[100:200] = x[:100] * r.choice([0.5, 2.0, 3.7], (100, 1))   # same directions
+    monkeypatch.setattr(vectorjoin, "BLOCK", block)   # many pivots and blocks
+    monkeypatch.setattr(vectorjoin, "PIVOT_BYTES", pivot_bytes)
     d = spark.createDataFrame([(int(i) * 3, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
     got = pandas(vectorjoin.near_duplicates(d), "vec_id")
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
@@ -261,6 +264,25 @@ def test_vector_join_against_brute_force(spark, monkeypatch):
     assert got.kept.tolist() == (got.vec_id == got.component_id).tolist()
 
 
+def test_pivot_tree_meets_all_links_and_prunes():
+    r = np.random.default_rng(8)
+    centres = r.normal(size=(60, 16))
+    x = centres[r.integers(0, 60, 3000)] + r.normal(size=(3000, 16)) * 0.2
+    tree = vectorjoin._Tree(np.concatenate([x[:400], x[:20] * 3.0]))
+    assert len(tree.start) == len(tree.tops) + 1 and tree.start[-1] == len(tree.leaves) == 420
+    cell, near, top = tree.home(x)
+    radius = np.full(len(tree.leaves), -np.inf)
+    np.maximum.at(radius, cell, near)
+    top_radius = np.full(len(tree.tops), -np.inf)
+    np.maximum.at(top_radius, tree.top_of[cell], top)
+    row, leaf = tree.meets(x, radius, top_radius, np.arccos(0.9))
+    met = np.zeros((len(x), len(tree.leaves)), dtype=bool)
+    met[row, leaf] = True
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    a, b = np.nonzero(u @ u.T >= 0.9)
+    assert met[a, cell[b]].all() and met.mean() < 0.2
+
+
 # ------------------------------------------------------------------ 6
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 30), min_size=1, max_size=120), st.integers(1, 40))

@@ -1,12 +1,16 @@
 """Embedding near-duplicates: an exact metric range join.
 
-Angles between vectors are a metric.  Pivots partition the vectors: each
-belongs to the cell of its nearest pivot.  If u lies within the range r of v,
-the triangle inequality gives angle(u, p) <= angle(u, own) + 2 r for the pivot p
-of v's cell, and angle(u, p) <= radius(p) + r; a vector is replicated to just the
-cells that pass both.  So every link of a vector is found in its own cell,
+Angles between vectors are a metric.  Pivots partition the vectors.  They form a tree of two
+levels, made of a bounded sample: a vector goes to its nearest top pivot, then to the
+nearest leaf below it, whose cell is its own.  If u lies within the range r of v, the triangle
+inequality gives angle(u, p) <= angle(u, q) + 2 r for v's pivot p and any other pivot q that v
+was compared with, and angle(u, p) <= radius(p) + r.  Both hold for tops and for the leaves
+below a top, so a vector is replicated to just the leaves that pass on either level, without being
+compared with the others.  So every link of a vector is found in its own cell,
 and cells are joined independently of each other, each cut into blocks of own
 rows that meet all the cell's rows as a stream.  Equal vectors are joined once.
+The sample has a pivot per 4,096 vectors within ``PIVOT_BYTES`` (65,536 pivots of 64 numbers, that is
+268 million vectors); beyond that the cells grow and have more blocks.
 
 A block counts the links of its rows and emits links for a spanning forest only,
 so that a group of near copies does not give all its pairs.  Candidates are
@@ -19,11 +23,13 @@ to all cells: there the join is a block-wise comparison of all vectors.
 Cases: vectors that are null, empty, zero or hold null or non-finite numbers
 link with nothing and are their own component; vectors of different
 lengths never link; repeated rows link with each other; rows with a null
-id are returned without links and without a component.
+id are returned without links and without a component; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,8 +41,12 @@ from tractus.operators.components import components
 COSINE = 0.9
 #: Rows of a block, and vectors per pivot.
 BLOCK = 4096
+#: Pivots of all vector lengths together take at most this many bytes (and one pivot per length).
+PIVOT_BYTES = 32 << 20
 STREAM = 1024
 MARGIN = 1e-4
+#: Added to angles that are compared: arc cosines near 0 are exact to about 2e-8.
+SLACK = 1e-7
 
 
 def _matrix(column: pa.Array, dtype=np.float64) -> np.ndarray:
@@ -52,8 +62,53 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _angles(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    return np.arccos(np.clip(_unit(x) @ pivots.T, -1.0, 1.0))
+def _angles(units: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(units @ pivots.T, -1.0, 1.0))
+
+
+class _Tree:
+    """Pivots of one vector length in two levels: tops, and leaves below their nearest top.
+    The leaves are the cells; ``start[t]`` to ``start[t + 1]`` are those of top t."""
+
+    def __init__(self, sample: np.ndarray):
+        leaves = _unit(sample)
+        tops = leaves[:math.ceil(math.sqrt(len(leaves)))]
+        of = _angles(leaves, tops).argmin(1)
+        # a top that points where an earlier one does has no leaves and goes
+        kept, of = np.unique(of, return_inverse=True)
+        order = np.argsort(of, kind="stable")
+        self.tops, self.leaves = tops[kept], leaves[order]
+        self.start = np.searchsorted(of[order], np.arange(len(kept) + 1))
+        self.top_of = of[order]
+
+    def home(self, x: np.ndarray):
+        """(leaf, angle to it, angle to its top) by descent."""
+        units = _unit(x)
+        t = _angles(units, self.tops)
+        top = t.argmin(1)
+        leaf, near = np.zeros(len(x), dtype=np.int64), np.zeros(len(x))
+        for k in np.unique(top):
+            at = np.flatnonzero(top == k)
+            below = _angles(units[at], self.leaves[self.start[k]:self.start[k + 1]])
+            leaf[at] = self.start[k] + below.argmin(1)
+            near[at] = below.min(1)
+        return leaf, near, t[np.arange(len(x)), top]
+
+    def meets(self, x: np.ndarray, radius: np.ndarray, top_radius: np.ndarray, limit: float):
+        """(row, leaf): the cells that may hold a row's neighbours, by the two conditions on
+        either level."""
+        units = _unit(x)
+        t = _angles(units, self.tops)
+        open_ = (t <= t.min(1, keepdims=True) + 2 * limit + SLACK) & (t <= top_radius + limit + SLACK)
+        rows, cells = [], []
+        for k in np.flatnonzero(open_.any(0)):
+            at, low, high = np.flatnonzero(open_[:, k]), self.start[k], self.start[k + 1]
+            below = _angles(units[at], self.leaves[low:high])
+            i, j = np.nonzero((below <= below.min(1, keepdims=True) + 2 * limit + SLACK)
+                              & (below <= radius[low:high] + limit + SLACK))
+            rows.append(at[i])
+            cells.append(low + j)
+        return (np.concatenate(rows), np.concatenate(cells)) if rows else (np.zeros(0, np.int64),) * 2
 
 
 def valid(column: str = "embedding"):
@@ -63,9 +118,9 @@ def valid(column: str = "embedding"):
             & F.exists(column, lambda v: v != 0))
 
 
-def _near_pivot(classes: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
-    """(rep, w, x, dim, cell, near): the own cell and the angle to its pivot."""
-    shared = classes.sparkSession.sparkContext.broadcast(pivots)
+def _near_pivot(classes: DataFrame, trees: dict[int, _Tree]) -> DataFrame:
+    """(rep, w, x, dim, cell, near, near_top): the own cell, the angles to its pivot and to the pivot above."""
+    shared = classes.sparkSession.sparkContext.broadcast(trees)
     x_type = dict(classes.dtypes)["x"]
 
     def run(batches):
@@ -73,24 +128,23 @@ def _near_pivot(classes: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
             dims = b.column(3).to_numpy()
             for d in np.unique(dims):
                 part = b.filter(pa.array(dims == d))
-                t = _angles(_matrix(part.column(2)), shared.value[int(d)])
-                cell = t.argmin(1)
+                cell, near, top = shared.value[int(d)].home(_matrix(part.column(2)))
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array(cell.astype(np.int32)), pa.array(t[np.arange(len(t)), cell])],
-                    names=["rep", "w", "x", "dim", "cell", "near"])
+                    [*part.columns, pa.array(cell.astype(np.int32)), pa.array(near), pa.array(top)],
+                    names=["rep", "w", "x", "dim", "cell", "near", "near_top"])
 
-    return classes.mapInArrow(run, f"rep long, w long, x {x_type}, dim int, cell int, near double")
+    return classes.mapInArrow(run, f"rep long, w long, x {x_type}, dim int, cell int, near double, near_top double")
 
 
-def _targets(home: DataFrame, pivots: dict[int, np.ndarray], radius: dict, blocks: dict, limit: float) -> DataFrame:
+def _targets(home: DataFrame, trees: dict[int, _Tree], radius: dict, top_radius: dict, blocks: dict,
+             limit: float) -> DataFrame:
     """(rep, w, x, dim, cell, block, own): own rows of each block, then all
     rows that the cell's blocks meet."""
-    shared = home.sparkSession.sparkContext.broadcast((pivots, radius, blocks))
+    shared = home.sparkSession.sparkContext.broadcast((trees, radius, top_radius, blocks))
     x_type = dict(home.dtypes)["x"]
-    slack = 1e-9
 
     def run(batches):
-        piv, rad, blk = shared.value
+        tree, rad, top_rad, blk = shared.value
         for whole in batches:
             for start in range(0, whole.num_rows, STREAM):
                 b = whole.slice(start, STREAM)
@@ -98,10 +152,7 @@ def _targets(home: DataFrame, pivots: dict[int, np.ndarray], radius: dict, block
                 for d in np.unique(dims):
                     part = b.filter(pa.array(dims == d))
                     d = int(d)
-                    t = _angles(_matrix(part.column(2)), piv[d])
-                    near = part.column(5).to_numpy()[:, None]
-                    meets = (t <= near + 2 * limit + slack) & (t <= rad[d] + limit + slack)
-                    row, cell = np.nonzero(meets)
+                    row, cell = tree[d].meets(_matrix(part.column(2)), rad[d], top_rad[d], limit)
                     n = blk[d][cell]
                     row, cell = row.repeat(n), cell.repeat(n)
                     block = np.concatenate([np.arange(k) for k in n]) if len(n) else np.zeros(0, np.int64)
@@ -178,7 +229,7 @@ def _join_cells(cosine: float):
         key, block = None, None
 
         def close():
-            if block is not None:
+            if block is not None and len(block.rep):   # the hash may leave a block without own rows
                 if not block.ready:
                     block._fix()
                 yield pa.RecordBatch.from_pydict({"a": block.rep, "b": [None] * len(block.rep), "n": block.links},
@@ -200,7 +251,7 @@ def _join_cells(cosine: float):
                         key, block = keys[at][:3], _Block(cosine)
                     if keys[at][3]:
                         block.add(*rows)
-                    elif block.rep is not None and len(block.rep):
+                    elif len(block.rep):
                         a, z = block.meet(*rows)
                         if a:
                             yield pa.RecordBatch.from_pydict({"a": a, "b": z, "n": [None] * len(a)}, schema=schema)
@@ -221,19 +272,25 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     of_vec = good.join(classes.select("x", "rep"), "x").select("vec_id", "rep")
 
     sizes = {r["dim"]: r["n"] for r in classes.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}
-    pivots = {}
+    trees, total = {}, sum(sizes.values())
     for d, n in sizes.items():
+        most = max(1, int(PIVOT_BYTES * n / total) // (8 * d))
         got = (classes.where(F.col("dim") == d).orderBy(F.xxhash64(F.lit(3), "rep"), "rep")
-               .limit(-(-n // BLOCK)).select("x").collect())
-        pivots[d] = _unit(np.array([r["x"] for r in got], dtype=np.float64))
+               .limit(min(-(-n // BLOCK), most)).select("x").collect())
+        trees[d] = _Tree(np.array([r["x"] for r in got], dtype=np.float64))
     limit = float(np.arccos(cosine))
-    home = materialize(_near_pivot(classes, pivots), "vector-cells")
-    radius = {d: np.full(len(p), -np.inf) for d, p in pivots.items()}
-    blocks = {d: np.zeros(len(p), dtype=np.int64) for d, p in pivots.items()}
-    for r in home.groupBy("dim", "cell").agg(F.max("near").alias("r"), F.count(F.lit(1)).alias("n")).collect():
-        radius[r["dim"]][r["cell"]] = r["r"]
-        blocks[r["dim"]][r["cell"]] = -(-r["n"] // BLOCK)
-    laid = (_targets(home, pivots, radius, blocks, limit)
+    home = materialize(_near_pivot(classes, trees), "vector-cells")
+    radius = {d: np.full(len(t.leaves), -np.inf) for d, t in trees.items()}
+    top_radius = {d: np.full(len(t.tops), -np.inf) for d, t in trees.items()}
+    blocks = {d: np.zeros(len(t.leaves), dtype=np.int64) for d, t in trees.items()}
+    for r in (home.groupBy("dim", "cell").agg(F.max("near").alias("r"), F.max("near_top").alias("top"), F.count(F.lit(1)).alias("n"))
+              .collect()):
+        d, cell = r["dim"], r["cell"]
+        radius[d][cell] = r["r"]
+        blocks[d][cell] = -(-r["n"] // BLOCK)
+        top = trees[d].top_of[cell]
+        top_radius[d][top] = max(top_radius[d][top], r["top"])
+    laid = (_targets(home, trees, radius, top_radius, blocks, limit)
             .repartition(shuffle_width(spark), "dim", "cell", "block")
             .sortWithinPartitions("dim", "cell", "block", F.desc("own")))
     found = materialize(laid.mapInArrow(_join_cells(cosine), "a long, b long, n long"), "vector-links")

@@ -29,8 +29,6 @@ from tractus.llm import packing, quality, secrets, simhash, substring
 from tractus.llm.common import crc_mod, documents, materialize
 
 ACCEPT = 0.7
-#: Ids that are sent to all tasks at most; more are joined by a shuffle.
-BROADCAST_IDS = 2_000_000
 ORACLE_SQL = None
 
 
@@ -46,10 +44,8 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     acts = materialize(found.groupBy(F.col("doc_id").alias("_id"))
                        .agg(F.max(F.col("doc_id") != F.col("component_id")).alias("_drop"), F.count(F.lit(1)).alias("_n"))
                        .where("_drop or _n > 1").select("_id", "_drop"), "near-duplicates")
-    # few ids are sent to the texts, many are joined with them (9 bytes an id)
-    side = F.broadcast(acts) if acts.count() <= BROADCAST_IDS else acts
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("d"))
-    tagged = rows.join(side, F.col("d.doc_id").cast("long") == F.col("_id"), "left")
+    tagged = rows.join(acts, F.col("d.doc_id").cast("long") == F.col("_id"), "left")
     once = tagged.where("_id is null").select("d.*")
     again = tagged.where("_id is not null and not _drop").select("d.*").dropDuplicates(["doc_id", "text"])
     return once.unionByName(again)

@@ -3,6 +3,8 @@ synthetic inputs: 56 states, 8 of them without indicator values."""
 
 import random
 
+from pyspark.sql import functions as F
+
 from tractus.plans.areas import rank_areas
 from tractus.sources.screening import INDICATORS
 
@@ -62,3 +64,11 @@ def test_tract_and_city_levels(spark):
     cities = out.filter("level = 'city'").collect()
     assert all(r.lat is not None and r.description is not None for r in cities)
     assert sorted(r["rank"] for r in cities) == list(range(1, len(cities) + 1))
+
+
+def test_cities_of_parishes_are_found_by_matched_names(spark):
+    t, c, *centres = _inputs(spark)
+    t = t.withColumn("county_name", F.regexp_replace("county_name", "^C3_0 County$", "C3_0 Parish"))
+    plain = {r.name for r in rank_areas(t, c, *centres).filter("level = 'city'").collect()}
+    matched = {r.name for r in rank_areas(t, c, *centres, match_places=True).filter("level = 'city'").collect()}
+    assert matched - plain == {"City3_0"} and plain <= matched

@@ -42,7 +42,7 @@ def _rank(args: argparse.Namespace) -> None:
                        read_centres(spark, args.state_points, ["SF"]),
                        read_centres(spark, args.county_points, ["CF"]),
                        read_centres(spark, args.tract_points, ["GEOID10"]),
-                       n=args.limit, ties=args.ties)
+                       n=args.limit, ties=args.ties, match_places=args.match_places)
     write_parquet(table, args.out, ["level"])
     print(json.dumps({"written": args.out}))
 
@@ -91,6 +91,8 @@ def main(argv: list[str] | None = None) -> None:
     r.add_argument("--areas", default=None, help="area table made by prepare, joined to the tracts")
     r.add_argument("--limit", type=int, default=501)
     r.add_argument("--ties", choices=("one", "all"), default="one")
+    r.add_argument("--match-places", action="store_true",
+                   help="match the cities' county names by normalised names and common words")
     r.add_argument("--checkpoint-dir", default=None,
                    help="shared folder for materialized tables (else spark.checkpoint.dir)")
     r.set_defaults(fn=_rank)

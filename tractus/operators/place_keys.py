@@ -114,6 +114,14 @@ def match_keys(units: DataFrame, places: DataFrame, unit_key: str = "county_name
     return out
 
 
+def repaired_places(places: DataFrame, matches: DataFrame, place_key: str = "county_name") -> DataFrame:
+    """The places that ``match_keys`` (without blocks) found a unit key for, with that key as ``place_key``."""
+    found = (matches.where("matched_key is not null")
+             .select(F.col(place_key).alias("_place"), F.col("matched_key").alias("_unit")))
+    return (places.withColumn("_place", F.col(place_key).cast("string")).join(found, "_place")
+            .withColumn(place_key, F.col("_unit")).drop("_place", "_unit"))
+
+
 def attach_repaired_place(units: DataFrame, places: DataFrame, unit_key: str = "county_name", place_key: str = "county_name",
                           matches: DataFrame | None = None, block: tuple[str, ...] = (), **principal) -> DataFrame:
     """C1 with repaired keys: the places take the unit key that ``match_keys`` found, then the principal
@@ -121,12 +129,10 @@ def attach_repaired_place(units: DataFrame, places: DataFrame, unit_key: str = "
     Places without a unit key are left out; with ``block`` the same key in two blocks stays apart."""
     found = matches if matches is not None else match_keys(units, places, unit_key, place_key, block)
     on = list(block)
+    if not on:
+        return attach_principal_place(units, repaired_places(places, found, place_key), unit_key, place_key, **principal)
     found = (found.where("matched_key is not null")
              .select(*on, F.col(place_key).alias("_place"), F.col("matched_key").alias("_unit")))
-    if not on:
-        own = places.withColumn("_place", F.col(place_key).cast("string")).join(found, "_place")
-        return attach_principal_place(units, own.drop(place_key, "_place").withColumnRenamed("_unit", place_key),
-                                      unit_key, place_key, **principal)
     own = places.withColumn("_place", F.col(place_key).cast("string")).join(found, [*on, "_place"])
     # block and key as one value, so that equal keys of two blocks are not merged
     own = own.withColumn("_key", F.struct(*on, F.col("_unit"))).drop(*on, place_key, "_place", "_unit")

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tractus.operators.density import DensityLevel, density_enrichment
 from tractus.operators.levels import LevelSpec, rank_levels
+from tractus.operators.place_keys import match_keys, repaired_places
 from tractus.operators.places import attach_principal_place, principal_places
 from tractus.operators.score import composite_score
 from tractus.session import materialize
@@ -31,7 +32,7 @@ DENSITY_LEVELS = [
 ]
 
 
-def score_tracts(tracts: DataFrame, cities: DataFrame, ties: str = "one",
+def score_tracts(tracts: DataFrame, cities: DataFrame, ties: str = "one", suffix: str = COUNTY_SUFFIX,
                  ) -> tuple[DataFrame, DataFrame]:
     """(scored, enriched): tracts with principal city and four densities,
     written once, and the same with the descending density percentile and ``score``."""
@@ -41,7 +42,7 @@ def score_tracts(tracts: DataFrame, cities: DataFrame, ties: str = "one",
     if missing:
         raise ValueError(f"tract table lacks columns {missing}")
     t = attach_principal_place(tracts, cities, "county_name", "county_name",
-                               suffix=COUNTY_SUFFIX, ties=ties, keep=PLACE_KEEP)
+                               suffix=suffix, ties=ties, keep=PLACE_KEEP)
     t = density_enrichment(t, "total_population", "geo_area", "census_population_density",
                            DENSITY_LEVELS)
     t = materialize(t, "tracts")
@@ -52,11 +53,17 @@ def score_tracts(tracts: DataFrame, cities: DataFrame, ties: str = "one",
 
 def rank_areas(tracts: DataFrame, cities: DataFrame, state_centres: DataFrame,
                county_centres: DataFrame, tract_centres: DataFrame, n: int = 501,
-               ties: str = "one") -> DataFrame:
-    """(level, name, rank, lat, lon, description) for the four levels."""
-    scored, enriched = score_tracts(tracts, cities, ties)
+               ties: str = "one", match_places: bool = False) -> DataFrame:
+    """(level, name, rank, lat, lon, description) for the four levels.
+
+    With ``match_places`` the cities' county names are matched by ``place_keys.match_keys``, so that
+    parishes, boroughs and accented names find their cities, too; otherwise one suffix is added."""
+    suffix = COUNTY_SUFFIX
+    if match_places:
+        cities, suffix = materialize(repaired_places(cities, match_keys(tracts, cities)), "cities"), ""
+    scored, enriched = score_tracts(tracts, cities, ties, suffix)
     scored = materialize(scored.select(*_RANKED, "score"), "scored")
-    city_points = principal_places(cities, "county_name", suffix=COUNTY_SUFFIX, ties=ties,
+    city_points = principal_places(cities, "county_name", suffix=suffix, ties=ties,
                                    keep=PLACE_KEEP).select(
         "city_id", "city", F.col("city_lat").alias("lat"), F.col("city_lon").alias("lon"))
     specs = {

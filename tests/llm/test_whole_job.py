@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from tractus.llm import packing, substring
+from tractus.llm import packing, secrets, substring
 from tractus.llm.common import materialize
 
 from .frames import documents, roots
@@ -23,6 +23,42 @@ def _similarity(a, b):
     return len(a & b) / len(a | b)
 
 
+# ------------------------------------------------------------------ 1
+def test_the_network_learns_from_every_candidate_of_every_text(spark):
+    """More candidates than the 6,000 that a sample once held, and the windows far inside long ones."""
+    texts = {i: "\n".join(f"id={i}x{j:05d} secret={i}y{j:05d}" for j in range(700)) for i in range(10)}
+    texts[10] = "pwd: " + "".join(f"{i:08d}" for i in range(100))
+    want = {}
+    for t in texts.values():
+        base = secrets.base_spans(t)
+        for s, e in secrets.candidates(t):
+            for w in secrets.windows(t, s, e):
+                want[w] = max(want.get(w, 0), int(any(a < e and s < z for a, z, _ in base)))
+    corpus = materialize(secrets.labelled_corpus(documents(spark, list(texts.items()))))
+    got = corpus.collect()
+    assert len(got) == len(want) > 14_000 and {r.w: r.y for r in got} == want
+    assert 0.15 < np.mean([r.held for r in got]) < 0.25
+    net = secrets.train_shards(corpus.where("not held"), size=4_000)     # three shards
+    again = secrets.train_shards(corpus.where("not held").repartition(5), size=4_000)
+    assert all(np.array_equal(a, b) for a, b in zip(net.params, again.params))
+    held = [r for r in got if r.held]
+    z = net.logits(secrets.encode([r.w for r in held]))
+    assert ((z > 0) == np.array([r.y for r in held])).mean() > 0.95
+    at, y, n = secrets.logit_counts(corpus.where("held"), net)
+    assert n.sum() == len(held) and (n * y).sum() == sum(r.y for r in held)
+    assert np.isclose((at * n).sum() / n.sum(), z.mean(), atol=2 / secrets.STEPS)
+
+
+def test_counted_logits_give_the_threshold_of_the_single_ones():
+    r = np.random.default_rng(3)
+    p, n = r.random(50), r.integers(1, 40, 50)
+    single = np.repeat(p, n)
+    for recall in (0.5, 0.9, 0.98, 1.0):
+        assert secrets.recall_threshold(p, np.ones(50), recall, n) == secrets.recall_threshold(single, np.ones(len(single)), recall)
+    z, y = r.normal(size=50), (r.random(50) > 0.5).astype(float)
+    assert np.allclose(secrets._platt(z, y, n), secrets._platt(np.repeat(z, n), np.repeat(y, n)))
+
+
 # ------------------------------------------------------------------ 6
 @pytest.mark.parametrize("new", [_own("p", 45) + _own("n", 10) + _own("p", 90)[45:],      # ten words inserted
                                  _own("p", 43) + _own("n", 1) + _own("p", 90)[44:],       # one changed in the middle

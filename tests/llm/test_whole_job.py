@@ -3,7 +3,9 @@
 import numpy as np
 import pytest
 
-from tractus.llm import packing, secrets, substring
+from pyspark.sql import functions as F
+
+from tractus.llm import classlm, packing, secrets, substring
 from tractus.llm.common import materialize
 
 from .frames import documents, roots
@@ -59,6 +61,17 @@ def test_counted_logits_give_the_threshold_of_the_single_ones():
     assert np.allclose(secrets._platt(z, y, n), secrets._platt(np.repeat(z, n), np.repeat(y, n)))
 
 
+# ------------------------------------------------------------------ 7
+def test_frequent_words_keep_their_own_unit_when_many_words_share_a_count(spark, monkeypatch):
+    """Words of one count that are more than the broadcast table may hold."""
+    monkeypatch.setattr(classlm.frequent, "__defaults__", (10,))
+    docs = documents(spark, [(i, " ".join(f"w{i}x{j}" for j in range(300))) for i in range(4)])
+    model, vocabulary = classlm.fit(docs, F.lit(True))
+    assert len(model.table_hash) <= 10 and vocabulary.count() == 1201
+    assert sorted(model.head.values()) == list(range(1, classlm.HEAD + 1))
+    assert model.train_tokens == 1204 and model.distinct == 1201
+
+
 # ------------------------------------------------------------------ 6
 @pytest.mark.parametrize("new", [_own("p", 45) + _own("n", 10) + _own("p", 90)[45:],      # ten words inserted
                                  _own("p", 43) + _own("n", 1) + _own("p", 90)[44:],       # one changed in the middle

@@ -131,11 +131,11 @@ def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1.0))
 
 
-def exchange(bigrams: np.ndarray, classes: int = CLASSES) -> np.ndarray:
+def exchange(bigrams: np.ndarray, classes: int = CLASSES, sweeps: int | None = None) -> np.ndarray:
     """Class of each unit.  The end token keeps class 0 for itself; the others
     start dealt out by frequency and move one at a time to the class with the
     largest class bigram likelihood, until a sweep moves none (every move raises the likelihood,
-    so that comes; ties stay where they are)."""
+    so that comes; ties stay where they are).  ``sweeps`` stops earlier, for a look at the way there."""
     n = len(bigrams)
     freq = bigrams.sum(0) + bigrams.sum(1)
     order = [int(u) for u in np.argsort(-freq, kind="stable") if u]
@@ -145,9 +145,9 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES) -> np.ndarray:
     member = np.zeros((n, classes))
     member[np.arange(n), cls] = 1
     g = member.T @ bigrams @ member
-    moved = 1
-    while moved:
-        moved = 0
+    moved, done = 1, 0
+    while moved and done != sweeps:
+        moved, done = 0, done + 1
         for u in order:
             if not freq[u]:
                 continue
@@ -211,19 +211,20 @@ def fit(docs: DataFrame, train: Column) -> tuple[ClassModel, DataFrame]:
     sums = vocabulary.groupBy("suffix").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).collect()
     n, v = sum(s.c for s in sums), sum(s.v for s in sums)
     top = frequent(vocabulary)
-    h, suffix, count = (top[c].to_numpy() for c in ("h", "suffix", "c"))
-    first = np.flatnonzero(suffix != 0)[:HEAD]
-    head = {int(v): i + 1 for i, v in enumerate(h[first])}
+    h, count = (top[c].to_numpy() for c in ("h", "c"))
+    # not taken from the broadcast table, which holds none of the words whose count too many share
+    first = vocabulary.where("suffix <> 0").orderBy(F.desc("c"), "h").limit(HEAD).collect()
+    head = {r.h: i + 1 for i, r in enumerate(first)}
     big = unit_bigrams(texts, head)
     cls = exchange(big)
     # tokens and distinct words of each unit, the head's taken out of their suffix groups
     unit_n, unit_v = np.zeros(UNITS), np.zeros(UNITS)
     for s in sums:
         unit_n[s.suffix], unit_v[s.suffix] = s.c, s.v
-    for i, (s, c) in enumerate(zip(suffix[first], count[first])):
-        unit_n[s] -= c
-        unit_v[s] -= 1
-        unit_n[i + 1], unit_v[i + 1] = c, 1
+    for i, r in enumerate(first):
+        unit_n[r.suffix] -= r.c
+        unit_v[r.suffix] -= 1
+        unit_n[i + 1], unit_v[i + 1] = r.c, 1
     member = np.zeros((UNITS, CLASSES))
     member[np.arange(UNITS), cls] = 1
     room = member.T @ unit_n + 0.5 * (member.T @ unit_v + 1)

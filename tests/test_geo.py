@@ -132,3 +132,45 @@ def test_components_of_random_graphs(spark):
     got = {x.id: x.component for x in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {x: find(x) for x in root}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def _plain_components(links):
+    root = {}
+
+    def find(x):
+        root.setdefault(x, x)
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        if a is not None and b is not None and a != b:
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
+    return {x: find(x) for x in root}
+
+
+def test_contracted_components(spark):
+    """Paths, a grid, a star and random graphs, contracted before the stars; ids may be structs."""
+    import random
+    from tractus.operators.components import components
+    r = random.Random(5)
+    links = [(r.randrange(300), r.randrange(300)) for _ in range(200)] + [(None, 5), (7, None), (9, 9), (8, 6), (8, 6), (6, 8)]
+    links += [(1000 + i, 1001 + i) for i in range(90)] + [(5000, 5001 + i) for i in range(200)]
+    links += [(9000 + 20 * i + j, 9000 + 20 * i + j + d) for i in range(20) for j in range(20) for d in (1, 20) if j < 19 or d > 1]
+    want = _plain_components(links)
+    df = spark.createDataFrame(links, "a long, b long")
+    assert {x.id: x.component for x in components(df, small=10).collect()} == want
+    pairs = df.select(*[F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("unit"), F.lit(0).alias("piece"))).alias(c) for c in "ab"])
+    assert {x.id.unit: x.component.unit for x in components(pairs, small=10).collect()} == want
+
+
+def test_a_long_graph_takes_few_passes_over_its_edges(spark, monkeypatch):
+    """Edges written in all rounds together stay within a few times the graph's."""
+    from tractus.operators import components as C
+    seen = []
+    write = C._write
+    monkeypatch.setattr(C, "_write", lambda e, purpose: seen.append(write(e, purpose)) or seen[-1])
+    links = spark.range(4000).selectExpr("id as a", "id + 1 as b")
+    assert C.components(links, small=100).where("component <> 0").isEmpty()
+    assert sum(s[2][0] for s in seen) < 5 * 4000

@@ -174,3 +174,15 @@ def test_a_long_graph_takes_few_passes_over_its_edges(spark, monkeypatch):
     links = spark.range(4000).selectExpr("id as a", "id + 1 as b")
     assert C.components(links, small=100).where("component <> 0").isEmpty()
     assert sum(s[2][0] for s in seen) < 5 * 4000
+
+
+def test_edges_are_not_aggregated_by_the_tasks_that_read_the_units(spark):
+    """One task per input split read, exploded and sorted all edges of a file of one split."""
+    from tractus.operators import geo as G
+    df = spark.createDataFrame([(i, "A", poly([(i, 0), (i + 1, 0), (i + 1, 1), (i, 1), (i, 0)])) for i in range(40)],
+                               f"unit long, key string, geometry {GEOM}").coalesce(1)
+    plan = G.dissolve(df, "key")._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan
+    assert plan.count("Exchange") == 2 and plan.rindex("Aggregate") < plan.index("Exchange")
+    out = G.dissolve(df, "key").collect()
+    assert len(out) == 82 and {r.key for r in out} == {"A"}

@@ -66,6 +66,13 @@ def _q(c: Column, quantum: float) -> Column:
     return F.round(c / F.lit(quantum)).cast("bigint")
 
 
+def spread(df: DataFrame, geometry: str = "geometry") -> DataFrame:
+    """The units dealt evenly over the shuffle's tasks, so that a file of few splits does not make
+    few tasks hold the edges of all units."""
+    width = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(width, F.xxhash64(geometry))
+
+
 def edges(df: DataFrame, keys: list[str], geometry: str = "geometry",
           quantum: float = DEGREE_QUANTUM) -> DataFrame:
     """Directed edges of every ring, oriented shell counter-clockwise and
@@ -94,15 +101,18 @@ def dissolve(df: DataFrame, key: str, geometry: str = "geometry",
     Returns (key, x0, y0, x1, y1, qx0, qy0, qx1, qy1), oriented so that
     the region lies to the left of every edge.
     """
-    e = edges(df.filter(F.col(key).isNotNull()), [key], geometry, quantum)
+    own = df.filter(F.col(key).isNotNull()).select(F.col(key).alias(key), F.col(geometry).alias("_g"))
+    e = edges(spread(own, "_g"), [key], "_g", quantum)
     a = F.struct(F.col("qx0").alias("x"), F.col("qy0").alias("y"))
     b = F.struct(F.col("qx1").alias("x"), F.col("qy1").alias("y"))
-    lo, hi = F.least(a, b), F.greatest(a, b)
-    return (e.groupBy(key, lo.alias("_lo"), hi.alias("_hi"))
-            .agg(F.count(F.lit(1)).alias("_n"),
-                 F.max(F.struct("x0", "y0", "x1", "y1", "qx0", "qy0", "qx1", "qy1")).alias("_e"))
+    # shuffled before any sum, which would hold a reading task's edges and halves them at most;
+    # the ends of an edge held once are its only values, summed by hash and not by sorting
+    ends = ("x0", "y0", "x1", "y1", "qx0", "qy0", "qx1", "qy1")
+    return (e.withColumns({"_lo": F.least(a, b), "_hi": F.greatest(a, b)}).repartition(key, "_lo", "_hi")
+            .groupBy(key, "_lo", "_hi")
+            .agg(F.count(F.lit(1)).alias("_n"), *[F.max(c).alias(c) for c in ends])
             .filter(F.col("_n") == 1)
-            .select(key, "_e.*"))
+            .select(key, *ends))
 
 
 def outline_area(outline: DataFrame, key: str, quantum: float = DEGREE_QUANTUM) -> DataFrame:
@@ -179,10 +189,12 @@ def unit_adjacency(df: DataFrame, key: str, unit: str, geometry: str = "geometry
                    quantum: float = DEGREE_QUANTUM) -> DataFrame:
     """Pairs (a, b) of units of the same key that share an edge - one pair
     per shared edge, never all pairs of a group."""
-    e = edges(df.filter(F.col(key).isNotNull()), [key, unit], geometry, quantum)
+    own = df.filter(F.col(key).isNotNull()).select(F.col(key).alias(key), F.col(unit).alias(unit), F.col(geometry).alias("_g"))
+    e = edges(spread(own, "_g"), [key, unit], "_g", quantum)
     a = F.struct(F.col("qx0").alias("x"), F.col("qy0").alias("y"))
     b = F.struct(F.col("qx1").alias("x"), F.col("qy1").alias("y"))
-    shared = (e.groupBy(key, F.least(a, b).alias("_lo"), F.greatest(a, b).alias("_hi"))
+    shared = (e.withColumns({"_lo": F.least(a, b), "_hi": F.greatest(a, b)}).repartition(key, "_lo", "_hi")
+              .groupBy(key, "_lo", "_hi")
               .agg(F.min(unit).alias("a"), F.max(unit).alias("b"), F.count(F.lit(1)).alias("_n"))
               .filter((F.col("_n") == 2) & (F.col("a") != F.col("b"))))
     return shared.select("a", "b").distinct()

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tractus.operators.components import components
-from tractus.operators.geo import DEGREE_QUANTUM, edges
+from tractus.operators.geo import DEGREE_QUANTUM, edges, spread
 from tractus.session import materialize, remove_path, scratch_dir
 
 EDGE = ("x0", "y0", "x1", "y1", "qx0", "qy0", "qx1", "qy1")
@@ -41,7 +41,7 @@ def unit_edges(layer: DataFrame, key: str, unit: str, geometry: str = "geometry"
     """(key, unit, piece, EDGE): directed edges, the inside on their left, without
     repeated points.  ``piece`` numbers the polygons of a unit."""
     own = layer.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(unit).alias("unit"), F.col(geometry).alias("geometry"))
-    e = edges(own, ["key", "unit"], "geometry", quantum).withColumnRenamed("part", "piece")
+    e = edges(spread(own), ["key", "unit"], "geometry", quantum).withColumnRenamed("part", "piece")
     return e.where("qx0 <> qx1 or qy0 <> qy1").select("key", "unit", "piece", *EDGE)
 
 
@@ -64,7 +64,8 @@ def borders(e: DataFrame) -> DataFrame:
     lo, hi = ends()
     own = F.struct("unit", "piece")
     start = F.struct(F.col("qx0").alias("x"), F.col("qy0").alias("y"))
-    return (e.withColumns({"_lo": lo, "_hi": hi}).groupBy("key", "_lo", "_hi")
+    # shuffled before any sum: an edge is held twice at most, so the reading tasks would only hold and sort theirs
+    return (e.withColumns({"_lo": lo, "_hi": hi}).repartition("key", "_lo", "_hi").groupBy("key", "_lo", "_hi")
             .agg(F.count(F.lit(1)).alias("n"), F.count_if(start == F.col("_lo")).alias("forward"),
                  F.min(own).alias("a"), F.max(own).alias("b"), F.max(F.struct(*EDGE)).alias("_e"))
             .select("key", "n", "forward", "a", "b", "_e.*"))

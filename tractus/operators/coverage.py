@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tractus.functions.geometry import interior_point_expr
-from tractus.operators.geo import DEGREE_QUANTUM
+from tractus.operators.geo import DEGREE_QUANTUM, spread
 from tractus.operators.rings import EDGE, angle, ends, unit_edges
 from tractus.session import materialize
 
@@ -77,9 +77,8 @@ def node_edges(e: DataFrame, tolerance: float = TOLERANCE, trusted: bool = True)
     layer is a coverage, so edges held twice need no look."""
     lo, hi = ends()
     if trusted:
-        held = materialize(e.withColumns({"_lo": lo, "_hi": hi}), "edges")
-        once = held.groupBy("_lo", "_hi").agg(F.count(F.lit(1)).alias("_n"))
-        tagged = held.join(once, ["_lo", "_hi"])
+        held = F.count(F.lit(1)).over(Window.partitionBy("_lo", "_hi"))
+        tagged = materialize(e.withColumns({"_lo": lo, "_hi": hi}).withColumn("_n", held).drop("_lo", "_hi"), "edges")
     else:
         tagged = e.withColumn("_n", F.lit(1))
     matched = tagged.where("_n > 1").select(*e.columns)
@@ -193,13 +192,14 @@ def _crossing_faults(e: DataFrame) -> DataFrame:
 
 def _inside_faults(layer: DataFrame, key: str, unit: str, geometry: str, quantum: float) -> DataFrame:
     """Polygons whose interior point lies inside another polygon."""
-    pieces = (layer.where(F.col(key).isNotNull()).select(F.col(unit).alias("unit"), F.posexplode(geometry).alias("piece", "rings"))
+    own = spread(layer.where(F.col(key).isNotNull()).select(F.col(unit).alias("unit"), F.col(geometry).alias("_g")), "_g")
+    pieces = (own.select("unit", F.posexplode("_g").alias("piece", "rings"))
               .withColumn("p", interior_point_expr(F.array("rings"))))
     xs, ys = F.transform(F.col("rings")[0], lambda p: p["x"]), F.transform(F.col("rings")[0], lambda p: p["y"])
     q = lambda c: F.round(c / F.lit(quantum)).cast("long")
     boxed = pieces.where("p is not null").select("unit", "piece", "rings", "p", q(F.array_min(xs)).alias("bx0"), q(F.array_min(ys)).alias("by0"),
                                                  q(F.array_max(xs)).alias("bx1"), q(F.array_max(ys)).alias("by1"))
-    boxed = boxed.withColumn("level", _level(F.col("bx1") - F.col("bx0"), F.col("by1") - F.col("by0")))
+    boxed = materialize(boxed.withColumn("level", _level(F.col("bx1") - F.col("bx0"), F.col("by1") - F.col("by0"))), "boxes")
     levels = _levels(boxed)
     if not levels:
         return boxed.select("unit", F.lit("inside").alias("fault")).limit(0)

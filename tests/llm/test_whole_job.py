@@ -1,6 +1,9 @@
 """Cases where an operator once did less than its whole job."""
 
+import re
+
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pyspark.sql import functions as F
@@ -164,3 +167,68 @@ def test_packing_uses_every_token_of_room(spark, lengths, sequences):
                                             "doc_id long, piece int, start long, length long, ids_crc32 long"))
     got = packing.assign(cut).groupBy("sequence_id").sum("length").collect()
     assert len(got) == sequences and max(r[1] for r in got) <= 4096 and sum(r[1] for r in got) == sum(lengths)
+
+
+# op6: less work for the same rows
+def _linked_rows(rows, cuts):
+    """Links of sorted rows (key, h, at) that come in one task, in batches cut at the given places."""
+    batches = [pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows[lo:hi]], pa.int64()) for i in range(3)], names=["key", "h", "at"])
+               for lo, hi in zip([0, *cuts], [*cuts, len(rows)])]
+    return [tuple(r.values()) for b in substring._link_groups(batches) for r in b.to_pylist()]
+
+
+def test_every_shared_window_stands_once():
+    r = np.random.default_rng(4)
+    for _ in range(200):
+        rows = sorted((int(k), int(h), int(at)) for k, h, at in zip(r.integers(0, 6, 30), r.integers(0, 4, 30), r.integers(0, 3, 30)))
+        got = _linked_rows(rows, sorted(r.integers(0, 31, 3).tolist()))
+        links, ends = [x for x in got if x[3] is not None], [x for x in got if x[3] is None]
+        own = [(k, b, b_at) for k, _, _, b, b_at, more in links if more < 2]
+        assert len(own) == len(set(own))
+        assert set(own) == {x for k, a, a_at, b, b_at, _ in links for x in ((k, a, a_at), (k, b, b_at))}
+        texts = {k: {h for q, h, _ in rows if q == k} for k, _, _ in rows}
+        assert set(own) >= {x for x in rows if len(texts[x[0]]) > 1}
+        for k, a, a_at, _, _, told in ends:
+            assert bool(told) == ((k, a, a_at) in own)
+
+
+def test_shared_windows_across_tasks(spark):
+    rows = spark.createDataFrame([(1, h, at) for h in range(400) for at in (1, 2, 2)] + [(k, 5, 1) for k in range(2, 300)], "key long, h long, at long")
+    got = substring._shared(substring._linked(rows, "test-links")).select("key", "h", "at").collect()
+    # a group at the end of a batch or task may count as shared
+    assert len(got) == len(set(got)) and {tuple(g) for g in got if g.key == 1} == {(1, h, at) for h in range(400) for at in (1, 2)}
+
+
+def test_pairs_verified_together_as_alone():
+    r = np.random.default_rng(3)
+    pairs = []
+    for i in range(60):
+        passage = r.integers(0, 1 << 32, int(r.integers(20, 120)), dtype=np.uint32)
+        own = [r.integers(0, 1 << 32 if i % 2 else 8, int(r.integers(0, 60)), dtype=np.uint32) for _ in range(4)]
+        changed = passage.copy()
+        changed[r.integers(0, len(passage), int(r.integers(0, 8)))] += 1
+        pairs.append((np.concatenate([own[0], passage, own[1], passage[:i]]), np.concatenate([own[2], changed, own[3]])))
+    alone = [substring.verify(a, b) for a, b in pairs]
+    for rows in (pairs, pairs * 6):    # more pairs than the packed keys number
+        (a, a_at), (b, b_at) = (substring._joined([x[side].tobytes() for x in rows]) for side in (0, 1))
+        got = substring.verify_pairs(a, b, a_at, b_at)
+        assert got == alone * (len(rows) // len(pairs))
+    assert 10 < sum(map(bool, alone)) < 60
+    for (a, b), spans in zip(pairs, alone):
+        for a0, a1, b0, b1, j in spans:
+            x, y = set(a[a0:a1 + 1].tolist()), set(b[b0:b1 + 1].tolist())
+            assert b1 - b0 + 1 >= 46 and j >= 0.8 and abs(j - len(x & y) / len(x | y)) < 1e-12
+
+
+def test_stretches_hold_every_row_once():
+    for sizes in ([], [5], [3, 3, 3], [9, 1, 1, 9, 20, 1], [0, 0]):
+        parts = list(substring._stretches(sizes, 6))
+        assert [i for lo, hi in parts for i in range(lo, hi)] == list(range(len(sizes)))
+        assert all(hi - lo == 1 or sum(sizes[lo:hi]) <= 6 for lo, hi in parts)
+
+
+def test_text_of_words_is_long_enough(spark):
+    texts = [" ".join(["w"] * n) for n in (1, 49, 50, 51)] + [" " + " ".join(["w"] * 49), "\t \n".join(["w"] * 50), " ".join(["w"] * 49) + " "]
+    rows = [(2 * i + k, t) for i, t in enumerate(texts) for k in range(2)]
+    got = {r.doc_id for r in substring.near_duplicate_spans(documents(spark, rows)).where("exact_copy").collect()}
+    assert got == {2 * i + 1 for i, t in enumerate(texts) if len(re.split(r"\s+", t)) >= 50}

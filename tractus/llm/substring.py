@@ -37,6 +37,7 @@ are exact copies; rows with a null id take no part.
 from __future__ import annotations
 
 import functools
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -54,9 +55,7 @@ WHOLE = 30
 CONTEXT = 12
 #: Largest number of positions handled at once; longer texts go in overlapping pieces.
 PIECE = 1 << 22
-#: Runs whose followers are looked up together.
-BLOCK = 16
-#: Characters hashed together.
+#: Characters handled together.
 STRETCH = 1 << 18
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _SALTS = np.array([0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3,
@@ -153,8 +152,8 @@ def shingles(text: str, k: int = SHINGLE) -> np.ndarray:
     return shingle_batch([text], k)[0]
 
 
-def _text_batches(column, rows: int = 256, characters: int = 1 << 21):
-    """(first row, texts): runs of a column's texts, a few million characters at most or a single text."""
+def _text_batches(column, rows: int = 256, characters: int = STRETCH):
+    """(first row, texts): runs of a column's texts, few enough characters for a processor's cache, or a single text."""
     at, held, size = 0, [], 0
     for i, t in enumerate(column):
         t = t.as_py()
@@ -209,13 +208,16 @@ def _nearest_smaller(keys: np.ndarray, edge: np.ndarray, step: int) -> np.ndarra
         to[active] = to[to[active]]
 
 
-def _tree(centre: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, place, left, right): Cartesian trees over the centres of each text; a centre's window lies
+def _tree(centres: list[np.ndarray], offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, place, left, right): Cartesian trees over the centres of each text under each hash function; a centre's window lies
     between the nearest smaller ones on both sides.  Places count from the text's start."""
+    centre = np.concatenate(centres)
     place = (centre & np.uint64(0xFFFFFF)).astype(np.int64)
     text = np.searchsorted(offsets, place, side="right") - 1
     first = np.ones(len(centre), dtype=bool)
     first[1:] = text[1:] != text[:-1]
+    at = np.cumsum([len(c) for c in centres[:-1]], dtype=np.int64)
+    first[at[at < len(first)]] = True
     last = np.append(first[1:], True) if len(centre) else first
     lower, upper = _nearest_smaller(centre, first, -1), _nearest_smaller(centre, last, 1)
     padded = np.append(place, 0)
@@ -230,7 +232,7 @@ def compact_windows(s: np.ndarray, salt: np.uint64, length: int) -> tuple[np.nda
     ``length`` positions, under one hash function.  Equal hashes: the leftmost is the smaller."""
     whole = np.array([0, len(s)])
     centre = _centres(s, whole, np.array([salt], dtype=np.uint64), length)[0]
-    return (centre >> np.uint64(24), *_tree(centre, whole)[2:])
+    return (centre >> np.uint64(24), *_tree([centre], whole)[2:])
 
 
 def _pieces(s: np.ndarray, offsets: np.ndarray, length: int):
@@ -258,11 +260,11 @@ def _windows(docs: DataFrame, hashes: int, words: int) -> DataFrame:
             h = b.column(0).to_numpy()
             for row, texts in _text_batches(b.column(1)):
                 for s, offsets, i, start in _pieces(*shingle_batch(texts), length):
-                    out = []
-                    for f, centre in enumerate(_centres(s, offsets, _SALTS[:hashes], length)):
-                        text, _, left, right = _tree(centre, offsets)
-                        out.append((_key(centre, f), h[row + i + text], ((left + start) << 31) | (right - left + 1)))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], schema=schema)
+                    centres = _centres(s, offsets, _SALTS[:hashes], length)
+                    text, _, left, right = _tree(centres, offsets)
+                    key = np.concatenate([_key(centre, f) for f, centre in enumerate(centres)])
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (
+                        key, h[row + i + text], ((left + start) << 31) | (right - left + 1))], schema=schema)
 
     return docs.select("h", "text").mapInArrow(run, "key long, h long, at long")
 
@@ -270,11 +272,15 @@ def _windows(docs: DataFrame, hashes: int, words: int) -> DataFrame:
 def _link_groups(batches, chain: bool = True):
     """Rows sorted by (key, h, at): links of each window in a group to the
     group's first one and, with ``chain``, of each text's first window to the text
-    before; further windows of the first text come as links with a = b.  The heads of
-    the first and the last group, which may go on in another task, come marked by b null."""
+    before; further windows of the first text come as links with a = b.  A window that stands again (of an
+    exact copy) has no link of its own.  With ``chain`` every window that has a link is
+    the b of exactly one row with ``more`` below 2: the first one's is a link to itself, and links to the text before have 2.
+    The heads of the first and the last group, which may go on in another task, come marked by b null,
+    and ``more`` 1 where they have a link to themselves."""
     schema = pa.schema([(c, pa.int64()) for c in ("key", "a", "a_at", "b", "b_at", "more")])
     head = prev = None    # (key, h, at)
     first = None
+    told = first_told = False    # has the group at hand, the first group, a link
     for batch in batches:
         k, h, at = (batch.column(i).to_numpy() for i in range(3))
         if not len(k):
@@ -296,19 +302,28 @@ def _link_groups(batches, chain: bool = True):
         others[[number[0], number[-1]]] = 1
         more = (size[number] > 2).astype(np.int64)
         inner = ~starts & (others[number] > 0)
-        links = [(k[inner], head_h[inner], head_at[inner], h[inner], at[inner], more[inner])]
+        linked = np.bincount(number, weights=inner) > 0
+        again = ~starts & (h == before_h) & (at == before_at)
+        links = [tuple(x[inner & ~again] for x in (k, head_h, head_at, h, at, more))]
         if chain:
             new = inner & (h != before_h) & (before_h != head_h)
-            links.append((k[new], before_h[new], before_at[new], h[new], at[new], more[new]))
+            links.append((*(x[new] for x in (k, before_h, before_at, h, at)), np.full(new.sum(), 2)))
+            heads = starts & linked[number]
+            links.append(tuple(x[heads] for x in (k, h, at, h, at, more)))
+            if opened[0] and linked[0] and not told:
+                links.append(tuple(np.array([x]) for x in (*head, *head[1:], 1)))
         if first is None:
             first = (int(k[0]), int(h[0]), int(at[0]))
+        if k[0] == first[0]:
+            first_told |= bool(linked[number[0]])
+        told = bool(linked[number[-1]]) or (told and not starts.any())
         head = (int(k[-1]), int(head_h[-1]), int(head_at[-1]))
         prev = (int(k[-1]), int(h[-1]), int(at[-1]))
         cols = [np.concatenate(c) for c in zip(*links)]
         if len(cols[0]):
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], schema=schema)
-    for key, h, at in {x for x in (first, head) if x is not None}:
-        yield pa.RecordBatch.from_pydict({"key": [key], "a": [h], "a_at": [at], "b": [None], "b_at": [None], "more": [1]}, schema=schema)
+    for (key, h, at), has in {first: first_told, head: told}.items() if first else ():
+        yield pa.RecordBatch.from_pydict({"key": [key], "a": [h], "a_at": [at], "b": [None], "b_at": [None], "more": [int(has)]}, schema=schema)
 
 
 def _linked(rows: DataFrame, name: str, chain: bool = True) -> DataFrame:
@@ -322,14 +337,22 @@ def _linked(rows: DataFrame, name: str, chain: bool = True) -> DataFrame:
     links = materialize(laid.mapInArrow(lambda batches: _link_groups(batches, chain),
                                         "key long, a long, a_at long, b long, b_at long, more long"), name)
     remove_path(spark, path)
-    ends = links.where("b is null").select("key", "a", "a_at").distinct()
-    heads = ends.groupBy("key").agg(F.min(F.struct("a", "a_at")).alias("m"))
-    across = (ends.join(heads, "key").where("struct(a, a_at) <> m")
-              .select("key", F.col("m.a").alias("a"), F.col("m.a_at").alias("a_at"),
-                      F.col("a").alias("b"), F.col("a_at").alias("b_at"), F.lit(1).cast("long").alias("more")))
+    ends = links.where("b is null").groupBy("key", "a", "a_at").agg(F.max("more").alias("told"))
+    heads = ends.groupBy("key").agg(F.min(F.struct("a", "a_at")).alias("m"), F.count(F.lit(1)).alias("ends")).where("ends > 1")
+    across = (ends.join(heads, "key")   # links to the first one, and to itself where it has none
+              .select("key", "told", F.explode(F.array(
+                  F.struct(F.col("m.a").alias("a"), F.col("m.a_at").alias("a_at"), F.col("a").alias("b"), F.col("a_at").alias("b_at"),
+                           F.lit(2).cast("long").alias("more")),
+                  F.struct("a", "a_at", F.col("a").alias("b"), F.col("a_at").alias("b_at"), F.lit(1).cast("long").alias("more")))).alias("l"))
+              .where("l.more = 2 and struct(l.a, l.a_at) <> struct(l.b, l.b_at) or l.more = 1 and told = 0").select("key", "l.*"))
     return links.where("b is not null").unionByName(across)
 
 
+def _shared(links: DataFrame) -> DataFrame:
+    """(h, key, at, more): the windows that have links, each once."""
+    return links.where("more < 2").select(F.col("b").alias("h"), "key", F.col("b_at").alias("at"), "more")
+
+
 def _run_hashes(s: np.ndarray, length: int) -> np.ndarray:
     """A 64-bit hash of the ``length`` shingles from each position on."""
     def join(x, y):
@@ -376,7 +399,7 @@ def _strong_keys(s: np.ndarray, offsets: np.ndarray, text: np.ndarray, key: np.n
             names.append((_key(c, f) << 8) | (own + i))
             places.append(place - bounds[own] + start)
     names, places = np.concatenate(names), np.concatenate(places)
-    order = np.lexsort((places, names))
+    order = np.argsort(names, kind="stable")    # the places of a name are in order
     names, places = names[order], places[order]
     own = np.searchsorted(names, (key << 8) | text, side="left")
     while (late := places[own] < left).any():
@@ -401,9 +424,7 @@ def _strong_windows(texts: DataFrame, links: DataFrame, reps: DataFrame, hashes:
       side.  Near variants share one or the other side of most minima, strangers
       that share a line or phrase do not, unless all of it is theirs, too."""
     length = words - SHINGLE + 1
-    sides = (links.select(F.col("a").alias("h"), "key", F.col("a_at").alias("at"), "more").unionAll(
-        links.select(F.col("b").alias("h"), "key", F.col("b_at").alias("at"), "more"))
-        .groupBy("h", "key", "at").agg(F.max("more").alias("more")))
+    sides = _shared(links)
     # without a large group there is nothing to name anew
     per = (sides.groupBy("h").agg(F.collect_list(F.struct("key", "at", "more")).alias("l"), F.max("more").alias("more")).where("more > 0")
            .join(reps.groupBy("h").agg(F.min("rep").alias("doc_id")), "h"))
@@ -484,123 +505,248 @@ def _candidates(links: DataFrame, agree: int, width: int) -> DataFrame:
 
 def _jaccard(a: np.ndarray, b: np.ndarray, distinct: bool = False) -> float:
     if not distinct:
-        a, b = np.unique(a), np.unique(b)
+        a, b = np.sort(a), np.sort(b)
+        a, b = a[np.append(True, a[1:] != a[:-1])], b[np.append(True, b[1:] != b[:-1])]
     both = np.sort(np.concatenate([a, b]))
     both = int((both[1:] == both[:-1]).sum())
     return both / (len(a) + len(b) - both)
 
 
-def _runs(a: np.ndarray, b: np.ndarray, order: np.ndarray, ranked: np.ndarray, repeats: bool) -> tuple[np.ndarray, np.ndarray]:
-    """((a_first, b_first, length) of the unbroken common runs, which places of b are common); ``ranked`` is
-    a in the given order.  A shingle that a repeats goes on with the run before it and, besides, with the
+@dataclass
+class Matches:
+    """What the shingles of some pairs of intervals have in common.  The a's stand behind each other, and the b's; pair i
+    has those from ``a_at[i]`` to ``a_at[i + 1]``.  Running sums begin with 0 before the first shingle."""
+    a: np.ndarray
+    b: np.ndarray
+    a_at: np.ndarray
+    b_at: np.ndarray
+    partner: np.ndarray     # of each place in b the first place in a with the same shingle, -1: none
+    repeated: np.ndarray    # for places in b: does a hold the shingle more than once
+    common: np.ndarray      # running sum over b: shingles that a holds
+    common_a: np.ndarray    # running sum over a: shingles that b holds
+    kinds_a: np.ndarray     # running sums: shingles that stand for the first time in their interval
+    kinds_b: np.ndarray
+
+
+def _sum(x: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(x)])
+
+
+def _matches(a: np.ndarray, b: np.ndarray, a_at: np.ndarray, b_at: np.ndarray) -> Matches:
+    """All pairs' shingles (32 bits) in one sorting, by pair, shingle and place, a before b."""
+    value = np.concatenate([a, b]).astype(np.uint64)
+    pairs = np.arange(len(a_at) - 1, dtype=np.uint64)
+    value |= np.concatenate([np.repeat(pairs, np.diff(a_at)), np.repeat(pairs, np.diff(b_at))]) << np.uint64(32)
+    n = len(value)
+    if n < 1 << 24 and len(pairs) <= 1 << 8:
+        key = (value << np.uint64(24)) | np.arange(n, dtype=np.uint64)
+        key.sort()
+        order, name = (key & np.uint64(0xFFFFFF)).astype(np.int64), key >> np.uint64(24)
+    else:
+        order = np.argsort(value, kind="stable")
+        name = value[order]
+    new = np.concatenate([[True], name[1:] != name[:-1]])
+    of_b = order >= len(a)
+    start = np.flatnonzero(new)
+    size = np.diff(np.append(start, n))
+    in_a, in_b = ~of_b[start], of_b[start + size - 1]
+    twice = in_a & (size > 1) & ~of_b[np.minimum(start + 1, n - 1)]
+    first = new.copy()
+    first[1:] |= of_b[1:] & ~of_b[:-1]
+
+    def placed(x, dtype):
+        out = np.empty(n, dtype)
+        out[order] = x
+        return out
+
+    partner = placed(np.repeat(np.where(in_a, order[start], -1), size), np.int64)[len(a):]
+    repeated = placed(np.repeat(twice, size), bool)[len(a):]
+    held_a = placed(np.repeat(in_b, size), bool)[:len(a)]
+    kinds = placed(first, bool)
+    return Matches(a, b, a_at, b_at, partner, repeated, _sum(partner >= 0), _sum(held_a), _sum(kinds[:len(a)]), _sum(kinds[len(a):]))
+
+
+def _dense(common: np.ndarray, kinds: np.ndarray, at: np.ndarray, need: int, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(any, low, high): has a pair an interval of ``need`` places or more whose common shingles are
+    ``similarity`` of its distinct ones, as a span's must be; for places, the least value of
+    common - similarity * distinct up to there, and the largest from there on.  Places of pair i begin at at[i] + i."""
+    n = np.diff(at) + 1
+    pair = np.repeat(np.arange(len(n)), n)
+    place = np.arange(len(pair)) - pair
+    # the pairs stand far apart, so that no value reaches into another one
+    x = common[place] - similarity * kinds[place] - pair * float(len(common) + 1)
+    low, high = np.minimum.accumulate(x), np.maximum.accumulate(x[::-1])[::-1]
+    inside = place - at[pair] >= need
+    late = np.flatnonzero(inside)
+    found = np.zeros(len(n), dtype=bool)
+    found[pair[late[x[late] - low[late - need] >= -1e-3]]] = True
+    return found, low, high
+
+
+def _runs(places: np.ndarray, a_at: np.ndarray, repeated: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Rows a_first, b_first, length of the unbroken common runs; ``places`` are the common places of b, a_at their
+    first places in a.  A shingle that a repeats goes on with the run before it and, besides, with the
     run after it; on its own it stands for its first place."""
-    lo = np.searchsorted(ranked, b)
-    common = ranked[np.minimum(lo, len(a) - 1)] == b
-    bp = np.flatnonzero(common)
-    if not len(bp):
-        return np.zeros((0, 3), np.int64), common
-    ap = order[lo[bp]]
-    ways = [ap]
-    if repeats:
-        places, al, bl = bp.tolist(), a.tolist(), b.tolist()
-        for step, turn in ((1, range(1, len(bp))), (-1, range(len(bp) - 2, -1, -1))):
-            own = ap.tolist()
-            for i in turn:
-                want = own[i - step] + step
-                if places[i] - step == places[i - step] and 0 <= want < len(al) and al[want] == bl[places[i]]:
-                    own[i] = want
+    ways = [a_at]
+    if repeated.any():
+        turn, bp, al, bl = np.flatnonzero(repeated).tolist(), places.tolist(), a.tolist(), b[places].tolist()
+        for step in (1, -1):
+            own = a_at.tolist()
+            for i in turn[::step]:
+                if 0 <= i - step < len(bp) and bp[i] - step == bp[i - step]:
+                    want = own[i - step] + step
+                    if 0 <= want < len(al) and al[want] == bl[i]:
+                        own[i] = want
             ways.append(np.array(own, dtype=np.int64))
-    out = []
-    for ap in ways:
-        first = np.flatnonzero(np.concatenate([[True], (np.diff(bp) != 1) | (np.diff(ap) != 1)]))
-        out.append(np.stack([ap[first], bp[first], np.diff(np.append(first, len(bp)))], axis=1))
-    runs = np.unique(np.concatenate(out), axis=0) if len(out) > 1 else out[0]
-    return runs[np.argsort(runs[:, 1], kind="stable")], common
+    out, apart = [], places[1:] - places[:-1] != 1
+    for way in ways:
+        first = np.flatnonzero(np.concatenate([[True], apart | (way[1:] - way[:-1] != 1)]))
+        out.append((way[first], places[first], np.append(first[1:], len(places)) - first))
+    if len(out) == 1:
+        return np.stack(out[0])
+    runs = np.concatenate([np.stack(x) for x in out], axis=1)
+    runs = runs[:, np.lexsort((runs[2], runs[0], runs[1]))]
+    return runs[:, np.concatenate([[True], (runs[:, 1:] != runs[:, :-1]).any(axis=0)])]
+
 
+def verify(a: np.ndarray, b: np.ndarray, words: int = WORDS, similarity: float = SIMILARITY) -> list[tuple[int, int, int, int, float]]:
+    """The spans of one pair, of shingles of any size; see ``verify_pairs``."""
+    named = np.unique(np.concatenate([a, b]), return_inverse=True)[1].astype(np.uint32)
+    return verify_pairs(named[:len(a)], named[len(a):], np.array([0, len(a)]), np.array([0, len(b)]), words, similarity)[0]
 
-def _sorted(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(order, values in order, 1 where a value stands for the first time)."""
-    order = np.argsort(x, kind="stable")
-    ranked, first = x[order], np.ones(len(x), dtype=np.int64)
-    first[order[1:][ranked[1:] == ranked[:-1]]] = 0
-    return order, ranked, first
 
+def verify_pairs(a: np.ndarray, b: np.ndarray, a_at: np.ndarray, b_at: np.ndarray,
+                 words: int = WORDS, similarity: float = SIMILARITY) -> list[list[tuple[int, int, int, int, float]]]:
+    """Per pair the spans (a_first, a_last, b_first, b_last, similarity), in shingles, where
+    b repeats a passage of a.  The shingles of pair i stand from a_at[i] to a_at[i + 1], and from b_at[i].
 
-def verify(a: np.ndarray, b: np.ndarray, words: int = WORDS, similarity: float = SIMILARITY) -> list[tuple[int, int, int, int, float]]:
-    """Spans (a_first, a_last, b_first, b_last, similarity), in shingles, where
-    b repeats a passage of a.
+    Of all pairs together it is found which shingles are common, and which pairs have no interval dense enough."""
+    need, n = words - SHINGLE + 1, len(a_at) - 1
+    out: list[list[tuple[int, int, int, int, float]]] = [[] for _ in range(n)]
+    if not len(a) or not len(b):
+        return out
+    m = _matches(a, b, a_at, b_at)
+    total = m.common[b_at[1:]] - m.common[b_at[:-1]]
+    once_b = m.kinds_b[b_at[1:]] - m.kinds_b[b_at[:-1]] == np.diff(b_at)
+    dense_b, low_b, high_b = _dense(m.common, m.kinds_b, b_at, need, similarity)
+    # distinct shingles of b need as many in a, but for the share that may differ
+    dense_a, low_a, high_a = _dense(m.common_a, m.kinds_a, a_at, int(np.ceil(similarity * need - 1e-6)), similarity)
+    for i in np.flatnonzero((total > 0) & dense_b & (dense_a | ~once_b)).tolist():
+        out[i] = _spans(m, i, (low_a, high_a, low_b, high_b), need, similarity)
+    return out
+
+
+def _stretches(sizes: list[int], most: int = 1 << 20):
+    """(from, to) of rows that go together: ``most`` bytes, or a single row."""
+    lo, held = 0, 0
+    for i, n in enumerate(sizes):
+        if i > lo and held + n > most:
+            yield lo, i
+            lo, held = i, 0
+        held += n
+    if sizes:
+        yield lo, len(sizes)
+
+
+def _joined(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """4-byte numbers of all rows behind each other, and where each row's begin."""
+    return np.frombuffer(b"".join(raw), dtype="<u4"), _sum([len(x) // 4 for x in raw]).astype(np.int64)
+
+
+def _spans(m: Matches, i: int, bounds: tuple[np.ndarray, ...], need: int, similarity: float) -> list[tuple[int, int, int, int, float]]:
+    """The spans of pair i.
 
     With c common shingles and g others in both intervals the similarity is
     c / (c + g), so a gap may be as long as the runs around it pay for.  The longest
     run that no span holds yet is extended run by run to both sides, wherever in a it
     lies, until no run is left."""
-    need, pay = words - SHINGLE + 1, similarity / max(1e-9, 1 - similarity)
-    order, ranked, first_a = _sorted(a)
-    runs, held = _runs(a, b, order, ranked, not first_a.all())
-    total, out = int(held.sum()), []
-    first_b = _sorted(b)[2]
-    plain = bool(first_a.all() and first_b.all())
-    if not total or (plain and total < similarity * need - 1e-6):
+    pay, out = similarity / max(1e-9, 1 - similarity), []
+    a_0, a_n, b_0, b_n = int(m.a_at[i]), int(m.a_at[i + 1]), int(m.b_at[i]), int(m.b_at[i + 1])
+    a, b, partner = m.a[a_0:a_n], m.b[b_0:b_n], m.partner[b_0:b_n]
+    common, kinds_a, kinds_b = (x[lo:hi + 1] - x[lo] for x, lo, hi in ((m.common, b_0, b_n), (m.kinds_a, a_0, a_n), (m.kinds_b, b_0, b_n)))
+    total = int(common[-1])
+    plain = bool(kinds_a[-1] == len(a) and kinds_b[-1] == len(b))
+    if plain and total < similarity * need - 1e-6:
         return []
-    common, kinds_a, kinds_b = (np.concatenate([[0], np.cumsum(x)]) for x in (held, first_a, first_b))
+    places = np.flatnonzero(partner >= 0)
+    runs = _runs(places, partner[places] - a_0, m.repeated[b_0:b_n][places], a, b)
     # k breaks cost 8 k shingles or more, so one run of a span has this length; with repeated shingles 4 k
     least = min(need, max(1, int((4 if plain else 2) * pay)))
-    left = runs[:, 2] >= least
+    # from the first run to the last: no span is longer, and of near copies this is the whole passage
+    ra, rb, rl = runs
+    a_end, b_end = ra + rl - 1, rb + rl - 1
+    if (ra[1:] > a_end[:-1]).all() and (rb[1:] > b_end[:-1]).all():
+        a0, a1, b0, b1 = (int(x) for x in (ra[0], a_end[-1], rb[0], b_end[-1]))
+        if b1 - b0 + 1 >= need and total * (1 + similarity) >= similarity * (
+                kinds_a[a1 + 1] - kinds_a[a0] + kinds_b[b1 + 1] - kinds_b[b0]) - 1e-6:
+            j = _jaccard(a[a0:a1 + 1], b[b0:b1 + 1], plain)
+            if j >= similarity:
+                return [(a0, a1, b0, b1, j)]
+    # runs that no dense interval holds are in no span
+    low_a, high_a, low_b, high_b = bounds
+    low_a, high_a, low_b, high_b = low_a[a_0 + i + ra], high_a[a_0 + i + ra + rl], low_b[b_0 + i + rb], high_b[b_0 + i + rb + rl]
+    left = (rl >= least) & (high_b - low_b >= -1e-3) & (high_a - low_a >= -1e-3)
+    if not left.any():
+        return []
+    low_a, high_a, low_b, high_b = (x.tolist() for x in (low_a, high_a, low_b, high_b))
 
-    def followers(ra, rb, lo):
-        """(run, gain) of the run that goes on best behind each of BLOCK runs from lo on."""
-        k = slice(lo, lo + BLOCK)
-        a1, b1 = (ra[k] + rl[k] - 1)[:, None], (rb[k] + rl[k] - 1)[:, None]
+    def follower(ra, rb, both, k):
+        """(run, gain) of the run that goes on best behind run k."""
+        a1, b1 = ra[k] + rl[k], rb[k] + rl[k]
         # the part of a run that lies beyond both ends
-        skip = np.maximum(0, np.maximum(a1 + 1 - ra, b1 + 1 - rb))
-        gap = (ra + skip - a1 - 1) + (rb + skip - b1 - 1)
-        worth = np.where(rl > skip, rl - skip - pay * gap, -np.inf)
-        best = worth.argmax(axis=1)
-        return best.tolist(), worth[np.arange(len(best)), best].tolist()
-
-    def extend(ra, rb, known, k, others, after):
-        """Run ends reached from run k to the right: (a_last, b_last), as long as
-        all matches, ``others`` and ``after`` (by the run), could pay for the gap."""
+        skip = np.maximum(a1 - ra, b1 - rb)
+        np.maximum(skip, 0, out=skip)
+        more = rl - skip
+        worth = more - pay * (both + 2 * skip - (a1 + b1))
+        worth[more <= 0] = -np.inf
+        best = int(worth.argmax())
+        return best, float(worth[best])
+
+    def extend(ra, rb, both, known, k, others, after, dense):
+        """Runs reached from run k to the right, as long as
+        all matches, ``others`` and ``after`` (by the run), could pay for the gap and a ``dense``
+        interval can hold both runs."""
         ends, gain = [k], 0.0
         while True:
-            lo = k - k % BLOCK
-            if lo not in known:
-                known[lo] = followers(ra, rb, lo)
-            k, more = known[lo][0][k - lo], known[lo][1][k - lo]
+            if k not in known:
+                known[k] = follower(ra, rb, both, k)
+            k, more = known[k]
             gain += more
-            if not gain + others + after[k] >= -1e-6:
-                return (ra + rl - 1)[ends], (rb + rl - 1)[ends]
+            if not (gain + others + after[k] >= -1e-6 and dense(k)):
+                return ends
             ends.append(k)
 
-    # from the first run to the last: no span is longer, and of near copies this is the whole passage
-    a_end, b_end = runs[:, 0] + runs[:, 2] - 1, runs[:, 1] + runs[:, 2] - 1
-    if (runs[1:, 0] > a_end[:-1]).all() and (runs[1:, 1] > b_end[:-1]).all():
-        a0, a1, b0, b1 = (int(x) for x in (runs[0, 0], a_end[-1], runs[0, 1], b_end[-1]))
-        if b1 - b0 + 1 >= need and total * (1 + similarity) >= similarity * (
-                kinds_a[a1 + 1] - kinds_a[a0] + kinds_b[b1 + 1] - kinds_b[b0]) - 1e-6:
-            j = _jaccard(a[a0:a1 + 1], b[b0:b1 + 1], plain)
-            if j >= similarity:
-                return [(a0, a1, b0, b1, j)]
-    rl, onward, backward = runs[:, 2], {}, {}
-    last = runs[:, 1] + rl - 1
-    before, after = common[runs[:, 1]].tolist(), (total - common[last + 1]).tolist()
-    while left.any():
-        at = int(np.where(left, rl, 0).argmax())
-        left[at] = False
-        a1, b1 = extend(runs[:, 0], runs[:, 1], onward, at, int(common[last[at] + 1]), after)
-        # to the left: the same on mirrored positions
-        a0, b0 = extend(1 - runs[:, 0] - rl, 1 - runs[:, 1] - rl, backward, at, total - before[at], before)
-        a0, a1 = np.repeat(-a0, len(a1)), np.tile(a1, len(a0))
-        b0, b1 = np.repeat(-b0, len(b1)), np.tile(b1, len(b0))
+    onward, backward = {}, {}
+    # to the left: the same on mirrored positions
+    left_a, left_b = 1 - ra - rl, 1 - rb - rl
+    both, left_both = ra + rb, left_a + left_b
+    before, after = common[rb].tolist(), (total - common[b_end + 1]).tolist()
+    seeds = np.flatnonzero(left)
+    for at in seeds[np.argsort(-rl[seeds], kind="stable")].tolist():
+        if not left[at]:
+            continue
+        last = extend(ra, rb, both, onward, at, total - after[at], after,
+                      lambda k: high_b[k] - low_b[at] >= -1e-3 and high_a[k] - low_a[at] >= -1e-3)  # noqa: B023
+        first = extend(left_a, left_b, left_both, backward, at, total - before[at], before,
+                       lambda k: high_b[at] - low_b[k] >= -1e-3 and high_a[at] - low_a[k] >= -1e-3)  # noqa: B023
+        if len(first) == len(last) == 1:   # the run alone
+            if rl[at] >= need:
+                span = int(ra[at]), int(a_end[at]), int(rb[at]), int(b_end[at])
+                out.append((*span, 1.0))
+                left &= (rb < span[2]) | (b_end > span[3])
+            continue
+        a0, a1, b0, b1 = ra[first], a_end[last], rb[first], b_end[last]
+        size = b1 - b0[:, None] + 1
         # no more than b's matches are common, no less than the first places are distinct
-        may = (b1 - b0 + 1 >= need) & ((common[b1 + 1] - common[b0]) * (1 + similarity) >= similarity * (
-            kinds_a[a1 + 1] - kinds_a[a0] + kinds_b[b1 + 1] - kinds_b[b0]) - 1e-6)
-        for i in np.flatnonzero(may)[np.argsort(-(b1 - b0)[may], kind="stable")].tolist():
-            a_0, a_1, b_0, b_1 = int(a0[i]), int(a1[i]), int(b0[i]), int(b1[i])
-            j = _jaccard(a[a_0:a_1 + 1], b[b_0:b_1 + 1], plain)
+        may = (size >= need) & ((common[b1 + 1] - common[b0][:, None]) * (1 + similarity) >= similarity * (
+            (kinds_a[a1 + 1] + kinds_b[b1 + 1]) - (kinds_a[a0] + kinds_b[b0])[:, None]) - 1e-6)
+        for c in np.flatnonzero(may)[np.argsort(-size[may], kind="stable")].tolist():
+            c0, c1 = divmod(c, len(last))
+            span = int(a0[c0]), int(a1[c1]), int(b0[c0]), int(b1[c1])
+            j = _jaccard(a[span[0]:span[1] + 1], b[span[2]:span[3] + 1], plain)
             if j >= similarity:
-                out.append((a_0, a_1, b_0, b_1, j))
-                left &= (runs[:, 1] < b_0) | (runs[:, 1] + rl - 1 > b_1)
+                out.append((*span, j))
+                left &= (rb < span[2]) | (b_end > span[3])
                 break
     return sorted(out, key=lambda r: r[2])
 
@@ -614,7 +760,8 @@ def near_duplicate_spans(docs: DataFrame, words: int = WORDS, similarity: float
     of ``words`` words or more come with the copy's whole text as span."""
     texts = (id_text(docs).where("doc_id is not null")
              .select("doc_id", F.xxhash64("text").alias("h"), "text"))
-    long_enough = F.size(F.split("text", r"\s+")) >= words
+    # so many stretches of white space; the pattern reads no further
+    long_enough = F.col("text").rlike(rf"\A(?:\S*+\s++){{{max(0, words - 1)}}}")
     own = materialize(texts.select("doc_id", "h", F.xxhash64(F.lit(1), "text").alias("h2"),
                                    F.length("text").alias("n"), long_enough.alias("long")), "texts")
     reps = own.groupBy("h", "h2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
@@ -666,12 +813,16 @@ def _verified(texts: DataFrame, cand: DataFrame, reps: DataFrame, words: int, si
 
     def check(b):
         out = {c: [] for c in ("doc_id", "match_id", "start", "end", "match_start", "match_end", "similarity")}
-        for match_id, doc_id, *raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), *(b.column(i) for i in range(2, 6))):
-            a_s, a_at, b_s, b_at = (np.frombuffer(r.as_py(), dtype="<u4") for r in raw)
-            for a0, a1, b0, b1, j in verify(a_s, b_s, words, similarity):
-                row = (doc_id, match_id, int(b_at[b0]), int(b_at[b1 + SHINGLE]), int(a_at[a0]), int(a_at[a1 + SHINGLE]), j)
-                for c, v in zip(out, row):
-                    out[c].append(v)
+        match_ids, doc_ids, a_s, a_at, b_s, b_at = (c.to_pylist() for c in b.columns)
+        for lo, hi in _stretches([len(x) + len(y) for x, y in zip(a_s, b_s)]):
+            (x, x_at), (y, y_at) = _joined(a_s[lo:hi]), _joined(b_s[lo:hi])
+            for i, spans in enumerate(verify_pairs(x, y, x_at, y_at, words, similarity), lo):
+                if spans:
+                    at, match_at = (np.frombuffer(raw[i], dtype="<u4") for raw in (b_at, a_at))
+                for a0, a1, b0, b1, j in spans:
+                    row = (doc_ids[i], match_ids[i], int(at[b0]), int(at[b1 + SHINGLE]), int(match_at[a0]), int(match_at[a1 + SHINGLE]), j)
+                    for c, v in zip(out, row):
+                        out[c].append(v)
         return out
 
     return (map_slices(both, check, "doc_id long, match_id long, start long, end long, match_start long, match_end long, similarity double")

@@ -8,7 +8,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from tractus.llm import classlm, packing, secrets, substring
+from tractus.llm import classlm, common, packing, secrets, substring
 from tractus.llm.common import materialize
 
 from .frames import documents, roots
@@ -232,3 +232,49 @@ def test_text_of_words_is_long_enough(spark):
     rows = [(2 * i + k, t) for i, t in enumerate(texts) for k in range(2)]
     got = {r.doc_id for r in substring.near_duplicate_spans(documents(spark, rows)).where("exact_copy").collect()}
     assert got == {2 * i + 1 for i, t in enumerate(texts) if len(re.split(r"\s+", t)) >= 50}
+
+
+# pipeline, substring: texts that a join cannot meet stay out of its shuffle
+
+def _shuffled(df):
+    """Most rows that one exchange of a collected frame has written."""
+    plan, most = [df._jdf.queryExecution().executedPlan()], 0
+    while plan:
+        node = plan.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            plan.append(node.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            plan.append(node.plan())
+        elif kind == "ShuffleExchangeExec":
+            most = max(most, node.metrics().get("shuffleRecordsWritten").get().value())
+        plan += [node.children().apply(i) for i in range(node.children().size())]
+    return most
+
+
+def test_texts_without_spans_are_not_shuffled(spark):
+    rows = [(i, f"{i} one two") for i in range(1000)] + [(7, "again 7"), (None, "no id"), (None, None)]
+    spans = spark.createDataFrame([(7, 0, 2), (8, 2, 6), (8, 4, 7), (900, 0, 99)], "doc_id long, start long, end long")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        cut = substring.cut_spans(documents(spark, rows).repartition(4).localCheckpoint(), spans)
+        got = sorted(((r.doc_id, r.text, r.n_chars) for r in cut.collect()), key=str)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    new = {(7, "7 one two"): "one two", (7, "again 7"): "ain 7", (8, "8 one two"): "8 wo", (900, "900 one two"): ""}
+    want = [(i, new.get((i, t), t)) for i, t in rows]
+    assert got == sorted(((i, t, None if t is None else len(t)) for i, t in want), key=str)
+    assert 0 < _shuffled(cut) < 300
+
+
+@pytest.mark.parametrize("most", [1 << 25, 64])
+def test_marked_rows_hold_every_id(spark, monkeypatch, most):
+    monkeypatch.setattr(common, "FILTER_BITS", most)
+    rows = spark.createDataFrame([(i,) for i in range(-500, 500)] + [(None,)] * 3, "id int")
+    ids = spark.createDataFrame([(i,) for i in range(-500, 500, 10)] + [(5000,), (None,)], "i long")
+    got = [(r.id, r._may) for r in common.marked(rows, F.col("id"), ids, 102).collect()]
+    assert sorted(map(str, (i for i, _ in got))) == sorted(map(str, [*range(-500, 500), None, None, None]))
+    assert all(may for i, may in got if i is not None and i % 10 == 0) and not any(may for i, may in got if i is None)
+    assert most == 64 or sum(may for _, may in got) < 300
+    assert not any(r._may for r in common.marked(rows, F.col("id"), ids.limit(0), 0).collect())

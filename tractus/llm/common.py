@@ -8,10 +8,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tractus.session import materialize  # noqa: F401  (re-exported for the operators)
+from tractus.session import materialize, materialize_counted  # noqa: F401  (re-exported for the operators)
 
 #: Texts handed to Python at once: rows and code points of one slice.
 SLICE_ROWS = 256
+#: Most bits of the table that tells rows which a join may meet from others; it is broadcast as 64-bit words.
+FILTER_BITS = 1 << 25
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,6 +53,24 @@ def crc_mod(col: Column | str, n: int) -> Column:
     return F.pmod(F.crc32(c.cast("string").cast("binary")), F.lit(n)).cast("int")
 
 
+def marked(rows: DataFrame, key: Column, ids: DataFrame, count: int) -> DataFrame:
+    """``rows`` plus a boolean ``_may``: true wherever ``key`` is one of ``ids`` (one column, about
+    ``count`` values), and for a few other rows, which the join itself must leave out; a null is none of them.
+
+    Rows with long texts that meet nothing need no shuffle then.  The table has 8 to 16 bits for an id and never more
+    than FILTER_BITS; beyond that it tells fewer rows apart, and all still hold."""
+    bits = min(FILTER_BITS, max(64, 1 << (8 * count).bit_length()))
+
+    def place(c):
+        return F.pmod(F.xxhash64(c.cast("long")), F.lit(bits)).alias("_place")
+
+    table = (ids.select(place(F.col(ids.columns[0]))).groupBy(F.expr("_place div 64").alias("_word"))
+             .agg(F.expr("bit_or(shiftleft(1L, cast(_place % 64 as int)))").alias("_bits")))
+    met = F.expr("coalesce(getbit(_bits, cast(_place % 64 as int)) = 1, false)")
+    return (rows.withColumn("_place", place(key)).join(F.broadcast(table), F.expr("_place div 64 = _word"), "left")
+            .withColumn("_may", met & key.isNotNull()).drop("_place", "_word", "_bits"))
+
+
 def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema: str,
                rows: int = SLICE_ROWS,
                finish: Callable[[], dict | None] | None = None) -> DataFrame:

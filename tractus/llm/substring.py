@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tractus.llm.common import id_text, map_slices, materialize, shuffle_width
+from tractus.llm.common import id_text, map_slices, marked, materialize, materialize_counted, shuffle_width
 from tractus.session import remove_path, scratch_dir
 
 SHINGLE, WORDS, SIMILARITY = 5, 50, 0.8
@@ -769,8 +769,8 @@ def near_duplicate_spans(docs: DataFrame, words: int = WORDS, similarity: float
     near = _linked(_windows(texts, hashes, words), "window-links")
     exact = _linked(_strong_windows(texts, near, reps, hashes, agree, words), "strong-links", chain=False)
     both = near.withColumn("f", F.shiftright("key", 40)).unionByName(exact.withColumn("f", F.lit(WHOLE).cast("long"))).where("a <> b")
-    cand = materialize(_candidates(both, agree, shuffle_width(docs.sparkSession)), "candidates")
-    spans = _verified(texts, cand, reps, words, similarity)
+    cand, count = materialize_counted(_candidates(both, agree, shuffle_width(docs.sparkSession)), "candidates")
+    spans = _verified(texts, cand, count, reps, words, similarity)
     copies = (own.join(reps.where("copies > 1"), ["h", "h2"]).where("long and doc_id <> rep")
               .select("doc_id", F.col("rep").alias("match_id"), F.lit(0).cast("long").alias("start"),
                       F.col("n").cast("long").alias("end"), F.lit(0).cast("long").alias("match_start"),
@@ -779,13 +779,15 @@ def near_duplicate_spans(docs: DataFrame, words: int = WORDS, similarity: float
     return spans.unionByName(copies)
 
 
-def _verified(texts: DataFrame, cand: DataFrame, reps: DataFrame, words: int, similarity: float) -> DataFrame:
+def _verified(texts: DataFrame, cand: DataFrame, count: int, reps: DataFrame, words: int, similarity: float) -> DataFrame:
     # the part of each text that any candidate names, as one interval
     sides = (cand.select(F.col("a").alias("h"), F.col("a_lo").alias("lo"), F.col("a_hi").alias("hi"))
              .unionAll(cand.select(F.col("b").alias("h"), F.col("b_lo").alias("lo"), F.col("b_hi").alias("hi"))))
     hulls = (sides.groupBy("h").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
              .join(reps.groupBy("h").agg(F.min("rep").alias("doc_id")), "h"))
-    asked = texts.join(hulls, ["doc_id", "h"]).select("h", "doc_id", "text", "lo", "hi")
+    # texts that no candidate names are not shuffled
+    named = marked(texts, F.col("h"), sides.select("h"), 2 * count).where("_may")
+    asked = named.join(hulls, ["doc_id", "h"]).select("h", "doc_id", "text", "lo", "hi")
 
     def extract(b):
         out = {"h": b.column(0), "doc_id": b.column(1), "lo": b.column(3), "s": [], "places": []}
@@ -832,12 +834,13 @@ def _verified(texts: DataFrame, cand: DataFrame, reps: DataFrame, words: int, si
 def cut_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """``docs`` with the spans removed from their texts (and n_chars set anew,
     where there is one); every row and column stays."""
-    one = materialize(spans.groupBy("doc_id").agg(
+    one, count = materialize_counted(spans.groupBy(F.col("doc_id").alias("_id")).agg(
         F.sort_array(F.collect_set(F.struct("start", "end"))).alias("_spans")), "cuts")
     # the row as one struct: its columns' names cannot clash with the spans'
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("d"))
-    one = one.withColumnRenamed("doc_id", "_id")
-    joined = rows.join(one, F.col("d.doc_id").cast("long") == F.col("_id"), "left")
+    # texts without spans stay where they are; only the others go through the join's shuffle
+    rows = marked(rows, F.col("d.doc_id").cast("long"), one.select("_id"), count)
+    joined = rows.where("_may").join(one, F.col("d.doc_id").cast("long") == F.col("_id"), "left")
     text, some = F.col("d.text"), F.col("_spans").isNotNull()
     # the text left of each span, from where the spans before it ended
     start = F.struct(F.lit("").alias("t"), F.lit(0).cast("long").alias("p"))
@@ -851,4 +854,5 @@ def cut_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     new = {"text": F.when(some, rest).otherwise(text)}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(some, F.length(rest)).otherwise(F.col("d.n_chars")).cast(docs.schema["n_chars"].dataType)
-    return joined.select(*[new.get(c, F.col(f"d.`{c}`")).alias(c) for c in docs.columns])
+    cut = joined.select(*[new.get(c, F.col(f"d.`{c}`")).alias(c) for c in docs.columns])
+    return rows.where("not _may").select(*[F.col(f"d.`{c}`") for c in docs.columns]).union(cut)

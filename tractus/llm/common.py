@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -71,6 +72,25 @@ def marked(rows: DataFrame, key: Column, ids: DataFrame, count: int) -> DataFram
             .withColumn("_may", met & key.isNotNull()).drop("_place", "_word", "_bits"))
 
 
+@contextmanager
+def shuffles_freed(spark: SparkSession):
+    """The shuffle files behind a table written here go when it is written, not when
+    the driver happens to collect its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def materialize_freed(df: DataFrame, purpose: str) -> tuple[DataFrame, int]:
+    """``materialize_counted`` with ``shuffles_freed``."""
+    with shuffles_freed(df.sparkSession):
+        return materialize_counted(df, purpose)
+
+
 def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema: str,
                rows: int = SLICE_ROWS,
                finish: Callable[[], dict | None] | None = None) -> DataFrame:

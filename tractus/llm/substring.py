@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tractus.llm.common import id_text, map_slices, marked, materialize, materialize_counted, shuffle_width
+from tractus.llm.common import id_text, map_slices, marked, materialize, materialize_freed, shuffle_width, shuffles_freed
 from tractus.session import remove_path, scratch_dir
 
 SHINGLE, WORDS, SIMILARITY = 5, 50, 0.8
@@ -331,11 +331,12 @@ def _linked(rows: DataFrame, name: str, chain: bool = True) -> DataFrame:
     groups' parts in other tasks to the first one."""
     # written once, as the range partitioning reads its input for a sample, too; removed when the links are there
     spark, path = rows.sparkSession, scratch_dir(rows.sparkSession, f"{name}-input")
-    rows.write.mode("overwrite").parquet(path)
+    with shuffles_freed(spark):
+        rows.write.mode("overwrite").parquet(path)
     laid = (spark.read.schema(rows.schema).parquet(path).repartitionByRange(shuffle_width(spark), "key", "h")
             .sortWithinPartitions("key", "h", "at"))
-    links = materialize(laid.mapInArrow(lambda batches: _link_groups(batches, chain),
-                                        "key long, a long, a_at long, b long, b_at long, more long"), name)
+    links, _ = materialize_freed(laid.mapInArrow(lambda batches: _link_groups(batches, chain),
+                                                 "key long, a long, a_at long, b long, b_at long, more long"), name)
     remove_path(spark, path)
     ends = links.where("b is null").groupBy("key", "a", "a_at").agg(F.max("more").alias("told"))
     heads = ends.groupBy("key").agg(F.min(F.struct("a", "a_at")).alias("m"), F.count(F.lit(1)).alias("ends")).where("ends > 1")
@@ -769,7 +770,7 @@ def near_duplicate_spans(docs: DataFrame, words: int = WORDS, similarity: float
     near = _linked(_windows(texts, hashes, words), "window-links")
     exact = _linked(_strong_windows(texts, near, reps, hashes, agree, words), "strong-links", chain=False)
     both = near.withColumn("f", F.shiftright("key", 40)).unionByName(exact.withColumn("f", F.lit(WHOLE).cast("long"))).where("a <> b")
-    cand, count = materialize_counted(_candidates(both, agree, shuffle_width(docs.sparkSession)), "candidates")
+    cand, count = materialize_freed(_candidates(both, agree, shuffle_width(docs.sparkSession)), "candidates")
     spans = _verified(texts, cand, count, reps, words, similarity)
     copies = (own.join(reps.where("copies > 1"), ["h", "h2"]).where("long and doc_id <> rep")
               .select("doc_id", F.col("rep").alias("match_id"), F.lit(0).cast("long").alias("start"),
@@ -800,7 +801,7 @@ def _verified(texts: DataFrame, cand: DataFrame, count: int, reps: DataFrame, wo
                 out["places"].append(word_starts(text)[x:y + SHINGLE + 1].tobytes())
         return out
 
-    held = materialize(map_slices(asked, extract, "h long, doc_id long, lo long, s binary, places binary"), "candidate-texts")
+    held, _ = materialize_freed(map_slices(asked, extract, "h long, doc_id long, lo long, s binary, places binary"), "candidate-texts")
 
     def cut(lo, hi, extra):   # little-endian 4-byte numbers lo..hi + extra of a text's interval
         return lambda c: F.substring(F.col(c), ((F.col(lo) - F.col("lo")) * 4 + 1).cast("int"),
@@ -834,7 +835,7 @@ def _verified(texts: DataFrame, cand: DataFrame, count: int, reps: DataFrame, wo
 def cut_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """``docs`` with the spans removed from their texts (and n_chars set anew,
     where there is one); every row and column stays."""
-    one, count = materialize_counted(spans.groupBy(F.col("doc_id").alias("_id")).agg(
+    one, count = materialize_freed(spans.groupBy(F.col("doc_id").alias("_id")).agg(
         F.sort_array(F.collect_set(F.struct("start", "end"))).alias("_spans")), "cuts")
     # the row as one struct: its columns' names cannot clash with the spans'
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("d"))

@@ -482,6 +482,43 @@ def test_words_encode_as_the_library_does(text):
     assert np.frombuffer(packing.word_tokens(path).ids(text), dtype="<u4").tolist() == want
 
 
+def test_texts_of_a_slice_encode_together_as_the_library_does():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+    path = packing.default_vocabulary()
+    plain = [c for c in map(chr, range(0x20, 0x250)) if c.isprintable()]
+    texts = ["", " \t\n", "".join(plain), *(f"a{c}b {c}{c} 1{c}" for c in plain), "don't I'LL 'S '", "a <|endoftext|> B",
+             "İ Ⱥ Ⱦ", "a\x00b\x0bc\xadd\x7fe", "中文 The", " \r\nthe ", "x" * 3000]
+    whole = Tokenizer.from_file(path)
+    want = [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    tokens = packing.WordTokens(path)
+    assert [np.frombuffer(b, "<u4").tolist() for b in tokens.many(pa.array(texts))] == want
+    assert [np.frombuffer(b, "<u4").tolist() for b in tokens.many(pa.array(["y", *texts, "z"]).slice(1, len(texts)))] == want
+
+
+def test_a_slice_encodes_each_distinct_piece_once():
+    import pyarrow as pa
+    tokens, asked = packing.WordTokens(packing.default_vocabulary()), []
+
+    class Asked(dict):
+        def __getitem__(self, piece):
+            asked.append(piece)
+            return tokens._encode_piece(piece)
+
+    tokens._piece = Asked()
+    got = tokens.many(pa.array(["The cat, the cat. ", "the CAT's cat", ""] * 50))
+    assert sorted(p for p in asked if p) == ["'s", ",", ".", "cat", "the"]
+    assert got[:3] * 50 == got and got[2] == b""
+
+
+def test_slices_by_bytes_hold_every_text_in_order():
+    import pyarrow as pa
+    texts = ["é" * n for n in (0, 3, 9, 1, 40, 0, 0, 2, 6)]
+    got = [p.to_pylist() for p in packing._by_bytes(pa.array(["", *texts]).slice(1), 16)]
+    assert sum(got, []) == texts and len(got) > 2
+    assert all(sum(2 * len(t) for t in p[1:]) <= 16 for p in got)
+
+
 def test_program_covers_every_piece_and_nears_the_bound():
     r = np.random.default_rng(1)
     counts = np.bincount(np.minimum(64, 1 + r.lognormal(2, 0.8, 3000).astype(int)), minlength=65)

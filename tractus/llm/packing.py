@@ -27,8 +27,12 @@ import zlib
 from array import array
 from bisect import bisect_left, insort
 from collections import Counter
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,12 +45,15 @@ GRAIN = 1
 #: Pricing steps of the multiplicative weights, and their learning rate.
 STEPS, RATE = 900, 0.6
 MEMORY = 250_000
+#: UTF-8 bytes of the texts that are encoded together.
+SLICE_BYTES = 8 << 20
 
 _L, _N = "a-zªµºß-öø-ɏ", "0-9²³¹¼-¾"
 #: Characters outside the range where lower-casing, composition and the
-#: pattern's classes are the plain ones, or a special token's start.
-_SLOW = re.compile(r"[^\t\n\r\x20-\x7e\xa1-\xac\xae-ɏ]|<\|")
-_PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^\s{_L}{_N}]+")
+#: pattern's classes are the plain ones, or a special token's start.  Arrow lower-cases İ to one
+#: character, the library to two.
+_SLOW = r"[^\t\n\r\x20-\x7e\x{a1}-\x{ac}\x{ae}-ɏ]|İ|<\|"
+_PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^\s{_L}{_N}]+"
 _SPACES = re.compile(r"[\t\n\r ]+")
 
 
@@ -56,8 +63,9 @@ def default_vocabulary() -> str:
 
 
 class WordTokens:
-    """Ids of a tokenizer that drops white space: words are encoded on their
-    own and remembered."""
+    """Ids of a tokenizer that drops white space: texts are cut into words
+    and these into the pattern's pieces, each distinct one of a slice once;
+    pieces are encoded on their own and remembered."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -67,28 +75,55 @@ class WordTokens:
         self._model = self._whole.model
         self._table = str.maketrans({chr(b): c for b, c in enumerate(byte_table())})
         self._piece = Memory(self._encode_piece, MEMORY)
-        self._word = Memory(self._encode_word, MEMORY)
         self._rare = Memory(self._encode_whole, MEMORY // 20)
 
     def _encode_piece(self, piece: str) -> bytes:
-        s = piece.encode("utf-8").decode("latin-1").translate(self._table)
+        # printable ASCII stands for itself
+        s = piece if piece.isascii() else piece.encode("utf-8").decode("latin-1").translate(self._table)
         return array("I", [t.id for t in self._model.tokenize(s)]).tobytes()
 
-    def _encode_word(self, word: str) -> bytes:
-        return b"".join(map(self._piece.__getitem__, _PIECES.findall(word)))
-
     def _encode_whole(self, word: str) -> bytes:
         return array("I", self._whole.encode(word, add_special_tokens=False).ids).tobytes()
 
     def ids(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids of a whole text.
+        """Little-endian unsigned 32-bit ids of a whole text."""
+        return self.many(pa.array([text], pa.string()))[0]
+
+    def many(self, texts: pa.Array) -> list[bytes]:
+        """``ids`` of each text.
 
         White space always ends a pre-token, so words are independent; in
         the plain range lower-casing first changes nothing either."""
-        low = text.lower()
-        if _SLOW.search(low) or _SLOW.search(text):
-            return b"".join(map(self._rare.__getitem__, _SPACES.split(text)))
-        return b"".join(map(self._word.__getitem__, low.split()))
+        texts = texts.cast(pa.large_string())
+        low = pc.utf8_lower(texts)
+        slow = pc.or_(pc.match_substring_regex(texts, _SLOW), pc.match_substring_regex(low, _SLOW))
+        words = pc.ascii_split_whitespace(pc.if_else(slow, "", low))
+        word = words.flatten().dictionary_encode()
+        parts = pc.ascii_split_whitespace(pc.replace_substring_regex(word.dictionary, _PIECES, r"\0 "))
+        part = parts.flatten().dictionary_encode()
+        known = map(self._piece.__getitem__, part.dictionary.to_numpy(zero_copy_only=False).tolist())
+        of_word = _joined(parts, part.indices, pa.array(known, pa.large_binary()))
+        out = _joined(words, word.indices, of_word).to_pylist()
+        for i in np.flatnonzero(slow.to_numpy(zero_copy_only=False)).tolist():
+            out[i] = b"".join(map(self._rare.__getitem__, _SPACES.split(texts[i].as_py())))
+        return out
+
+
+def _joined(lists: pa.ListArray, index: pa.Array, values: pa.Array) -> pa.Array:
+    """Per list the values of its elements, one after the other; ``index`` names
+    the value of every element."""
+    got = values.take(index)
+    _, ends, data = got.buffers()
+    ends = np.frombuffer(ends, np.int64)[lists.offsets.to_numpy()]
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(ends), data])
+
+
+def _by_bytes(texts: pa.Array, most: int) -> Iterator[pa.Array]:
+    """Consecutive slices of ``most`` bytes beside their first text."""
+    at = np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64)) // most
+    edges = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(texts)]
+    for a, z in zip(edges, edges[1:]):
+        yield texts.slice(a, z - a)
 
 
 @functools.lru_cache(maxsize=2)
@@ -103,15 +138,17 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     def run(b):
         tokens = word_tokens(path)
         out = {"doc_id": [], "piece": [], "start": [], "length": [], "ids_crc32": []}
-        for doc_id, t in zip(b.column(0).to_pylist(), b.column(1)):
-            raw = tokens.ids(t.as_py()) + end
+        ids = chain.from_iterable(map(tokens.many, _by_bytes(b.column(1), SLICE_BYTES)))
+        for doc_id, raw in zip(b.column(0).to_pylist(), ids):
+            raw += end
             for k, at in enumerate(range(0, len(raw), 4 * capacity)):
                 part = raw[at:at + 4 * capacity]
                 for name, v in zip(out, (doc_id, k, at // 4, len(part) // 4, zlib.crc32(part))):
                     out[name].append(v)
         return out
 
-    return map_slices(id_text(docs), run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return map_slices(id_text(docs), run, "doc_id long, piece int, start long, length long, ids_crc32 long",
+                      rows=8192)
 
 
 # ------------------------------------------------------------ the program

@@ -46,7 +46,7 @@ GRAIN = 1
 STEPS, RATE = 900, 0.6
 MEMORY = 250_000
 #: UTF-8 bytes of the texts that are encoded together.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 
 _L, _N = "a-zªµºß-öø-ɏ", "0-9²³¹¼-¾"
 #: Characters outside the range where lower-casing, composition and the
@@ -145,6 +145,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
                 part = raw[at:at + 4 * capacity]
                 for name, v in zip(out, (doc_id, k, at // 4, len(part) // 4, zlib.crc32(part))):
                     out[name].append(v)
+        pa.default_memory_pool().release_unused()   # workers live on for other operators
         return out
 
     return map_slices(id_text(docs), run, "doc_id long, piece int, start long, length long, ids_crc32 long",
